@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from cairnlight.llm import decontaminate, pieces, pii, quality, secrets, simhash
+from cairnlight.llm import decontaminate, html_text, language, pieces, pii, quality, secrets, sharding, simhash
 
-_MODULES = (simhash, pieces, decontaminate, secrets, pii, quality)
+_MODULES = (sharding, simhash, html_text, language, pieces, decontaminate, secrets, pii, quality)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}

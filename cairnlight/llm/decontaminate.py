@@ -191,22 +191,24 @@ def _occurrences(codes: np.ndarray, windows: SameLength) -> tuple[np.ndarray, np
     return where[index.locate(rows)], hit
 
 
-def _shards(batches: Iterator[pa.RecordBatch], codes: dict[bytes, int]) -> Iterator[tuple[list, list, list]]:
+def _shards(batches: Iterator[pa.RecordBatch], codes: dict[bytes, int]) -> Iterator[tuple[pa.Array, list, list]]:
     keys, parts, texts, total = [], [], [], 0
     get = codes.get
     for b in batches:
-        for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        begin = 0
+        for i, text in enumerate(b.column(1).to_pylist()):
             w = words_of(text)
             part = np.fromiter(map(get, w, repeat(0)), np.int32, len(w))
-            keys.append(key)
             parts.append(part)
             texts.append(text)
             total += len(part)
             if total >= SHARD_WORDS:
-                yield keys, parts, texts
-                keys, parts, texts, total = [], [], [], 0
+                yield pa.concat_arrays([*keys, b.column(0)[begin : i + 1]]), parts, texts
+                begin, keys, parts, texts, total = i + 1, [], [], [], 0
+        if begin < b.num_rows:
+            keys.append(b.column(0)[begin:])
     if keys:
-        yield keys, parts, texts
+        yield pa.concat_arrays(keys), parts, texts
 
 
 def _hits(parts: list[np.ndarray], windows: Windows) -> tuple[np.ndarray, np.ndarray, dict[int, set[int]]]:
@@ -253,7 +255,7 @@ def match(docs: DataFrame, items: list[tuple[int, str | None]], key: str = "doc_
             hit, starts, found = _hits(parts, windows) if len(windows.lengths) else (np.zeros(0, bool), np.zeros(len(keys) + 1, np.int64), {})
             own = {d: hit[starts[d] : starts[d] + len(parts[d])] for d in found}
             yield pa.RecordBatch.from_arrays([
-                pa.array(keys), pa.array([len(p) for p in parts], pa.int64()), pa.array([int(own[d].sum()) if d in own else 0 for d in range(len(keys))], pa.int64()),
+                keys, pa.array([len(p) for p in parts], pa.int64()), pa.array([int(own[d].sum()) if d in own else 0 for d in range(len(keys))], pa.int64()),
                 pa.array([sorted(found.get(d, ())) for d in range(len(keys))], pa.list_(pa.int64())), pa.array([_spans(own[d], texts[d]) if d in own else [] for d in range(len(keys))], spans),
             ], names=["key", "n_words", "n_hit", "items", "spans"])
 

@@ -214,18 +214,14 @@ def split(text: str | None) -> list[str]:
     return _UNITS.findall(MARK + text.replace(" ", MARK)) if text else []
 
 
-def _groups(batch: pa.RecordBatch) -> Iterator[tuple[list, list]]:
-    keys, texts, size = [], [], 0
-    for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-        text = text.as_py()
-        keys.append(key)
-        texts.append(text)
-        size += len(text or "")
-        if size >= WALK_CHARS:
-            yield keys, texts
-            keys, texts, size = [], [], 0
-    if keys:
-        yield keys, texts
+def _groups(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list]]:
+    begin, texts, size = 0, [], 0
+    for i, text in enumerate(batch.column(1)):
+        texts.append(text.as_py())
+        size += len(texts[-1] or "")
+        if size >= WALK_CHARS or i + 1 == batch.num_rows:
+            yield batch.column(0)[begin : i + 1], texts
+            begin, texts, size = i + 1, [], 0
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -246,7 +242,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: s
                 known = encoder.of(words)
                 ids = [list(chain.from_iterable(map(known.__getitem__, w))) for w in words]
                 exact = [encoder.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids, pa.list_(pa.int32())), pa.array(exact)], names=["key", "ids", "exact"])
+                yield pa.RecordBatch.from_arrays([keys, pa.array(ids, pa.list_(pa.int32())), pa.array(exact)], names=["key", "ids", "exact"])
 
     return rows.mapInArrow(run, f"key {kind}, ids array<int>, exact boolean").withColumnRenamed("key", key)
 
@@ -276,7 +272,7 @@ def token_counts(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", t
             for keys, texts in _groups(batch):
                 words = [split(t) for t in texts]
                 known = encoder.of(words, count_only=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([len(w) for w in words], pa.int64()), pa.array([sum(map(known.__getitem__, w)) for w in words], pa.int64())], names=["key", "n_words", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([keys, pa.array([len(w) for w in words], pa.int64()), pa.array([sum(map(known.__getitem__, w)) for w in words], pa.int64())], names=["key", "n_words", "n_tokens"])
 
     return rows.mapInArrow(run, f"key {kind}, n_words long, n_tokens long").withColumnRenamed("key", key)
 

@@ -2,9 +2,5 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from cairnlight.plans import scoring  # noqa: F401  (each module registers its queries)
+from cairnlight.plans.registry import ORACLE, QUERIES  # noqa: F401

@@ -79,9 +79,10 @@ def count_terms(c: Column, terms: Iterable[str]) -> Column:
 
 
 def ngrams(tokens: Column, n: int, joint: str = " ") -> Column:
-    """Runs of n tokens; none if there are fewer."""
-    at = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-    return F.when(F.size(tokens) >= n, F.transform(at, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), joint))).otherwise(F.array().cast("array<string>"))
+    """Runs of n tokens; none if there are fewer. Shifted slices are zipped, so ``tokens`` isn't evaluated per position."""
+    size = F.greatest(F.lit(0), F.size(tokens) - (n - 1))
+    shifted = F.arrays_zip(*(F.slice(tokens, k + 1, size).alias(f"g{k}") for k in range(n)))
+    return F.transform(shifted, lambda x: F.concat_ws(joint, *(x[f"g{k}"] for k in range(n))))
 
 
 def doi_of(link: Column) -> Column:

@@ -102,7 +102,7 @@ def stable_id(prefix: str, *parts: Column, n: int = 16) -> Column:
 
 def number(c: Column, default: float = 0.0) -> Column:
     """A number from text; null, empty and unreadable text gives the default."""
-    return F.coalesce(F.expr("try_cast(v as double)") if isinstance(c, str) else c.try_cast("double"), F.lit(default))
+    return F.coalesce(c.try_cast("double"), F.lit(default))
 
 
 def ratio_score(c: Column) -> Column:
@@ -129,7 +129,10 @@ def sentences(c: Column) -> Column:
 
 def first_sentence(c: Column, patterns: Iterable[str]) -> Column:
     """The first sentence that matches the earliest pattern with any match."""
-    return F.coalesce(*(F.get(F.filter(sentences(c), lambda s, p=p: F.lower(s).rlike(p)), F.lit(0)) for p in patterns))
+    def first(pattern: str) -> Column:
+        return F.get(F.filter(sentences(c), lambda s: F.lower(s).rlike(pattern)), F.lit(0))
+
+    return F.coalesce(*(first(p) for p in patterns))
 
 
 def mapped(c: Column, table: Mapping[str, object], default: object) -> Column:

@@ -91,4 +91,4 @@ def table_rules(rows: DataFrame, key: str, text: Column, heading: str) -> DataFr
     order = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     all_lines = lines(rows, key, text).withColumn("on", F.max(F.contains("line", F.lit(heading)).cast("int")).over(order))
     body = all_lines.filter((F.col("on") == 1) & F.startswith(F.trim("line"), F.lit("|")) & ~F.trim("line").rlike(r"^\|[\s:|-]+\|$") & ~F.contains("line", F.lit(heading)))
-    return body.select(key, "pos", F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), F.trim).alias("cells"))
+    return body.select(key, "pos", F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), lambda v: F.trim(v)).alias("cells"))

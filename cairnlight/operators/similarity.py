@@ -71,8 +71,8 @@ def nearest(reference: DataFrame, queries: DataFrame, block: int = QUERY_BLOCK)
         part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
         rows = part.select("id", "embedding").collect()
         ids = [r[0] for r in rows]
-        q = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12) if len(rows) else 1
+        q = np.array([r[1] for r in rows], np.float64) if rows else np.zeros((0, 1))
+        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
 
         def run(batches: Iterator[pa.RecordBatch], q=q, ids=ids) -> Iterator[pa.RecordBatch]:
             for batch in batches:

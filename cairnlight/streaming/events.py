@@ -17,23 +17,26 @@ def source(spark: SparkSession, path: str, schema: Any, per_trigger: int = 1) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
+def _timed(rows: DataFrame, late: str) -> DataFrame:
+    """Streams get a watermark on ``ts``; watermarks need a zoned timestamp, so one without a zone is read as UTC."""
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if rows.isStreaming else rows
+
+
 def tumbling(rows: DataFrame, size: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
     """Counts and sums per window and type; works on a stream (rows later than ``late`` are dropped) and on a table."""
     w = F.window("ts", size, slide) if slide else F.window("ts", size)
-    if rows.isStreaming:
-        rows = rows.withWatermark("ts", late)
+    rows = _timed(rows, late)
     return rows.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def sessions(rows: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    if rows.isStreaming:
-        rows = rows.withWatermark("ts", late)
+    rows = _timed(rows, late)
     return rows.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "user_id", "n")
 
 
 def first_seen(rows: DataFrame, key: str, late: str = "1 day") -> DataFrame:
     """Stream dedup by key within the watermark; state for older keys is let go."""
-    return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark([key]) if rows.isStreaming else rows.dropDuplicates([key])
+    return _timed(rows, late).dropDuplicatesWithinWatermark([key]) if rows.isStreaming else rows.dropDuplicates([key])
 
 
 def momentum(rows: DataFrame) -> DataFrame:

@@ -1,0 +1,462 @@
+"""Each operator against a brute-force version or an exact round trip, and on odd tables."""
+
+import hashlib
+import re
+from collections import Counter, defaultdict
+from itertools import chain
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from cairnlight.llm import decontaminate as D
+from cairnlight.llm import html_text, language, pieces, pii, quality, secrets, sharding, simhash
+from tests.compare import same
+from tests.llm.conftest import ODD
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs_of(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet")
+
+
+@pytest.mark.parametrize("module", [D, quality, secrets])
+def test_sql_twins(spark, sf, module):
+    for name, q in module.QUERIES.items():
+        same(spark, q, module.ORACLE[name], sf)
+
+
+@pytest.mark.parametrize("module", [quality, secrets])
+def test_sql_twins_on_odd_rows(spark, odd, table_dir, module):
+    d = table_dir(documents=odd.filter("doc_id <> 11").coalesce(1))
+    import duckdb
+
+    for name, q in module.QUERIES.items():
+        con = duckdb.connect()
+        con.sql(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet/*.parquet'")
+        done = con.execute(module.ORACLE[name])
+        cols = [c[0] for c in done.description]
+        want = sorted(tuple(map(str, r)) for r in done.fetchall())
+        assert sorted(tuple(map(str, r)) for r in q(spark, d).select(cols).collect()) == want
+
+
+def test_every_query_takes_empty_and_odd_tables(spark, odd, table_dir):
+    from cairnlight.llm import registry
+
+    bench = spark.createDataFrame([(1, "one two three four"), (2, None), (3, "")], "item_id long, text string")
+    pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "v", "<p>x" * 50)], "page_id long, url string, html string")
+    d = table_dir(documents=odd, benchmark=bench, pages=pages)
+    for name, q in registry.QUERIES.items():
+        assert q(spark, d).count() == (3 if "op3" in name else len(ODD)), name
+    d = table_dir(documents=odd.limit(0), benchmark=bench.limit(0), pages=pages.limit(0))
+    for name, q in registry.QUERIES.items():
+        assert q(spark, d).count() == 0, name
+
+
+# --- sharding ---------------------------------------------------------------------------------------------------
+
+
+def check_shards(rows, shards):
+    by = defaultdict(list)
+    for r in rows:
+        by[r.shard].append(r.slot)
+    sizes = [len(by.get(j, [])) for j in range(shards)]
+    assert max(sizes) - min(sizes) <= 1
+    assert all(sorted(v) == list(range(len(v))) for v in by.values())
+
+
+@pytest.mark.parametrize("hot", [0, 40, 300])
+def test_sharding(spark, hot):
+    groups = [0] * hot + [1 + i // 3 for i in range(120)] + [1000 + i for i in range(97)]
+    nodes = spark.createDataFrame(list(enumerate(groups)), "id long, g long")
+    rows = sharding.assign(nodes, 8).join(nodes, "id").collect()
+    assert len(rows) == len(groups) and len({r.id for r in rows}) == len(groups)
+    check_shards(rows, 8)
+    of = defaultdict(set)
+    for r in rows:
+        of[r.g].add(r.shard)
+    small = [of[g] for g in set(groups) if 0 < g < 1000]
+    assert sum(len(s) == 1 for s in small) >= (0.9 if hot < 300 else 0.6) * len(small)
+
+
+def test_sharding_query(spark, odd, table_dir):
+    rows = sharding.op1_sharding(spark, table_dir(documents=odd), 5).collect()
+    check_shards(rows, 5)
+    import zlib
+
+    for r in rows:
+        raw = (ODD[r.doc_id] or "").encode()
+        assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(raw) + 16, zlib.crc32(raw), "rows", None)
+
+
+# --- SimHash ----------------------------------------------------------------------------------------------------
+
+
+def plain_simhash(text, n=4):
+    words = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+    if not words:
+        return 0
+    h = [xxhash.xxh64_intdigest(" ".join(words[i : i + n]), 42) for i in range(max(1, len(words) - n + 1))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def plain_components(prints):
+    ids, parent = sorted(prints), {i: i for i in prints}
+
+    def find(a):
+        while parent[a] != a:
+            parent[a] = parent[parent[a]]
+            a = parent[a]
+        return a
+
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            if (prints[a] ^ prints[b]).bit_count() <= 4:
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {i: find(i) for i in ids}
+
+
+def test_simhash_is_brute_force(spark, sf, odd):
+    docs = docs_of(spark, sf).unionByName(odd.select(*DOCS.replace(" long", "").replace(" string", "").split(", ")).withColumn("doc_id", F.col("doc_id") + 10_000))
+    rows = simhash.near_duplicates(docs).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    prints = {k: plain_simhash(t) for k, t in texts.items()}
+    assert {r.doc_id: r.fp & (2**64 - 1) for r in rows} == prints
+    assert {r.doc_id: r.component_id for r in rows} == plain_components(prints)
+
+
+def test_golay_keys_meet_within_four_bits():
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 2**64, 3000, dtype=np.uint64)
+    y = x.copy()
+    for i in range(len(y)):
+        for b in rng.choice(64, rng.integers(0, 5), replace=False):
+            y[i] ^= np.uint64(1) << np.uint64(b)
+    of = defaultdict(set)
+    for k, i in zip(*simhash.fuzzy_keys(x), strict=True):
+        of[int(i)].add(int(k))
+    met = {int(i) for k, i in zip(*simhash.fuzzy_keys(y), strict=True) if int(k) in of[int(i)]}
+    assert met == set(range(len(x)))
+
+
+def test_bit_counts():
+    h = np.random.default_rng(2).integers(0, 2**64, 70_001, dtype=np.uint64)
+    assert [int(((h >> np.uint64(b)) & np.uint64(1)).sum()) for b in range(64)] == simhash._bit_counts(h).tolist()
+
+
+def test_chain_of_links(spark):
+    """Fingerprints in a chain, each three bits from the next, and a dense group: components are transitive."""
+    chain_fp = [0]
+    for i in range(12):
+        chain_fp.append(chain_fp[-1] ^ (0b111 << (5 * i % 60)))
+    dense = [(0xF0F0F0F0 << 32) | (1 << i) for i in range(32)]
+    prints = {i: f for i, f in enumerate(chain_fp + dense)}
+    rows = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in prints.items()], "id long, fp long")
+    root = {r.node: r.root for r in simhash.components(simhash.links(rows.select("fp"))).collect()}
+    want = plain_components(prints)
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    groups = defaultdict(set)
+    for i, f in prints.items():
+        groups[root.get(signed(f), signed(f))].add(want[i])
+    assert all(len(g) == 1 for g in groups.values()) and len(groups) == len(set(want.values()))
+
+
+def test_components_random(spark):
+    rng = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (330, 2)) if a != b] + [(1000 + i, 1001 + i) for i in range(40)]
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    parent = {}
+
+    def find(a):
+        parent.setdefault(a, a)
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    assert got == {a: find(a) for a in parent}
+
+
+# --- HTML -------------------------------------------------------------------------------------------------------
+
+
+def test_html(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    import html
+
+    for r in pages:
+        article = re.search(r"<article>(.*?)(?:</article>|<footer|\Z)", r.html, re.S)[1]
+        blocks = [" ".join(html.unescape(re.sub("<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)>", article)]
+        assert html_text.extract(r.html) == " ".join(b for b in blocks if b)
+
+
+def test_html_other_layouts():
+    story = "<p>The first long paragraph, with a comma and <a href=x>a link</a>; it goes on &amp; on.</p><p>Second one, nearly as long as the first, it ends here.</p>"
+    for top in ("<div id=main>%s</div>", "<main><section>%s</section></main>", "<div class='post-body'><h2>Title</h2>%s</div>", "<table><tr><td>%s</td></tr></table>"):
+        page = f"<html><body><header>Site</header><ul class='menu'><li>a<li>b</ul><aside>Side, text.</aside>{top % story}<div id='comments'><p>I disagree, strongly, with this.</p></div><form>Mail <input></form><div class='cookie-notice'>We use cookies, yes.</div><script>if(a<b)document.write('<p>x</p>')</script></body>"
+        got = html_text.extract(page)
+        assert "first long paragraph, with a comma and a link; it goes on & on." in got and "Second one" in got
+        assert not re.search("disagree|cookies|Side|Site|Mail|document", got), got
+    for page in ("<" * 5000, "<a '" * 3000, "<!--" * 3000, "<div>" * 2000 + "deep", "&" * 5000, None, ""):
+        html_text.extract(page)
+
+
+# --- language ---------------------------------------------------------------------------------------------------
+
+
+def test_language(spark, table_dir):
+    rows = language.op4_language(spark, "/root/testdata/sf0.01").collect()
+    lang = {r.doc_id: r.lang for r in docs_of(spark, "/root/testdata/sf0.01").collect()}
+    held = [r for r in rows if r.held_out]
+    assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.97 * len(held)
+    assert all(0 <= r.score <= 1 for r in rows)
+    model = language.fit(["hello there", "bonjour ça"], ["en", "fr"])
+    got = {r.doc_id: r.lang_pred for r in language.predict(spark.createDataFrame([(1, None), (2, "123 !"), (3, "ça")], "doc_id long, text string"), model).collect()}
+    assert got == {1: "und", 2: "und", 3: "fr"}
+
+
+def test_language_kernel_matrix_is_the_plain_kernel():
+    texts, langs = ["the cat sat", "le chat est", "the dog ran", "le chien a", "a cat"], ["en", "fr", "en", "fr", "en"]
+    p = [language.presence(t) for t in texts]
+    plain = np.array([[(a & b).sum() / np.sqrt(a.sum() * b.sum()) for b in p] for a in p])
+    model = language.fit(texts, langs)
+    assert model.langs == ("en", "fr") and np.allclose(np.diag(plain), 1)
+    x = np.array([v[model.columns] / np.sqrt(v.sum()) for v in p]) @ model.weights
+    assert [model.langs[i] for i in x.argmax(axis=1)] == langs
+
+
+# --- SentencePiece ----------------------------------------------------------------------------------------------
+
+
+def test_encoding_equals_the_library(spark, sf, odd):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    docs = docs_of(spark, sf).select("doc_id", "text").unionAll(odd.select(F.col("doc_id") + 10_000, "text"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    v = pieces.load()
+    rows = pieces.encode(docs, v)
+    got = {r.doc_id: r for r in rows.collect()}
+    counts = {r.doc_id: r.n_tokens for r in pieces.token_counts(docs, v).collect()}
+    back = {r.doc_id: r.text for r in pieces.decode(rows, v).collect()}
+    for k, t in texts.items():
+        want = sp.encode(t or "")
+        assert got[k].ids == want and counts[k] == len(want), repr((t or "")[:50])
+        assert back[k] == sp.decode(want)
+        assert got[k].exact == (back[k] == (t or "")) and (got[k].exact or pieces.MARK in t)
+
+
+def test_unigram_walk_is_the_plain_viterbi():
+    toy = {"▁": -2.0, "a": -2.5, "b": -2.6, "c": -3.0, "ab": -3.1, "▁a": -3.2, "bc": -4.0, "abc": -4.1, "▁ab": -4.05, "cab": -6.0}
+    names = ("<unk>", *toy)
+    v = pieces.Vocabulary("unigram", names, (0.0, *toy.values()), (False, *[True] * len(toy)), 0, -1)
+    e = pieces.Encoder(v)
+    rng = np.random.default_rng(3)
+    words = {"▁" + "".join(rng.choice(list("abcd"), rng.integers(1, 9))) for _ in range(300)}
+
+    def plain(w):
+        best = [(0.0, ())]
+        for i in range(1, len(w) + 1):
+            options = [(best[j][0] + toy[w[j:i]], (*best[j][1], w[j:i])) for j in range(i) if w[j:i] in toy]
+            if w[i - 1] not in toy:
+                options.append((best[i - 1][0] + e.floor, (*best[i - 1][1], w[i - 1])))
+            best.append(max(options, key=lambda o: o[0]))
+        return best[-1]
+
+    for w, ids in e.walk(words):
+        score = sum(toy.get(v.pieces[i], e.floor) for i in ids)
+        joined = re.sub("d+", "d", w)
+        assert "".join("d" if i == 0 else v.pieces[i] for i in ids) == joined
+        if "dd" not in w:
+            assert abs(score - plain(w)[0]) < 1e-9
+
+
+# --- decontamination --------------------------------------------------------------------------------------------
+
+
+def plain_hits(text, items, window=10):
+    words = D.words_of(text)
+    hit, found = [False] * len(words), set()
+    for item, t in items:
+        w = D.words_of(t)
+        for i in range(max(1, len(w) - window + 1) if w else 0):
+            g = w[i : i + window]
+            for j in range(len(words) - len(g) + 1):
+                if words[j : j + len(g)] == g:
+                    hit[j : j + len(g)] = [True] * len(g)
+                    found.add(item)
+    return sum(hit), found
+
+
+def test_decontamination_blocks_and_odd_rows(spark, odd):
+    items = [(1, "one two"), (2, "Word word word word word word word word word word word"), (3, None), (10, "x"), (4, "b c d e f g h i j k l m"), (5, "é😀")]
+    extra = spark.createDataFrame([(100, "a B c-d e f g h i j k l M n"), (101, "x one, two x one two")], "doc_id long, text string")
+    docs = odd.select("doc_id", "text").unionAll(extra)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for block in (1 << 20, 30):
+        for r in D.decontaminate(docs, bench, block_bytes=block).collect():
+            n, found = plain_hits(texts[r.doc_id], items)
+            assert (r.n_hit, set(r["items"])) == (n, found), (r.doc_id, block)
+            cut = "".join(chain.from_iterable(texts[r.doc_id][s.s : s.e] for s in r.spans)) if r.spans else ""
+            assert n == 0 or len(D.words_of(" ".join(texts[r.doc_id][s.s : s.e] for s in r.spans))) == n, cut
+
+
+def test_fm_index_counts_and_locates():
+    rng = np.random.default_rng(4)
+    codes = rng.integers(0, 4, 4000).astype(np.int32)
+    items = [(i, " ".join(f"w{c}" for c in rng.integers(1, 4, n))) for i, n in enumerate([1, 2, 3, 5, 10, 12])]
+    w = D.Windows(items)
+    recode = np.array([0] + [w.codes.get(f"w{c}".encode(), 0) for c in (1, 2, 3)], np.int32)
+    seq = recode[codes]
+    at, which = D.occurrences(seq, w)
+    got = Counter(zip(at.tolist(), which.tolist(), strict=True))
+    order = sorted({tuple(w.codes[x] for x in D.words_of(t)[i : i + 10]) for _, t in items for i in range(max(1, len(D.words_of(t)) - 9))})
+    want = Counter((j, k) for k, g in enumerate(order) for j in range(len(seq) - len(g) + 1) if tuple(seq[j : j + len(g)].tolist()) == g)
+    assert set(got) == set(want)
+
+
+# --- secrets and PII --------------------------------------------------------------------------------------------
+
+
+def test_secret_ledger_is_incremental(spark):
+    a = spark.createDataFrame([("p1", "token = abcdefgh1"), ("p2", "token = abcdefgh1"), ("p3", "none")], "path string, text string")
+    first = secrets.scan(a)
+    assert first.count() == 2 * len(secrets.RULES)
+    more = a.unionAll(spark.createDataFrame([("p4", "AKIA" + "A" * 12)], "path string, text string"))
+    kept = first.localCheckpoint() if False else spark.createDataFrame(first.collect(), first.schema)
+    again = secrets.scan(more, ledger=kept)
+    assert again.count() == len(secrets.RULES)
+    newer = (*secrets.RULES[:2], secrets.Rule("hex", "2", "[0-9a-f]{8,}", 0, 8))
+    assert {r.rule for r in secrets.scan(a, newer, kept).collect()} == {"hex@2"}
+    found = {r.path: [x.kind for x in r.spans] for r in secrets.findings_by_path(more, kept.unionAll(again)).collect()}
+    assert found == {"p1": ["assign"], "p2": ["assign"], "p3": [], "p4": ["access"]}
+
+
+PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(d):
+    return sum((int(c) * 2 - 9 if int(c) > 4 else int(c) * 2) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def plain_pii(text):
+    out = []
+    for kind, p in PII.items():
+        for m in re.finditer(p, text or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            bad = {"email": False, "ip": any(int(x) > 255 for x in m[0].split(".")) if kind == "ip" else False, "card": not (13 <= len(d) <= 19 and luhn(d)), "phone": not 9 <= len(d) <= 15}[kind]
+            if not bad:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return ",".join(out)
+
+
+def test_pii_base_spans(spark, odd, table_dir):
+    tricky = ["a@b.c_d@e.f x@y", "1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.004 1.2.3.99999999999999999999", "4111 1111 1111 1111 4111-1111-1111-1111x41111111111111112", "+1 (555) 123-4567. +12 +1234567890123456", "é@a.b 😀c@d.e +49 30 1234567", "a@b..c a@-.-"]
+    docs = odd.select("doc_id", "text").unionAll(spark.createDataFrame([(100 + i, t) for i, t in enumerate(tricky)], "doc_id long, text string"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in pii.op9_pii(spark, table_dir(documents=docs)).collect():
+        want = plain_pii(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest(), (texts[r.doc_id][:60], r.spans, want)
+        assert r.spans.startswith(want)
+
+
+def test_pii_discovers_by_context(spark):
+    known = [(i, f"reach me on Phone: +1 555 010 {1000 + i} ok") for i in range(8)]
+    fresh = [(100, "reach me on phone +1 555 010 2222"), (101, "Phone: +1 555 010 99"), (102, "plain 12345678 numbers"), (103, "phone 4111111111111112 is no card")]
+    rows = {r.doc_id: r for r in pii.find(spark.createDataFrame(known + fresh, "doc_id long, text string")).collect()}
+    assert all([x.kind for x in rows[i].spans] == ["phone"] for i in range(8))
+    assert [x.kind for x in rows[102].spans] == [] and [x.kind for x in rows[103].spans] == []
+    learnt = [(i, f"badge: +1 555 010 {1000 + i}") for i in range(8)] + [(50, "badge: +1 555 010 1003"), (60, "badge: 1 555 010 1003 here")]
+    edges = pii.find(spark.createDataFrame(learnt, "doc_id long, text string"))
+    assert edges.filter("doc_id = 60").count() == 1
+    ids = [(i, f"ssn 4111 1111 1111 1111 and ssn {100000000 + i}") for i in range(3)]
+    assert pii.find(spark.createDataFrame(ids, "doc_id long, text string")).count() == 3
+
+
+def test_pattern_scores(spark):
+    edges = [("good", f"i{k}", True) for k in range(6)] + [("good", "new", False)] + [("bad", f"j{k}", False) for k in range(9)] + [("bad", "i0", True)]
+    got = {r.pattern: r for r in pii.score_patterns(spark.createDataFrame(edges, "pattern string, instance string, seed boolean")).collect()}
+    assert got["good"].confidence > 0.85 and got["bad"].confidence < 0.5 and got["good"].n_seeds == 6
+
+
+def test_redact(spark):
+    row = spark.createDataFrame([("mail é a@b.c or +1 555 010 2222 end", 1)], "text string, id int").select(pii.redact(F.col("text"), pii.base_spans(F.col("text"))).alias("t")).first()
+    assert row.t == "mail é <EMAIL> or <PHONE> end"
+
+
+# --- quality ----------------------------------------------------------------------------------------------------
+
+
+def test_quality_ledger(spark, odd):
+    rows = quality.ledger(odd)
+    assert rows.columns[0] == "doc_id" and rows.count() == len(ODD)
+    a = {(r.policy, r.rule): (r.n_rejected, r.n_only) for r in quality.ablate(rows).collect()}
+    bits = [r.failed for r in rows.collect()]
+    for policy, mask in quality.POLICIES.items():
+        for rule in quality.RULES:
+            if mask >> rule.bit & 1:
+                want = (sum(b & mask & 1 << rule.bit > 0 for b in bits), sum(b & mask == 1 << rule.bit for b in bits))
+                assert a.get((policy, rule.name), (0, 0)) == want
+
+
+# --- pipeline ---------------------------------------------------------------------------------------------------
+
+
+def test_pipeline_is_brute_force(spark, sf):
+    import corpus_pipeline as C
+    import sentencepiece
+
+    docs = {r.doc_id: r for r in docs_of(spark, sf).collect()}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    kept = {}
+    for k, r in docs.items():
+        n, chars, symbols, dup, rep, lines = quality.measure(r.text)
+        if not (n < 50 or 100 * rep > 50 * n or 2 * symbols > n or (lines > 3 and 2 * dup > lines) or not 2 * n <= chars <= 20 * n):
+            kept[k] = r.text
+    roots = plain_components({k: plain_simhash(t) for k, t in kept.items()})
+    kept = {k: t for k, t in kept.items() if roots[k] == k}
+    w = D.Windows(items)
+    out = {}
+    for k, t in kept.items():
+        part = np.fromiter((w.codes.get(x, 0) for x in D.words_of(t)), np.int32)
+        at, which = D.occurrences(part, w)
+        hit = np.zeros(len(part), bool)
+        for a, i in zip(at, which, strict=True):
+            hit[a : a + w.lengths[i]] = True
+        assert int(hit.sum()) == plain_hits(t, items)[0]
+        if hit.all():
+            continue
+        cut, end = "", 0
+        for s in D._spans(hit, t):
+            cut, end = cut + t[end : s["s"]], s["e"]
+        out[k] = cut + t[end:]
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    rows = {r.doc_id: r for r in C.run(spark, sf).collect()}
+    assert set(rows) == set(out)
+    for k, t in out.items():
+        spans = sorted((int(a), int(b), kind) for kind, a, b in (x.split(":") for x in plain_pii(t).split(",") if x))
+        clean, end = "", 0
+        for a, b, kind in spans:
+            if a < end:
+                end = max(end, b)
+                continue
+            clean, end = clean + t[end:a] + f"<{kind.upper()}>", b
+        clean += t[end:]
+        assert rows[k].text == clean and rows[k].n_chars == len(clean) and rows[k].ids == sp.encode(clean)
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd, table_dir):
+    import corpus_pipeline as C
+
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    bench = spark.createDataFrame([(1, "one two")], "item_id long, text string")
+    d = table_dir(documents=docs, benchmark=bench)
+    for name, stage in C.STAGES[:-1]:
+        assert stage(spark, docs, d).columns == docs.columns, name
+    assert C.run(spark, table_dir(documents=docs.limit(0), benchmark=bench)).count() == 0

@@ -47,3 +47,15 @@ def negative_weight(flags: Column, risk: Column, weights=V.OVERCLAIM_WEIGHTS) ->
     total = F.aggregate(F.array_distinct(flags), F.lit(0.0), lambda a, f: a + F.coalesce(F.element_at(table, f), F.lit(0.0)))
     floor = F.when(risk.isin("high", "severe", "critical"), 0.35).when(risk.isin("medium", "moderate"), 0.2).otherwise(0.0)
     return F.round(F.least(F.lit(1.0), F.greatest(total, floor)), 4)
+
+
+def research_decision(intake: Column, relation: Column, needs_read: Column, revision: Column, question: Column, trajectory: Column) -> Column:
+    """Nine ordered branches from an intake verdict and what the judgment frame warrants to a research decision."""
+    return (F.when(intake == "reject", "no_change").when(intake.isin("escalate", "request_refresh", "defer"), "request_action_or_read")
+            .when(needs_read, "request_action_or_read").when(revision, "propose_belief_revision").when(relation == "contest", "request_action_or_read")
+            .when(question, "open_question").when(trajectory, "propose_trajectory_update").otherwise("no_change"))
+
+
+def uncertainty(intake: Column, relation: Column, high: Column, abstract_only: Column, refresh: Column) -> Column:
+    return (F.when(high | (intake == "escalate") | (relation == "contest"), "high")
+            .when(abstract_only | refresh | relation.isin("underdetermined", "unclear"), "medium").otherwise("low"))

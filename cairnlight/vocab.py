@@ -115,3 +115,24 @@ def dictionary(*tiers: tuple[str, ...], weights: tuple[int, ...] = TIER_WEIGHTS)
 #: For the standard tables, whose prose is invented: rare, middling and common pieces of its English words.
 TABLE_TIERS = (("enwh", "inging", "nttion", "hati", "lyon"), ("ther", "tion", "thes"), ("that", "with", "this", "from"))
 TABLE_DICTIONARY = dictionary(*TABLE_TIERS)
+
+# --- fixed values: term lists of the relation readers and their types ---------------------------------------------
+READER_TERMS = {
+    "readout": ("assay", "biosensor", "bioelectronic", "capacitance", "diagnostic", "detection", "electrochemical", "electronic signal", "impedance", "oect", "organic electrochemical", "readout", "sensor", "sensing", "transduc", "transistor"),
+    "biology": ("activity-affinity", "activity based", "activity-based", "biological state", "bacteria", "cell state", "disease", "ev", "evs", "extracellular vesicle", "functional readout", "living", "metastatic", "metabolism", "molecular recognition", "organoid", "plasma", "serum", "untreated plasma", "whole-cell"),
+    "preservation": ("complex biological", "direct living", "directly from", "functional", "label-free", "matrix interference", "preserve", "real-time", "traceably", "untreated", "without complex purification"),
+    "mechanism": ("charge transfer", "coupling", "dispersion", "field", "mechanism", "mechanotransduction", "photochem", "photophysics", "phonon", "polariton", "reusable", "state", "topological", "transduction mechanism"),
+    "platform": ("assay", "method", "platform", "workflow", "single-cell", "screening", "microfluidic", "integration"),
+    "anchor": ("activity-affinity", "bioelectronic", "bodipy", "direct living transducer", "ev", "evs", "extracellular vesicle", "functional ev", "nanophotonic", "oect", "organoid", "organic electrochemical", "photocleavage", "photochem", "polariton", "untreated plasma"),
+    "connection": ("aligns with", "could be coupled", "could be integrated", "could inform", "directly relevant", "directly connects", "directly implementable", "extends", "future oect", "integrated into", "relevant to your", "supports"),
+    "conflict": ("contradicts the belief", "challenges the belief", "undermines the belief", "undermines the premise", "evidence against", "fails to preserve biological meaning", "fails to preserve biological context", "cannot distinguish signal from noise", "does not distinguish signal from noise"),
+    "off_topic": ("far outside", "fundamentally different", "not aligned", "orthogonal", "weak connection", "weak relevance", "no direct connection", "no direct relevance", "not directly relevant"),
+}
+INTAKE_TYPES = (
+    ("synthesis_or_review", "synthesis_prior", ("review", "perspective")),
+    ("sensing_or_diagnostic", "transduction_validity", ("sensor", "sensing", "biosensor", "detection", "diagnostic", "assay", "readout", "phenotyping")),
+    ("mechanism_paper", "mechanism_to_coupling", ("photophysics", "photochem", "polariton", "mechanism", "fundamental")),
+    ("platform_or_method", "platform_bridge", ("platform", "method", "workflow", "engineering")),
+    ("biology_mechanism", "biological_relevance", ("biological", "immune", "tissue", "disease", "cell")),
+)
+# --- end of fixed values ----------------------------------------------------------------------------------------

@@ -32,6 +32,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not given:
         given = spark.conf.get("cairnlight.shared.dir", "") or ""
         if not given:
+            master = spark.conf.get("spark.master", "local")
+            if master != "local" and not master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             given = "file://" + tempfile.mkdtemp(prefix="cairnlight-")
             spark.conf.set("cairnlight.shared.dir", given)
     return given.rstrip("/")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cairnlight.session import materialize, shared_dir  # noqa: F401  (re-exported)
 
@@ -12,6 +16,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+Part = tuple[pa.RecordBatch, pa.Array]
+
+
+def carried(docs: DataFrame, key: str | None, text: str, results: str, run: Callable[[Iterator[Part]], Iterator[tuple[pa.RecordBatch, list]]]) -> DataFrame:
+    """Rows with ``results`` (a DDL string) added, computed from whole texts in Arrow batches without moving a row.
+
+    With a ``key`` only that column is kept; with None all are, but for columns that results have the names of. Each text
+    crosses to the worker once. ``run`` takes parts (kept columns, texts) and gives (kept columns, result arrays).
+    """
+    added = StructType.fromDDL(results)
+    keep = [key] if key else [c for c in docs.columns if c not in added.names]
+    source = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).alias("_text"))
+    at = text if text in keep else "_text"
+    schema = StructType([*(source.schema[c] for c in keep), *added.fields])
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kept, arrays in run((b.select(keep), b.column(at)) for b in batches):
+            yield pa.RecordBatch.from_arrays([*kept.columns, *arrays], names=schema.names)
+
+    return source.mapInArrow(mapped, schema)
+
+
 def located(text: Column, pattern: str, group: int = 0) -> Column:
     """Every leftmost, non-overlapping match as array<struct<s, e, t>>.
 

@@ -12,22 +12,23 @@ Ids equal the library's for either kind.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlight.llm.common import table
+from cairnlight.llm.common import Part, carried, table
 
 MARK = "▁"
 #: Where the public vocabulary lies, unless a caller names another model.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bounds of what a worker keeps: words with their pieces, checked pairs of pieces, code points of text per walk.
-KEPT_WORDS, KEPT_PAIRS, WALK_CHARS = 500_000, 500_000, 4_000_000
-_UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+$")
+KEPT_WORDS, KEPT_PAIRS, WALK_CHARS = 300_000, 300_000, 2_000_000
 
 
 @dataclass(frozen=True)
@@ -95,9 +96,16 @@ class Encoder:
         self.longest = max(map(len, self.ids), default=1)
         self.floor = min(self.score.values(), default=0.0) - 10.0  # an unknown character's score, as the library has it
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.ends: dict[str, int] = {}  # for each last two characters of pieces, the longest piece that ends so
+        # by a prefix's last three characters, the lengths of pieces that end so (and two, if the last two are a piece), longest first
+        ends: dict[str, set[int]] = {}
         for p in self.ids:
-            self.ends[p[-2:]] = max(self.ends.get(p[-2:], 0), len(p))
+            if len(p) > 2:
+                ends.setdefault(p[-3:], {2} if p[-2:] in self.ids else set()).add(len(p))
+        self.ends = {k: tuple(sorted(n, reverse=True)) for k, n in ends.items()}
+        # words end before a mark, and where a letter or digit meets another sign that no piece has beside it
+        joined = "".join(sorted({a for p in self.ids for a, b in zip(p, p[1:], strict=False) if a.isalnum() and not b.isalnum()}))
+        sign, letter = rf"(?:[^\w{MARK}]|[_{joined}])", rf"[^\W_{joined}]"
+        self.units = re.compile(rf"{MARK}+{sign}*+{letter}*+|{sign}++{letter}*+|{letter}++")
         self.words: dict[str, tuple[int, ...]] = {}
         self.counts: dict[str, int] = {}
         self.raw = [bytes([i - v.bytes_from]) if v.bytes_from >= 0 and v.bytes_from <= i < v.bytes_from + 256 else (p.encode() if v.plain[i] else b"") for i, p in enumerate(v.pieces)]
@@ -126,15 +134,27 @@ class Encoder:
             out = self.pairs[key] = self.merged(left + right) == ([left, right] if left else [right])
         return out
 
-    def _extend_bpe(self, word: str, last: list[str], i: int) -> None:
-        """Append the last piece of word[:i]."""
-        most = self.ends.get(word[i - 2 : i], 1) if i > 1 else 1
-        for n in range(min(i, most), 1, -1):
-            piece = word[i - n : i]
-            if piece in self.ids and self.apart(last[i - n], piece):
-                last.append(piece)
-                return
-        last.append(word[i - 1])
+    def _extend_bpe(self, word: str, last: list[str], begin: int) -> None:
+        """Append the last pieces of word[:begin], ..., word."""
+        ids, ends, pairs, none = self.ids, self.ends, self.pairs, ()
+        for i in range(begin, len(word) + 1):
+            if i > 2:
+                lengths = ends.get(word[i - 3 : i])
+                if lengths is None:
+                    lengths = (2,) if word[i - 2 : i] in ids else none
+            else:
+                lengths = (2,) if i == 2 and word[:2] in ids else none
+            for n in lengths:
+                if n <= i:
+                    piece = word[i - n : i]
+                    if piece in ids:
+                        key = (last[i - n], piece)
+                        fits = pairs.get(key)
+                        if fits or (fits is None and self.apart(*key)):
+                            last.append(piece)
+                            break
+            else:
+                last.append(word[i - 1])
 
     def _extend_unigram(self, word: str, last: list[str], best: list[float], i: int) -> None:
         top, end = None, word[i - 1]
@@ -157,15 +177,21 @@ class Encoder:
             same, most = 0, min(len(before), len(word))
             while same < most and before[same] == word[same]:
                 same += 1
-            del last[same + 1 :], best[same + 1 :], counts[same + 1 :]
-            for i in range(same + 1, len(word) + 1):
-                if bpe:
-                    self._extend_bpe(word, last, i)
-                else:
+            del last[same + 1 :]
+            if bpe:
+                self._extend_bpe(word, last, same + 1)
+            else:
+                del best[same + 1 :]
+                for i in range(same + 1, len(word) + 1):
                     self._extend_unigram(word, last, best, i)
-                counts.append(counts[i - len(last[i])] + self._cost(last[i]))
             before = word
-            yield word, counts[-1] if count_only else self._trace(last, len(word))
+            if count_only:
+                del counts[same + 1 :]
+                for i in range(same + 1, len(word) + 1):
+                    counts.append(counts[i - len(last[i])] + self._cost(last[i]))
+                yield word, counts[-1]
+            else:
+                yield word, self._trace(last, len(word))
 
     def _trace(self, last: list[str], i: int) -> tuple[int, ...]:
         out: list[int] = []
@@ -181,6 +207,10 @@ class Encoder:
             i -= len(piece)
         return tuple(reversed(out))
 
+    def split(self, text: str | None) -> list[str]:
+        """Marked words of a text, blanks as marks: no piece of any text's encoding crosses their borders."""
+        return self.units.findall(MARK + text.replace(" ", MARK)) if text else []
+
     def of(self, texts: list[list[str]], count_only: bool = False) -> dict:
         """What each distinct word of the split texts gives; words kept from earlier batches aren't walked again."""
         kept = self.counts if count_only else self.words
@@ -209,42 +239,39 @@ def encoder_of(vocabulary: Vocabulary) -> Encoder:
     return _AT_WORK[key]
 
 
-def split(text: str | None) -> list[str]:
-    """Marked words: a run of marks and what follows up to the next mark; pieces never cross their borders."""
-    return _UNITS.findall(MARK + text.replace(" ", MARK)) if text else []
-
-
-def _groups(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list]]:
-    begin, texts, size = 0, [], 0
-    for i, text in enumerate(batch.column(1)):
-        texts.append(text.as_py())
-        size += len(texts[-1] or "")
-        if size >= WALK_CHARS or i + 1 == batch.num_rows:
-            yield batch.column(0)[begin : i + 1], texts
-            begin, texts, size = i + 1, [], 0
+def _groups(parts: Iterator[Part]) -> Iterator[tuple[pa.RecordBatch, list]]:
+    for kept, column in parts:
+        begin, texts, size, n = 0, [], 0, len(column)
+        for i, text in enumerate(column):
+            texts.append(text.as_py())
+            size += len(texts[-1] or "")
+            if size >= WALK_CHARS or i + 1 == n:
+                yield kept.slice(begin, i + 1 - begin), texts
+                begin, texts, size = i + 1, [], 0
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, ids (array<int>) and exact: decoding the ids gives the text again.
+def encode(docs: DataFrame, vocabulary: Vocabulary, key: str | None = "doc_id", text: str = "text") -> DataFrame:
+    """key (None: all columns), ids (array<int>) and exact: decoding the ids gives the text again.
 
     Null and empty texts have no ids (exact holds for both: null decodes to nothing). A text that holds the mark U+2581
     itself comes back with a blank in its place, as from the library, so it isn't exact. Repeated rows are repeated,
-    very long texts are whole, other columns are not read, an empty table gives no rows.
+    very long texts are whole, an empty table gives no rows.
     """
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    kind = rows.schema["key"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(parts: Iterator[Part]) -> Iterator[tuple[pa.RecordBatch, list]]:
         encoder = encoder_of(vocabulary)
-        for batch in batches:
-            for keys, texts in _groups(batch):
-                words = [split(t) for t in texts]
-                known = encoder.of(words)
-                ids = [list(chain.from_iterable(map(known.__getitem__, w))) for w in words]
-                exact = [encoder.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)]
-                yield pa.RecordBatch.from_arrays([keys, pa.array(ids, pa.list_(pa.int32())), pa.array(exact)], names=["key", "ids", "exact"])
+        for kept, texts in _groups(parts):
+            words = [encoder.split(t) for t in texts]
+            known = encoder.of(words)
+            values, ends, exact = array("i"), [0], []
+            for w, t in zip(words, texts, strict=True):
+                ids = list(chain.from_iterable(map(known.__getitem__, w)))
+                values.extend(ids)
+                ends.append(len(values))
+                exact.append(encoder.decode(ids) == (t or ""))
+            yield kept, [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(values, np.int32) if values else [], pa.int32())), pa.array(exact, pa.bool_())]
 
-    return rows.mapInArrow(run, f"key {kind}, ids array<int>, exact boolean").withColumnRenamed("key", key)
+    return carried(docs, key, text, "ids array<int>, exact boolean", run)
 
 
 def decode(rows: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -261,20 +288,17 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", ids: st
     return part.mapInArrow(run, f"key {kind}, text string").withColumnRenamed("key", key)
 
 
-def token_counts(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_words (marked words) and n_tokens (as many as ``encode`` gives ids); null and empty texts count 0."""
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    kind = rows.schema["key"].dataType.simpleString()
+def token_counts(docs: DataFrame, vocabulary: Vocabulary, key: str | None = "doc_id", text: str = "text") -> DataFrame:
+    """key (None: all columns), n_words (marked words) and n_tokens (as many as ``encode`` gives ids); null and empty texts count 0."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(parts: Iterator[Part]) -> Iterator[tuple[pa.RecordBatch, list]]:
         encoder = encoder_of(vocabulary)
-        for batch in batches:
-            for keys, texts in _groups(batch):
-                words = [split(t) for t in texts]
-                known = encoder.of(words, count_only=True)
-                yield pa.RecordBatch.from_arrays([keys, pa.array([len(w) for w in words], pa.int64()), pa.array([sum(map(known.__getitem__, w)) for w in words], pa.int64())], names=["key", "n_words", "n_tokens"])
+        for kept, texts in _groups(parts):
+            words = [encoder.split(t) for t in texts]
+            known = encoder.of(words, count_only=True)
+            yield kept, [pa.array([len(w) for w in words], pa.int64()), pa.array([sum(map(known.__getitem__, w)) for w in words], pa.int64())]
 
-    return rows.mapInArrow(run, f"key {kind}, n_words long, n_tokens long").withColumnRenamed("key", key)
+    return carried(docs, key, text, "n_words long, n_tokens long", run)
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:

@@ -14,10 +14,10 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlight.llm.common import table
+from cairnlight.llm.common import Part, carried, table
 
 WINDOW = 10
 #: Letters, digits and all beyond ASCII are word bytes; A-Z becomes a-z; the rest separates words.
@@ -191,24 +191,26 @@ def _occurrences(codes: np.ndarray, windows: SameLength) -> tuple[np.ndarray, np
     return where[index.locate(rows)], hit
 
 
-def _shards(batches: Iterator[pa.RecordBatch], codes: dict[bytes, int]) -> Iterator[tuple[pa.Array, list, list]]:
+def _shards(batches: Iterator[Part], codes: dict[bytes, int]) -> Iterator[tuple[pa.RecordBatch, list, list]]:
+    """Runs of documents of SHARD_WORDS words, across batches; a longer document ends its run."""
     keys, parts, texts, total = [], [], [], 0
     get = codes.get
-    for b in batches:
+    for kept, column in batches:
         begin = 0
-        for i, text in enumerate(b.column(1).to_pylist()):
+        for i, text in enumerate(column):
+            text = text.as_py()
             w = words_of(text)
             part = np.fromiter(map(get, w, repeat(0)), np.int32, len(w))
             parts.append(part)
             texts.append(text)
             total += len(part)
             if total >= SHARD_WORDS:
-                yield pa.concat_arrays([*keys, b.column(0)[begin : i + 1]]), parts, texts
+                yield pa.concat_batches([*keys, kept.slice(begin, i + 1 - begin)]), parts, texts
                 begin, keys, parts, texts, total = i + 1, [], [], [], 0
-        if begin < b.num_rows:
-            keys.append(b.column(0)[begin:])
+        if begin < kept.num_rows:
+            keys.append(kept.slice(begin))
     if keys:
-        yield pa.concat_arrays(keys), parts, texts
+        yield pa.concat_batches(keys), parts, texts
 
 
 def _hits(parts: list[np.ndarray], windows: Windows) -> tuple[np.ndarray, np.ndarray, dict[int, set[int]]]:
@@ -239,53 +241,64 @@ def _spans(hit: np.ndarray, text: str) -> list[dict]:
     return [{"s": int(points[begin[a]]), "e": int(points[end[b - 1]])} for a, b in zip(runs[::2], runs[1::2], strict=True)]
 
 
-def match(docs: DataFrame, items: list[tuple[int, str | None]], key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """key, n_words, n_hit, items (ids of items with occurring windows) and spans (merged, in code points) per row.
+RESULTS = "n_words long, n_hit long, items array<long>, spans array<struct<s:int,e:int>>"
+
+
+def match(docs: DataFrame, items: list[tuple[int, str | None]], key: str | None = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+    """key (None: all columns), n_words, n_hit, items (ids with occurring windows) and spans (merged, in code points) per row.
 
     Null and empty texts have no words; repeated rows are repeated; very long texts form a shard alone; other columns
     are not read. Items without words have no windows. The items must fit a task: see ``decontaminate`` for any number.
     """
     windows = Windows(items, window)
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    kind = rows.schema["key"].dataType.simpleString()
     spans = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, parts, texts in _shards(batches, windows.codes):
-            hit, starts, found = _hits(parts, windows) if len(windows.lengths) else (np.zeros(0, bool), np.zeros(len(keys) + 1, np.int64), {})
+    def run(batches: Iterator[Part]) -> Iterator[tuple[pa.RecordBatch, list]]:
+        for kept, parts, texts in _shards(batches, windows.codes):
+            n = len(parts)
+            hit, starts, found = _hits(parts, windows) if len(windows.lengths) else (np.zeros(0, bool), np.zeros(n + 1, np.int64), {})
             own = {d: hit[starts[d] : starts[d] + len(parts[d])] for d in found}
-            yield pa.RecordBatch.from_arrays([
-                keys, pa.array([len(p) for p in parts], pa.int64()), pa.array([int(own[d].sum()) if d in own else 0 for d in range(len(keys))], pa.int64()),
-                pa.array([sorted(found.get(d, ())) for d in range(len(keys))], pa.list_(pa.int64())), pa.array([_spans(own[d], texts[d]) if d in own else [] for d in range(len(keys))], spans),
-            ], names=["key", "n_words", "n_hit", "items", "spans"])
+            yield kept, [
+                pa.array([len(p) for p in parts], pa.int64()), pa.array([int(own[d].sum()) if d in own else 0 for d in range(n)], pa.int64()),
+                pa.array([sorted(found.get(d, ())) for d in range(n)], pa.list_(pa.int64())), pa.array([_spans(own[d], texts[d]) if d in own else [] for d in range(n)], spans),
+            ]
+
+    return carried(docs, key, text, RESULTS, run)
+
 
-    out = rows.mapInArrow(run, f"key {kind}, n_words long, n_hit long, items array<long>, spans array<struct<s:int,e:int>>")
-    return out.withColumnRenamed("key", key)
+def _merged(spans: Column) -> Column:
+    """Sorted spans with overlapping and touching ones joined."""
+    kind = "array<struct<s:int,e:int>>"
 
+    def step(acc: Column, x: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        longer = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))))
+        return F.when((F.size(acc) > 0) & (x["s"] <= last["e"]), longer).otherwise(F.concat(acc, F.array(x)))
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    return F.aggregate(F.array_sort(spans), F.array().cast(kind), step)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str | None = "doc_id", text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``match`` against a benchmark table (item_id, text) of any size.
 
-    Items are taken to the tasks only in blocks of checked size: one pass per block, chosen by a hash of the id, and
-    passes are merged per key. A benchmark under ``block_bytes`` (32 MB) takes one pass and no shuffle. Keys must be
-    unique if there is more than one pass.
+    Items are taken to the tasks only in blocks of checked size, chosen by a hash of the id; under ``block_bytes`` (32 MB)
+    there is one. Further blocks are further passes over the same rows, whose finds are merged row by row: no block moves
+    a document.
     """
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = int(size // block_bytes) + 1
-    passes = []
-    for b in range(blocks):
-        part = benchmark.select("item_id", "text").filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else benchmark.select("item_id", "text")
-        passes.append(match(docs, [(r[0], r[1]) for r in part.toLocalIterator()], key, text, window))
+    items = benchmark.select("item_id", "text")
+    taken = lambda b: [(r[0], r[1]) for r in (items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)).toLocalIterator()]
     if blocks == 1:
-        return passes[0]
-    every = passes[0]
-    for p in passes[1:]:
-        every = every.unionByName(p)
-    merged = every.groupBy(key).agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"))
-    joined = F.aggregate("all", F.array().cast("array<struct<s:int,e:int>>"), lambda acc, x: F.when((F.size(acc) > 0) & (x["s"] <= F.element_at(acc, -1)["e"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["e"]).alias("e"))))).otherwise(F.concat(acc, F.array(x))))
-    merged = merged.select(key, "n_words", "items", F.when(F.size("all") > 0, joined).otherwise(F.array().cast("array<struct<s:int,e:int>>")).alias("spans"))
-    inside = F.expr("aggregate(transform(spans, x -> size(regexp_extract_all(lower(substring(t, x.s + 1, x.e - x.s)), '[^\\\\x00-\\\\x2F\\\\x3A-\\\\x60\\\\x7B-\\\\x7F]+', 0))), 0L, (a, x) -> a + x)")
-    return merged.join(docs.select(key, F.col(text).alias("t")), key).select(key, "n_words", inside.alias("n_hit"), "items", "spans")
+        return match(docs, taken(0), key, text, window)
+    names = [key] if key else [c for c in docs.columns if c not in ("n_words", "n_hit", "items", "spans")]
+    rows = docs.select(*names, *([] if text in names else [text])).withColumns({"_items": F.array().cast("array<bigint>"), "_spans": F.array().cast("array<struct<s:int,e:int>>")})
+    for b in range(blocks):
+        found = match(rows, taken(b), None, text, window)
+        rows = found.withColumns({"_items": F.array_union("_items", "items"), "_spans": F.concat("_spans", "spans")}).drop("n_hit", "items", "spans", *(["n_words"] if b + 1 < blocks else []))
+    rows = rows.withColumn("spans", _merged(F.col("_spans")))
+    count = lambda x: F.size(F.regexp_extract_all(F.substring(F.col(text), x["s"] + 1, x["e"] - x["s"]), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))).cast("long")
+    return rows.select(*names, "n_words", F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + count(x)).alias("n_hit"), F.array_sort("_items").alias("items"), "spans")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlight.llm.common import table
+from cairnlight.llm.common import Part, carried, table
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)""", re.S)
 _INSIDE = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+""", re.S)
@@ -197,17 +197,15 @@ def extract(page: str | None) -> str:
     return " ".join(t for node, t in blocks if inside(node))
 
 
-def extract_pages(pages: DataFrame, key: str = "page_id", source: str = "html") -> DataFrame:
-    """key, text and n_chars (code points) per page; whole pages of any length, null pages give empty texts."""
-    rows = pages.select(F.col(key).alias("key"), F.col(source).alias("html"))
-    kind = rows.schema["key"].dataType.simpleString()
+def extract_pages(pages: DataFrame, key: str | None = "page_id", source: str = "html") -> DataFrame:
+    """key (None: all columns), text and n_chars (code points) per page; whole pages of any length, null ones give empty texts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [extract(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["key", "text", "n_chars"])
+    def run(parts: Iterator[Part]) -> Iterator[tuple[pa.RecordBatch, list]]:
+        for kept, column in parts:
+            texts = [extract(t.as_py()) for t in column]
+            yield kept, [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
 
-    return rows.mapInArrow(run, f"key {kind}, text string, n_chars long").withColumnRenamed("key", key)
+    return carried(pages, key, source, "text string, n_chars long", run)
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

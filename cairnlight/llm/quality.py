@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlight.llm.common import table
+from cairnlight.llm.common import Part, carried, table
 
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = b"#*$%&|<>"
@@ -71,27 +71,24 @@ def measure(text: str | None) -> tuple[int, int, int, int, int, int]:
     return n, word_chars, symbols, len(lines) - len(set(lines)), repeated, len(lines)
 
 
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.int64()] * 6
-    for b in batches:
-        rows = [measure(t.as_py()) for t in b.column(1)]
+def _measured(parts: Iterator[Part]) -> Iterator[tuple[pa.RecordBatch, list]]:
+    for kept, texts in parts:
+        rows = [measure(t.as_py()) for t in texts]
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["key", *(m.split()[0] for m in MEASURES.split(", "))])
+        yield kept, [pa.array(c, pa.int64()) for c in cols]
 
 
-def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text", rules=RULES) -> DataFrame:
-    """One row per input row: key, measurements and ``failed`` (long; bit i is set if rule i fails).
+def ledger(docs: DataFrame, key: str | None = "doc_id", text: str = "text", rules=RULES) -> DataFrame:
+    """One row per input row: key (None: all columns), measurements and ``failed`` (long; bit i is set if rule i fails).
 
     Repeated keys give repeated rows; null, empty and very long texts are measured like others; an empty table gives an
-    empty ledger; no column of the input but key and text is read or returned.
+    empty ledger; with a key, no other column of the input but the text is read or returned.
     """
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    kind = rows.schema["key"].dataType.simpleString()
-    out = rows.mapInArrow(_measured, f"key {kind}, {MEASURES}")
+    out = carried(docs, key, text, MEASURES, _measured)
     bits: Column = F.lit(0).cast("long")
     for r in rules:
         bits = bits.bitwiseOR(F.when(F.expr(r.test), F.lit(1 << r.bit)).otherwise(F.lit(0)).cast("long"))
-    return out.withColumn("failed", bits).withColumnRenamed("key", key)
+    return out.withColumn("failed", bits)
 
 
 def decide(rows: DataFrame, policy: str = "v2", policies=POLICIES) -> DataFrame:

@@ -29,7 +29,7 @@ class QualityRule:
 RULES = (
     QualityRule(0, "too_few_words", "n_words < 50"),
     QualityRule(1, "repeated_windows", "100 * n_repeat_words > 50 * n_words"),
-    QualityRule(2, "symbol_heavy", "2 * n_symbols > n_words"),
+    QualityRule(2, "symbol_heavy", "4 * n_symbols > n_words"),
     QualityRule(3, "duplicate_lines", "n_lines > 3 AND 2 * n_dup_lines > n_lines"),
     QualityRule(4, "word_length", "n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words)"),
 )
@@ -129,7 +129,7 @@ m AS (SELECT doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, la
   FROM docs JOIN w USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN ln USING (doc_id)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR 2 * n_symbols > n_words OR (n_lines > 3 AND 2 * n_dup_lines > n_lines)
+  NOT (base_failed OR 4 * n_symbols > n_words OR (n_lines > 3 AND 2 * n_dup_lines > n_lines)
     OR (n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words))) AS kept
 FROM b
 """

@@ -417,7 +417,7 @@ def test_pipeline_is_brute_force(spark, sf):
     kept = {}
     for k, r in docs.items():
         n, chars, symbols, dup, rep, lines = quality.measure(r.text)
-        if not (n < 50 or 100 * rep > 50 * n or 2 * symbols > n or (lines > 3 and 2 * dup > lines) or not 2 * n <= chars <= 20 * n):
+        if not (n < 50 or 100 * rep > 50 * n or 4 * symbols > n or (lines > 3 and 2 * dup > lines) or not 2 * n <= chars <= 20 * n):
             kept[k] = r.text
     roots = plain_components({k: plain_simhash(t) for k, t in kept.items()})
     kept = {k: t for k, t in kept.items() if roots[k] == k}

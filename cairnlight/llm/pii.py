@@ -58,11 +58,15 @@ def _shape(t: Column) -> Column:
     return F.concat(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "[0-9]", "9"), "[A-Z]", "A"), r"\s+", " "))
 
 
+def candidates(text: Column) -> Column:
+    """Occurrences of an identifier after a word, as array<struct<s, e, w, t>>."""
+    return F.zip_with(located(text, CONTEXT, 1), located(text, CONTEXT, 2), lambda a, b: F.struct((b["e"] - F.length(b["t"])).cast("int").alias("s"), b["e"].alias("e"), F.lower(F.regexp_replace(a["t"], r"[^\p{L}\p{N}]", "")).alias("w"), b["t"].alias("t")))
+
+
 def features(docs: DataFrame) -> DataFrame:
-    """id, base spans, and contextual candidates (occurrences of an identifier after a word), without the text."""
+    """id, base spans, and contextual candidates that weren't refused, without the text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    cands = F.zip_with(located(text, CONTEXT, 1), located(text, CONTEXT, 2), lambda a, b: F.struct((b["e"] - F.length(b["t"])).cast("int").alias("s"), b["e"].alias("e"), F.lower(F.regexp_replace(a["t"], r"[^\p{L}\p{N}]", "")).alias("w"), b["t"].alias("t")))
-    rows = docs.select("id", base_spans(text).alias("base"), cands.alias("cands"))
+    rows = docs.select("id", base_spans(text).alias("base"), candidates(text).alias("cands"))
     known = F.transform("cands", lambda c: F.struct(
         c["s"].alias("s"), c["e"].alias("e"), F.concat_ws("|", c["w"], _shape(c["t"])).alias("pattern"), F.sha2(_digits(c["t"]), 256).alias("instance"), c["t"].alias("t"),
         F.exists("base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])).alias("seed")))
@@ -91,6 +95,14 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return out
 
 
+def _discover(rows: DataFrame, rounds: int) -> DataFrame:
+    """id and ``more`` (discovered spans) of the rows that have any."""
+    seen = rows.select("id", F.explode("cands").alias("c")).select("id", "c.*")
+    edges = materialize(seen.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-edges")
+    good = score_patterns(edges, rounds).filter((F.col("confidence") >= MIN_CONFIDENCE) & (F.col("n_seeds") >= MIN_SEEDS)).select("pattern")
+    return seen.filter(~F.col("seed")).join(good, "pattern", "left_semi").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("s", F.lit(4).alias("k"), "e", F.lit("ctx").alias("kind"), "t"))).cast(SPAN).alias("more"))
+
+
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """key, ``base`` and ``spans`` (base spans and then discovered ``ctx`` spans).
 
@@ -98,12 +110,26 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int =
     Texts are read once: what later steps need goes to the shared folder, without texts.
     """
     rows = materialize(features(docs.select(F.col(key).alias("id"), F.col(text).alias("text"))), "pii-features")
-    seen = rows.select("id", F.explode("cands").alias("c")).select("id", "c.*")
-    edges = materialize(seen.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-edges")
-    good = score_patterns(edges, rounds).filter((F.col("confidence") >= MIN_CONFIDENCE) & (F.col("n_seeds") >= MIN_SEEDS)).select("pattern")
-    fresh = seen.filter(~F.col("seed")).join(good, "pattern", "left_semi").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("s", F.lit(4).alias("k"), "e", F.lit("ctx").alias("kind"), "t"))).cast(SPAN).alias("more"))
     spans = F.concat("base", F.coalesce(F.col("more"), F.array().cast(SPAN)))
-    return rows.join(fresh, "id", "left").select(F.col("id").alias(key), "base", spans.alias("spans"))
+    return rows.join(_discover(rows, rounds), "id", "left").select(F.col("id").alias(key), "base", spans.alias("spans"))
+
+
+def redact_all(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+    """``docs`` with every span of ``find`` replaced in its texts; columns and rows as given. Keys must be unique.
+
+    A text without a candidate outside its base spans can't gain a span by context, so its base spans are replaced where
+    it stands; only texts with such a candidate move, to meet what was discovered in them. The join is a merge join at
+    every size, since what is discovered grows with the corpus.
+    """
+    rows = materialize(features(docs.select(F.col(key).alias("id"), F.col(text).alias("text"))), "pii-features")
+    more = materialize(_discover(rows, rounds), "pii-more")
+    base, body = base_spans(F.col(text)), F.coalesce(F.col(text), F.lit(""))
+    staged = docs.withColumn("_base", base)
+    open_ = F.exists(candidates(body), lambda c: ~F.exists("_base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
+    still = staged.filter(~open_).withColumn(text, redact(F.col(text), F.col("_base")))
+    moved = staged.filter(open_).join(more.withColumnRenamed("id", "_id").hint("merge"), F.col(key) == F.col("_id"), "left")
+    moved = moved.withColumn(text, redact(F.col(text), F.concat("_base", F.coalesce(F.col("more"), F.array().cast(SPAN)))))
+    return still.select(docs.columns).unionByName(moved.select(docs.columns))
 
 
 def redact(text: Column, spans: Column) -> Column:

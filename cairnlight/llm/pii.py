@@ -1,8 +1,10 @@
 """Personal data by bootstrapped contextual extraction (DataFrame operations only).
 
-Seeds are the entities of four fixed patterns. Their left contexts become lexical patterns (the word before, and the
-shape of the identifier); a bipartite graph of patterns and instances is scored in rounds, and occurrences of
-high-confidence patterns that no fixed pattern covers become ``ctx`` spans.
+Seeds are the entities of four fixed patterns. The words before them become lexical patterns; a bipartite graph of
+patterns and the identifiers that follow them anywhere is scored in rounds, and identifiers after high-confidence patterns
+that no fixed pattern covers, of whatever shape, become ``ctx`` spans. What a fixed pattern examined and refused (a number
+as long as a card's without its check digit, four dotted numbers that are no address) is never found so, and speaks
+against its pattern.
 """
 
 from __future__ import annotations
@@ -54,29 +56,24 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def _shape(t: Column) -> Column:
-    return F.concat(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "[0-9]", "9"), "[A-Z]", "A"), r"\s+", " "))
-
-
 def candidates(text: Column) -> Column:
     """Occurrences of an identifier after a word, as array<struct<s, e, w, t>>."""
     return F.zip_with(located(text, CONTEXT, 1), located(text, CONTEXT, 2), lambda a, b: F.struct((b["e"] - F.length(b["t"])).cast("int").alias("s"), b["e"].alias("e"), F.lower(F.regexp_replace(a["t"], r"[^\p{L}\p{N}]", "")).alias("w"), b["t"].alias("t")))
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """id, base spans, and contextual candidates that weren't refused, without the text."""
+    """id, base spans and contextual candidates, without the text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("id", base_spans(text).alias("base"), candidates(text).alias("cands"))
     known = F.transform("cands", lambda c: F.struct(
-        c["s"].alias("s"), c["e"].alias("e"), F.concat_ws("|", c["w"], _shape(c["t"])).alias("pattern"), F.sha2(_digits(c["t"]), 256).alias("instance"), c["t"].alias("t"),
-        F.exists("base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])).alias("seed")))
-    # what a fixed pattern examined and refused (a number as long as a card's without its check digit) is evidence against, not a find
-    refused = lambda c: ~c["seed"] & F.length(_digits(c["t"])).between(13, 19)
-    return rows.select("id", "base", known.alias("cands")).select("id", "base", F.filter("cands", lambda c: ~refused(c)).alias("cands"))
+        c["s"].alias("s"), c["e"].alias("e"), c["w"].alias("pattern"), F.sha2(_digits(c["t"]), 256).alias("instance"), c["t"].alias("t"),
+        F.exists("base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])).alias("seed"),
+        (F.length(_digits(c["t"])).between(13, 19) | c["t"].rlike(r"^[0-9]+(?:\.[0-9]+){3}$")).alias("refused")))
+    return rows.select("id", "base", F.filter(known, lambda c: c["pattern"] != "").alias("cands"))
 
 
 def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Scores of the bipartite graph. ``edges``: distinct (pattern, instance, seed).
+    """Scores of the bipartite graph. ``edges``: distinct (pattern, instance, seed, refused); refused ones stay at 0.
 
     An instance starts at 1 if it was ever a seed, else 0. A pattern's confidence is the mean score of its distinct
     instances; an instance's next score is one minus the product of its patterns' doubts. Returns pattern, confidence,
@@ -90,17 +87,18 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         out = materialize(out, f"pii-patterns-{r}")
         if r + 1 < rounds:
             doubt = F.when(F.col("n_seeds") >= MIN_SEEDS, 1 - F.col("confidence")).otherwise(F.lit(1.0))
-            back = edges.join(out, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log(F.greatest(doubt, F.lit(1e-9)))))).alias("found"), F.max(F.col("seed").cast("double")).alias("seed_score"))
-            state = materialize(back.select("instance", F.greatest("found", "seed_score").alias("score")), f"pii-instances-{r}")
+            back = edges.join(out, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log(F.greatest(doubt, F.lit(1e-9)))))).alias("found"), F.max(F.col("seed").cast("double")).alias("seed_score"), F.bool_or("refused").alias("refused"))
+            score = F.when(F.col("refused"), F.col("seed_score")).otherwise(F.greatest("found", "seed_score"))
+            state = materialize(back.select("instance", score.alias("score")), f"pii-instances-{r}")
     return out
 
 
 def _discover(rows: DataFrame, rounds: int) -> DataFrame:
     """id and ``more`` (discovered spans) of the rows that have any."""
     seen = rows.select("id", F.explode("cands").alias("c")).select("id", "c.*")
-    edges = materialize(seen.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-edges")
+    edges = materialize(seen.groupBy("pattern", "instance").agg(F.bool_or("seed").alias("seed"), F.bool_or("refused").alias("refused")), "pii-edges")
     good = score_patterns(edges, rounds).filter((F.col("confidence") >= MIN_CONFIDENCE) & (F.col("n_seeds") >= MIN_SEEDS)).select("pattern")
-    return seen.filter(~F.col("seed")).join(good, "pattern", "left_semi").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("s", F.lit(4).alias("k"), "e", F.lit("ctx").alias("kind"), "t"))).cast(SPAN).alias("more"))
+    return seen.filter(~F.col("seed") & ~F.col("refused")).join(good, "pattern", "left_semi").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("s", F.lit(4).alias("k"), "e", F.lit("ctx").alias("kind"), "t"))).cast(SPAN).alias("more"))
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:

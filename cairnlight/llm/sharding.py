@@ -85,11 +85,10 @@ def assign(nodes: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Data
     more than a shard's rows is spread. An empty table gives no rows.
     """
     nodes = nodes.select("id", "g")
-    sizes = nodes.groupBy("g").agg(F.count("*").alias("n"))
     # Members by group and first shard; a hot group is reduced to at most one row per task and shard before it moves.
     first = nodes.groupBy("g", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")).agg(F.count("*").alias("c"))
     groups = first.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("shard", "c"))).cast(CELLS).alias("cells"), F.sum("c").alias("n"))
-    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    total = nodes.count()
     capacity = [total // shards + (j < total % shards) for j in range(shards)]
     linked = materialize(groups.filter("n > 1").select("g", "cells"), "shard-groups")
     linked = propagate(linked, capacity, rounds)

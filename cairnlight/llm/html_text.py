@@ -2,8 +2,9 @@
 
 Each text node belongs to the path of block tags from the root to its leaf. Per path, text length and punctuation per
 node are aggregated; both series are smoothed over neighbouring nodes in page order and fused into one score by their
-product; paths whose score reaches the threshold hold content. The content element is the deepest one that holds nearly
-all text of those paths; it gives the article, less its own boilerplate.
+product; paths whose score reaches the threshold hold content. The deepest element that holds nearly all text of those
+paths lies in the article. Where an ``article`` or ``main`` is around it, the outermost of these is the article; else it is
+the smallest element with all content, and the headings, paragraphs and lists beside it. Its own boilerplate is left out.
 """
 
 from __future__ import annotations
@@ -34,16 +35,22 @@ OUTSIDE = frozenset("head nav footer aside form button select option dialog menu
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
 OUTSIDE_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|sponsor|sponsored|promo|promoted|promotion|banner|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|side|aside|widget|footer|foot|masthead|site-header|page-header|topbar|toolbar|comment|comments|disqus|replies|reply|respond|discussion|cookie|cookies|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|search|share|sharing|social|related|recommended|recommendations|outbrain|taboola|pagination|pager|tags|hidden|copyright|legal|disclaimer)(?:$|[\s_-])", re.I)
+#: End tags of raw elements, found in the page itself: lower() may change its length.
+_RAW_END = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW}
+#: What can stand beside the content element and be the article's; before it, a title or lead.
+BESIDE = frozenset("h1 h2 h3 h4 h5 h6 hgroup p ul ol dl table blockquote pre figure div section".split())
+LEAD = frozenset("h1 h2 h3 h4 h5 h6 hgroup p".split())
 #: Half-width of the smoothing window; the threshold in mean scores; the share of selected text that the content element holds.
 SMOOTH, THRESHOLD, HELD = 2, 0.5, 0.85
 
 
 class _Node:
-    __slots__ = ("chars", "children", "name", "out", "own", "parent", "path")
+    __slots__ = ("chars", "children", "linked", "name", "out", "own", "parent", "path", "size")
 
     def __init__(self, name: str, parent: _Node | None, out: bool, path: str) -> None:
         self.name, self.parent, self.out, self.path = name, parent, out, path
         self.chars = self.own = 0  # of chosen text: in all and not in a child
+        self.size = self.linked = 0  # of all text, and of that in links
         self.children: list[_Node] = []
 
 
@@ -67,25 +74,39 @@ def _within(node: _Node | None, names: tuple[str, ...]) -> bool:
     return False
 
 
+def _ancestors(node: _Node | None) -> Iterator[_Node]:
+    """The node and what is around it."""
+    while node is not None:
+        yield node
+        node = node.parent
+
+
 def _blocks(page: str) -> tuple[_Node, list[tuple[_Node, str]]]:
     """The element tree without inline elements, and the page's blocks of text with their elements, in page order."""
     root = _Node("", None, False, "")
     node, blocks, run = root, [], []
     inline: list[bool] = []  # of open inline elements, those that are outside the article
-    at, n, lower = 0, len(page), None
+    anchors: list[bool] = []  # of open inline elements, those that are links
+    at, n, linked = 0, len(page), 0
 
     def flush() -> None:
+        nonlocal linked
         if run:
             text = _SPACE.sub(" ", html.unescape("".join(run))).strip()
             run.clear()
             if text:
                 blocks.append((node, text))
+                node.size += len(text)
+                node.linked += min(linked, len(text))
+            linked = 0
 
     while at < n:
         m = _TOKEN.search(page, at)
         text = page[at : m.start()] if m else page[at:]
         if text and not any(inline):
             run.append(text)
+            if any(anchors):
+                linked += len(text)
         if not m:
             break
         at = m.end()
@@ -102,8 +123,10 @@ def _blocks(page: str) -> tuple[_Node, list[tuple[_Node, str]]]:
             if close:
                 if inline:
                     inline.pop()
+                    anchors.pop()
             elif not empty:
                 inline.append(_outside(name, attributes, node))
+                anchors.append(name == "a")
             continue
         if name == "br":
             run.append(" ")
@@ -116,15 +139,16 @@ def _blocks(page: str) -> tuple[_Node, list[tuple[_Node, str]]]:
                 flush()
                 node = up.parent
                 inline.clear()
+                anchors.clear()
             continue
         if name in RAW:
             if not empty:
-                lower = lower if lower is not None else page.lower()
-                end = lower.find(f"</{name}", at)
-                at = n if end < 0 else (page.find(">", end) + 1 or n)
+                closing = _RAW_END[name].search(page, at)
+                at = n if closing is None else (page.find(">", closing.start()) + 1 or n)
             continue
         flush()
         inline.clear()
+        anchors.clear()
         if name in CLOSES_P:
             up = node
             while up is not None and up.name not in ("p", "div", "article", "section", "td", "li", "body"):
@@ -189,12 +213,45 @@ def extract(page: str | None) -> str:
             break
         top = best
 
-    def inside(node: _Node | None) -> bool:
-        while node is not None and node is not top:
-            node = node.parent
-        return node is top
+    kept, direct = _article(top, total)
+    return " ".join(t for node, t in blocks if node in direct or any(x in kept for x in _ancestors(node)))
+
+
+def _article(top: _Node, total: float) -> tuple[set[_Node], set[_Node]]:
+    """The elements that are the article with all they hold, and those of which only the text outside children is.
+
+    ``top`` holds nearly all chosen text.
+    """
+    around = [x for x in _ancestors(top) if x.name in ("article", "main")]
+    if around:
+        return {around[-1]}, set()
+    region = next((x for x in _ancestors(top) if x.chars >= total and x.name not in ("", "html", "body")), top)
+    kept, direct = {region}, set()
+    for child, parent in zip(_ancestors(region), _ancestors(region.parent), strict=False):
+        if child.name in ("td", "th") or parent.name in ("", "html"):
+            break
+        before = True
+        for x in parent.children:
+            before = before and x is not child
+            if x is child or x.out:
+                continue
+            whole = parent.name != "body" and x.name in BESIDE and not _links(x)
+            if whole or x.chars or (before and x.name in LEAD and not _links(x)):
+                kept.add(x)
+        if parent.own or parent.name != "body":
+            direct.add(parent)
+    return kept, direct
+
 
-    return " ".join(t for node, t in blocks if inside(node))
+def _links(node: _Node) -> bool:
+    """Whether links hold half of an element's text or more."""
+    size = linked = 0
+    nodes = [node]
+    while nodes:
+        x = nodes.pop()
+        size, linked = size + x.size, linked + x.linked
+        nodes += x.children
+    return 2 * linked >= size
 
 
 def extract_pages(pages: DataFrame, key: str | None = "page_id", source: str = "html") -> DataFrame:

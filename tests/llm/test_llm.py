@@ -206,6 +206,21 @@ def test_html_other_layouts():
         html_text.extract(page)
 
 
+def test_html_keeps_what_is_beside_the_body():
+    body = "".join(f"<p>Paragraph {i} of the story, long enough to count, with marks; and so on until it ends here.</p>" for i in range(12))
+    lead, items = "<h1>Title</h1><p>A lead, brief.</p>", "<ul><li>one<li>two</ul>"
+    around = "<html><body><div class='menu'>Menu</div><div><a href=a>Links</a> <a href=b>away</a></div>%s<footer>Foot</footer></body>"
+    for page in (
+        f"<article>{lead}<div class=body>{body}</div><div>{items}</div></article>", f"<main>{lead}<section>{body}</section>{items}</main>",
+        f"<main>{lead}<article>{body}</article>{items}</main>", f"<div>{lead}<div>{body}</div><div>{items}</div></div>",
+    ):
+        got = html_text.extract(around % page)
+        assert got.startswith("Title A lead, brief. Paragraph 0") and got.endswith("ends here. one two"), got
+    assert html_text.extract(around % f"{lead}<div>{body}</div>").startswith("Title A lead, brief. Paragraph 0")
+    got = html_text.extract(f"<article><p>\u0130\u0130\u0130\u0130\u0130\u0130\u0130\u0130\u0130\u0130</p><SCRIPT>x()</SCRIPT>{body}</article>")  # letters that lower() makes longer
+    assert "x()" not in got and "Paragraph 0 of" in got
+
+
 # --- language ---------------------------------------------------------------------------------------------------
 
 

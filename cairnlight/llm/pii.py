@@ -61,15 +61,20 @@ def candidates(text: Column) -> Column:
     return F.zip_with(located(text, CONTEXT, 1), located(text, CONTEXT, 2), lambda a, b: F.struct((b["e"] - F.length(b["t"])).cast("int").alias("s"), b["e"].alias("e"), F.lower(F.regexp_replace(a["t"], r"[^\p{L}\p{N}]", "")).alias("w"), b["t"].alias("t")))
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """id, base spans and contextual candidates, without the text."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("id", base_spans(text).alias("base"), candidates(text).alias("cands"))
-    known = F.transform("cands", lambda c: F.struct(
+def known(cands: Column, base: Column) -> Column:
+    """Candidates with their pattern, instance, and whether a base span covers them or a fixed pattern refused them."""
+    marked = F.transform(cands, lambda c: F.struct(
         c["s"].alias("s"), c["e"].alias("e"), c["w"].alias("pattern"), F.sha2(_digits(c["t"]), 256).alias("instance"), c["t"].alias("t"),
-        F.exists("base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])).alias("seed"),
+        F.exists(base, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])).alias("seed"),
         (F.length(_digits(c["t"])).between(13, 19) | c["t"].rlike(r"^[0-9]+(?:\.[0-9]+){3}$")).alias("refused")))
-    return rows.select("id", "base", F.filter(known, lambda c: c["pattern"] != "").alias("cands"))
+    return F.filter(marked, lambda c: c["pattern"] != "")
+
+
+def features(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with a number of its own per row (_row), base spans (_base) and contextual candidates (_cands)."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select("*", F.monotonically_increasing_id().alias("_row"), base_spans(body).alias("_base"), candidates(body).alias("_cands"))
+    return rows.withColumn("_cands", known(F.col("_cands"), F.col("_base")))
 
 
 def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -94,39 +99,37 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def _discover(rows: DataFrame, rounds: int) -> DataFrame:
-    """id and ``more`` (discovered spans) of the rows that have any."""
-    seen = rows.select("id", F.explode("cands").alias("c")).select("id", "c.*")
+    """_row and ``_more`` (discovered spans) of the rows of ``features`` that have any."""
+    seen = rows.select("_row", F.explode("_cands").alias("c")).select("_row", "c.*")
     edges = materialize(seen.groupBy("pattern", "instance").agg(F.bool_or("seed").alias("seed"), F.bool_or("refused").alias("refused")), "pii-edges")
     good = score_patterns(edges, rounds).filter((F.col("confidence") >= MIN_CONFIDENCE) & (F.col("n_seeds") >= MIN_SEEDS)).select("pattern")
-    return seen.filter(~F.col("seed") & ~F.col("refused")).join(good, "pattern", "left_semi").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("s", F.lit(4).alias("k"), "e", F.lit("ctx").alias("kind"), "t"))).cast(SPAN).alias("more"))
+    return seen.filter(~F.col("seed") & ~F.col("refused")).join(good, "pattern", "left_semi").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("s", F.lit(4).alias("k"), "e", F.lit("ctx").alias("kind"), "t"))).cast(SPAN).alias("_more"))
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """key, ``base`` and ``spans`` (base spans and then discovered ``ctx`` spans).
 
-    Keys must be unique; null and empty texts have no spans; an empty table gives no rows; other columns are not read.
-    Texts are read once: what later steps need goes to the shared folder, without texts.
+    Keys may be null or repeated; null and empty texts have no spans; an empty table gives no rows; other columns are not
+    read. Texts are read once: what later steps need goes to the shared folder, without texts.
     """
-    rows = materialize(features(docs.select(F.col(key).alias("id"), F.col(text).alias("text"))), "pii-features")
-    spans = F.concat("base", F.coalesce(F.col("more"), F.array().cast(SPAN)))
-    return rows.join(_discover(rows, rounds), "id", "left").select(F.col("id").alias(key), "base", spans.alias("spans"))
+    rows = materialize(features(docs.select(F.col(key).alias("_key"), F.col(text).alias("text"))).drop("text"), "pii-features")
+    spans = F.concat("_base", F.coalesce(F.col("_more"), F.array().cast(SPAN)))
+    return rows.join(_discover(rows, rounds), "_row", "left").select(F.col("_key").alias(key), F.col("_base").alias("base"), spans.alias("spans"))
 
 
-def redact_all(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """``docs`` with every span of ``find`` replaced in its texts; columns and rows as given. Keys must be unique.
+def redact_all(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+    """``docs`` with every span of ``find`` replaced in its texts; columns and rows as given.
 
-    A text without a candidate outside its base spans can't gain a span by context, so its base spans are replaced where
-    it stands; only texts with such a candidate move, to meet what was discovered in them. The join is a merge join at
-    every size, since what is discovered grows with the corpus.
+    A text without a candidate that context could make a span has its base spans replaced where it stands; only texts
+    with such a candidate move, to meet what was discovered in them. The join is a merge join at every size, since what is
+    discovered grows with the corpus.
     """
-    rows = materialize(features(docs.select(F.col(key).alias("id"), F.col(text).alias("text"))), "pii-features")
-    more = materialize(_discover(rows, rounds), "pii-more")
-    base, body = base_spans(F.col(text)), F.coalesce(F.col(text), F.lit(""))
-    staged = docs.withColumn("_base", base)
-    open_ = F.exists(candidates(body), lambda c: ~F.exists("_base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
+    staged = materialize(features(docs, text), "pii-features")
+    more = materialize(_discover(staged, rounds), "pii-more")
+    open_ = F.exists("_cands", lambda c: ~c["seed"] & ~c["refused"])
     still = staged.filter(~open_).withColumn(text, redact(F.col(text), F.col("_base")))
-    moved = staged.filter(open_).join(more.withColumnRenamed("id", "_id").hint("merge"), F.col(key) == F.col("_id"), "left")
-    moved = moved.withColumn(text, redact(F.col(text), F.concat("_base", F.coalesce(F.col("more"), F.array().cast(SPAN)))))
+    moved = staged.filter(open_).drop("_cands").join(more.hint("merge"), "_row", "left")
+    moved = moved.withColumn(text, redact(F.col(text), F.concat("_base", F.coalesce(F.col("_more"), F.array().cast(SPAN)))))
     return still.select(docs.columns).unionByName(moved.select(docs.columns))
 
 

@@ -79,14 +79,16 @@ def propagate(groups: DataFrame, capacity: list[int], rounds: int = ROUNDS) -> D
 
 
 def assign(nodes: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """Shards with counts at most one apart. ``nodes``: id (unique), g (group). Returns id, shard (int), slot (long).
+    """Shards with counts at most one apart. ``nodes``: id (unique, not null), g (group). Returns id, shard (int), slot (long).
 
+    An optional column ``by`` (long) is hashed and ordered by in place of id: places then don't depend on ids that are
+    made up.
     Slots number a shard's rows from 0 without gaps. Rows of one group share a shard as far as quotas allow; a group of
     more than a shard's rows is spread. An empty table gives no rows.
     """
-    nodes = nodes.select("id", "g")
+    nodes = nodes.select("id", "g", F.col("by" if "by" in nodes.columns else "id").alias("by"))
     # Members by group and first shard; a hot group is reduced to at most one row per task and shard before it moves.
-    first = nodes.groupBy("g", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")).agg(F.count("*").alias("c"))
+    first = nodes.groupBy("g", F.pmod(F.xxhash64("by"), F.lit(shards)).cast("int").alias("shard")).agg(F.count("*").alias("c"))
     groups = first.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("shard", "c"))).cast(CELLS).alias("cells"), F.sum("c").alias("n"))
     total = nodes.count()
     capacity = [total // shards + (j < total % shards) for j in range(shards)]
@@ -100,37 +102,39 @@ def assign(nodes: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Data
     held = _loads(plan, shards)
 
     # members of linked groups take their group's cells in order of rank
-    members = nodes.join(plan.select("g"), "g", "left_semi").withColumn("salt", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(SALTS)))
+    members = nodes.join(plan.select("g"), "g", "left_semi").withColumn("salt", F.pmod(F.xxhash64("by", F.lit(7)), F.lit(SALTS)))
     salted = members.groupBy("g", "salt").agg(F.count("*").alias("n"))
     salted = salted.withColumn("from", F.coalesce(F.sum("n").over(W.partitionBy("g").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n").join(plan, "g")
-    ranked = members.withColumn("r", F.row_number().over(W.partitionBy("g", "salt").orderBy("id")) - 1).join(salted, ["g", "salt"]).withColumn("r", F.col("r") + F.col("from"))
+    ranked = members.withColumn("r", F.row_number().over(W.partitionBy("g", "salt").orderBy("by", "id")) - 1).join(salted, ["g", "salt"]).withColumn("r", F.col("r") + F.col("from"))
     start = F.struct(F.col("r").alias("left"), F.lit(None).cast("int").alias("shard"), F.lit(None).cast("long").alias("slot"))
 
     def pick(acc: Column, x: Column) -> Column:
         here = acc["shard"].isNull() & (acc["left"] < x["c"])
         return F.struct((acc["left"] - x["c"]).alias("left"), F.when(here, x["shard"]).otherwise(acc["shard"]).alias("shard"), F.when(here, x["at"] + acc["left"]).otherwise(acc["slot"]).alias("slot"))
 
-    taken = materialize(ranked.select("id", F.aggregate("cells", start, pick).alias("p")).select("id", "p.shard", "p.slot"), "shard-linked")
+    taken = materialize(ranked.select("id", "by", F.aggregate("cells", start, pick).alias("p")).select("id", "by", "p.shard", "p.slot"), "shard-linked")
 
     # the rest fills what is left, by rank over the whole pool
-    singles = nodes.join(plan.select("g"), "g", "left_anti").select("id")
-    pool = singles.unionAll(taken.filter("shard IS NULL").select("id")).withColumn("h", F.pmod(F.xxhash64("id", F.lit(11)), F.lit(CLASSES)))
+    singles = nodes.join(plan.select("g"), "g", "left_anti").select("id", "by")
+    pool = singles.unionAll(taken.filter("shard IS NULL").select("id", "by")).withColumn("h", F.pmod(F.xxhash64("by", F.lit(11)), F.lit(CLASSES)))
     starts = pool.groupBy("h").agg(F.count("*").alias("n")).withColumn("from", F.coalesce(F.sum("n").over(W.orderBy("h").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
     room = [c - x for c, x in zip(capacity, held, strict=True)]
     ends = [functools.reduce(operator.add, room[: j + 1]) for j in range(shards)]
-    rank = pool.withColumn("r", F.row_number().over(W.partitionBy("h").orderBy("id")) - 1).join(starts, "h").select("id", (F.col("r") + F.col("from")).alias("r"))
+    rank = pool.withColumn("r", F.row_number().over(W.partitionBy("h").orderBy("by", "id")) - 1).join(starts, "h").select("id", (F.col("r") + F.col("from")).alias("r"))
     shard = F.size(F.filter(_longs(ends), lambda e: e <= F.col("r")))
     base = _longs([h - (e - x) for h, e, x in zip(held, ends, room, strict=True)])  # slots held, less the ranks before the shard
     filled = rank.select("id", shard.cast("int").alias("shard"), (F.col("r") + F.get(base, shard)).cast("long").alias("slot"))
-    return taken.filter("shard IS NOT NULL").unionByName(filled)
+    return taken.filter("shard IS NOT NULL").drop("by").unionByName(filled)
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str, shards: int = SHARDS) -> DataFrame:
-    """Null text: no bytes, CRC 0, in the group of the empty text."""
+    """Null text: no bytes, CRC 0, in the group of the empty text. Any doc_id may be null or repeated: each row has one place."""
     body = F.coalesce(F.col("text"), F.lit(""))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.xxhash64(body).alias("g"))
+    row = F.monotonically_increasing_id()
+    docs = table(spark, sf_dir, "documents").select(row.alias("id"), "doc_id", (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.xxhash64(body).alias("g"))
     docs = materialize(docs, "shard-docs")
-    return docs.join(assign(docs, shards), "id").select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    nodes = docs.select("id", "g", F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("id"))).alias("by"))  # nulls are spread
+    return docs.join(assign(nodes, shards), "id").select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 QUERIES = {"op1_sharding": op1_sharding}

@@ -91,6 +91,14 @@ def test_sharding_query(spark, odd, table_dir):
         assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(raw) + 16, zlib.crc32(raw), "rows", None)
 
 
+def test_sharding_of_null_and_repeated_ids(spark, table_dir):
+    rows = [(None, "x")] * 3 + [(1, "same")] * 2 + [(1, "other"), (2, None), (None, None), (3, "same")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.op1_sharding(spark, table_dir(documents=docs), 4).collect()
+    check_shards(got, 4)
+    assert Counter((r.doc_id, r["size"]) for r in got) == Counter((i, len(t or "") + 16) for i, t in rows)
+
+
 # --- SimHash ----------------------------------------------------------------------------------------------------
 
 
@@ -394,6 +402,16 @@ def test_pii_discovers_by_context(spark):
     assert {r.doc_id: [x.kind for x in r.spans] for r in pii.find(few).collect()}[101] == []
 
 
+def test_pii_of_null_and_repeated_ids(spark):
+    known = [(1, f"reach me on Phone: +1 555 010 {1000 + i} ok") for i in range(8)]
+    fresh = [(1, "Phone: 555-010-7777 now"), (None, "a phone 555-010-8888"), (1, "nothing"), (None, "Phone: 555-010-7777 now")]
+    docs = spark.createDataFrame(known + fresh, "doc_id long, text string")
+    found = Counter((r.doc_id, tuple((x.kind, x.t) for x in r.spans if x.kind == "ctx")) for r in pii.find(docs).collect())
+    assert found == Counter({(1, ()): 9, (1, (("ctx", "555-010-7777"),)): 1, (None, (("ctx", "555-010-8888"),)): 1, (None, (("ctx", "555-010-7777"),)): 1})
+    texts = Counter((r.doc_id, r.text) for r in pii.redact_all(docs).collect())
+    assert texts == Counter({(1, "reach me on Phone: <PHONE> ok"): 8, (1, "Phone: <CTX> now"): 1, (None, "a phone <CTX>"): 1, (1, "nothing"): 1, (None, "Phone: <CTX> now"): 1})
+
+
 def test_pattern_scores(spark):
     edges = [("good", f"i{k}", True, False) for k in range(6)] + [("good", "new", False, False)] + [("bad", f"j{k}", False, False) for k in range(9)] + [("bad", "i0", True, False)]
     edges += [("refused", f"i{k}", True, False) for k in range(6)] + [("refused", f"n{k}", False, True) for k in range(4)]
@@ -467,6 +485,15 @@ def test_pipeline_is_brute_force(spark, sf):
         assert rows[k].text == clean and rows[k].n_chars == len(clean) and rows[k].ids == sp.encode(clean)
 
 
+def test_near_dedup_of_null_and_repeated_ids(spark):
+    import corpus_pipeline as C
+
+    one, two, three = (" ".join(f"{w}{i}" for i in range(60)) for w in "abc")
+    rows = [(1, one)] * 3 + [(2, one), (2, two), (None, two), (None, three), (None, three)]
+    got = C.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([(1, one), (2, two), (None, three)])
+
+
 def test_pipeline_on_odd_and_empty_tables(spark, odd, table_dir):
     import corpus_pipeline as C
 

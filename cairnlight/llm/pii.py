@@ -2,9 +2,10 @@
 
 Seeds are the entities of four fixed patterns. The words before them become lexical patterns; a bipartite graph of
 patterns and the identifiers that follow them anywhere is scored in rounds, and identifiers after high-confidence patterns
-that no fixed pattern covers, of whatever shape, become ``ctx`` spans. What a fixed pattern examined and refused (a number
-as long as a card's without its check digit, four dotted numbers that are no address) is never found so, and speaks
-against its pattern.
+that no fixed pattern covers become ``ctx`` spans. An identifier is a run of digits with separators, letters in groups
+after a country's two (IBAN), or any token with a digit, an @ or one written out in brackets. What a fixed pattern examined
+and refused (a number as long as a card's without its check digit, four dotted numbers that are no address) is never found
+so, and speaks against its pattern; numbers after letters are not refused.
 """
 
 from __future__ import annotations
@@ -21,8 +22,18 @@ EMAIL = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 CARD = r"[0-9](?:[\x20-]?[0-9]){12,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: A word, blanks, and an identifier: up to three capitals, then seven to thirty digits with single separators.
-CONTEXT = r"(?<!\S)(\S{1,30})\s{1,8}([A-Z]{0,3}[+(]?[0-9](?:[\x20().-]{0,2}[0-9]){6,29}+)(?![A-Za-z0-9])"
+#: Identifiers, tried in this order: four dotted numbers; two letters, two digits and groups of four; seven digits or more
+#: with separators, and what hangs on them; a token with a digit, an @ or an at in brackets, up to its last letter or digit.
+_IDS = (
+    r"[0-9]++(?:\.[0-9]++){3}(?![\p{L}0-9]|\.[0-9])",
+    r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,8}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])",
+    r"[A-Z]{0,3}[+(]?[0-9](?:[\x20().-]{0,2}[0-9]){6,}+(?:\S*[\p{L}\p{N}])?+",
+    r"(?=\S*[0-9@]|\S*[\[({](?i:at)[\])}])\S*[\p{L}\p{N}]",
+)
+#: A word, blanks, opening marks, and an identifier.
+CONTEXT = rf"""(?<!\S)(\S++)\s++(?:["'\[{{<]|\((?![0-9]))*+({"|".join(_IDS)})"""
+#: Words longer than this stand by their hash as patterns.
+WORD = 64
 SPAN = "array<struct<s:int,k:int,e:int,kind:string,t:string>>"
 
 #: Rounds of scoring; a pattern needs this many distinct seeds, this share of seed mass among its distinct instances, and no less.
@@ -56,17 +67,27 @@ def base_spans(text: Column) -> Column:
     )
 
 
+def _word(t: Column) -> Column:
+    w = F.lower(F.regexp_replace(t, r"[^\p{L}\p{N}]", ""))
+    return F.when(F.length(w) > WORD, F.sha2(w, 256)).otherwise(w)
+
+
+def _instance(t: Column) -> Column:
+    """Identifiers with letters stand for themselves in lower case, others for their digits."""
+    return F.sha2(F.when(t.rlike(r"[\p{L}@]"), F.lower(t)).otherwise(_digits(t)), 256)
+
+
 def candidates(text: Column) -> Column:
     """Occurrences of an identifier after a word, as array<struct<s, e, w, t>>."""
-    return F.zip_with(located(text, CONTEXT, 1), located(text, CONTEXT, 2), lambda a, b: F.struct((b["e"] - F.length(b["t"])).cast("int").alias("s"), b["e"].alias("e"), F.lower(F.regexp_replace(a["t"], r"[^\p{L}\p{N}]", "")).alias("w"), b["t"].alias("t")))
+    return F.zip_with(located(text, CONTEXT, 1), located(text, CONTEXT, 2), lambda a, b: F.struct((b["e"] - F.length(b["t"])).cast("int").alias("s"), b["e"].alias("e"), _word(a["t"]).alias("w"), b["t"].alias("t")))
 
 
 def known(cands: Column, base: Column) -> Column:
     """Candidates with their pattern, instance, and whether a base span covers them or a fixed pattern refused them."""
     marked = F.transform(cands, lambda c: F.struct(
-        c["s"].alias("s"), c["e"].alias("e"), c["w"].alias("pattern"), F.sha2(_digits(c["t"]), 256).alias("instance"), c["t"].alias("t"),
+        c["s"].alias("s"), c["e"].alias("e"), c["w"].alias("pattern"), _instance(c["t"]).alias("instance"), c["t"].alias("t"),
         F.exists(base, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])).alias("seed"),
-        (F.length(_digits(c["t"])).between(13, 19) | c["t"].rlike(r"^[0-9]+(?:\.[0-9]+){3}$")).alias("refused")))
+        c["t"].rlike(r"^(?:[0-9](?:[\x20-]?[0-9]){12,18}+(?![0-9])|[0-9]+(?:\.[0-9]+){3}$)").alias("refused")))
     return F.filter(marked, lambda c: c["pattern"] != "")
 
 

@@ -402,6 +402,20 @@ def test_pii_discovers_by_context(spark):
     assert {r.doc_id: [x.kind for x in r.spans] for r in pii.find(few).collect()}[101] == []
 
 
+def test_pii_context_of_all_kinds_and_shapes(spark):
+    words = {"mail": "u{}@ab.example", "host": "10.0.0.{}", "phone": "+1 555 010 100{}"}
+    known = [f"the {w}: {t.format(i)} ok" for w, t in words.items() for i in range(30)]
+    long = "w" * 40
+    known += [f"{long} u{i}@cd.example" for i in range(30)]
+    found = {"Mail: u9(at)ab(dot)example, yes": "u9(at)ab(dot)example", "a mail  jdoe42.": "jdoe42", "mail AB123456": "AB123456", "host 2001:db8::17": "2001:db8::17",
+             "mail" + " " * 12 + "555-010-7777": "555-010-7777", "mail " + "12" * 20: "12" * 20, "mail: BE68 5390 0754 7034 ok": "BE68 5390 0754 7034", "mail GB29 NWBK 6016 1331 9268 19": "GB29 NWBK 6016 1331 9268 19",
+             f"{long} 12345678": "12345678", "mail XYZ1234567890123 ok": "XYZ1234567890123", "mail me": None, "other jdoe42": None, "phone 4111-1111-1111-1112.": None}
+    docs = spark.createDataFrame(list(enumerate(known + list(found))), "doc_id long, text string")
+    rows = {r.doc_id: [x.t for x in r.spans if x.kind == "ctx"] for r in pii.find(docs).collect()}
+    assert [rows[len(known) + i] for i in range(len(found))] == [[t] if t else [] for t in found.values()]
+    assert not any(rows[i] for i in range(len(known)))
+
+
 def test_pii_of_null_and_repeated_ids(spark):
     known = [(1, f"reach me on Phone: +1 555 010 {1000 + i} ok") for i in range(8)]
     fresh = [(1, "Phone: 555-010-7777 now"), (None, "a phone 555-010-8888"), (1, "nothing"), (None, "Phone: 555-010-7777 now")]

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,9 +42,38 @@ def shared_dir(spark: SparkSession) -> str:
     return given.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
-    """Cut lineage: write to the shared folder as Parquet and read it back; survives the loss of any executor."""
+_WRITTEN: dict[str, None] = {}
+
+
+def materialize(df: DataFrame, name: str = "step", replaces: Iterable[DataFrame] = ()) -> DataFrame:
+    """Cut lineage: write to the shared folder as Parquet and read it back; survives the loss of any executor.
+
+    ``replaces`` names earlier results of this function that nothing reads any more; their files go once the new ones
+    are whole. What is left when the caller has its results goes with ``scratch``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cairnlight/{name}-{uuid.uuid4().hex}"
+    _WRITTEN[path] = None
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    discard(spark, *(x.written_to for x in replaces if hasattr(x, "written_to")))
+    return out
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete files that ``materialize`` wrote."""
+    for path in paths:
+        if _WRITTEN.pop(path, path) is None:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes on leaving what was materialized inside: write or collect results before."""
+    before = set(_WRITTEN)
+    try:
+        yield
+    finally:
+        discard(spark, *(p for p in list(_WRITTEN) if p not in before))

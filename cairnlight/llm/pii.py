@@ -13,13 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlight.llm.common import count_kind, located, materialize, rendered, table, tagged
+from cairnlight.llm.common import bound, count_kind, located, materialize, packed, rendered, replaced, running, table, tagged
 
 _LOCAL = r"[A-Za-z0-9._%+-]"
 # Possessive forms and the run-start test match what the plain patterns match, but run in linear time and constant stack:
 # an email's local part can only start where a run of its characters starts or where the last match ended (\G).
 EMAIL = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
-IP = r"[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
+IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 CARD = r"[0-9](?:[\x20-]?[0-9]){12,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Identifiers, tried in this order: four dotted numbers; two letters, two digits and groups of four; seven digits or more
@@ -34,6 +34,7 @@ _IDS = (
 CONTEXT = rf"""(?<!\S)(\S++)\s++(?:["'\[{{<]|\((?![0-9]))*+({"|".join(_IDS)})"""
 #: Words longer than this stand by their hash as patterns.
 WORD = 64
+KINDS = ("email", "ip", "card", "phone")
 SPAN = "array<struct<s:int,k:int,e:int,kind:string,t:string>>"
 
 #: Rounds of scoring; a pattern needs this many distinct seeds, this share of seed mass among its distinct instances, and no less.
@@ -52,7 +53,13 @@ def _luhn(t: Column) -> Column:
 
 
 def _small_parts(t: Column) -> Column:
-    return F.forall(F.split(t, r"\."), lambda x: F.regexp_replace(x, "^0+(?=.)", "").cast("decimal(38,0)").between(0, 255) & (F.length(F.regexp_replace(x, "^0+(?=.)", "")) <= 3))
+    """Each dotted part is at most 255; parts of any length are compared as text, without a cast."""
+
+    def small(x: Column) -> Column:
+        y = F.regexp_replace(x, "^0+(?=.)", "")
+        return (F.length(y) < 3) | ((F.length(y) == 3) & (y <= "255"))
+
+    return F.forall(F.split(t, r"\."), small)
 
 
 def base_spans(text: Column) -> Column:
@@ -79,15 +86,37 @@ def _instance(t: Column) -> Column:
 
 def candidates(text: Column) -> Column:
     """Occurrences of an identifier after a word, as array<struct<s, e, w, t>>."""
-    return F.zip_with(located(text, CONTEXT, 1), located(text, CONTEXT, 2), lambda a, b: F.struct((b["e"] - F.length(b["t"])).cast("int").alias("s"), b["e"].alias("e"), _word(a["t"]).alias("w"), b["t"].alias("t")))
+    return F.transform(located(text, CONTEXT, 1, 2), lambda x: F.struct((x["e"] - F.length(x["t2"])).alias("s"), x["e"].alias("e"), _word(x["t"]).alias("w"), x["t2"].alias("t")))
+
+
+def _covered(cands: Column, base: Column) -> Column:
+    """Candidates as struct<c, seed>: whether a base span overlaps each.
+
+    Both kinds are sorted by start. A base span that starts no later overlaps if the farthest end so far lies beyond the
+    candidate's start; one that starts later, if the next start lies before its end. Both are running maxima, so nothing
+    grows with the product of the two.
+    """
+    far = 1 << 30
+    one = lambda x, c, base_: F.struct(x["s"].alias("s"), F.lit(not base_).alias("own"), x["e"].alias("e"), c.alias("c"))
+    kind = "struct<s:int,e:int,w:string,t:string>"
+    both = F.array_sort(F.concat(F.transform(base, lambda x: one(x, F.lit(None).cast(kind), True)), F.transform(cands, lambda x: one(x, x.cast(kind), False))))
+
+    def of(all_: Column) -> Column:
+        ends = running(F.transform(all_, lambda x: F.when(x["own"], F.lit(0)).otherwise(x["e"])), F.greatest)
+        nexts = F.reverse(running(F.transform(F.reverse(all_), lambda x: F.when(x["own"], F.lit(0)).otherwise(far - x["s"])), F.greatest))
+        marked = F.transform(F.arrays_zip(all_.alias("x"), ends.alias("end"), nexts.alias("next")), lambda z: F.struct(
+            z["x"]["c"].alias("c"), ((z["end"] > z["x"]["s"]) | (far - z["next"] < z["x"]["e"])).alias("seed")))
+        return F.filter(marked, lambda z: z["c"].isNotNull())
+
+    free = F.transform(cands, lambda x: F.struct(x.cast(kind).alias("c"), F.lit(False).alias("seed")))
+    return F.when((F.size(base) == 0) | (F.size(cands) == 0), free).otherwise(bound(both, of))
 
 
 def known(cands: Column, base: Column) -> Column:
     """Candidates with their pattern, instance, and whether a base span covers them or a fixed pattern refused them."""
-    marked = F.transform(cands, lambda c: F.struct(
-        c["s"].alias("s"), c["e"].alias("e"), c["w"].alias("pattern"), _instance(c["t"]).alias("instance"), c["t"].alias("t"),
-        F.exists(base, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])).alias("seed"),
-        c["t"].rlike(r"^(?:[0-9](?:[\x20-]?[0-9]){12,18}+(?![0-9])|[0-9]+(?:\.[0-9]+){3}$)").alias("refused")))
+    marked = F.transform(_covered(cands, base), lambda z: F.struct(
+        z["c"]["s"].alias("s"), z["c"]["e"].alias("e"), z["c"]["w"].alias("pattern"), _instance(z["c"]["t"]).alias("instance"), z["c"]["t"].alias("t"), z["seed"].alias("seed"),
+        z["c"]["t"].rlike(r"^(?:[0-9](?:[\x20-]?[0-9]){12,18}+(?![0-9])|[0-9]+(?:\.[0-9]+){3}$)").alias("refused")))
     return F.filter(marked, lambda c: c["pattern"] != "")
 
 
@@ -105,15 +134,16 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     instances; an instance's next score is one minus the product of its patterns' doubts. Returns pattern, confidence,
     n_seeds. Both directions aggregate before they move; no pairs of instances or of patterns are formed.
     """
-    seeds = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score"))
-    state, out = seeds, None
+    state = edges.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score"))
+    out = None
     for r in range(rounds):
-        scored = edges.join(state, "instance")
-        out = scored.groupBy("pattern").agg(F.avg("score").alias("confidence"), F.sum(F.col("seed").cast("long")).alias("n_seeds"))
-        out = materialize(out, f"pii-patterns-{r}")
+        scored = edges.join(state, "instance").groupBy("pattern").agg(F.avg("score").alias("confidence"), F.sum(F.col("seed").cast("long")).alias("n_seeds"))
+        out = materialize(scored, f"pii-patterns-{r}", replaces=[x for x in (out, state) if x is not None])
         if r + 1 < rounds:
             doubt = F.when(F.col("n_seeds") >= MIN_SEEDS, 1 - F.col("confidence")).otherwise(F.lit(1.0))
-            back = edges.join(out, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log(F.greatest(doubt, F.lit(1e-9)))))).alias("found"), F.max(F.col("seed").cast("double")).alias("seed_score"), F.bool_or("refused").alias("refused"))
+            back = edges.join(out, "pattern").groupBy("instance").agg(
+                (1 - F.exp(F.sum(F.log(F.greatest(doubt, F.lit(1e-9)))))).alias("found"),
+                F.max(F.col("seed").cast("double")).alias("seed_score"), F.bool_or("refused").alias("refused"))
             score = F.when(F.col("refused"), F.col("seed_score")).otherwise(F.greatest("found", "seed_score"))
             state = materialize(back.select("instance", score.alias("score")), f"pii-instances-{r}")
     return out
@@ -124,56 +154,91 @@ def _discover(rows: DataFrame, rounds: int) -> DataFrame:
     seen = rows.select("_row", F.explode("_cands").alias("c")).select("_row", "c.*")
     edges = materialize(seen.groupBy("pattern", "instance").agg(F.bool_or("seed").alias("seed"), F.bool_or("refused").alias("refused")), "pii-edges")
     good = score_patterns(edges, rounds).filter((F.col("confidence") >= MIN_CONFIDENCE) & (F.col("n_seeds") >= MIN_SEEDS)).select("pattern")
-    return seen.filter(~F.col("seed") & ~F.col("refused")).join(good, "pattern", "left_semi").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("s", F.lit(4).alias("k"), "e", F.lit("ctx").alias("kind"), "t"))).cast(SPAN).alias("_more"))
+    fresh = seen.filter(~F.col("seed") & ~F.col("refused")).join(good, "pattern", "left_semi")
+    span = F.struct("s", F.lit(4).alias("k"), "e", F.lit("ctx").alias("kind"), "t")
+    return fresh.groupBy("_row").agg(F.array_sort(F.collect_list(span)).cast(SPAN).alias("_more"))
+
+
+def _all_spans() -> Column:
+    return F.concat("_base", F.coalesce(F.col("_more"), F.array().cast(SPAN)))
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """key, ``base`` and ``spans`` (base spans and then discovered ``ctx`` spans).
+    """key, ``base`` and ``spans`` (base spans and then discovered ``ctx`` spans) per row.
 
-    Keys may be null or repeated; null and empty texts have no spans; an empty table gives no rows; other columns are not
-    read. Texts are read once: what later steps need goes to the shared folder, without texts.
+    Keys may be null or repeated: each row is found for itself. Null and empty texts have no spans; texts of any length
+    take time in proportion to their length and a little more than that to their spans; an empty table gives no rows;
+    other columns, whatever their names, are not read. Texts are read once: what later steps need goes to the shared
+    folder, without texts.
     """
     rows = materialize(features(docs.select(F.col(key).alias("_key"), F.col(text).alias("text"))).drop("text"), "pii-features")
-    spans = F.concat("_base", F.coalesce(F.col("_more"), F.array().cast(SPAN)))
-    return rows.join(_discover(rows, rounds), "_row", "left").select(F.col("_key").alias(key), F.col("_base").alias("base"), spans.alias("spans"))
+    return rows.join(_discover(rows, rounds), "_row", "left").select(F.col("_key").alias(key), F.col("_base").alias("base"), _all_spans().alias("spans"))
 
 
 def redact_all(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """``docs`` with every span of ``find`` replaced in its texts; columns and rows as given.
+    """``docs`` with every span of ``find`` replaced in its texts; all columns and rows as given, whatever their names.
 
     A text without a candidate that context could make a span has its base spans replaced where it stands; only texts
     with such a candidate move, to meet what was discovered in them. The join is a merge join at every size, since what is
     discovered grows with the corpus.
     """
-    staged = materialize(features(docs, text), "pii-features")
+    at = f"row.{text}"
+    staged = materialize(features(packed(docs), at), "pii-features")
     more = materialize(_discover(staged, rounds), "pii-more")
     open_ = F.exists("_cands", lambda c: ~c["seed"] & ~c["refused"])
-    still = staged.filter(~open_).withColumn(text, redact(F.col(text), F.col("_base")))
-    moved = staged.filter(open_).drop("_cands").join(more.hint("merge"), "_row", "left")
-    moved = moved.withColumn(text, redact(F.col(text), F.concat("_base", F.coalesce(F.col("_more"), F.array().cast(SPAN)))))
-    return still.select(docs.columns).unionByName(moved.select(docs.columns))
+    put = lambda rows, spans: rows.select(F.col("row").withField(text, redact(F.col(at), spans)).alias("row"))
+    still = put(staged.filter(~open_), F.col("_base"))
+    moved = put(staged.filter(open_).drop("_cands").join(more.hint("merge"), "_row", "left"), _all_spans())
+    return still.unionAll(moved).select("row.*")
 
 
 def redact(text: Column, spans: Column) -> Column:
     """``text`` with each span replaced by <kind>; overlapping spans merge under the first one's kind."""
-    ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    plain = F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind")))
+    return replaced(text, plain, lambda x: F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">")))
 
-    def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, x["s"] - acc["at"])
-        return F.when(x["s"] < acc["at"], F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out"))).otherwise(
-            F.struct(x["e"].alias("at"), F.concat(acc["out"], gap, F.lit("<"), F.upper(x["kind"]), F.lit(">")).alias("out")))
 
-    done = F.aggregate(ordered, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+def _counted(base: Column) -> list[Column]:
+    return [*(count_kind(base, k).alias(f"n_{k}") for k in KINDS), F.sha2(rendered(base), 256).alias("base_sha256")]
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base, spans = F.col("base"), F.col("spans")
-    return find(table(spark, sf_dir, "documents")).select(
-        "doc_id", *(count_kind(base, k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")),
-        F.sha2(rendered(base), 256).alias("base_sha256"), rendered(spans).alias("spans"), count_kind(spans, "ctx").alias("n_ctx"))
-
-
-QUERIES = {"op9_pii": op9_pii}
-ORACLE: dict[str, str] = {}
+    spans = F.col("spans")
+    found = find(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *_counted(F.col("base")), rendered(spans).alias("spans"), count_kind(spans, "ctx").alias("n_ctx"))
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed patterns alone, with their spans: the part of operator 9 that SQL can state."""
+    base = base_spans(F.coalesce(F.col("text"), F.lit("")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", base.alias("base"))
+    return rows.select("doc_id", *_counted(F.col("base")), rendered(F.col("base")).alias("spans"))
+
+
+def _sql_spans(kind: str, order: int, pattern: str, keep: str) -> str:
+    """Matches of a plain pattern that pass ``keep`` (over t), with their places: running sums of the pieces between."""
+    return f"""
+  SELECT doc_id, {order} AS k, '{kind}' AS kind, s, s + length(t) AS e FROM (
+    SELECT doc_id, h[i] AS t, list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0) AS s
+    FROM (SELECT doc_id, h, p, unnest(range(1, len(h) + 1)) AS i FROM (
+      SELECT doc_id, regexp_extract_all(text, '{pattern}') AS h, string_split_regex(text, '{pattern}') AS p
+      FROM docs WHERE regexp_matches(text, '{pattern}')))) WHERE {keep}"""
+
+
+_DIGITS = "regexp_replace(t, '[^0-9]', '', 'g')"
+_LUHN = f"""length({_DIGITS}) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i:
+    CASE WHEN i % 2 = 1 THEN reverse({_DIGITS})[i]::INT ELSE (2 * reverse({_DIGITS})[i]::INT) // 10 + (2 * reverse({_DIGITS})[i]::INT) % 10 END)) % 10 = 0"""
+_IP_PARTS = "len(list_filter(string_split(t, '.'), lambda x: length(ltrim(x, '0')) > 3 OR (length(ltrim(x, '0')) = 3 AND ltrim(x, '0') > '255'))) = 0"
+BASE_SQL = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+spans AS ({_sql_spans("email", 0, "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+", "true")}
+  UNION ALL {_sql_spans("ip", 1, "[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+", _IP_PARTS)}
+  UNION ALL {_sql_spans("card", 2, "[0-9](?:[ -]?[0-9])+", _LUHN)}
+  UNION ALL {_sql_spans("phone", 3, "[+][0-9][ ().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15")}),
+per AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in KINDS)},
+  string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) AS spans FROM spans GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in KINDS)}, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN per USING (doc_id)
+"""
+QUERIES = {"op9_pii": op9_pii, "pii_base": pii_base}
+ORACLE: dict[str, str] = {"pii_base": BASE_SQL}

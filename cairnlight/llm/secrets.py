@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlight.llm.common import count_kind, located, rendered, table, tagged
+from cairnlight.llm.common import count_kind, located, materialize, rendered, table, tagged
 
 
 @dataclass(frozen=True)
@@ -33,7 +33,7 @@ FINDING = "array<struct<s:int,k:int,e:int,kind:string,t:string>>"
 
 
 def _findings(text: Column, rule: Rule, order: int) -> Column:
-    return tagged(located(text, rule.pattern, rule.group), rule.kind, order, lambda x: F.length(x["t"]) >= rule.least)
+    return tagged(located(text, rule.pattern, *([rule.group] if rule.group else [])), rule.kind, order, lambda x: F.length(x["t"]) >= rule.least)
 
 
 def scan(versions: DataFrame, rules: Sequence[Rule] = RULES, ledger: DataFrame | None = None) -> DataFrame:
@@ -67,14 +67,29 @@ def findings_by_path(versions: DataFrame, ledger: DataFrame, rules: Sequence[Rul
     """
     names = [f"{r.kind}@{r.version}" for r in rules]
     found = ledger.filter(F.col("rule").isin(names) & (F.size("findings") > 0)).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("findings"))).alias("spans"))
+    found = materialize(found, "secret-blobs")  # a stage of its own: adaptive execution then splits a blob of many paths in the join
     paths = versions.select("path", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("blob"))
     return paths.join(found, "blob", "left").select("path", F.coalesce(F.col("spans"), F.array().cast(FINDING)).alias("spans"))
 
 
-def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+def update(versions: DataFrame, rules: Sequence[Rule] = RULES, ledger: DataFrame | None = None) -> DataFrame:
+    """The ledger after a call: earlier rows, and those of the pairs that only this call has seen, written once.
+
+    A later call passes it as ``ledger`` and scans nothing that is in it. Earlier rows are read, not written again.
+    """
+    new = materialize(scan(versions, rules, ledger), "secret-ledger")
+    return new if ledger is None else ledger.unionByName(new)
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str, ledger: DataFrame | None = None) -> DataFrame:
+    """Findings of every path. Only blobs that ``ledger`` (of earlier runs) doesn't know are scanned.
+
+    Null and repeated doc_ids are paths of their own; null and empty texts are the empty blob; very long texts are scanned
+    whole; an empty table gives no rows; other columns, whatever their names, are not read.
+    """
     versions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
     spans = F.col("spans")
-    return findings_by_path(versions, scan(versions)).select(
+    return findings_by_path(versions, update(versions, ledger=ledger)).select(
         F.col("path").alias("doc_id"),
         count_kind(spans, "assign").alias("n_assign"),
         count_kind(spans, "access").alias("n_access"),

@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from cairnlight.llm.common import materialize, table
 
 SHARDS, ROUNDS = 40, 4
-#: Classes that two-level ranks use: of members of a group, of documents without links, of groups.
-SALTS, CLASSES, GROUP_CLASSES = 256, 1024, 64
+#: Members of a group fall into SALTS classes; documents without links and linked groups into as many classes as keep
+#: about CLASS_ROWS rows in each, and no fewer than CLASSES and GROUP_CLASSES.
+SALTS, CLASSES, GROUP_CLASSES, CLASS_ROWS = 256, 1024, 64, 200_000
 CELLS = "array<struct<shard:int,c:long>>"
 
 
@@ -37,7 +38,7 @@ def _loads(groups: DataFrame, shards: int) -> list[int]:
 def _offsets(rows: DataFrame, over: str, order: list[str], amount: str) -> DataFrame:
     """Adds ``before``: the sum of ``amount`` of rows of the same ``over`` that come earlier by class (``order``), then by g.
 
-    Classes are summed first; only the sums (at most GROUP_CLASSES times the bands) meet in one window per ``over``.
+    Classes are summed first; only the sums (a row per class) meet in one window per ``over``.
     """
     classes = rows.groupBy(over, *order).agg(F.sum(amount).alias("total"))
     earlier = W.partitionBy(over).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
@@ -47,7 +48,7 @@ def _offsets(rows: DataFrame, over: str, order: list[str], amount: str) -> DataF
     return ranked.join(at, [over, *order]).withColumn("before", F.col("class_at") + F.col("inner_at")).drop("class_at", "inner_at")
 
 
-def propagate(groups: DataFrame, capacity: list[int], rounds: int = ROUNDS) -> DataFrame:
+def propagate(groups: DataFrame, capacity: list[int], rounds: int = ROUNDS, classes: int = GROUP_CLASSES) -> DataFrame:
     """Rounds of moves under quotas. ``groups``: g, cells (members by shard). Returns the same columns.
 
     A group proposes the shard with most of its members among those with room (ties by a hash of both). Quotas admit the
@@ -63,7 +64,7 @@ def propagate(groups: DataFrame, capacity: list[int], rounds: int = ROUNDS) -> D
         best = F.array_max(F.transform(open_cells, lambda x: F.struct(x["c"].alias("c"), F.xxhash64("g", x["shard"]).alias("tie"), x["shard"].alias("shard"))))
         asked = groups.select("g", "cells", best.alias("best")).filter("best IS NOT NULL").select(
             "g", F.col("best.shard").alias("target"), (F.aggregate("cells", F.lit(0).cast("long"), lambda a, x: a + x["c"]) - F.col("best.c")).alias("asks"),
-            (-F.floor(F.log2("best.c"))).alias("band"), F.pmod(F.xxhash64("g"), F.lit(GROUP_CLASSES)).alias("h")).filter("asks > 0")
+            (-F.floor(F.log2("best.c"))).alias("band"), F.pmod(F.xxhash64("g"), F.lit(classes)).alias("h")).filter("asks > 0")
         admitted = _offsets(asked, "target", ["band", "h"], "asks").select("g", "target", F.least("asks", F.get(rooms, F.col("target")) - F.col("before")).alias("moves")).filter("moves > 0")
         joined = groups.join(admitted, "g", "left")
         start = F.struct(F.col("moves").alias("left"), F.array().cast(CELLS).alias("out"))
@@ -74,7 +75,7 @@ def propagate(groups: DataFrame, capacity: list[int], rounds: int = ROUNDS) -> D
             return F.struct((acc["left"] - take).alias("left"), F.concat(acc["out"], F.array(F.struct(x["shard"].alias("shard"), kept.alias("c")))).alias("out"))
 
         moved = F.filter(F.aggregate("cells", start, step, lambda a: a["out"]), lambda x: x["c"] > 0)
-        groups = materialize(joined.select("g", F.when(F.col("moves").isNull(), F.col("cells")).otherwise(moved).alias("cells")), f"shard-round{r}")
+        groups = materialize(joined.select("g", F.when(F.col("moves").isNull(), F.col("cells")).otherwise(moved).alias("cells")), f"shard-round{r}", replaces=[groups])
     return groups
 
 
@@ -93,16 +94,18 @@ def assign(nodes: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Data
     total = nodes.count()
     capacity = [total // shards + (j < total % shards) for j in range(shards)]
     linked = materialize(groups.filter("n > 1").select("g", "cells"), "shard-groups")
-    linked = propagate(linked, capacity, rounds)
+    classes = max(GROUP_CLASSES, linked.count() // CLASS_ROWS)
+    linked = propagate(linked, capacity, rounds, classes)
 
     # where each cell starts within its shard; what a shard can't hold goes to the pool
-    cells = linked.select("g", F.explode("cells").alias("x")).select("g", "x.shard", "x.c", F.pmod(F.xxhash64("g"), F.lit(GROUP_CLASSES)).alias("h"))
+    cells = linked.select("g", F.explode("cells").alias("x")).select("g", "x.shard", "x.c", F.pmod(F.xxhash64("g"), F.lit(classes)).alias("h"))
     placed = _offsets(cells, "shard", ["h"], "c").select("g", "shard", F.col("before").alias("at"), F.greatest(F.lit(0).cast("long"), F.least("c", F.get(_longs(capacity), F.col("shard")) - F.col("before"))).alias("c"))
     plan = materialize(placed.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("shard", "at", "c"))).alias("cells")), "shard-plan")
     held = _loads(plan, shards)
 
     # members of linked groups take their group's cells in order of rank
     members = nodes.join(plan.select("g"), "g", "left_semi").withColumn("salt", F.pmod(F.xxhash64("by", F.lit(7)), F.lit(SALTS)))
+    members = members.repartition("g", "salt")  # else rows that a join dealt by g stay so, as that satisfies (g, salt)
     salted = members.groupBy("g", "salt").agg(F.count("*").alias("n"))
     salted = salted.withColumn("from", F.coalesce(F.sum("n").over(W.partitionBy("g").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n").join(plan, "g")
     ranked = members.withColumn("r", F.row_number().over(W.partitionBy("g", "salt").orderBy("by", "id")) - 1).join(salted, ["g", "salt"]).withColumn("r", F.col("r") + F.col("from"))
@@ -116,7 +119,7 @@ def assign(nodes: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Data
 
     # the rest fills what is left, by rank over the whole pool
     singles = nodes.join(plan.select("g"), "g", "left_anti").select("id", "by")
-    pool = singles.unionAll(taken.filter("shard IS NULL").select("id", "by")).withColumn("h", F.pmod(F.xxhash64("by", F.lit(11)), F.lit(CLASSES)))
+    pool = singles.unionAll(taken.filter("shard IS NULL").select("id", "by")).withColumn("h", F.pmod(F.xxhash64("by", F.lit(11)), F.lit(max(CLASSES, total // CLASS_ROWS))))
     starts = pool.groupBy("h").agg(F.count("*").alias("n")).withColumn("from", F.coalesce(F.sum("n").over(W.orderBy("h").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("n")
     room = [c - x for c, x in zip(capacity, held, strict=True)]
     ends = [functools.reduce(operator.add, room[: j + 1]) for j in range(shards)]
@@ -128,7 +131,11 @@ def assign(nodes: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Data
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str, shards: int = SHARDS) -> DataFrame:
-    """Null text: no bytes, CRC 0, in the group of the empty text. Any doc_id may be null or repeated: each row has one place."""
+    """Null text: no bytes, CRC 0, in the group of the empty text. Any doc_id may be null or repeated: each row has one place.
+
+    Texts of any length cost their hash alone; an empty table gives no rows; other columns, whatever their names, are not
+    read. Which of several rows of one doc_id takes which of their places is not defined.
+    """
     body = F.coalesce(F.col("text"), F.lit(""))
     row = F.monotonically_increasing_id()
     docs = table(spark, sf_dir, "documents").select(row.alias("id"), "doc_id", (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.xxhash64(body).alias("g"))

@@ -22,14 +22,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlight.llm.common import materialize, table
+from cairnlight.llm.common import Part, carried, materialize, packed, table
 
 WORDS, SEED, RADIUS = 4, 42, 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: The Golay code's generator polynomial x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
-#: Fingerprints whose keys a worker holds at once.
-BATCH = 4096
+#: Fingerprints whose keys a worker holds at once; shingles hashed at once; fingerprints of a bucket taken for large.
+BATCH, PART, LARGE = 4096, 1 << 16, 512
+#: Near copies: words of a shingle, similarity, fingerprints a text, and differing bits of candidates at most (unrelated
+#: ones differ in 32 on average; texts alike to 0.8 in 10, hardly ever in over 18).
+COPY_WORDS, SIMILARITY, PRINTS, COPY_BITS = 5, 0.8, 3, 18
 
 
 def _syndromes(words: np.ndarray) -> np.ndarray:
@@ -72,13 +75,16 @@ def golay() -> Golay:
     return _CODE[0]
 
 
-def fuzzy_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, place of its fingerprint) of uint64 fingerprints. Kinds of keys differ in their top bits."""
+def fuzzy_keys(prints: np.ndarray, whole: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(key, place of its fingerprint) of uint64 fingerprints. Kinds of keys differ in their top bits.
+
+    Without ``whole`` only keys of three indices are given.
+    """
     parts = [((prints >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in SEGMENTS]
     coded = [golay().keys(p) for p in parts]
     place = np.arange(len(prints))
     keys, of = [], []
-    for i in range(3):
+    for i in range(3 if whole else 0):
         for j in range(3):
             if i != j:
                 index, count = coded[j]
@@ -95,24 +101,45 @@ def fuzzy_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(of)
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """SimHash of a whole text; 0 without words."""
-    raw = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z and ASCII blanks only
-    if not raw:
-        return 0
-    joined = b" ".join(raw)
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z and ASCII blanks only
+
+
+def shingle_hashes(raw: list[bytes], words: int) -> Iterator[np.ndarray]:
+    """Hashes of a text's shingles, repeats included, in parts of bounded size; the whole sequence if it is shorter."""
     n = len(raw)
+    joined = b" ".join(raw)
     if n <= words:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        if raw:
+            yield np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+        return
     ends = np.cumsum(np.fromiter(map(len, raw), np.int64, n) + 1) - 1
-    begins = np.concatenate([[0], ends[: n - words] + 1])
+    starts, stops = [0, *(ends[: n - words] + 1).tolist()], ends[words - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    count, total = np.zeros(64, np.int64), n - words + 1
-    starts, stops = begins.tolist(), ends[words - 1 :].tolist()
-    for at in range(0, total, 1 << 16):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + (1 << 16)], stops[at : at + (1 << 16)], strict=True)], np.uint64)
-        count += _bit_counts(h)
-    return int(sum(1 << i for i in range(64) if 2 * count[i] > total))
+    for at in range(0, n - words + 1, PART):
+        yield np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + PART], stops[at : at + PART], strict=True)], np.uint64)
+
+
+def _remixed(h: np.ndarray, i: int) -> np.ndarray:
+    """The i-th hash of shingles: the hash itself, then ones mixed from it."""
+    if not i:
+        return h
+    h = (h + np.uint64(i * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) ^ (h >> np.uint64(32))
+
+
+def simhashes(raw: list[bytes], words: int, prints: int) -> list[int]:
+    """``prints`` SimHashes of a whole text; 0 without words."""
+    count, total = np.zeros((prints, 64), np.int64), 0
+    for h in shingle_hashes(raw, words):
+        total += len(h)
+        for i in range(prints):
+            count[i] += _bit_counts(_remixed(h, i))
+    return [int(sum(1 << b for b in range(64) if 2 * c[b] > total)) for c in count]
+
+
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    return simhashes(_words(text), words, 1)[0]
 
 
 def _bit_counts(h: np.ndarray) -> np.ndarray:
@@ -141,20 +168,63 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     return rows.mapInArrow(run, f"key {kind}, fp long").withColumnRenamed("key", key)
 
 
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-        for at in range(0, len(fp), BATCH):
-            keys, of = fuzzy_keys(fp[at : at + BATCH])
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fp[at : at + BATCH][of].view(np.int64))], names=["key", "fp"])
+def _spread(whole: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kind = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            fp = b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            for at in range(0, len(fp), BATCH):
+                some = fp[at : at + BATCH]
+                first = kind[at : at + BATCH] == 0
+                for use, all_ in ((np.flatnonzero(first), True), (np.flatnonzero(~first), whole)):
+                    if len(use):
+                        keys, of = fuzzy_keys(some[use], all_)
+                        keys = keys | (kind[at : at + BATCH][use][of] << 50)
+                        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(some[use][of].view(np.int64))], names=["key", "fp"])
+
+    return run
+
+
+def nearest_links(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """A minimum spanning forest of one bucket's distinct fingerprints, of links within ``radius``."""
+    out = []
+    near = np.bitwise_count(fp ^ fp[0]).astype(np.int64)
+    by = np.zeros(len(fp), np.int64)
+    near[0] = 99
+    left = np.ones(len(fp), bool)
+    left[0] = False
+    for _ in range(len(fp) - 1):
+        j = int(np.argmin(np.where(left, near, 99)))
+        if near[j] <= radius:
+            out.append((int(fp[by[j]]), int(fp[j])))
+        left[j] = False
+        d = np.bitwise_count(fp ^ fp[j])
+        closer = d < near
+        near[closer], by[closer] = d[closer], j
+    return out
 
 
 def bucket_links(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A forest over one bucket's distinct fingerprints that connects just those that links within it connect.
+    """A forest over distinct fingerprints that connects just those that links among them connect.
 
     Breadth-first: each fingerprint reached is compared with those not reached yet, so a bucket of one tight group
-    costs little more than its size.
+    costs little more than its size. Large buckets are cut by segments of the fingerprints first, one more than the
+    radius has bits, of which linked ones share one: what is no tight group falls apart.
     """
+    if len(fp) > LARGE and radius < 8:
+        out, n = [], radius + 1
+        for i in range(n):
+            at, end = 64 * i // n, 64 * (i + 1) // n
+            part = (fp >> np.uint64(at)) & np.uint64((1 << (end - at)) - 1)
+            order = np.argsort(part, kind="stable")
+            edge = np.flatnonzero(np.concatenate([[True], np.diff(part[order]) != 0, [True]]))
+            for s, e in zip(edge[:-1], edge[1:], strict=True):
+                out += _reached(fp[order[s:e]], radius)
+        return out
+    return _reached(fp, radius)
+
+
+def _reached(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
     out = []
     rest = fp
     while len(rest) > 1:
@@ -169,59 +239,92 @@ def bucket_links(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def _verify(radius: int):
+def _verify(radius: int, nearest: bool):
+    """Links within buckets of sorted (key, fp): kind (the print's number), a, b. A bucket holds 16 bytes a fingerprint."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def linked(k: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
             edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
             size = np.diff(edge)
-            links = [x for s, n in zip(edge[:-1][size > 1], size[size > 1], strict=True) for x in bucket_links(np.unique(f[s : s + n]), radius)]
-            if links:
-                both = np.unique(np.array(links, np.uint64), axis=0).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+            two = edge[:-1][size == 2]
+            two = two[np.bitwise_count(f[two] ^ f[two + 1]) <= radius]
+            kinds, links = [(k[two] >> 50) & 0xFF], [np.stack([f[two], f[two + 1]], 1)]
+            for s, n in zip(edge[:-1][size > 2], size[size > 2], strict=True):
+                found = nearest_links(f[s : s + n], radius) if nearest and n <= LARGE else bucket_links(np.unique(f[s : s + n]), radius)
+                if found:
+                    links.append(np.array(found, np.uint64))
+                    kinds.append(np.full(len(found), (int(k[s]) >> 50) & 0xFF, np.int64))
+            both = np.concatenate(links)
+            if len(both):
+                kind = np.concatenate(kinds)
+                both = np.sort(both, axis=1)
+                order = np.lexsort((both[:, 1], both[:, 0], kind))
+                kind, both = kind[order], both[order]
+                new = np.concatenate([[True], (np.diff(kind) != 0) | (both[1:] != both[:-1]).any(1)])
+                both = both[new].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(kind[new].astype(np.int32)), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["kind", "a", "b"])
+
+        def taken() -> tuple[np.ndarray, np.ndarray]:
+            k, f = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+            held.clear()
+            return k, f
 
         for batch in batches:
-            k = np.concatenate([held_k, batch.column(0).to_numpy(zero_copy_only=False)])
-            f = np.concatenate([held_f, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
-            if len(k):
-                cut = int(np.searchsorted(k, k[-1]))  # the last key may go on in the next batch
-                yield from linked(k[:cut], f[:cut])
-                held_k, held_f = k[cut:], f[cut:]
-        yield from linked(held_k, held_f)
+            k, f = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
+            if not len(k):
+                continue
+            cut = int(np.searchsorted(k, k[-1]))  # the last key may go on in the next batch
+            if cut or (held and held[-1][0][-1] != k[0]):
+                held.append((k[:cut], f[:cut]))
+                yield from linked(*taken())
+            held.append((k[cut:], f[cut:]))
+        if held:
+            yield from linked(*taken())
 
     return run
 
 
+def _shuffles(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _met(prints: DataFrame, radius: int, whole: bool, nearest: bool) -> DataFrame:
+    """Distinct (kind, a, b) of fingerprints (kind, fp) that meet under a key. Rows are dealt out before they multiply."""
+    n = _shuffles(prints)
+    keyed = prints.distinct().repartition(n).mapInArrow(_spread(whole), "key long, fp long")
+    return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_verify(radius, nearest), "kind int, a long, b long").distinct()
+
+
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Distinct (a, b) that connect the distinct fingerprints ``fp`` as all pairs within ``radius`` (four at most) do.
 
     A bucket's pairs aren't emitted: each bucket gives a forest. Every linked pair meets in some bucket, so components
-    are the same.
+    are the same. A bucket's distinct fingerprints (8 bytes each) are in one worker: keys of 33 bits and more split all
+    but near copies of one text, of which a bucket holds those few bits apart.
     """
     if radius > RADIUS:
         raise ValueError("the segments and keys hold for a radius of four at most")
-    keyed = prints.select("fp").distinct().mapInArrow(_spread, "key long, fp long")
-    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_verify(radius), "a long, b long").distinct()
+    return _met(prints.select(F.lit(0).alias("kind"), "fp"), radius, True, False).select("a", "b")
 
 
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """node and root (its component's least node) for every node with an edge, by alternating star contraction.
 
     Large-star and small-star steps keep at most as many edges as there are nodes and edges, and end after a number of
-    rounds logarithmic in the nodes. A node with very many neighbours is aggregated before it moves; joins on it are
-    ordinary equi-joins, which adaptive execution splits.
+    rounds logarithmic in the nodes. A node with very many neighbours is aggregated before it moves, and the aggregate is
+    written before it is joined: adaptive execution splits a hot key only in joins that aren't of one stage with one.
     """
     cur = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), name)
     while True:
         both = cur.unionAll(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large.filter("u <> v"), name)
-        small_low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(large.filter("u <> v"), name, replaces=[cur, low])
+        small_low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), name)
         small = large.join(small_low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionAll(small_low.select("u", F.col("m").alias("v"))).distinct()
-        new = materialize(small, name)
+        new = materialize(small, name, replaces=[large, small_low])
         # done when every node hangs on one root directly: it has one target, and no target is itself a source
         degree = new.groupBy("u").agg(F.count("*").alias("n"))
         chained = new.join(degree.select(F.col("u").alias("v")), "v", "left_semi").select("v")
@@ -230,20 +333,143 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         cur = new
 
 
+def _least_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node and component_id for ``nodes`` (node, least): the least of all ``least`` that links reach.
+
+    Nodes without a link have their own; only the others move, and the least of a large component is written before it
+    is joined.
+    """
+    roots = components(edges, "simhash-cc")
+    named = materialize(nodes.join(roots, "node", "left"), "simhash-nodes")
+    linked = named.filter("root IS NOT NULL")
+    least = materialize(linked.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
+    return linked.join(least, "root").select("node", "component_id").unionAll(named.filter("root IS NULL").select("node", "least"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """key, fp and component_id (the least key reachable over linked fingerprints, itself included) per row.
 
     Rows with equal fingerprints are one node, so copies cost no links. Null and empty texts have fingerprint zero and
-    link like others. An empty table gives no rows; other columns are not read.
+    link like others; texts of any length are read whole, in memory of their own size and a bounded part. Rows of a
+    repeated key are rows of their own, each with the fingerprint of its text; a null key is least of none. An empty
+    table gives no rows; other columns, whatever their names, are not read.
     """
     prints = materialize(fingerprints(docs, key, text, words), "simhash")
-    nodes = prints.groupBy("fp").agg(F.min(key).alias("least"))
-    roots = components(links(nodes, radius), "simhash-cc")
-    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = materialize(named, "simhash-nodes")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.join(least, "root").select("fp", "component_id")
-    return prints.join(of, "fp").select(key, "fp", "component_id")
+    nodes = materialize(prints.groupBy(F.col("fp").alias("node")).agg(F.min(key).alias("least")), "simhash-distinct")
+    of = _least_of(nodes, links(nodes.select(F.col("node").alias("fp")), radius))
+    return prints.join(of.withColumnRenamed("node", "fp"), "fp").select(key, "fp", "component_id")
+
+
+# --- near copies: several fingerprints a text, candidates of any number of bits, shingles compared --------------------
+
+
+def jaccard(a: str | None, b: str | None, words: int = COPY_WORDS) -> float:
+    """Share of common ones among the distinct shingles of two texts; 1 if neither has a word."""
+    return _share(_shingles(a, words), _shingles(b, words))
+
+
+def _shingles(text: str | None, words: int) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(_words(text), words)]))
+
+
+def _share(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def _staged(docs: DataFrame, key: str, text: str, words: int, prints: int) -> DataFrame:
+    """row (whole), key (null ones last, then by row), node (a hash of the word sequence) and the fingerprints, written."""
+
+    def run(parts: Iterator[Part]) -> Iterator[tuple[pa.RecordBatch, list]]:
+        for kept, texts in parts:
+            raw = [_words(t.as_py()) for t in texts]
+            node = np.fromiter((xxhash.xxh64_intdigest(b" ".join(w)) for w in raw), np.uint64, len(raw))
+            found = np.array([simhashes(w, words, prints) for w in raw], np.uint64).reshape(len(raw), prints)
+            yield kept, [pa.array(node.view(np.int64)), *(pa.array(np.ascontiguousarray(found[:, i]).view(np.int64)) for i in range(prints))]
+
+    rows = carried(packed(docs), "row", f"row.{text}", "node long, " + ", ".join(f"f{i} long" for i in range(prints)), run)
+    at = F.col(f"row.{key}")
+    return materialize(rows.withColumn("key", F.struct(at.isNull().alias("none"), at.alias("id"), F.monotonically_increasing_id().alias("place"))), "copies-rows")
+
+
+def _candidates(nodes: DataFrame, prints: int) -> DataFrame:
+    """Pairs of nodes (u < v) with their fewest differing bits in one print: of each bucket, a nearest forest.
+
+    Nodes that share a print hang on the least of them.
+    """
+    long = materialize(nodes.select("node", F.posexplode(F.array(*(f"f{i}" for i in range(prints)))).alias("kind", "fp")), "copies-prints")
+    heads = materialize(long.groupBy("kind", "fp").agg(F.min("node").alias("head")), "copies-heads")
+    met = materialize(_met(heads.select("kind", "fp"), COPY_BITS, False, True), "copies-met")
+    same = long.join(heads, ["kind", "fp"]).filter("node <> head").select(F.col("head").alias("u"), F.col("node").alias("v"), F.lit(0).alias("bits"))
+    half = materialize(met.join(heads.select("kind", F.col("fp").alias("a"), F.col("head").alias("u")), ["kind", "a"]).drop("head"), "copies-half")
+    pairs = half.join(heads.select("kind", F.col("fp").alias("b"), F.col("head").alias("v")), ["kind", "b"])
+    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("bits"))
+    return pairs.filter("u <> v").unionAll(same).groupBy("u", "v").agg(F.min("bits").alias("bits"))
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those (u, v) whose texts have the similarity; a text meets its pairs, hot ones split by adaptive execution."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: dict[int, np.ndarray] = {}
+        for b in batches:
+            use = np.zeros(b.num_rows, bool)
+            for i, (v, x, y) in enumerate(zip(b.column(1).to_pylist(), b.column(2), b.column(3), strict=True)):
+                if v not in last:
+                    last.clear()
+                    last[v] = _shingles(y.as_py(), words)
+                use[i] = _share(_shingles(x.as_py(), words), last[v]) >= similarity
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(use)) for c in b.columns[:2]], names=["u", "v"])
+
+    one = pairs.select("u", "v").join(texts.select(F.col("node").alias("u"), F.col("text").alias("x")), "u")
+    two = one.join(texts.select(F.col("node").alias("v"), F.col("text").alias("y")), "v").select("u", "v", "x", "y")
+    return two.mapInArrow(run, "u long, v long")
+
+
+def _classes(staged: DataFrame, text: str, words: int, similarity: float, prints: int) -> DataFrame:
+    """node and component_id: the least key that verified links reach from the node.
+
+    Each node's nearest candidate is verified first; of the other candidates only those between components that these
+    links leave apart are read, so a large group of copies costs each text a few comparisons.
+    """
+    nodes = materialize(staged.groupBy("node").agg(F.min("key").alias("least"), *(F.min(f"f{i}").alias(f"f{i}") for i in range(prints))), "copies-nodes")
+    pairs = materialize(_candidates(nodes, prints), "copies-pairs")
+    ends = pairs.select(F.col("u").alias("node")).unionAll(pairs.select(F.col("v").alias("node"))).distinct()
+    wanted = nodes.join(ends, "node", "left_semi").select(F.col("least").alias("key"))
+    texts = materialize(staged.select("key", "node", F.col(f"row.{text}").alias("text")).join(wanted, "key", "left_semi").select("node", "text"), "copies-texts")
+    either = pairs.select(F.col("u").alias("node"), "bits", "u", "v").unionAll(pairs.select(F.col("v").alias("node"), "bits", "u", "v"))
+    first = materialize(either.groupBy("node").agg(F.min(F.struct("bits", "u", "v")).alias("x")).select("x.u", "x.v").distinct(), "copies-first")
+    found = materialize(_alike(first, texts, words, similarity), "copies-found")
+    roots = materialize(components(found.select(F.col("u").alias("a"), F.col("v").alias("b")), "copies-cc"), "copies-roots")
+    side = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
+    rest = pairs.join(first, ["u", "v"], "left_anti").join(side("u"), "u", "left").join(side("v"), "v", "left")
+    rest = materialize(rest.filter(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v"), "copies-rest")
+    more = materialize(_alike(rest, texts, words, similarity), "copies-more")
+    return _least_of(nodes.select("node", "least"), found.unionAll(more).select(F.col("u").alias("a"), F.col("v").alias("b")))
+
+
+def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = COPY_WORDS, similarity: float = SIMILARITY, prints: int = PRINTS) -> DataFrame:
+    """key and component_id per row: components of texts whose distinct shingles are alike to ``similarity``.
+
+    Candidates meet under Golay keys of ``prints`` fingerprints, as many bits apart as a shared key allows; every link
+    is verified by comparing shingles. Equal word sequences (by a 64-bit hash) are one node. Null and empty texts are
+    alike. Keys may be null (last) or repeated; an empty table gives no rows. What two fingerprints differ in decides
+    whether a pair meets: the README has the measured share of pairs found.
+    """
+    staged = _staged(docs, key, text, words, prints)
+    of = _classes(staged, text, words, similarity, prints)
+    return staged.select("node", "key").join(of, "node").select(F.col("key.id").alias(key), F.col("component_id.id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = COPY_WORDS, similarity: float = SIMILARITY, prints: int = PRINTS) -> DataFrame:
+    """Of each component of ``near_copies`` the row with the least key stays (null ones last), as it was given.
+
+    What is dropped grows with the corpus, so the join that drops it is a merge join at every size.
+    """
+    staged = _staged(docs, key, text, words, prints)
+    of = _classes(staged, text, words, similarity, prints)
+    dropped = materialize(staged.select("node", "key").join(of, "node").filter("key <> component_id").select("key.place"), "copies-dropped")
+    return staged.select("row", "key.place").join(dropped.hint("merge"), "place", "left_anti").select("row.*")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

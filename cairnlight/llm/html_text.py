@@ -1,10 +1,12 @@
 """Main text of web pages by tag-path ratios.
 
-Each text node belongs to the path of block tags from the root to its leaf. Per path, text length and punctuation per
-node are aggregated; both series are smoothed over neighbouring nodes in page order and fused into one score by their
-product; paths whose score reaches the threshold hold content. The deepest element that holds nearly all text of those
-paths lies in the article. Where an ``article`` or ``main`` is around it, the outermost of these is the article; else it is
-the smallest element with all content, and the headings, paragraphs and lists beside it. Its own boilerplate is left out.
+Each block of text belongs to the path of tags from the root to its leaf; a tag whose role, class or id names boilerplate
+counts as another tag. Per path, text length, punctuation and the share of text in links are aggregated. Length and
+punctuation are smoothed over neighbouring blocks in page order and fused into one score by their product; links and
+boilerplate names on the path lower it. Paths that reach a share of the page's mean score hold content. They mark the
+article: the outermost ``article`` or ``main`` around what holds most of them, else the smallest element with all of them
+and what is beside it. In the article, a block stays where its path reaches a far lower share: short headings, items and
+cells do, what is named as boilerplate or is all links doesn't.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,64 +33,87 @@ RAW = frozenset("script style noscript template iframe textarea xmp noembed nofr
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
-#: Elements, roles and name parts of what isn't the article.
+#: Elements, roles and name parts that lower a path's score.
 OUTSIDE = frozenset("head nav footer aside form button select option dialog menu object canvas audio video map".split())
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
 OUTSIDE_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|sponsor|sponsored|promo|promoted|promotion|banner|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|side|aside|widget|footer|foot|masthead|site-header|page-header|topbar|toolbar|comment|comments|disqus|replies|reply|respond|discussion|cookie|cookies|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|search|share|sharing|social|related|recommended|recommendations|outbrain|taboola|pagination|pager|tags|hidden|copyright|legal|disclaimer)(?:$|[\s_-])", re.I)
 #: End tags of raw elements, found in the page itself: lower() may change its length.
 _RAW_END = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW}
-#: What can stand beside the content element and be the article's; before it, a title or lead.
-BESIDE = frozenset("h1 h2 h3 h4 h5 h6 hgroup p ul ol dl table blockquote pre figure div section".split())
+#: Of what can be the article's title or lead before the element that holds its text.
 LEAD = frozenset("h1 h2 h3 h4 h5 h6 hgroup p".split())
-#: Half-width of the smoothing window; the threshold in mean scores; the share of selected text that the content element holds.
-SMOOTH, THRESHOLD, HELD = 2, 0.5, 0.85
+#: Half-width of the smoothing window; the share of the mean score that marks the article, and the share of that which stays
+#: in it; the factor of paths with boilerplate names; the share of marked text that an element must hold to be taken for
+#: the article's.
+SMOOTH, THRESHOLD, STAYS, NAMED, HELD = 2, 0.5, 0.04, 0.001, 0.85
+#: Elements that end an open one of their family, and those that hide it (fixed values of the HTML standard).
+_FAMILIES = {
+    "p": ({"p"}, {"div", "article", "section", "td", "li", "body"}),
+    "li": ({"li"}, {"ul", "ol", "menu", "table", "dl", "select", "body"}),
+    "tr": ({"tr"}, {"ul", "ol", "menu", "table", "dl", "select", "body"}),
+    "td": ({"td", "th"}, {"ul", "ol", "menu", "table", "dl", "select", "body", "tr", "tbody", "thead"}),
+    "dd": ({"dd", "dt"}, {"ul", "ol", "menu", "table", "dl", "select", "body"}),
+    "option": ({"option"}, {"ul", "ol", "menu", "table", "dl", "select", "body"}),
+}
+_FAMILY_OF = {name: family for family, (names, _) in _FAMILIES.items() for name in names} | dict.fromkeys(CLOSES_P, "p")
 
 
 class _Node:
-    __slots__ = ("chars", "children", "linked", "name", "out", "own", "parent", "path", "size")
+    """An element: its place in page order, the last place inside it, its path, and per family the open element to end."""
 
-    def __init__(self, name: str, parent: _Node | None, out: bool, path: str) -> None:
-        self.name, self.parent, self.out, self.path = name, parent, out, path
-        self.chars = self.own = 0  # of chosen text: in all and not in a child
-        self.size = self.linked = 0  # of all text, and of that in links
-        self.children: list[_Node] = []
+    __slots__ = ("article", "at", "chars", "last", "named", "name", "open", "parent", "path")
 
+    def __init__(self, name: str, parent: _Node | None, named: bool, at: int, path: int) -> None:
+        self.name, self.parent, self.named, self.at, self.path, self.last = name, parent, named, at, path, at
+        self.chars = 0.0  # of marked text
+        self.article = parent is not None and (parent.article or name in ("article", "main"))
+        self.open = parent.open if parent is not None else {}
+        changed = {f: (self if name in members else None) for f, (members, hide) in _FAMILIES.items() if name in members or name in hide}
+        if changed:
+            self.open = self.open | changed
 
-def _outside(name: str, attributes: str, parent: _Node) -> bool:
-    if name in OUTSIDE or (name == "header" and not _within(parent, ("article", "main"))):
+
+def _boilerplate(name: str, attributes: str, parent: _Node) -> bool:
+    if name in OUTSIDE or (name == "header" and not parent.article):
         return True
     if not attributes or name in ("html", "body", "article", "main"):
         return False
     for k, a, b, c in _ATTR.findall(attributes):
         k, v = k.lower(), a or b or c
-        if (k in ("class", "id") and OUTSIDE_NAMES.search(v)) or (k == "role" and v.lower() in OUTSIDE_ROLES) or (k == "hidden") or (k == "aria-hidden" and v == "true") or (k == "style" and "display:none" in v.replace(" ", "").lower()):
+        if (k in ("class", "id") and OUTSIDE_NAMES.search(v)) or (k == "role" and v.lower() in OUTSIDE_ROLES):
             return True
     return False
 
 
-def _within(node: _Node | None, names: tuple[str, ...]) -> bool:
-    while node is not None:
-        if node.name in names:
+def _hidden(attributes: str) -> bool:
+    """The element is never shown."""
+    for k, a, b, c in _ATTR.findall(attributes):
+        k, v = k.lower(), a or b or c
+        if k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and "display:none" in v.replace(" ", "").lower()):
             return True
-        node = node.parent
     return False
 
 
-def _ancestors(node: _Node | None) -> Iterator[_Node]:
-    """The node and what is around it."""
-    while node is not None:
-        yield node
-        node = node.parent
+@dataclass
+class _Page:
+    """Elements in page order, and blocks of text: their elements, texts, and lengths of text in links."""
 
+    nodes: list[_Node]
+    at: list[_Node]
+    texts: list[str]
+    linked: list[int]
 
-def _blocks(page: str) -> tuple[_Node, list[tuple[_Node, str]]]:
-    """The element tree without inline elements, and the page's blocks of text with their elements, in page order."""
-    root = _Node("", None, False, "")
-    node, blocks, run = root, [], []
-    inline: list[bool] = []  # of open inline elements, those that are outside the article
-    anchors: list[bool] = []  # of open inline elements, those that are links
-    at, n, linked = 0, len(page), 0
+
+def _parsed(page: str) -> _Page:
+    """Elements without inline ones, in one pass: each is opened and closed once, whatever the depth."""
+    paths: dict[tuple[int, str, bool], int] = {}
+    root = _Node("", None, False, 0, 0)
+    out = _Page([root], [], [], [])
+    node, run, linked = root, [], 0
+    depth: dict[str, int] = {}  # open elements by name
+    inline: list[tuple[bool, bool]] = []  # of open inline elements: boilerplate, link
+    outside = anchors = 0
+    at, n = 0, len(page)
 
     def flush() -> None:
         nonlocal linked
@@ -95,17 +121,27 @@ def _blocks(page: str) -> tuple[_Node, list[tuple[_Node, str]]]:
             text = _SPACE.sub(" ", html.unescape("".join(run))).strip()
             run.clear()
             if text:
-                blocks.append((node, text))
-                node.size += len(text)
-                node.linked += min(linked, len(text))
+                out.at.append(node)
+                out.texts.append(text)
+                out.linked.append(min(linked, len(text)))
             linked = 0
 
+    def ended(up: _Node) -> _Node:
+        """The parent of ``up``, which is closed with all that is open inside it."""
+        x = node
+        while True:
+            depth[x.name] -= 1
+            x.last = len(out.nodes) - 1
+            if x is up:
+                return x.parent
+            x = x.parent
+
     while at < n:
         m = _TOKEN.search(page, at)
         text = page[at : m.start()] if m else page[at:]
-        if text and not any(inline):
+        if text and not outside:
             run.append(text)
-            if any(anchors):
+            if anchors:
                 linked += len(text)
         if not m:
             break
@@ -122,25 +158,26 @@ def _blocks(page: str) -> tuple[_Node, list[tuple[_Node, str]]]:
         if name in INLINE:
             if close:
                 if inline:
-                    inline.pop()
-                    anchors.pop()
+                    x, y = inline.pop()
+                    outside, anchors = outside - x, anchors - y
             elif not empty:
-                inline.append(_outside(name, attributes, node))
-                anchors.append(name == "a")
+                inline.append((bool(attributes) and (_boilerplate(name, attributes, node) or _hidden(attributes)), name == "a"))
+                outside, anchors = outside + inline[-1][0], anchors + inline[-1][1]
             continue
         if name == "br":
             run.append(" ")
             continue
         if close:
-            up = node
-            while up is not None and up.name != name:
-                up = up.parent
-            if up is not None and up.parent is not None:
+            if depth.get(name, 0):
+                up = node
+                while up.name != name:
+                    up = up.parent
                 flush()
-                node = up.parent
+                node = ended(up)
                 inline.clear()
-                anchors.clear()
+                outside = anchors = 0
             continue
+        hidden = bool(attributes) and name not in VOID and name not in ("html", "body") and _hidden(attributes)
         if name in RAW:
             if not empty:
                 closing = _RAW_END[name].search(page, at)
@@ -148,27 +185,21 @@ def _blocks(page: str) -> tuple[_Node, list[tuple[_Node, str]]]:
             continue
         flush()
         inline.clear()
-        anchors.clear()
-        if name in CLOSES_P:
-            up = node
-            while up is not None and up.name not in ("p", "div", "article", "section", "td", "li", "body"):
-                up = up.parent
-            if up is not None and up.name == "p":
-                node = up.parent
-        elif name in ("li", "td", "th", "tr", "dd", "dt", "option"):
-            same = {"li": ("li",), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "option": ("option",)}[name]
-            stop = ("ul", "ol", "menu", "table", "dl", "select", "body") + (("tr", "tbody", "thead") if name in ("td", "th") else ())
-            up = node
-            while up is not None and up.name not in same and up.name not in stop:
-                up = up.parent
-            if up is not None and up.name in same:
-                node = up.parent
+        outside = anchors = 0
+        up = node.open.get(_FAMILY_OF.get(name, ""))
+        if up is not None:
+            node = ended(up)
         if name not in VOID and not empty:
-            child = _Node(name, node, node.out or _outside(name, attributes, node), f"{node.path}/{name}")
-            node.children.append(child)
-            node = child
+            named = _boilerplate(name, attributes, node)
+            path = paths.setdefault((node.path, name, named or hidden), len(paths) + 1)
+            node = _Node(name, node, node.named or named or hidden, len(out.nodes), path)
+            out.nodes.append(node)
+            depth[name] = depth.get(name, 0) + 1
     flush()
-    return root, blocks
+    while node is not root:
+        node = ended(node)
+    root.last = len(out.nodes) - 1
+    return out
 
 
 def _smooth(x: np.ndarray) -> np.ndarray:
@@ -177,85 +208,63 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return near(x) / near(np.ones(len(x)))
 
 
+def path_scores(path: np.ndarray, length: np.ndarray, marks: np.ndarray, linked: np.ndarray, named: np.ndarray) -> np.ndarray:
+    """For each block the score of its path, in means of the page's (weighted by length).
+
+    A block's score is the root of smoothed length, of punctuation and of the path's own length, lowered by the path's share
+    of links and by NAMED; the path's score is the mean of its blocks'.
+    """
+    of = np.unique(path, return_inverse=True)[1]
+    count, size = np.bincount(of), np.bincount(of, length)
+    lowered = (1 - np.bincount(of, linked) / size) ** 2 * np.where(np.bincount(of, named) > 0, NAMED, 1.0)
+    text_ratio, mark_ratio = size / count * lowered, np.bincount(of, marks) / count * lowered
+    fused = np.sqrt(_smooth(text_ratio[of]) * (1 + _smooth(mark_ratio[of])) * np.maximum(size / count, 1)[of]) * lowered[of]
+    by_path = np.bincount(of, fused * length) / size
+    mean = float((fused * length).sum() / length.sum())
+    return by_path[of] / mean if mean > 0 else np.ones(len(path))
+
+
 def extract(page: str | None) -> str:
-    """The article's text: blocks in page order joined by one blank; empty for null, empty or textless pages."""
-    if not page:
-        return ""
-    _, blocks = _blocks(page)
-    blocks = [(node, t) for node, t in blocks if not node.out]
-    if not blocks:
+    """The article's text: blocks in page order joined by one blank; empty for null, empty or textless pages.
+
+    Time and memory are in proportion to the page, however deep its elements are.
+    """
+    found = _parsed(page) if page else None
+    if found is None or not found.texts:
         return ""
-    length = np.array([len(t) for _, t in blocks], float)
-    marks = np.array([len(_PUNCTUATION.findall(t)) for _, t in blocks], float)
-    path_of: dict[str, int] = {}
-    of = np.array([path_of.setdefault(node.path, len(path_of)) for node, _ in blocks])
-    nodes = np.bincount(of)
-    text_ratio, mark_ratio = np.bincount(of, length) / nodes, np.bincount(of, marks) / nodes
-    fused = np.sqrt(_smooth(text_ratio[of]) * (1 + _smooth(mark_ratio[of])) * np.maximum(text_ratio[of], 1))
-    by_path = np.bincount(of, fused * length) / np.bincount(of, length)
-    mean = float((fused * length).sum() / length.sum())
-    chosen = (by_path >= THRESHOLD * mean)[of]
-    total = 0.0
-    for (node, _), size, use in zip(blocks, length, chosen, strict=True):
-        if use:
-            total += size
-            node.own += size
-            while node is not None:
-                node.chars += size
-                node = node.parent
-    top = blocks[0][0]
-    while top.parent is not None:
+    length = np.array([len(t) for t in found.texts], float)
+    marks = np.array([len(_PUNCTUATION.findall(t)) for t in found.texts], float)
+    path = np.array([x.path for x in found.at])
+    score = path_scores(path, length, marks, np.array(found.linked, float), np.array([x.named for x in found.at]))
+    for x, size, use in zip(found.at, length, score >= THRESHOLD, strict=True):
+        x.chars += size if use else 0.0
+    for x in reversed(found.nodes[1:]):
+        x.parent.chars += x.chars
+    first, last, lead = _article(found)
+    return " ".join(t for x, t, s in zip(found.at, found.texts, score, strict=True) if s >= THRESHOLD * STAYS and (first <= x.at <= last or x.at in lead))
+
+
+def _article(found: _Page) -> tuple[int, int, set[int]]:
+    """First and last place of the article's elements, and the places of titles and leads before it."""
+    total = found.nodes[0].chars
+    most = [x for x in found.nodes if x.chars >= HELD * total]  # each inside the one before, as they hold over a half
+    top = next((x for x in most if x.name in ("article", "main")), None)
+    if top is not None:
+        return top.at, top.last, set()
+    top = [x for x in most if x.chars >= total][-1]
+    if top.name in ("", "html", "body"):
+        return top.at, top.last, set()
+    while top.parent.name not in ("", "html", "body", "td", "th"):
         top = top.parent
-    while True:
-        best = max((c for c in top.children if not c.out), key=lambda c: c.chars, default=None)
-        leaf = best is not None and (best.name in ("p", "pre", "blockquote", "td", "li") or best.name[:1] == "h" and best.name[1:].isdigit()) and top.name not in ("", "html")
-        if best is None or leaf or top.own or best.chars < HELD * total:
-            break
-        top = best
+    return top.at, top.last, {x.at for x in found.nodes[: top.at] if x.parent is top.parent and x.name in LEAD}
 
-    kept, direct = _article(top, total)
-    return " ".join(t for node, t in blocks if node in direct or any(x in kept for x in _ancestors(node)))
 
+def extract_pages(pages: DataFrame, key: str = "page_id", source: str = "html") -> DataFrame:
+    """key, text and n_chars (code points) per page; whole pages of any length, null ones give empty texts.
 
-def _article(top: _Node, total: float) -> tuple[set[_Node], set[_Node]]:
-    """The elements that are the article with all they hold, and those of which only the text outside children is.
-
-    ``top`` holds nearly all chosen text.
+    Null and repeated keys are pages of their own; an empty table gives no rows; other columns, whatever their names, are
+    not read.
     """
-    around = [x for x in _ancestors(top) if x.name in ("article", "main")]
-    if around:
-        return {around[-1]}, set()
-    region = next((x for x in _ancestors(top) if x.chars >= total and x.name not in ("", "html", "body")), top)
-    kept, direct = {region}, set()
-    for child, parent in zip(_ancestors(region), _ancestors(region.parent), strict=False):
-        if child.name in ("td", "th") or parent.name in ("", "html"):
-            break
-        before = True
-        for x in parent.children:
-            before = before and x is not child
-            if x is child or x.out:
-                continue
-            whole = parent.name != "body" and x.name in BESIDE and not _links(x)
-            if whole or x.chars or (before and x.name in LEAD and not _links(x)):
-                kept.add(x)
-        if parent.own or parent.name != "body":
-            direct.add(parent)
-    return kept, direct
-
-
-def _links(node: _Node) -> bool:
-    """Whether links hold half of an element's text or more."""
-    size = linked = 0
-    nodes = [node]
-    while nodes:
-        x = nodes.pop()
-        size, linked = size + x.size, linked + x.linked
-        nodes += x.children
-    return 2 * linked >= size
-
-
-def extract_pages(pages: DataFrame, key: str | None = "page_id", source: str = "html") -> DataFrame:
-    """key (None: all columns), text and n_chars (code points) per page; whole pages of any length, null ones give empty texts."""
 
     def run(parts: Iterator[Part]) -> Iterator[tuple[pa.RecordBatch, list]]:
         for kept, column in parts:

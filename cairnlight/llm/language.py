@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from cairnlight.llm.common import table
 
-#: Bounds of the fit: labelled rows and landmarks per language, bytes of a training text; buckets of n-grams; ridge.
-TRAIN_PER_LANG, LANDMARKS_PER_LANG, TRAIN_BYTES, BUCKETS_LOG2, RIDGE = 300, 48, 65_536, 16, 1e-2
+#: Bounds of the fit: labelled rows and landmarks per language, bytes of a training text and of all, languages (those of most
+#: rows); ridge.
+TRAIN_PER_LANG, LANDMARKS_PER_LANG, TRAIN_BYTES, TOTAL_BYTES, LANGS, RIDGE = 300, 48, 65_536, 256 << 20, 1024, 1e-2
 BATCH = 64
 _LETTERS: list[np.ndarray] = []
 
@@ -32,7 +33,10 @@ def _letters() -> np.ndarray:
 
 
 def presence(text: str | None) -> np.ndarray | None:
-    """Which n-gram buckets a whole text holds; None for null or a text without letters. Case and non-letters are folded."""
+    """The distinct n-grams of a whole text, sorted; None for null or a text without letters. Case and non-letters are folded.
+
+    An n-gram is its code points side by side, 21 bits each; none is zero, so those of different lengths differ.
+    """
     if not text:
         return None
     cp = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -42,21 +46,30 @@ def presence(text: str | None) -> np.ndarray | None:
     cp = np.where(alpha, cp, 32)
     keep = np.ones(len(cp), bool)
     keep[1:] = (cp[1:] != 32) | (cp[:-1] != 32)  # one blank for a run of non-letters
-    c = np.concatenate([[32], cp[keep], [32]]).astype(np.uint32)
-    out = np.zeros(1 << BUCKETS_LOG2, bool)
-    shift = np.uint32(32 - BUCKETS_LOG2)
-    h = c * np.uint32(0x9E3779B1)
-    out[h >> shift] = True
-    h = h[:-1] * np.uint32(0x85EBCA6B) + c[1:] * np.uint32(0xC2B2AE35)
-    out[h >> shift] = True
-    h = h[:-1] * np.uint32(0x27D4EB2F) + c[2:] * np.uint32(0x165667B1)
-    out[h >> shift] = True
+    c = np.concatenate([[32], cp[keep], [32]]).astype(np.uint64)
+    bits = np.uint64(21)
+    two = (c[:-1] << bits) | c[1:]
+    three = (two[:-1] << bits) | c[2:]
+    return np.unique(np.concatenate([c, two, three]))
+
+
+def held(grams: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Which of ``columns`` (sorted, not empty) the text has, as places."""
+    at = np.searchsorted(columns, grams)
+    at[at == len(columns)] = 0
+    return at[columns[at] == grams]
+
+
+def _matrix(rows: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(rows), len(columns)), np.float32)
+    for i, grams in enumerate(rows):
+        out[i, held(grams, columns)] = 1
     return out
 
 
 @dataclass(frozen=True)
 class Model:
-    """``weights`` has a column per language; ``columns`` are the buckets that landmarks hold."""
+    """``weights`` has a column per language; ``columns`` are the n-grams that landmarks hold."""
 
     langs: tuple[str, ...]
     columns: np.ndarray
@@ -68,17 +81,16 @@ def fit(texts: list[str], langs: list[str], landmarks_per_lang: int = LANDMARKS_
     rows = [(p, y) for p, y in ((presence(t), y) for t, y in zip(texts, langs, strict=True)) if p is not None]
     names = tuple(sorted({y for _, y in rows}))
     if not rows:
-        return Model((), np.zeros(0, np.int64), np.zeros((0, 0), np.float32))
+        return Model((), np.zeros(0, np.uint64), np.zeros((0, 0), np.float32))
     marks, taken = [], dict.fromkeys(names, 0)
     for p, y in rows:
         if taken[y] < landmarks_per_lang:
             taken[y] += 1
             marks.append(p)
-    land = np.array(marks)
-    columns = np.flatnonzero(land.any(axis=0))
-    unit = land[:, columns] / np.sqrt(land.sum(axis=1))[:, None]
-    all_p = np.array([p for p, _ in rows])
-    kernel = (all_p[:, columns] @ unit.T) / np.sqrt(all_p.sum(axis=1))[:, None]
+    columns = np.unique(np.concatenate(marks))
+    unit = _matrix(marks, columns) / np.sqrt([len(p) for p in marks])[:, None]
+    kernel = np.concatenate([_matrix([p for p, _ in rows[at : at + BATCH]], columns) @ unit.T for at in range(0, len(rows), BATCH)])
+    kernel /= np.sqrt([len(p) for p, _ in rows])[:, None]
     values, vectors = np.linalg.eigh(unit @ unit.T)
     good = values > 1e-8
     root = vectors[:, good] / np.sqrt(values[good])
@@ -92,13 +104,15 @@ def fit(texts: list[str], langs: list[str], landmarks_per_lang: int = LANDMARKS_
 def sample(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> list[tuple[str, str]]:
     """At most ``per_lang`` (text, lang) of each language, evenly by a hash of the id; texts over TRAIN_BYTES are left out.
 
-    ``docs``: id, text, lang. Languages are counted first; a hash test then leaves about twice the rows needed, so ranking
-    them moves a bounded number of texts whatever the size of a language.
+    ``docs``: id, text, lang. Languages are counted first (of more than LANGS, those with most rows are learned); a hash test then
+    leaves about twice the rows needed, so ranking them moves a bounded number of texts whatever the size of a language.
+    What is collected is TOTAL_BYTES at most, or one text a language.
     """
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= TRAIN_BYTES))
-    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}
+    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()}
     if not counts:
         return []
+    per_lang = min(per_lang, max(1, TOTAL_BYTES // (TRAIN_BYTES * len(counts))))
     part = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
     chosen = F.lit(False)
     for lang, n in counts.items():
@@ -111,7 +125,8 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
     """key, lang_pred and score (0 to 1: the best language's softmax share) per row.
 
     Null texts and texts without a letter are ``und`` with score 0, and so is all if no row was labelled. Whole texts of
-    any length are read; ties go to the first language by name; other columns are not read.
+    any length are read; ties go to the first language by name; null and repeated keys are rows of their own; an empty
+    table gives no rows; other columns, whatever their names, are not read.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
@@ -124,8 +139,8 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
                 found = [(i, p) for i in range(at, min(n, at + BATCH)) if (p := presence(b.column(1)[i].as_py())) is not None]
                 if not found:
                     continue
-                size = np.sqrt(np.array([p.sum() for _, p in found], np.float32))
-                x = np.array([p[model.columns] for _, p in found], np.float32) @ model.weights / size[:, None]
+                size = np.sqrt(np.array([len(p) for _, p in found], np.float32))
+                x = _matrix([p for _, p in found], model.columns) @ model.weights / size[:, None]
                 e = np.exp(4 * (x - x.max(axis=1, keepdims=True)))
                 best = x.argmax(axis=1)
                 for (i, _), k, row in zip(found, best, e, strict=True):
@@ -137,10 +152,10 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
-    rows = sample(docs.filter(~held).select(F.col("doc_id").alias("id"), "text", "lang"))
+    out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    rows = sample(docs.filter(~out).select(F.col("doc_id").alias("id"), "text", "lang"))
     model = fit([t for t, _ in rows], [y for _, y in rows])
-    return predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    return predict(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
 QUERIES = {"op4_language": op4_language}

@@ -6,7 +6,7 @@ keeping the state of the common prefix is the depth-first traversal of their tri
 A unigram model's state is the Viterbi score and last piece of a prefix. The public SentencePiece vocabulary is of kind
 BPE, for which a best score does not give the library's result. There the state is the last piece of the prefix's BPE
 encoding: it is the one piece that ends the prefix, and that merging would leave apart from the last piece before it.
-Ids equal the library's for either kind.
+Ids equal the public library's for that kind, and a public unigram encoder's for the other (tests).
 """
 
 from __future__ import annotations
@@ -27,8 +27,9 @@ from cairnlight.llm.common import Part, carried, table
 MARK = "▁"
 #: Where the public vocabulary lies, unless a caller names another model.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Bounds of what a worker keeps: words with their pieces, checked pairs of pieces, code points of text per walk.
-KEPT_WORDS, KEPT_PAIRS, WALK_CHARS = 300_000, 300_000, 2_000_000
+#: Bounds of what a worker keeps: code points of words with their pieces, checked pairs of pieces (short each), code points
+#: of text per walk (or one text).
+KEPT_CHARS, KEPT_PAIRS, WALK_CHARS = 3_000_000, 300_000, 2_000_000
 
 
 @dataclass(frozen=True)
@@ -108,6 +109,7 @@ class Encoder:
         self.units = re.compile(rf"{MARK}+{sign}*+{letter}*+|{sign}++{letter}*+|{letter}++")
         self.words: dict[str, tuple[int, ...]] = {}
         self.counts: dict[str, int] = {}
+        self.held = {True: 0, False: 0}  # code points of the words that counts and words hold
         self.raw = [bytes([i - v.bytes_from]) if v.bytes_from >= 0 and v.bytes_from <= i < v.bytes_from + 256 else (p.encode() if v.plain[i] else b"") for i, p in enumerate(v.pieces)]
 
     def merged(self, text: str) -> list[str]:
@@ -158,7 +160,7 @@ class Encoder:
 
     def _extend_unigram(self, word: str, last: list[str], best: list[float], i: int) -> None:
         top, end = None, word[i - 1]
-        for n in range(1, min(i, self.longest) + 1):
+        for n in range(min(i, self.longest), 0, -1):  # of equal scores the longest last piece stays, as in the library
             piece = word[i - n : i]
             s = self.score.get(piece, self.floor if n == 1 else None)
             if s is not None and (top is None or best[i - n] + s > top):
@@ -216,9 +218,12 @@ class Encoder:
         kept = self.counts if count_only else self.words
         distinct = set(chain.from_iterable(texts))
         fresh = distinct.difference(kept)
-        if len(kept) + len(fresh) > KEPT_WORDS:
+        size = sum(map(len, fresh))
+        if self.held[count_only] + size > KEPT_CHARS:  # what one batch has may be more: then it goes with the next
             kept.clear()
-            fresh = distinct
+            fresh, size = distinct, sum(map(len, distinct))
+            self.held[count_only] = 0
+        self.held[count_only] += size
         kept.update(self.walk(fresh, count_only))
         return kept
 
@@ -250,12 +255,13 @@ def _groups(parts: Iterator[Part]) -> Iterator[tuple[pa.RecordBatch, list]]:
                 begin, texts, size = i + 1, [], 0
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, key: str | None = "doc_id", text: str = "text") -> DataFrame:
-    """key (None: all columns), ids (array<int>) and exact: decoding the ids gives the text again.
+def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, ids (array<int>) and exact: decoding the ids gives the text again.
 
     Null and empty texts have no ids (exact holds for both: null decodes to nothing). A text that holds the mark U+2581
-    itself comes back with a blank in its place, as from the library, so it isn't exact. Repeated rows are repeated,
-    very long texts are whole, an empty table gives no rows.
+    itself comes back with a blank in its place, as from the library, so it isn't exact. Null and repeated keys are rows
+    of their own, very long texts are whole, an empty table gives no rows; other columns, whatever their names, are not
+    read (for whole rows pass ``packed`` ones).
     """
 
     def run(parts: Iterator[Part]) -> Iterator[tuple[pa.RecordBatch, list]]:
@@ -288,8 +294,11 @@ def decode(rows: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", ids: st
     return part.mapInArrow(run, f"key {kind}, text string").withColumnRenamed("key", key)
 
 
-def token_counts(docs: DataFrame, vocabulary: Vocabulary, key: str | None = "doc_id", text: str = "text") -> DataFrame:
-    """key (None: all columns), n_words (marked words) and n_tokens (as many as ``encode`` gives ids); null and empty texts count 0."""
+def token_counts(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_words (marked words) and n_tokens (as many as ``encode`` gives ids) per row.
+
+    Null and empty texts count 0; rows, keys, long texts, empty tables and other columns as in ``encode``.
+    """
 
     def run(parts: Iterator[Part]) -> Iterator[tuple[pa.RecordBatch, list]]:
         encoder = encoder_of(vocabulary)

@@ -8,13 +8,16 @@ searched backward at once, occurrences are located by walking to a sample, and t
 
 from __future__ import annotations
 
-import hashlib
+import uuid
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairnlight.llm.common import Part, carried, table
@@ -22,8 +25,9 @@ from cairnlight.llm.common import Part, carried, table
 WINDOW = 10
 #: Letters, digits and all beyond ASCII are word bytes; A-Z becomes a-z; the rest separates words.
 FOLD = bytes((b + 32 if 65 <= b <= 90 else b) if b >= 128 or 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 else 32 for b in range(256))
-#: Words of a shard (a longer document is a shard by itself), and bytes of benchmark text per pass.
-SHARD_WORDS, BLOCK_BYTES = 1_500_000, 32 << 20
+#: Code points and rows of a shard (a longer document ends its shard), bytes of a block of benchmark text, and the blocks
+#: that one pass over the documents takes (their windows are what a worker keeps).
+SHARD_CHARS, SHARD_ROWS, BLOCK_BYTES, PASS_BLOCKS = 8_000_000, 50_000, 8 << 20, 4
 PIECE, SAMPLE = 48, 8
 
 
@@ -31,31 +35,61 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(FOLD).split()
 
 
-class Windows:
-    """Distinct windows of the items, over an alphabet of the items' words (codes from 1; 0 is any other word)."""
+class Block:
+    """Items as codes of their words (from 1; 0 is any other word): what goes to the workers."""
 
-    def __init__(self, items: Iterable[tuple[int, str | None]], window: int = WINDOW) -> None:
+    def __init__(self, items: Iterable[tuple[int, str | None]]) -> None:
         self.codes: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[int]] = {}
+        self.ids: list[int] = []
+        flat, ends = array("i"), [0]
         for item, text in items:
-            w = [self.codes.setdefault(x, len(self.codes) + 1) for x in words_of(text)]
-            for i in range(max(1, len(w) - window + 1) if w else 0):
-                found.setdefault(tuple(w[i : i + window]), set()).add(item)
-        order = sorted(found)
-        self.lengths = np.array([len(x) for x in order], np.int64)
-        self.items = [sorted(found[x]) for x in order]
-        self.by_length = [SameLength(order, np.flatnonzero(self.lengths == n), int(n), len(self.codes) + 1) for n in np.unique(self.lengths)]
+            flat.extend(self.codes.setdefault(x, len(self.codes) + 1) for x in words_of(text))
+            if len(flat) > ends[-1]:
+                self.ids.append(item)
+                ends.append(len(flat))
+        self.flat, self.ends = np.array(flat, np.int32), np.array(ends, np.int64)
+        self.key = uuid.uuid4().hex
+
+
+class Windows:
+    """Distinct windows of a block's items, those of each length apart."""
+
+    def __init__(self, items: Iterable[tuple[int, str | None]] | Block, window: int = WINDOW) -> None:
+        block = items if isinstance(items, Block) else Block(items)
+        self.codes, self.by_length = block.codes, []
+        size = np.diff(block.ends)
+        lengths, pairs, first = [np.zeros(0, np.int64)], [np.zeros((0, 2), np.int64)], 0
+        for n in np.unique(np.minimum(size, window)):
+            use = np.flatnonzero(np.minimum(size, window) == n)
+            many = size[use] - n + 1
+            item = np.repeat(use, many)
+            begin = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + block.ends[item]
+            words = block.flat[begin[:, None] + np.arange(n)]
+            ids = words[:, 0].astype(np.int64)
+            for k in range(1, n):  # equal prefixes have equal numbers, one word after another
+                ids = np.unique(ids * (len(self.codes) + 1) + words[:, k], return_inverse=True)[1]
+            at, ids = np.unique(ids, return_index=True, return_inverse=True)[1:]
+            self.by_length.append(SameLength(words[at], first + np.arange(len(at)), len(self.codes) + 1))
+            lengths.append(np.full(len(at), n, np.int64))
+            pairs.append(np.unique(np.stack([first + ids, item], 1), axis=0))
+            first += len(at)
+        self.lengths = np.concatenate(lengths)
+        found = np.concatenate(pairs)
+        self.starts = np.searchsorted(found[:, 0], np.arange(first + 1))
+        self.item = [block.ids[i] for i in found[:, 1]]
+
+    def items(self, window: int) -> list[int]:
+        """Ids of the items that have the window."""
+        return self.item[self.starts[window] : self.starts[window + 1]]
 
 
 class SameLength:
     """The windows of one length: their own alphabet (``recode`` maps codes to it), words, and places among all windows."""
 
-    def __init__(self, order: list[tuple[int, ...]], of: np.ndarray, longest: int, codes: int) -> None:
-        words = np.array([order[i] for i in of], np.int64).reshape(len(of), longest)
+    def __init__(self, words: np.ndarray, of: np.ndarray, codes: int) -> None:
         used, own = np.unique(words, return_inverse=True)
-        self.of, self.longest, self.size = of, longest, len(used) + 1
-        self.words = own.reshape(words.shape).astype(np.int64) + 1
-        self.lengths = np.full(len(of), longest, np.int64)
+        self.of, self.longest, self.size = of, words.shape[1], len(used) + 1
+        self.words = own.reshape(words.shape).astype(np.int32) + 1
         self.recode = np.zeros(codes, np.int32)
         self.recode[used] = np.arange(1, len(used) + 1)
 
@@ -125,7 +159,7 @@ class FMIndex:
 
     def search(self, windows: SameLength) -> tuple[np.ndarray, np.ndarray]:
         """Rows [lo, hi) of every window."""
-        m = len(windows.lengths)
+        m = len(windows.words)
         lo, hi = np.zeros(m, np.int64), np.full(m, len(self.bwt), np.int64)
         for k in range(windows.longest - 1, -1, -1):
             c = windows.words[:, k]
@@ -191,26 +225,21 @@ def _occurrences(codes: np.ndarray, windows: SameLength) -> tuple[np.ndarray, np
     return where[index.locate(rows)], hit
 
 
-def _shards(batches: Iterator[Part], codes: dict[bytes, int]) -> Iterator[tuple[pa.RecordBatch, list, list]]:
-    """Runs of documents of SHARD_WORDS words, across batches; a longer document ends its run."""
-    keys, parts, texts, total = [], [], [], 0
-    get = codes.get
+def _shards(batches: Iterator[Part]) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Runs of documents across batches, bounded in code points and rows; a longer document ends its run."""
+    kept_, texts, total = [], [], 0
     for kept, column in batches:
         begin = 0
         for i, text in enumerate(column):
-            text = text.as_py()
-            w = words_of(text)
-            part = np.fromiter(map(get, w, repeat(0)), np.int32, len(w))
-            parts.append(part)
-            texts.append(text)
-            total += len(part)
-            if total >= SHARD_WORDS:
-                yield pa.concat_batches([*keys, kept.slice(begin, i + 1 - begin)]), parts, texts
-                begin, keys, parts, texts, total = i + 1, [], [], [], 0
+            texts.append(text.as_py())
+            total += len(texts[-1] or "")
+            if total >= SHARD_CHARS or len(texts) >= SHARD_ROWS:
+                yield pa.concat_batches([*kept_, kept.slice(begin, i + 1 - begin)]), texts
+                begin, kept_, texts, total = i + 1, [], [], 0
         if begin < kept.num_rows:
-            keys.append(kept.slice(begin))
-    if keys:
-        yield pa.concat_batches(keys), parts, texts
+            kept_.append(kept.slice(begin))
+    if texts:
+        yield pa.concat_batches(kept_), texts
 
 
 def _hits(parts: list[np.ndarray], windows: Windows) -> tuple[np.ndarray, np.ndarray, dict[int, set[int]]]:
@@ -226,79 +255,111 @@ def _hits(parts: list[np.ndarray], windows: Windows) -> tuple[np.ndarray, np.nda
     items: dict[int, set[int]] = {}
     doc = np.searchsorted(starts, at, side="right") - 1
     for d, w in np.unique(np.stack([doc, window], 1), axis=0).tolist() if len(at) else ():
-        items.setdefault(d, set()).update(windows.items[w])
+        items.setdefault(d, set()).update(windows.items(w))
     return np.cumsum(change)[:-1] > 0, starts, items
 
 
-def _spans(hit: np.ndarray, text: str) -> list[dict]:
-    """Merged spans of hit words as code points of the text."""
+def _runs(hit: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of hit words, as first and one past the last."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+
+
+def _spans(runs: list[tuple[int, int]], text: str) -> list[dict]:
+    """Runs of words as code points of the text."""
     raw = text.encode("utf-8", "surrogatepass")
     folded = np.frombuffer(raw.translate(FOLD), np.uint8) != 32
     edge = np.flatnonzero(np.diff(np.concatenate([[False], folded, [False]]).astype(np.int8)))
     begin, end = edge[::2], edge[1::2]
-    runs = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
     points = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
-    return [{"s": int(points[begin[a]]), "e": int(points[end[b - 1]])} for a, b in zip(runs[::2], runs[1::2], strict=True)]
+    return [{"s": int(points[begin[a]]), "e": int(points[end[b - 1]])} for a, b in runs]
+
 
+_AT_WORK: dict[tuple[str, int], Windows] = {}
 
-RESULTS = "n_words long, n_hit long, items array<long>, spans array<struct<s:int,e:int>>"
 
+def _windows_of(block: Broadcast, window: int) -> Windows:
+    """This worker process's windows of a broadcast block; later tasks in the same process find them built."""
+    key = (block.value.key, window)
+    if key not in _AT_WORK:
+        while len(_AT_WORK) >= PASS_BLOCKS:
+            del _AT_WORK[next(iter(_AT_WORK))]
+        _AT_WORK[key] = Windows(block.value, window)
+    return _AT_WORK[key]
 
-def match(docs: DataFrame, items: list[tuple[int, str | None]], key: str | None = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """key (None: all columns), n_words, n_hit, items (ids with occurring windows) and spans (merged, in code points) per row.
 
-    Null and empty texts have no words; repeated rows are repeated; very long texts form a shard alone; other columns
-    are not read. Items without words have no windows. The items must fit a task: see ``decontaminate`` for any number.
+RESULTS = "n_words long, n_hit long, items array<long>, runs array<struct<a:int,b:int>>, spans array<struct<s:int,e:int>>"
+
+
+def match(docs: DataFrame, blocks: list[Broadcast], key: str = "doc_id", text: str = "text", window: int = WINDOW, prior: bool = False) -> DataFrame:
+    """key, n_words, n_hit, items (ids with occurring windows), runs (of hit words) and spans (of code points) per row.
+
+    ``blocks`` are broadcast and of bounded size. With ``prior`` the key is a struct with items and runs found before.
     """
-    windows = Windows(items, window)
-    spans = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
+    pair = lambda a, b: pa.list_(pa.struct([(a, pa.int32()), (b, pa.int32())]))
 
     def run(batches: Iterator[Part]) -> Iterator[tuple[pa.RecordBatch, list]]:
-        for kept, parts, texts in _shards(batches, windows.codes):
-            n = len(parts)
-            hit, starts, found = _hits(parts, windows) if len(windows.lengths) else (np.zeros(0, bool), np.zeros(n + 1, np.int64), {})
-            own = {d: hit[starts[d] : starts[d] + len(parts[d])] for d in found}
+        for kept, texts in _shards(batches):
+            n = len(texts)
+            found: dict[int, set[int]] = {}
+            hits: dict[int, np.ndarray] = {}
+            sizes: list[int] = []
+            for block in blocks:
+                windows = _windows_of(block, window)
+                get = windows.codes.get
+                parts = [np.fromiter(map(get, w, repeat(0)), np.int32, len(w)) for w in map(words_of, texts)]
+                sizes = [len(p) for p in parts]
+                if not len(windows.lengths):
+                    continue
+                hit, starts, items = _hits(parts, windows)
+                for d, ids in items.items():
+                    own = hit[starts[d] : starts[d] + sizes[d]]
+                    hits[d] = hits[d] | own if d in hits else own
+                    found.setdefault(d, set()).update(ids)
+            if prior:
+                row = kept.column(0)
+                for d, (ids, runs) in enumerate(zip(pc.struct_field(row, "items").to_pylist(), pc.struct_field(row, "runs").to_pylist(), strict=True)):
+                    if ids:
+                        found.setdefault(d, set()).update(ids)
+                        own = hits.setdefault(d, np.zeros(sizes[d], bool)).copy()
+                        for r in runs:
+                            own[r["a"] : r["b"]] = True
+                        hits[d] = own
+            runs = {d: _runs(h) for d, h in hits.items()}
             yield kept, [
-                pa.array([len(p) for p in parts], pa.int64()), pa.array([int(own[d].sum()) if d in own else 0 for d in range(n)], pa.int64()),
-                pa.array([sorted(found.get(d, ())) for d in range(n)], pa.list_(pa.int64())), pa.array([_spans(own[d], texts[d]) if d in own else [] for d in range(n)], spans),
+                pa.array(sizes, pa.int64()), pa.array([int(hits[d].sum()) if d in hits else 0 for d in range(n)], pa.int64()),
+                pa.array([sorted(found.get(d, ())) for d in range(n)], pa.list_(pa.int64())),
+                pa.array([[{"a": a, "b": b} for a, b in runs.get(d, ())] for d in range(n)], pair("a", "b")),
+                pa.array([_spans(runs[d], texts[d]) if d in runs else [] for d in range(n)], pair("s", "e")),
             ]
 
     return carried(docs, key, text, RESULTS, run)
 
 
-def _merged(spans: Column) -> Column:
-    """Sorted spans with overlapping and touching ones joined."""
-    kind = "array<struct<s:int,e:int>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        longer = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))))
-        return F.when((F.size(acc) > 0) & (x["s"] <= last["e"]), longer).otherwise(F.concat(acc, F.array(x)))
-
-    return F.aggregate(F.array_sort(spans), F.array().cast(kind), step)
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str | None = "doc_id", text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``match`` against a benchmark table (item_id, text) of any size.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """key, n_words, n_hit, items (ids with occurring windows) and spans (of code points, merged) per row.
 
-    Items are taken to the tasks only in blocks of checked size, chosen by a hash of the id; under ``block_bytes`` (32 MB)
-    there is one. Further blocks are further passes over the same rows, whose finds are merged row by row: no block moves
-    a document.
+    The benchmark (item_id, text) may be of any size: it is broadcast in blocks of checked size, chosen by a hash of the
+    id, PASS_BLOCKS of them a pass; a further pass carries the finds of the one before along. No pass moves a document.
+    Null and empty texts have no words; null and repeated keys are rows of their own; very long texts form a shard alone;
+    other columns, whatever their names, are not read. Items without words have no windows. Empty tables give no rows or
+    no finds.
     """
+    spark = docs.sparkSession
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = int(size // block_bytes) + 1
+    n = int(size // block_bytes) + 1
     items = benchmark.select("item_id", "text")
-    taken = lambda b: [(r[0], r[1]) for r in (items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)).toLocalIterator()]
-    if blocks == 1:
-        return match(docs, taken(0), key, text, window)
-    names = [key] if key else [c for c in docs.columns if c not in ("n_words", "n_hit", "items", "spans")]
-    rows = docs.select(*names, *([] if text in names else [text])).withColumns({"_items": F.array().cast("array<bigint>"), "_spans": F.array().cast("array<struct<s:int,e:int>>")})
-    for b in range(blocks):
-        found = match(rows, taken(b), None, text, window)
-        rows = found.withColumns({"_items": F.array_union("_items", "items"), "_spans": F.concat("_spans", "spans")}).drop("n_hit", "items", "spans", *(["n_words"] if b + 1 < blocks else []))
-    rows = rows.withColumn("spans", _merged(F.col("_spans")))
-    count = lambda x: F.size(F.regexp_extract_all(F.substring(F.col(text), x["s"] + 1, x["e"] - x["s"]), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))).cast("long")
-    return rows.select(*names, "n_words", F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + count(x)).alias("n_hit"), F.array_sort("_items").alias("items"), "spans")
+    part = lambda b: items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b)
+    blocks = [spark.sparkContext.broadcast(Block((r[0], r[1]) for r in part(b).toLocalIterator())) for b in range(n)]
+    if n <= PASS_BLOCKS:
+        return match(docs, blocks, key, text, window).drop("runs")
+    inner = text.removeprefix(f"{key}.") if text.startswith(f"{key}.") else None
+    own = [F.col(key).alias("key"), *([] if inner else [F.col(text).alias("text")])]
+    rows = docs.select(F.struct(*own, F.array().cast("array<long>").alias("items"), F.array().cast("array<struct<a:int,b:int>>").alias("runs")).alias("c"))
+    for b in range(0, n, PASS_BLOCKS):
+        rows = match(rows, blocks[b : b + PASS_BLOCKS], "c", f"c.key.{inner}" if inner else "c.text", window, True)
+        rows = rows.select(F.struct("c.key", *([] if inner else ["c.text"]), "items", "runs").alias("c"), "n_words", "n_hit", "spans")
+    return rows.select(F.col("c.key").alias(key), "n_words", "n_hit", "c.items", "spans")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,10 +32,13 @@ RULES = (
     QualityRule(2, "symbol_heavy", "4 * n_symbols > n_words"),
     QualityRule(3, "duplicate_lines", "n_lines > 3 AND 2 * n_dup_lines > n_lines"),
     QualityRule(4, "word_length", "n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words)"),
+    QualityRule(5, "no_words", "n_words = 0"),
+    QualityRule(6, "long_and_repeated", "n_words >= 50 AND 100 * n_repeat_words > 50 * n_words"),
 )
-BASE = 0b00011
-#: Versioned policies: the bits that reject a document. Later versions are added; none is edited.
-POLICIES = {"v1": 0b00011, "v2": 0b11111}
+BASE = 0b0000011
+#: Versioned policies: the bits that reject a document. Later versions are added; none is edited. ``any_length`` doesn't
+#: take shortness for a fault: few words reject only where there is none, repetition only where there are fifty.
+POLICIES = {"v1": 0b0000011, "v2": 0b0011111, "any_length": 0b1111100}
 
 
 def measure(text: str | None) -> tuple[int, int, int, int, int, int]:
@@ -78,11 +81,11 @@ def _measured(parts: Iterator[Part]) -> Iterator[tuple[pa.RecordBatch, list]]:
         yield kept, [pa.array(c, pa.int64()) for c in cols]
 
 
-def ledger(docs: DataFrame, key: str | None = "doc_id", text: str = "text", rules=RULES) -> DataFrame:
-    """One row per input row: key (None: all columns), measurements and ``failed`` (long; bit i is set if rule i fails).
+def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text", rules=RULES) -> DataFrame:
+    """One row per input row: key, measurements and ``failed`` (long; bit i is set if rule i fails).
 
-    Repeated keys give repeated rows; null, empty and very long texts are measured like others; an empty table gives an
-    empty ledger; with a key, no other column of the input but the text is read or returned.
+    For whole rows pass ``packed`` ones. Repeated and null keys give rows of their own; null, empty and very long texts
+    are measured like others; an empty table gives an empty ledger; no other column but the text is read or returned.
     """
     out = carried(docs, key, text, MEASURES, _measured)
     bits: Column = F.lit(0).cast("long")
@@ -115,6 +118,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (F.col("failed").bitwiseAND(F.lit(BASE)) != 0).alias("base_failed"), "kept")
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that each policy's rules reject, and those that only one rejects, over all documents."""
+    return ablate(ledger(table(spark, sf_dir, "documents")))
+
+
 ORACLE_SQL = r"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM docs),
@@ -133,5 +141,14 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     OR (n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words))) AS kept
 FROM b
 """
-QUERIES = {"op10_quality_rules": op10_quality_rules}
-ORACLE = {"op10_quality_rules": ORACLE_SQL}
+ABLATION_SQL = ORACLE_SQL[: ORACLE_SQL.index("b AS (SELECT *")] + """
+f AS (SELECT n_words < 50 AS too_few_words, 100 * n_repeat_words > 50 * n_words AS repeated_windows, 4 * n_symbols > n_words AS symbol_heavy,
+    n_lines > 3 AND 2 * n_dup_lines > n_lines AS duplicate_lines, n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words) AS word_length,
+    n_words = 0 AS no_words, n_words >= 50 AND 100 * n_repeat_words > 50 * n_words AS long_and_repeated FROM m),
+t AS (""" + " UNION ALL ".join(
+    f"SELECT '{p}' AS policy, '{r.name}' AS rule, {r.name} AS hit, ({' OR '.join(x.name for x in RULES if mask >> x.bit & 1 and x is not r)}) AS other FROM f"
+    for p, mask in POLICIES.items() for r in RULES if mask >> r.bit & 1) + """)
+SELECT policy, rule, count(*) FILTER (hit) AS n_rejected, count(*) FILTER (hit AND NOT other) AS n_only FROM t GROUP BY policy, rule
+"""
+QUERIES = {"op10_quality_rules": op10_quality_rules, "quality_ablation": quality_ablation}
+ORACLE = {"op10_quality_rules": ORACLE_SQL, "quality_ablation": ABLATION_SQL}

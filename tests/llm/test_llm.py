@@ -49,7 +49,7 @@ def test_every_query_takes_empty_and_odd_tables(spark, odd, table_dir):
     pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "v", "<p>x" * 50)], "page_id long, url string, html string")
     d = table_dir(documents=odd, benchmark=bench, pages=pages)
     for name, q in registry.QUERIES.items():
-        assert q(spark, d).count() == (3 if "op3" in name else len(ODD)), name
+        assert q(spark, d).count() == (3 if "op3" in name else 12 if name == "quality_ablation" else len(ODD)), name
     d = table_dir(documents=odd.limit(0), benchmark=bench.limit(0), pages=pages.limit(0))
     for name, q in registry.QUERIES.items():
         assert q(spark, d).count() == 0, name
@@ -203,6 +203,56 @@ def test_html(spark, sf):
         assert html_text.extract(r.html) == " ".join(b for b in blocks if b)
 
 
+def plain_scores(page):
+    """Path scores by plain loops over the parsed blocks."""
+    f = html_text._parsed(page)
+    by = defaultdict(list)
+    for i, x in enumerate(f.at):
+        by[x.path].append(i)
+    size = [len(t) for t in f.texts]
+    marks = [len(html_text._PUNCTUATION.findall(t)) for t in f.texts]
+    low, text, mark = [0.0] * len(size), [0.0] * len(size), [0.0] * len(size)
+    for places in by.values():
+        total = sum(size[i] for i in places)
+        lowered = (1 - sum(f.linked[i] for i in places) / total) ** 2 * (html_text.NAMED if any(f.at[i].named for i in places) else 1)
+        for i in places:
+            low[i], text[i], mark[i] = lowered, total / len(places), sum(marks[j] for j in places) / len(places)
+    weight = [np.exp(-0.5 * k * k) for k in range(-2, 3)]
+
+    def smooth(v, i):
+        near = [(w, v[i + k]) for k, w in zip(range(-2, 3), weight, strict=True) if 0 <= i + k < len(v)]
+        return sum(w * x for w, x in near) / sum(w for w, _ in near)
+
+    lt, lm = [a * b for a, b in zip(text, low, strict=True)], [a * b for a, b in zip(mark, low, strict=True)]
+    fused = [np.sqrt(smooth(lt, i) * (1 + smooth(lm, i)) * max(text[i], 1)) * low[i] for i in range(len(size))]
+    mean = sum(a * b for a, b in zip(fused, size, strict=True)) / sum(size)
+    of = {p: sum(fused[i] * size[i] for i in places) / sum(size[i] for i in places) / mean for p, places in by.items()}
+    return f, [of[x.path] for x in f.at]
+
+
+def test_html_scores_are_brute_force(spark, sf):
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        f, want = plain_scores(r.html)
+        a = [np.array(x, float) for x in ([len(t) for t in f.texts], [len(html_text._PUNCTUATION.findall(t)) for t in f.texts], f.linked)]
+        assert np.allclose(html_text.path_scores(np.array([x.path for x in f.at]), *a, np.array([x.named for x in f.at])), want)
+
+
+def test_html_threshold_decides(monkeypatch):
+    pages = [r[0] for r in __import__("duckdb").sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall()]
+    got = [html_text.extract(p) for p in pages]
+    monkeypatch.setattr(html_text, "THRESHOLD", 0.0)
+    assert sum(html_text.extract(p) != g for p, g in zip(pages, got, strict=True)) >= 0.2 * len(pages)
+
+
+def test_html_deep_and_broken_pages_are_linear():
+    import time
+
+    for page in ("<div>" * 200_000 + "deep", "<x>" * 100_000 + "<p>a" * 100_000, "<b>" * 200_000 + "x", "</q>" * 200_000, "<ul><li>" * 100_000 + "x", "<a '" * 50_000):
+        began = time.perf_counter()
+        html_text.extract(page)
+        assert time.perf_counter() - began < 15
+
+
 def test_html_other_layouts():
     story = "<p>The first long paragraph, with a comma and <a href=x>a link</a>; it goes on &amp; on.</p><p>Second one, nearly as long as the first, it ends here.</p>"
     for top in ("<div id=main>%s</div>", "<main><section>%s</section></main>", "<div class='post-body'><h2>Title</h2>%s</div>", "<table><tr><td>%s</td></tr></table>"):
@@ -246,10 +296,19 @@ def test_language(spark, table_dir):
 def test_language_kernel_matrix_is_the_plain_kernel():
     texts, langs = ["the cat sat", "le chat est", "the dog ran", "le chien a", "a cat"], ["en", "fr", "en", "fr", "en"]
     p = [language.presence(t) for t in texts]
-    plain = np.array([[(a & b).sum() / np.sqrt(a.sum() * b.sum()) for b in p] for a in p])
+    grams = [{f" {t} "[i : i + n] for n in (1, 2, 3) for i in range(len(t) + 3 - n)} for t in texts]
+    assert [len(g) for g in grams] == [len(x) for x in p]
+    plain = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in grams] for a in grams])
+    assert np.allclose(plain, [[len(np.intersect1d(a, b)) / np.sqrt(len(a) * len(b)) for b in p] for a in p])
     model = language.fit(texts, langs)
-    assert model.langs == ("en", "fr") and np.allclose(np.diag(plain), 1)
-    x = np.array([v[model.columns] / np.sqrt(v.sum()) for v in p]) @ model.weights
+    x = language._matrix(p, model.columns) @ model.weights / np.sqrt([len(v) for v in p])[:, None]
+    # brute force: ridge regression in the landmarks' own space, all of them texts here, by the plain kernel matrix
+    values, vectors = np.linalg.eigh(plain)
+    good = values > 1e-8
+    z = plain @ (vectors[:, good] / np.sqrt(values[good]))
+    y = np.array([[1.0 if lang == n else -1.0 for n in ("en", "fr")] for lang in langs])
+    w = np.linalg.solve(z.T @ z + language.RIDGE * 5 * np.eye(z.shape[1]), z.T @ (y + 1 - 2 * np.array([0.6, 0.4])))
+    assert model.langs == ("en", "fr") and np.allclose(x, z @ w, atol=1e-4)
     assert [model.langs[i] for i in x.argmax(axis=1)] == langs
 
 
@@ -274,6 +333,25 @@ def test_encoding_equals_the_library(spark, sf, odd):
         assert got[k].exact == (back[k] == (t or "")) and (got[k].exact or pieces.MARK in t)
 
 
+def test_a_unigram_model_equals_a_public_encoder(spark, table_dir, tmp_path):
+    """The public pieces and scores under a model of kind unigram, through the registered queries."""
+    import sentencepiece
+    from tokenizers import Tokenizer, models
+
+    raw = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL).serialized_model_proto()
+    model = tmp_path / "unigram.model"
+    model.write_bytes(raw + b"\x12\x02\x18\x01")  # trainer_spec.model_type = UNIGRAM
+    v = pieces.load(str(model))
+    plain = Tokenizer(models.Unigram(list(zip(v.pieces, v.scores, strict=True)), unk_id=v.unknown, byte_fallback=True))
+    docs = docs_of(spark, "/root/testdata/sf0.01").filter("length(text) < 3000")
+    d = table_dir(documents=docs)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    want = {k: plain.encode((pieces.MARK + t).replace(" ", pieces.MARK)).ids if t else [] for k, t in texts.items()}
+    got = {r.doc_id: r.ids for r in pieces.op5_sentencepiece(spark, d, str(model)).collect()}
+    counts = {r.doc_id: r.n_tokens for r in pieces.op6_token_counts(spark, d, str(model)).collect()}
+    assert v.kind == "unigram" and len(texts) > 500 and got == want and counts == {k: len(x) for k, x in want.items()}
+
+
 def test_unigram_walk_is_the_plain_viterbi():
     toy = {"▁": -2.0, "a": -2.5, "b": -2.6, "c": -3.0, "ab": -3.1, "▁a": -3.2, "bc": -4.0, "abc": -4.1, "▁ab": -4.05, "cab": -6.0}
     names = ("<unk>", *toy)
@@ -322,7 +400,7 @@ def test_decontamination_blocks_and_odd_rows(spark, odd):
     docs = odd.select("doc_id", "text").unionAll(extra)
     texts = {r.doc_id: r.text for r in docs.collect()}
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for block in (1 << 20, 30):
+    for block in (1 << 20, 60, 12):  # one block, one pass of several, several passes
         for r in D.decontaminate(docs, bench, block_bytes=block).collect():
             n, found = plain_hits(texts[r.doc_id], items)
             assert (r.n_hit, set(r["items"])) == (n, found), (r.doc_id, block)
@@ -339,8 +417,16 @@ def test_fm_index_counts_and_locates():
     seq = recode[codes]
     at, which = D.occurrences(seq, w)
     got = Counter(zip(at.tolist(), which.tolist(), strict=True))
-    order = sorted({tuple(w.codes[x] for x in D.words_of(t)[i : i + 10]) for _, t in items for i in range(max(1, len(D.words_of(t)) - 9))})
-    want = Counter((j, k) for k, g in enumerate(order) for j in range(len(seq) - len(g) + 1) if tuple(seq[j : j + len(g)].tolist()) == g)
+    order = {}
+    for part in w.by_length:
+        back = {int(own): code for code, own in enumerate(part.recode) if own}
+        order |= {int(k): tuple(back[int(x)] for x in row) for k, row in zip(part.of, part.words, strict=True)}
+    of = defaultdict(set)
+    for item, t in items:
+        for i in range(max(1, len(D.words_of(t)) - 9)):
+            of[tuple(w.codes[x] for x in D.words_of(t)[i : i + 10])].add(item)
+    assert {g: set(w.items(k)) for k, g in order.items()} == of and [w.lengths[k] for k in order] == [len(g) for g in order.values()]
+    want = Counter((j, k) for k, g in order.items() for j in range(len(seq) - len(g) + 1) if tuple(seq[j : j + len(g)].tolist()) == g)
     assert set(got) == set(want)
 
 
@@ -352,7 +438,7 @@ def test_secret_ledger_is_incremental(spark):
     first = secrets.scan(a)
     assert first.count() == 2 * len(secrets.RULES)
     more = a.unionAll(spark.createDataFrame([("p4", "AKIA" + "A" * 12)], "path string, text string"))
-    kept = first.localCheckpoint() if False else spark.createDataFrame(first.collect(), first.schema)
+    kept = spark.createDataFrame(first.collect(), first.schema)
     again = secrets.scan(more, ledger=kept)
     assert again.count() == len(secrets.RULES)
     newer = (*secrets.RULES[:2], secrets.Rule("hex", "2", "[0-9a-f]{8,}", 0, 8))
@@ -433,6 +519,44 @@ def test_pattern_scores(spark):
     assert got["good"].confidence > 0.85 and got["bad"].confidence < 0.5 and got["good"].n_seeds == 6 and got["refused"].confidence == 0.6
 
 
+def test_long_texts_are_linear(spark):
+    """Hundreds of thousands of spans in one text, numbers far beyond any type: whole and soon."""
+    import time
+
+    many = " ".join(f"u{i}@ab.example" for i in range(150_000))
+    rows = [(1, many), (2, "ip 1.2.3." + "9" * 45), (3, "1" * 300_000), (4, "password = abcdefgh " * 50_000), (5, "1.2.3.4 " * 50_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in pii.find(docs).select("doc_id", F.size("base").alias("n")).collect()}
+    assert {k: r.n for k, r in got.items()} == {1: 150_000, 2: 0, 3: 0, 4: 0, 5: 50_000}
+    redacted = {r.doc_id: r.text for r in pii.redact_all(docs).collect()}
+    assert redacted[1] == " ".join(["<EMAIL>"] * 150_000) and redacted[2] == rows[1][1] and redacted[5] == "<IP> " * 50_000
+    found = secrets.findings_by_path(docs.withColumnRenamed("doc_id", "path"), secrets.update(docs)).select("path", F.size("spans").alias("n")).collect()
+    assert {r.path: r.n for r in found} == {1: 0, 2: 1, 3: 1, 4: 50_000, 5: 0}
+    assert time.perf_counter() - began < 120
+
+
+def test_running_and_replaced(spark):
+    from cairnlight.llm.common import replaced, running
+
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 5, 31, 32, 33, 400, 5000):
+        v = rng.integers(0, 50, n).tolist()
+        row = spark.createDataFrame([(v,)], "v array<int>").select(running(F.col("v"), lambda a, b: a + b).alias("s"), running(F.col("v"), F.greatest).alias("m")).first()
+        assert row.s == np.concatenate([[0], np.cumsum(v)])[:-1].tolist() if n else row.s == []
+        assert row.m == ([0, *np.maximum.accumulate(v).tolist()][:-1] if n else [])
+        text = "".join(rng.choice(list("aé😀 \n"), 3000))
+        spans = sorted((int(s), int(s + rng.integers(0, 40))) for s in rng.integers(0, 2950, min(n, 200)))
+        want, end = "", 0
+        for s, e in spans:
+            if s >= end:
+                want, end = want + text[end:s] + "#", e
+            end = max(end, e)
+        want += text[end:]
+        got = spark.createDataFrame([(text, spans)], "t string, x array<struct<s:int,e:int>>").select(replaced(F.col("t"), F.col("x"), lambda x: F.lit("#")).alias("r")).first().r
+        assert got == (want if spans else text)
+
+
 def test_redact(spark):
     row = spark.createDataFrame([("mail é a@b.c or +1 555 010 2222 end", 1)], "text string, id int").select(pii.redact(F.col("text"), pii.base_spans(F.col("text"))).alias("t")).first()
     assert row.t == "mail é <EMAIL> or <PHONE> end"
@@ -456,6 +580,45 @@ def test_quality_ledger(spark, odd):
 # --- pipeline ---------------------------------------------------------------------------------------------------
 
 
+def alike(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for t in (a, b)))
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def test_near_copies_are_verified_and_found(spark):
+    """No component joins texts that no chain of alike texts connects; of planted copies nearly all are found."""
+    rng = np.random.default_rng(11)
+    rows, planted = [], []
+    for g in range(60):
+        base = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        rows.append((len(rows), " ".join(base)))
+        for edits in (1, 3, 5, 9):
+            w = list(base)
+            for at in rng.choice(300, edits, replace=False):
+                w[at] = f"e{rng.integers(0, 10**6)}"
+            planted.append((len(rows), len(rows) - 1 if edits > 1 else g * 5))
+            rows.append((len(rows), " ".join(w)))
+    rows += [(1000, None), (1001, ""), (1002, rows[0][1].upper().replace("W", "w").replace("E", "e")), (1003, "short one"), (1004, "short one")]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    parent = {i: i for i in texts}
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    pairs = [(a, b) for g in range(60) for a in range(5 * g, 5 * g + 5) for b in range(5 * g, a) if alike(texts[a], texts[b]) >= 0.8]
+    for a, b in [*pairs, (1001, 1000), (1004, 1003), (1002, 0)]:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    for i, c in got.items():
+        assert find(i) == find(c), "joined though not alike"
+    linked = [(a, b) for a, b in pairs if got[a] == got[b]]
+    assert len(linked) >= 0.9 * len(pairs), len(linked) / len(pairs)
+    assert got[1000] == got[1001] == 1000 and got[1004] == 1003 and got[1002] == got[0]
+
+
 def test_pipeline_is_brute_force(spark, sf):
     import corpus_pipeline as C
     import sentencepiece
@@ -465,10 +628,21 @@ def test_pipeline_is_brute_force(spark, sf):
     kept = {}
     for k, r in docs.items():
         n, chars, symbols, dup, rep, lines = quality.measure(r.text)
-        if not (n < 50 or 100 * rep > 50 * n or 4 * symbols > n or (lines > 3 and 2 * dup > lines) or not 2 * n <= chars <= 20 * n):
+        if n and not ((n >= 50 and 100 * rep > 50 * n) or 4 * symbols > n or (lines > 3 and 2 * dup > lines) or not 2 * n <= chars <= 20 * n):
             kept[k] = r.text
-    roots = plain_components({k: plain_simhash(t) for k, t in kept.items()})
-    kept = {k: t for k, t in kept.items() if roots[k] == k}
+    parent = {k: k for k in kept}
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    shingles = {k: simhash._shingles(t, 5) for k, t in kept.items()}
+    pairs = [(a, b) for a in kept for b in kept if b < a and simhash._share(shingles[a], shingles[b]) >= 0.8]
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    kept = {k: t for k, t in kept.items() if find(k) == k}
     w = D.Windows(items)
     out = {}
     for k, t in kept.items():
@@ -481,12 +655,13 @@ def test_pipeline_is_brute_force(spark, sf):
         if hit.all():
             continue
         cut, end = "", 0
-        for s in D._spans(hit, t):
+        for s in D._spans(D._runs(hit), t):
             cut, end = cut + t[end : s["s"]], s["e"]
         out[k] = cut + t[end:]
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     rows = {r.doc_id: r for r in C.run(spark, sf).collect()}
-    assert set(rows) == set(out)
+    # a pair of alike texts may miss each other in all fingerprints (README): then the later one stays too
+    assert set(out) <= set(rows) and len(rows) - len(out) <= 0.02 * len(docs) and all(find(k) != k for k in set(rows) - set(out))
     for k, t in out.items():
         spans = sorted((int(a), int(b), kind) for kind, a, b in (x.split(":") for x in plain_pii(t).split(",") if x))
         clean, end = "", 0
@@ -508,6 +683,36 @@ def test_near_dedup_of_null_and_repeated_ids(spark):
     assert Counter((r.doc_id, r.text) for r in got) == Counter([(1, one), (2, two), (None, three)])
 
 
+EXTRA = "N_Words long, failed string, kept string, spans string, items long, n_hit long, row string, node long, place string, f0 long, ids string, N_IDS long, exact string, _base string, _row long, found string"
+
+
+def test_stages_give_clashing_columns_back(spark, table_dir):
+    """Columns with the names of results, null and repeated doc_ids and rows: values come back as given, row by row."""
+    import corpus_pipeline as C
+
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(900)]
+    names = [x.split()[0] for x in EXTRA.split(", ")]
+    values = lambda i: [(100 * i + j) if "long" in x else f"v{i}.{j}" for j, x in enumerate(EXTRA.split(", "))]
+    rows = [(None if i % 7 == 0 else i // 3, " ".join(rng.choice(words, 80)) + (" mail a@b.example" if i % 2 else ""), "en", "s", 1, *values(i)) for i in range(30)]
+    docs = spark.createDataFrame(rows, f"{DOCS}, {EXTRA}")
+    bench = spark.createDataFrame([(1, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11")], "item_id long, text string")
+    d = table_dir(documents=docs, benchmark=bench)
+    for name, stage in C.STAGES:
+        out = stage(spark, docs, d)
+        assert out.columns[: len(docs.columns)] == docs.columns and len({c.lower() for c in out.columns}) == len(out.columns), name
+        got = Counter((r.doc_id, *(r[n] for n in names)) for r in out.collect())
+        assert got == Counter((r[0], *r[5:]) for r in rows), name
+    from cairnlight.llm import registry
+
+    pages = spark.createDataFrame([(1, "u", "<p>x", 1, "c"), (1, "u", "<p>x", 1, "c"), (None, None, None, 2, "d")], "page_id long, url string, html string, n_chars long, Text string")
+    d = table_dir(documents=docs, benchmark=bench, pages=pages)
+    for name, q in registry.QUERIES.items():
+        if name != "quality_ablation":
+            key, want = ("page_id", pages) if "op3" in name else ("doc_id", docs)
+            assert Counter(r[0] for r in q(spark, d).select(key).collect()) == Counter(r[0] for r in want.select(key).collect()), name
+
+
 def test_pipeline_on_odd_and_empty_tables(spark, odd, table_dir):
     import corpus_pipeline as C
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DASHES = "[-‐‑‒–—―]"
@@ -26,6 +26,15 @@ def prepare(c: Column) -> Column:
     return F.trim(F.lower(F.regexp_replace(F.regexp_replace(blank(c), "<[^>]+>", ""), DASHES, " ")))
 
 
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """``rows`` with columns that are evaluated once a row, however many expressions and filters read them.
+
+    A projection would be merged into its readers, which then repeat it; a generator of one row isn't.
+    """
+    made = F.struct(*(c.alias(n) for n, c in columns.items()))
+    return rows.select("*", F.explode(F.array(made)).alias("_once")).select("*", *(F.col(f"_once.{n}").alias(n) for n in columns)).drop("_once")
+
+
 def normalise_title(c: Column) -> Column:
     """The milder form trend reports use: lower case, hyphens to blanks, italics marks dropped."""
     return F.replace(F.replace(F.replace(F.lower(blank(c)), F.lit("-"), F.lit(" ")), F.lit("<i>"), F.lit("")), F.lit("</i>"), F.lit(""))

@@ -49,9 +49,17 @@ def newest_mention(mentions: DataFrame, key: str, date: str) -> DataFrame:
     return mentions.groupBy(key).agg(F.max(date).alias(date))
 
 
-def linked(links: DataFrame, keys: DataFrame) -> DataFrame:
-    """Links with either end among the keys: two equi-joins in place of one join on OR, each link once."""
-    k = keys.select("key").distinct()
-    a = links.join(k, links.source == k.key, "left_semi")
-    b = links.join(k, links.target == k.key, "left_semi").join(k, F.col("source") == F.col("key"), "left_anti")
-    return a.unionByName(b)
+def linked(links: DataFrame, sources: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """Links with an end among the keys (``key``): two equi-joins in place of one join on OR, each link once.
+
+    Without ``targets`` both ends are looked up among ``sources``.
+    """
+    a = sources.select(F.col("key").alias("source")).distinct()
+    b = (sources if targets is None else targets).select(F.col("key").alias("target")).distinct()
+    return links.join(a, "source", "left_semi").unionByName(links.join(b, "target", "left_semi").join(a, "source", "left_anti"))
+
+
+def year_chunks(first: Column, last: Column) -> Column:
+    """The calendar years of a range of dates, each cut to the range: array<struct<chunk_year, chunk_start, chunk_end>>."""
+    starts = F.sequence(F.trunc(first, "year"), F.trunc(last, "year"), F.expr("interval 1 year"))
+    return F.transform(starts, lambda s: F.struct(F.year(s).cast("long").alias("chunk_year"), F.greatest(first, s).alias("chunk_start"), F.least(last, F.date_sub(F.add_months(s, 12), 1)).alias("chunk_end")))

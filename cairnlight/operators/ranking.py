@@ -39,11 +39,20 @@ def page(df: DataFrame, order: Sequence[Column], offset: int, limit: int) -> Dat
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+#: Items of a packet: what a person can judge, and what a plan can hold as literals.
+PACKET_ITEMS = 2000
+
+
 def presentation_order(items: DataFrame, reviewers: DataFrame, packet: str) -> DataFrame:
     """Per reviewer a fixed shuffle of a packet's items by a hash of packet, reviewer and item.
 
-    A packet and its reviewers are both small by design, but the pairing is an ordinary equi-join on the packet.
+    A packet is small by design, and checked to be (PACKET_ITEMS): its ids are an array in the plan that each reviewer's
+    row orders by itself. Reviewers aren't moved, and no join pairs them with the items.
     """
-    pairs = items.withColumn("packet", F.lit(packet)).join(reviewers.withColumn("packet", F.lit(packet)), "packet")
-    key = F.sha2(F.concat_ws("|", "packet", "reviewer_id", F.col("item_id").cast("string")), 256)
-    return pairs.select("reviewer_id", "item_id", (F.row_number().over(W.partitionBy("reviewer_id").orderBy(key)) - 1).alias("presentation_index"))
+    ids = [r[0] for r in items.select("item_id").orderBy("item_id").limit(PACKET_ITEMS + 1).collect()]
+    if len(ids) > PACKET_ITEMS:
+        raise ValueError(f"a packet has at most {PACKET_ITEMS} items")
+    kind = items.schema["item_id"].dataType.simpleString()
+    keyed = F.transform(F.array(*(F.lit(i) for i in ids)).cast(f"array<{kind}>"), lambda i: F.struct(F.sha2(F.concat_ws("|", F.lit(packet), "reviewer_id", i.cast("string")), 256).alias("h"), i.alias("item_id")))
+    placed = reviewers.select("reviewer_id", F.posexplode(F.array_sort(keyed)).alias("presentation_index", "x"))
+    return placed.select("reviewer_id", "x.item_id", "presentation_index")

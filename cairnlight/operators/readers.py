@@ -40,20 +40,31 @@ def mechanism_trace(mode: Column, evidence: Column, content: Column, primary: Co
 
 
 def belief_content(mode: Column, evidence: Column, content: Column, primary: Column, terms: Terms = V.READER_TERMS) -> Column:
-    """Whether the evidence speaks to the belief's content under its mode."""
+    """Whether the evidence speaks to the belief's content under its mode.
+
+    A conflict decides first. In all modes but biological_relevance a cue that the text is off the topic makes it neutral
+    unless the primary text has an anchor (two in transduction_validity).
+    """
     n = lambda k: T.count_terms(evidence, terms[k])
     anchors = T.count_terms(primary, terms["anchor"])
-    off = T.contains_any(content, terms["off_topic"])
-    sensing = _graded((n("readout") >= 2) & (n("biology") >= 1) & (anchors >= 1) & (n("preservation") >= 1), (n("readout") >= 1) & (n("biology") >= 1) & (anchors >= 1))
-    bound = {
-        "mechanism_to_coupling": _graded((n("mechanism") >= 2) & (anchors >= 1), (n("mechanism") >= 1) & (anchors >= 1)),
-        "platform_bridge": _graded((n("platform") >= 1) & (anchors >= 1), F.lit(False)),
-        "biological_relevance": _graded((n("biology") >= 1) & (n("mechanism") >= 1), n("biology") >= 1),
+    anchored = anchors >= 1
+    off = lambda least: T.contains_any(content, terms["off_topic"]) & (anchors < least)
+    read, meant = n("readout") >= 1, n("biology") >= 1
+    carried = (n("preservation") >= 1) | T.contains_any(content, terms["carrier"])
+    sensing = (F.when(off(2), "neutral").when(T.contains_any(content, terms["unspecified"]), F.when(read, "unclear").otherwise("neutral"))
+               .otherwise(_graded((n("readout") >= 2) & meant & anchored & carried, read & meant & anchored)))
+    on_topic = lambda graded: F.when(off(1), "neutral").otherwise(graded)
+    by_mode = {
+        "transduction_validity": sensing,
+        "mechanism_to_coupling": on_topic(_graded((n("mechanism") >= 2) & anchored, (n("mechanism") >= 1) & anchored)),
+        "platform_bridge": on_topic(_graded((n("platform") >= 1) & anchored, (n("platform") >= 1) & (n("active") >= 1))),
+        "biological_relevance": _graded(meant & (n("state") >= 1), meant),
+        "synthesis_prior": on_topic(_graded((n("synthesis") >= 2) & anchored, T.contains_any(evidence, terms["overview"]) & anchored)),
     }
-    out = F.when(explicit_conflict(content, terms) == "challenge", "challenge").when(off & (anchors < 2) & (mode == "transduction_validity"), "neutral").when(off & (anchors < 1), "neutral").when(mode == "transduction_validity", sensing)
-    for name, graded in bound.items():
+    out = F.when(explicit_conflict(content, terms) == "challenge", "challenge")
+    for name, graded in by_mode.items():
         out = out.when(mode == name, graded)
-    return out.otherwise(_graded(anchors >= 2, anchors == 1))
+    return out.otherwise(on_topic(_graded(anchors >= 2, anchors == 1)))
 
 
 def digest_connection(connection: Column, primary: Column, content: Column, terms: Terms = V.READER_TERMS) -> Column:

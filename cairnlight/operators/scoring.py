@@ -20,13 +20,13 @@ def half_up(c: Column, digits: int) -> Column:
     return F.round(F.round(c, digits + 6), digits)
 
 
-def _entries(dictionary: Mapping[str, int]) -> Column:
-    return F.array(*(F.struct(F.lit(p).alias("phrase"), F.lit(w).alias("weight")) for p, w in dictionary.items()))
-
-
 def matched(text: Column, dictionary: Mapping[str, int]) -> Column:
-    """Dictionary entries that occur in the prepared text (no word borders), in the dictionary's order."""
-    return F.filter(_entries(dictionary), lambda d: F.contains(text, d["phrase"]))
+    """Dictionary entries that occur in the prepared text (no word borders), in the dictionary's order.
+
+    One CASE term an entry: inside a lambda over the entries the text would be prepared again for each.
+    """
+    found = (F.when(F.contains(text, F.lit(p)), F.struct(F.lit(p).alias("phrase"), F.lit(w).alias("weight"))) for p, w in dictionary.items())
+    return F.filter(F.array(*found), lambda d: d.isNotNull())
 
 
 def signal_score(text: Column, dictionary: Mapping[str, int]) -> Column:
@@ -58,8 +58,8 @@ def is_non_research(text: Column, phrases: Sequence[str] = V.NON_RESEARCH) -> Co
 
 
 def prefilter(rows: DataFrame, text: Column, threshold: int, dictionary: Mapping[str, int]) -> tuple[DataFrame, DataFrame]:
-    """(passed, ignored): passed rows score strictly over the threshold."""
-    scored = rows.withColumn("score", signal_score(T.prepare(text), dictionary))
+    """(passed, ignored): passed rows score strictly over the threshold. Each row's text is prepared once."""
+    scored = T.once(T.once(rows, _prepared=T.prepare(text)), score=signal_score(F.col("_prepared"), dictionary)).drop("_prepared")
     return scored.filter(F.col("score") > threshold), scored.filter(F.col("score") <= threshold)
 
 

@@ -21,73 +21,121 @@ def token_set(c: Column, stop: Sequence[str] = (), least: int = 1) -> Column:
     return F.array_except(out, F.array(*(F.lit(s) for s in stop))) if stop else out
 
 
-def overlap_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(a, b, n): tokens in common of ``left`` (a, tokens) and ``right`` (b, tokens), for pairs with any.
+def overlap_pairs(left: DataFrame, right: DataFrame, allowed: Column | None = None) -> DataFrame:
+    """(a, b, n) and the pair's other columns: tokens in common of ``left`` (a, tokens) and ``right`` (b, tokens).
 
-    An inverted-index equi-join on the token; counts combine on the map side, so a pair moves once per task.
+    An inverted-index equi-join on the token. ``allowed`` (over other columns of both sides) leaves pairs out before they
+    are counted; counts combine on the map side, so a pair moves once per task.
     """
-    x = left.select("a", F.explode("tokens").alias("token"))
-    y = right.select("b", F.explode("tokens").alias("token"))
-    return x.join(y, "token").groupBy("a", "b").agg(F.count("*").alias("n"))
+    extra = [c for x, k in ((left, "a"), (right, "b")) for c in x.columns if c not in (k, "tokens")]
+    x = left.withColumn("token", F.explode("tokens")).drop("tokens")
+    y = right.withColumn("token", F.explode("tokens")).drop("tokens")
+    both = x.join(y, "token")
+    return (both if allowed is None else both.filter(allowed)).groupBy("a", "b", *extra).agg(F.count("*").alias("n"))
 
 
-def connections(rows: DataFrame, least: int = 3, similarity: float = 0.35, k: int = 15) -> DataFrame:
-    """Output-to-input links between rows of different classes: id, pos, kind, out_tokens, in_tokens.
+def connections(rows: DataFrame, as_of: Column, days: int = 60, papers: int = 5, chars: int = 10, least: int = 3, similarity: float = 0.35, k: int = 15) -> DataFrame:
+    """Output-to-input links between recent rows of different classes: id, pos, kind, date, output, input.
 
-    A row comes before its partner in ``pos``; at least ``least`` tokens in common, and that share of the smaller set.
+    Rows of the last ``days`` take part; with fewer than ``papers`` there are no links. An output or input under ``chars``
+    characters links nothing. A row comes before its partner in ``pos``; at least ``least`` words in common, and that share
+    of the smaller set. The window bounds the rows, as what is linked is quadratic in rows that use the same words.
     """
-    a = rows.select(F.col("id").alias("a"), F.col("out_tokens").alias("tokens"))
-    b = rows.select(F.col("id").alias("b"), F.col("in_tokens").alias("tokens"))
-    info = lambda p, t: rows.select(F.col("id").alias(p), F.col("pos").alias(f"{p}_pos"), F.col("kind").alias(f"{p}_kind"), F.size(t).alias(f"{p}_size"))
-    pairs = overlap_pairs(a, b).filter(F.col("n") >= least).join(info("a", "out_tokens"), "a").join(info("b", "in_tokens"), "b").filter((F.col("a_pos") < F.col("b_pos")) & (F.col("a_kind") != F.col("b_kind")))
-    scored = pairs.withColumn("similarity", F.round(F.col("n") / F.least("a_size", "b_size"), 3)).filter(F.col("n") / F.least("a_size", "b_size") >= similarity)
+    recent = rows.filter(F.col("date") >= F.date_sub(as_of, days))
+    enough = recent.limit(papers).agg((F.count("*") >= papers).alias("enough")).first().enough
+    trimmed = lambda c: F.trim(F.lower(T.blank(F.col(c))))
+    side = lambda p, c: recent.filter(F.lit(enough) & (F.length(trimmed(c)) >= chars)).select(
+        F.col("id").alias(p), F.col("pos").alias(f"{p}_pos"), F.col("kind").alias(f"{p}_kind"), token_set(F.col(c)).alias("tokens")).withColumn(f"{p}_size", F.size("tokens"))
+    pairs = overlap_pairs(side("a", "output"), side("b", "input"), (F.col("a_pos") < F.col("b_pos")) & (F.col("a_kind") != F.col("b_kind")))
+    share = F.col("n") / F.least("a_size", "b_size")
+    scored = pairs.filter((F.col("n") >= least) & (share >= similarity)).withColumn("similarity", F.round(share, 3))
     return scored.orderBy(F.desc("similarity"), "a", "b").limit(k).select("a", "b", F.col("n").alias("n_shared"), "similarity")
 
 
+#: What a denial starts with (fixed values).
+DENIALS = ("no ", "not ", "absence ", "without ", "lack of ")
+
+
 def constraint_match(constraints: DataFrame, papers: DataFrame, supported: float = 0.4, partial: float = 0.15, stop: Sequence[str] = V.MATCH_STOP_WORDS) -> DataFrame:
-    """Verdict per (constraint, paper) with enough overlap: share of the constraint's terms found among the paper's words.
+    """Verdict per (constraint, paper): supported or partial by the share of the constraint's terms among the paper's words,
+    else violated where the text denies its first three terms (in sorted order), else none.
 
-    Pairs under ``partial`` have no verdict, so only pairs with common terms are formed. ``constraints``: cid, statement;
-    ``papers``: pid, text.
+    ``constraints``: cid, statement; ``papers``: pid, text. Only pairs with common terms are formed; for denials, only
+    pairs in which a denial is followed by the constraint's first term (or, of a single term, by a word that it starts).
     """
-    c = constraints.select("cid", token_set(F.col("statement"), stop).alias("tokens"))
-    p = papers.select("pid", token_set(F.col("text"), stop).alias("tokens"))
-    n = overlap_pairs(c.select(F.col("cid").alias("a"), "tokens"), p.select(F.col("pid").alias("b"), "tokens"))
+    words = token_set(F.col("statement"), stop)
+    c = constraints.select("cid", words.alias("tokens"), F.size(words).alias("size"))
+    p = papers.select("pid", F.trim(F.lower(T.blank(F.col("text")))).alias("text"))
+    n = overlap_pairs(c.select(F.col("cid").alias("a"), "tokens", "size"), p.select(F.col("pid").alias("b"), token_set(F.col("text"), stop).alias("tokens")))
     ratio = F.col("n") / F.greatest(F.lit(1), F.col("size"))
-    rows = n.join(c.select(F.col("cid").alias("a"), F.size("tokens").alias("size")), "a").filter(ratio >= partial)
-    return rows.select(F.col("a").alias("cid"), F.col("b").alias("pid"), F.when(ratio >= supported, "supported").otherwise("partial").alias("result"), F.round(ratio, 2).alias("confidence"))
+    found = n.filter(ratio >= partial).select(F.col("a").alias("cid"), F.col("b").alias("pid"), F.when(ratio >= supported, "supported").otherwise("partial").alias("result"), F.round(ratio, 2).alias("confidence"))
+
+    head = c.select("cid", "size", F.array_join(F.slice(F.array_sort("tokens"), 1, 3), " ").alias("phrase"), F.coalesce(F.get(F.array_sort("tokens"), F.lit(0)), F.lit("")).alias("term"))
+    denial = "|".join(DENIALS)
+    after = F.array_distinct(F.regexp_extract_all("text", F.lit(rf"(?:{denial})(?=(\S*))"), F.lit(1)))
+    starts = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.substring(w, F.lit(1), i))
+    begun = F.array_distinct(F.flatten(F.transform(F.filter(F.col("after"), lambda w: w != ""), starts)))
+    at = p.select("pid", after.alias("after")).filter(F.size("after") > 0).select("pid", "after", begun.alias("begun"))
+    many = at.select("pid", F.explode("after").alias("term")).join(head.filter("size > 1"), "term")
+    one = at.select("pid", F.explode("begun").alias("term")).join(head.filter("size = 1"), "term")
+    none = at.select("pid", F.substring(F.get("after", F.lit(0)), 1, 0).alias("term")).join(head.filter("size = 0"), "term")
+    hits = many.unionByName(one).unionByName(none).select("pid", "cid", "phrase").distinct().join(p, "pid")
+    denied = hits.filter(F.exists(F.array(*(F.lit(d) for d in DENIALS)), lambda d: F.contains("text", F.concat(d, F.col("phrase")))))
+    denied = denied.join(found, ["cid", "pid"], "left_anti").select("cid", "pid", F.lit("violated").alias("result"), F.lit(0.5).alias("confidence"))
+    return found.unionByName(denied)
 
 
 def nearest(reference: DataFrame, queries: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
-    """The most similar reference vector of each query by cosine (ties: the least id), with a verdict.
+    """The most similar reference vector of each query by cosine (ties: the least id; itself left out), with a verdict.
 
-    ``reference`` and ``queries``: id, embedding. Queries go to the tasks in blocks of bounded size, each block one pass
-    of matrix products over the reference, which isn't shuffled; only the best per task and query moves.
+    ``reference`` and ``queries``: id, embedding. The reference is read once and stays where it is. Queries pass the driver
+    one block of bounded size at a time, each broadcast to disk; a task takes a block at a time into memory, keeps the best
+    of each query as two numbers, and returns those at its end: one row per task and query moves.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // block))
-    out = None
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
-        rows = part.select("id", "embedding").collect()
-        ids = [r[0] for r in rows]
-        q = np.array([r[1] for r in rows], np.float64) if rows else np.zeros((0, 1))
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
+    spark = queries.sparkSession
+    blocks, ids, vectors = [], [], []
 
-        def run(batches: Iterator[pa.RecordBatch], q=q, ids=ids) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows or not ids:
-                    continue
-                ref = np.array(batch.column(0).to_pylist())
-                order = np.argsort(ref, kind="stable")
-                m = np.array(batch.column(1).to_pylist(), np.float64)[order]
-                m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    def sent() -> None:
+        q = np.array(vectors, np.float64)
+        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
+        blocks.append((spark.sparkContext.broadcast((np.array(ids, np.int64), q)), len(ids)))
+        ids.clear()
+        vectors.clear()
+
+    for row in queries.select("id", "embedding").filter("embedding IS NOT NULL").toLocalIterator():
+        ids.append(row[0])
+        vectors.append(row[1])
+        if len(ids) >= block:
+            sent()
+    if ids:
+        sent()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [np.full(n, -2.0) for _, n in blocks]
+        match = [np.zeros(n, np.int64) for _, n in blocks]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ref = batch.column(0).to_numpy(zero_copy_only=False)
+            order = np.argsort(ref, kind="stable")
+            ref = ref[order]
+            m = np.array(batch.column(1).to_pylist(), np.float64)[order]
+            m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+            for k, (sent_, _) in enumerate(blocks):
+                own, q = sent_.load_from_path(sent_._path)  # not kept: the next block takes its place
                 sim = q @ m.T
-                best = sim.argmax(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ref[order][best]), pa.array(sim[np.arange(len(ids)), best])], names=["id", "match", "similarity"])
-
-        one = reference.select("id", "embedding").mapInArrow(run, "id long, match long, similarity double")
-        out = one if out is None else out.unionAll(one)
+                sim[own[:, None] == ref[None, :]] = -2.0
+                at = np.round(sim, 12).argmax(axis=1)
+                top = sim[np.arange(len(own)), at]
+                a, b = np.round(top, 12), np.round(best[k], 12)
+                better = (a > b) | ((a == b) & (ref[at] < match[k]))
+                best[k][better], match[k][better] = top[better], ref[at][better]
+        for k, (sent_, _) in enumerate(blocks):
+            use = best[k] > -2.0
+            own = sent_.load_from_path(sent_._path)[0][use]
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(match[k][use]), pa.array(best[k][use])], names=["id", "match", "similarity"])
+
+    out = reference.select("id", "embedding").filter("embedding IS NOT NULL").mapInArrow(run, "id long, match long, similarity double")
     best = out.groupBy("id").agg(F.max_by(F.struct("match", "similarity"), F.struct(F.round("similarity", 12), -F.col("match"))).alias("m"))
     s = F.col("m.similarity")
     return best.select("id", F.col("m.match").alias("match"), F.round(s, 3).alias("similarity"), F.when(s >= 0.5, "high").when(s >= 0.35, "medium").otherwise("low").alias("verdict"))

@@ -14,29 +14,42 @@ from cairnlight.plans.scoring import BASE
 from cairnlight import vocab as V
 
 
-@query("cosine_top1", """WITH q AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 10 = 0), r AS (SELECT vec_id AS m, embedding::DOUBLE[] AS f FROM embeddings WHERE vec_id % 10 <> 0),
-s AS (SELECT id, m, list_cosine_similarity(e, f) AS c FROM q, r), b AS (SELECT id, m, c, row_number() OVER (PARTITION BY id ORDER BY round(c, 12) DESC, m) AS k FROM s) SELECT id, m AS match, round(c, 3) AS similarity, CASE WHEN c >= 0.5 THEN 'high' WHEN c >= 0.35 THEN 'medium' ELSE 'low' END AS verdict FROM b WHERE k = 1""")
+@query("cosine_top1", """WITH q AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 0), r AS (SELECT vec_id AS m, embedding::DOUBLE[] AS f FROM embeddings),
+s AS (SELECT id, m, list_cosine_similarity(e, f) AS c FROM q, r WHERE id <> m), b AS (SELECT id, m, c, row_number() OVER (PARTITION BY id ORDER BY round(c, 12) DESC, m) AS k FROM s) SELECT id, m AS match, round(c, 3) AS similarity, CASE WHEN c >= 0.5 THEN 'high' WHEN c >= 0.35 THEN 'medium' ELSE 'low' END AS verdict FROM b WHERE k = 1""")
 def cosine_top1(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return X.nearest(rows.filter("id % 10 <> 0"), rows.filter("id % 10 = 0"))
+    return X.nearest(rows, rows.filter("id % 100 = 0"))
 
 
-_TOK = "list_distinct(list_filter(regexp_extract_all(lower({c}), '\\S+'), lambda w: length(w) >= 5))"
-_HALF = f"WITH h AS (SELECT doc_id AS id, source AS kind, {_TOK.format(c='left(text, 400)')} AS o, {_TOK.format(c='right(text, 400)')} AS i FROM documents WHERE length(text) >= 400)"
+_TOK = "list_distinct(regexp_extract_all(lower(trim({c})), '\\S+'))"
+_HALF = f"""WITH e AS (SELECT user_id, max(ts)::DATE AS date FROM events GROUP BY 1), r AS (SELECT doc_id AS id, source AS kind, left(text, (length(text) // 2)::BIGINT) AS o, substr(text, (length(text) // 2)::BIGINT + 1) AS i
+  FROM documents JOIN e ON user_id = doc_id WHERE date >= DATE '2024-02-15' - INTERVAL 60 DAY),
+h AS (SELECT id, kind, o, i, {_TOK.format(c='o')} AS ot, {_TOK.format(c='i')} AS it FROM r WHERE (SELECT count(*) FROM r) >= 5),
+a AS (SELECT id, kind, len(ot) AS size, unnest(ot) AS t FROM h WHERE length(trim(o)) >= 10), b AS (SELECT id, kind, len(it) AS size, unnest(it) AS t FROM h WHERE length(trim(i)) >= 10),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS n, count(*) / least(any_value(a.size), any_value(b.size)) AS r FROM a JOIN b USING (t) WHERE a.id < b.id AND a.kind <> b.kind GROUP BY 1, 2)
+SELECT a, b, n AS n_shared, round(r, 3) AS similarity FROM p WHERE n >= 3 AND r >= 0.35 ORDER BY round(r, 3) DESC, a, b LIMIT 15"""
 
 
-@query("similarity_self_join", _HALF + ", a AS (SELECT id, unnest(o) AS t FROM h), b AS (SELECT id, unnest(i) AS t FROM h), p AS (SELECT a.id AS a, b.id AS b, count(*) AS n FROM a JOIN b USING (t) WHERE a.id < b.id GROUP BY 1, 2 HAVING count(*) >= 3), s AS (SELECT a, b, n, n / least(len(x.o), len(y.i)) AS r FROM p JOIN h x ON x.id = a JOIN h y ON y.id = b WHERE x.kind <> y.kind) SELECT a, b, n AS n_shared, round(r, 3) AS similarity FROM s WHERE r >= 0.35 ORDER BY round(r, 3) DESC, a, b LIMIT 15")
+@query("similarity_self_join", _HALF)
 def similarity_self_join(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter(F.length("text") >= 400)
-    rows = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("pos"), F.col("source").alias("kind"), X.token_set(F.left("text", F.lit(400)), least=5).alias("out_tokens"), X.token_set(F.right("text", F.lit(400)), least=5).alias("in_tokens"))
-    return X.connections(rows)
+    newest = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("doc_id")).agg(F.max("ts").cast("date").alias("date"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    docs = table(spark, sf_dir, "documents").join(newest, "doc_id")
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("pos"), F.col("source").alias("kind"), "date", F.left("text", half).alias("output"), F.substring("text", half + 1, F.length("text")).alias("input"))
+    return X.connections(rows, F.lit("2024-02-15").cast("date"))
 
 
 _STOPS = "[" + ", ".join(f"'{w}'" for w in V.MATCH_STOP_WORDS) + "]"
 _TS = "list_filter(list_distinct(regexp_extract_all(lower({c}), '\\S+')), lambda w: NOT list_contains(" + _STOPS + ", w))"
 
 
-@query("constraint_match", f"WITH c AS (SELECT item_id AS cid, {_TS.format(c='text')} AS t FROM benchmark), p AS (SELECT doc_id AS pid, {_TS.format(c='text')} AS u FROM documents), n AS (SELECT cid, pid, count(*) AS n FROM (SELECT cid, unnest(t) AS w FROM c) JOIN (SELECT pid, unnest(u) AS w FROM p) USING (w) GROUP BY 1, 2) SELECT cid, pid, CASE WHEN n / greatest(1, len(t)) >= 0.4 THEN 'supported' ELSE 'partial' END AS result, round(n / greatest(1, len(t)), 2) AS confidence FROM n JOIN c USING (cid) WHERE n / greatest(1, len(t)) >= 0.15")
+_DENIED = " OR ".join(f"contains(p.x, '{d}' || array_to_string(list_sort(c.t)[1:3], ' '))" for d in X.DENIALS)
+
+
+@query("constraint_match", f"""WITH c AS (SELECT item_id AS cid, {_TS.format(c='text')} AS t FROM benchmark), p AS (SELECT doc_id AS pid, trim(lower(coalesce(text, ''))) AS x, {_TS.format(c="coalesce(text, '')")} AS u FROM documents),
+n AS (SELECT cid, pid, count(*) AS n FROM (SELECT cid, unnest(t) AS w FROM c) JOIN (SELECT pid, unnest(u) AS w FROM p) USING (w) GROUP BY 1, 2),
+f AS (SELECT cid, pid, CASE WHEN n / greatest(1, len(t)) >= 0.4 THEN 'supported' ELSE 'partial' END AS result, round(n / greatest(1, len(t)), 2) AS confidence FROM n JOIN c USING (cid) WHERE n / greatest(1, len(t)) >= 0.15)
+SELECT * FROM f UNION ALL SELECT c.cid, p.pid, 'violated', 0.5 FROM c, p WHERE ({_DENIED}) AND NOT EXISTS (SELECT 1 FROM f WHERE f.cid = c.cid AND f.pid = p.pid)""")
 def constraint_match(spark, sf_dir):
     return X.constraint_match(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("cid"), F.col("text").alias("statement")), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pid"), "text"))
 
@@ -44,18 +57,18 @@ def constraint_match(spark, sf_dir):
 _VS = "CASE WHEN l_returnflag = 'R' THEN 'supported' WHEN l_returnflag = 'A' THEN 'violated' ELSE 'partial' END"
 
 
-@query("verification_summary", f"WITH v AS (SELECT l_suppkey AS c, {_VS} AS r FROM lineitem WHERE l_quantity > 49) SELECT count(*) AS total, count(*) FILTER (s) AS supported, count(*) FILTER (x) AS violated, count(*) - count(*) FILTER (s) - count(*) FILTER (x) AS untested FROM (SELECT s_suppkey, coalesce(bool_or(r = 'supported'), false) AS s, coalesce(bool_or(r = 'violated'), false) AS x FROM supplier LEFT JOIN v ON c = s_suppkey GROUP BY 1)")
+@query("verification_summary", f"WITH v AS (SELECT l_suppkey AS c, {_VS} AS r FROM lineitem) SELECT count(*) AS total, count(*) FILTER (s) AS supported, count(*) FILTER (x) AS violated, count(*) - count(*) FILTER (s) - count(*) FILTER (x) AS untested FROM (SELECT s_suppkey, coalesce(bool_or(r = 'supported'), false) AS s, coalesce(bool_or(r = 'violated'), false) AS x FROM supplier LEFT JOIN v ON c = s_suppkey GROUP BY 1)")
 def verification_summary(spark, sf_dir):
     r = F.col("l_returnflag")
-    checks = table(spark, sf_dir, "lineitem").filter("l_quantity > 49").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.bool_or(r == "R").alias("s"), F.bool_or(r == "A").alias("x"))
+    checks = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.bool_or(r == "R").alias("s"), F.bool_or(r == "A").alias("x"))
     rows = table(spark, sf_dir, "supplier").join(checks, "s_suppkey", "left")
     n, s, x = F.count("*"), F.count_if("s"), F.count_if("x")
     return rows.agg(n.alias("total"), s.alias("supported"), x.alias("violated"), (n - s - x).alias("untested"))
 
 
-@query("gap_audit_anti_joins", "SELECT 'untested_part' AS kind, p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) UNION ALL SELECT 'customer_without_orders', c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'weak_user', user_id FROM events GROUP BY user_id HAVING count(*) <= 50")
+@query("gap_audit_anti_joins", "SELECT 'untested_part' AS kind, p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > l_linenumber * 6) UNION ALL SELECT 'customer_without_orders', c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'weak_user', user_id FROM events GROUP BY user_id HAVING count(*) <= 50")
 def gap_audit_anti_joins(spark, sf_dir):
-    used = table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
+    used = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' AND l_quantity > l_linenumber * 6").select(F.col("l_partkey").alias("p_partkey"))
     parts = table(spark, sf_dir, "part").join(used, "p_partkey", "left_anti").select(F.lit("untested_part").alias("kind"), F.col("p_partkey").alias("id"))
     bought = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
     idle = table(spark, sf_dir, "customer").join(bought, "c_custkey", "left_anti").select(F.lit("customer_without_orders"), "c_custkey")
@@ -79,20 +92,20 @@ _YEAR = "2015 + doc_id % 12"
 @query("concept_timeline_pivot", f"{BASE}, y AS (SELECT {_YEAR} AS year, t FROM s) SELECT year, " + ", ".join(f"sum(contains(t, '{p}')::INT)::BIGINT AS {p}" for p in V.TABLE_TIERS[0]) + " FROM y GROUP BY 1")
 def concept_timeline_pivot(spark, sf_dir):
     names = list(V.TABLE_TIERS[0])
-    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % 12 + 2015).alias("year"), T.prepare(F.col("text")).alias("t"))
+    docs = T.once(table(spark, sf_dir, "documents"), t=T.prepare(F.col("text"))).select((F.col("doc_id") % 12 + 2015).alias("year"), "t")
     counts = R.timeline(docs, F.col("year"), F.col("t"), {n: 1 for n in names})
     return docs.select("year").distinct().join(counts.groupBy("year").pivot("phrase", names).agg(F.first("n")), "year", "left").na.fill(0)
 
 
 @query("trajectory_class", f"{BASE}, y AS (" + " UNION ALL ".join(f"SELECT '{p}' AS phrase, 2015 + (doc_id * doc_id) % 12 AS year FROM s WHERE contains(t, '{p}')" for p in V.TABLE_DICTIONARY) + "), g AS (SELECT phrase, count(*) AS total, sum((year >= 2021)::INT) / 6.0::DOUBLE AS recent, sum((year < 2021)::INT) / 6.0::DOUBLE AS earlier FROM y GROUP BY 1) SELECT phrase, total, round(recent, 4) AS recent, round(earlier, 4) AS earlier, CASE WHEN earlier < 1 AND recent >= 2 THEN 'emerging' WHEN recent > 1.3 * earlier THEN 'rising' WHEN recent < 0.7 * earlier THEN 'declining' ELSE 'stable' END AS trajectory FROM g")
 def trajectory_class(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(((F.col("doc_id") * F.col("doc_id")) % 12 + 2015).alias("year"), T.prepare(F.col("text")).alias("t"))
+    docs = T.once(table(spark, sf_dir, "documents"), t=T.prepare(F.col("text"))).select(((F.col("doc_id") * F.col("doc_id")) % 12 + 2015).alias("year"), "t")
     return R.trajectory(R.timeline(docs, F.col("year"), F.col("t"), V.TABLE_DICTIONARY), range(2021, 2027), range(2015, 2021))
 
 
-@query("blind_spot_bigrams", "WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z]{5,}'), lambda x: x NOT IN ('therefore', 'which')) AS ws FROM documents WHERE lang = 'en'), g AS (SELECT DISTINCT doc_id, ws[i] || ' ' || ws[i + 1] AS bigram FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM w)) SELECT bigram, count(*) AS n_docs FROM g GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30")
+@query("blind_spot_bigrams", "WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z]{5,}'), lambda x: x NOT IN ('therefore', 'which')) AS ws FROM documents), g AS (SELECT DISTINCT doc_id, ws[i] || ' ' || ws[i + 1] AS bigram FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM w)) SELECT bigram, count(*) AS n_docs FROM g GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30")
 def blind_spot_bigrams(spark, sf_dir):
-    return R.blind_spot_bigrams(table(spark, sf_dir, "documents").filter("lang = 'en'"), F.lower("text"), ("therefore",), ("which",), 30)
+    return R.blind_spot_bigrams(table(spark, sf_dir, "documents"), F.lower("text"), ("therefore",), ("which",), 30)
 
 
 @query("ngram_counts", "WITH w AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM conversations) SELECT g, count(*) AS n FROM (SELECT ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT ws, unnest(range(1, len(ws) - 1)) AS i FROM w)) GROUP BY 1 HAVING count(*) >= 3")
@@ -108,13 +121,13 @@ def semantic_drift(spark, sf_dir):
 
 @query("topic_cooccurrence", f"{BASE}, h AS (" + " UNION ALL ".join(f"SELECT doc_id, '{p}' AS p FROM s WHERE contains(t, '{p}')" for p in V.TABLE_DICTIONARY) + ") SELECT x.p AS a, y.p AS b, count(*) AS n FROM h x JOIN h y ON x.doc_id = y.doc_id AND x.p < y.p GROUP BY 1, 2")
 def topic_cooccurrence(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(T.prepare(F.col("text")).alias("t"))
+    docs = T.once(table(spark, sf_dir, "documents"), t=T.prepare(F.col("text"))).select("t")
     return R.cooccurrence(docs, F.transform(S.matched(F.col("t"), V.TABLE_DICTIONARY), lambda d: d["phrase"]))
 
 
 @query("signal_graph_nodes", f"{BASE}, h AS (" + " UNION ALL ".join(f"SELECT doc_id, '{p}' AS node FROM s WHERE contains(t, '{p}')" for p in V.TABLE_TIERS[0]) + ") SELECT node, count(*) AS degree, CASE WHEN count(*) >= 100 THEN 3 WHEN count(*) >= 50 THEN 2 ELSE 1 END AS band FROM h GROUP BY 1")
 def signal_graph_nodes(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.prepare(F.col("text")).alias("t"))
+    docs = T.once(table(spark, sf_dir, "documents"), t=T.prepare(F.col("text"))).select("doc_id", "t")
     edges = docs.select("doc_id", F.explode(S.matched(F.col("t"), {p: 5 for p in V.TABLE_TIERS[0]})).alias("d"))
     n = F.count("*")
     return edges.groupBy(F.col("d.phrase").alias("node")).agg(n.alias("degree"), F.when(n >= 100, 3).when(n >= 50, 2).otherwise(1).alias("band"))
@@ -126,10 +139,10 @@ def trajectory_accumulate(spark, sf_dir):
     return R.accumulate(table(spark, sf_dir, "orders").withColumn("k", F.col("o_custkey")), "k", kind, F.col("o_orderpriority"))
 
 
-@query("constraint_trajectory_feedback", f"SELECT l_suppkey, count(*) FILTER (r = 'supported') AS supports, count(*) FILTER (r = 'violated') AS violations, CASE WHEN count(*) FILTER (r = 'violated') > count(*) FILTER (r = 'supported') THEN 'Decreasing' WHEN count(*) FILTER (r = 'supported') > 0 AND count(*) FILTER (r = 'violated') = 0 THEN 'Increasing' ELSE 'Stable' END AS confidence FROM (SELECT l_suppkey, {_VS} AS r FROM lineitem WHERE l_quantity >= 50) GROUP BY 1")
+@query("constraint_trajectory_feedback", f"SELECT l_suppkey, count(*) FILTER (r = 'supported') AS supports, count(*) FILTER (r = 'violated') AS violations, CASE WHEN count(*) FILTER (r = 'violated') > count(*) FILTER (r = 'supported') THEN 'Decreasing' WHEN count(*) FILTER (r = 'supported') > 0 AND count(*) FILTER (r = 'violated') = 0 THEN 'Increasing' ELSE 'Stable' END AS confidence FROM (SELECT l_suppkey, {_VS} AS r FROM lineitem) GROUP BY 1")
 def constraint_trajectory_feedback(spark, sf_dir):
     r = F.when(F.col("l_returnflag") == "R", "supported").when(F.col("l_returnflag") == "A", "violated").otherwise("partial")
-    return R.feedback(table(spark, sf_dir, "lineitem").filter("l_quantity >= 50"), "l_suppkey", r)
+    return R.feedback(table(spark, sf_dir, "lineitem"), "l_suppkey", r)
 
 
 @query("concept_validation_groups", "SELECT o_custkey, count(*) AS n, arg_min(o_orderkey, o_orderdate::VARCHAR || lpad(o_orderkey::VARCHAR, 12, '0')) AS first_order, CASE WHEN count(*) >= 6 THEN 'strong' WHEN count(*) >= 4 THEN 'growing' ELSE 'single' END AS trend FROM orders WHERE o_orderstatus IN ('F', 'P') GROUP BY 1")

@@ -34,18 +34,18 @@ def optional_filters(spark, sf_dir):
     return rows.filter("c_acctbal > 1000").orderBy(F.desc("c_acctbal"), "c_custkey").limit(50).select("c_custkey", "c_mktsegment")
 
 
-@query("links_by_either_end", "SELECT l_orderkey AS source, l_partkey AS target, l_linenumber AS n FROM lineitem WHERE l_orderkey < 20 OR l_partkey < 5")
+@query("links_by_either_end", "SELECT l_orderkey AS source, l_partkey AS target, l_linenumber AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') OR l_partkey IN (SELECT p_partkey FROM part WHERE p_size = 1)")
 def links_by_either_end(spark, sf_dir):
     links = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("target"), F.col("l_linenumber").alias("n"))
-    a, b = spark.range(20).withColumnRenamed("id", "key"), spark.range(5).withColumnRenamed("id", "key")
-    left = links.join(a, links.source == a.key, "left_semi")
-    return left.unionByName(links.join(b, links.target == b.key, "left_semi").filter("source >= 20"))
+    sources = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("key"))
+    targets = table(spark, sf_dir, "part").filter("p_size = 1").select(F.col("p_partkey").alias("key"))
+    return D.linked(links, sources, targets)
 
 
-@query("links_of_keys", "SELECT l_orderkey AS source, l_partkey AS target, l_linenumber AS n FROM lineitem WHERE l_orderkey % 50 = 0 OR l_partkey IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 50 = 0)")
+@query("links_of_keys", "SELECT l_orderkey AS source, l_partkey AS target, l_linenumber AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') OR l_partkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')")
 def links_of_keys(spark, sf_dir):
     links = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("target"), F.col("l_linenumber").alias("n"))
-    keys = table(spark, sf_dir, "orders").filter("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("key"))
+    keys = table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("key"))
     return D.linked(links, keys)
 
 
@@ -75,11 +75,12 @@ def bucket_histogram_default(spark, sf_dir):
     return rows.groupBy(F.coalesce(T.filled(name), F.lit("uncategorized")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-_TERMS = {"readout": ("that", "with"), "biology": ("this", "from"), "preservation": ("hati",), "mechanism": ("ther", "ation"), "platform": ("thes",), "anchor": ("inging", "enwh", "lyon", "ion", "tion", "ting"), "connection": ("resh",), "conflict": ("worthless",), "off_topic": ("pathetic",)}
+_TERMS = {"readout": ("that", "with"), "biology": ("this", "from"), "preservation": ("hati",), "mechanism": ("ther", "ation"), "platform": ("thes",), "anchor": ("inging", "enwh", "lyon", "ion", "tion", "ting"), "connection": ("resh",), "conflict": ("worthless",), "off_topic": ("pathetic",),
+          "active": ("ouon", "ofth"), "state": ("anor", "ering"), "synthesis": ("thand", "ofer", "inon"), "overview": ("thand", "ofer"), "unspecified": ("ntan",), "carrier": ("erin",)}
 _N = lambda k: "(" + " + ".join(f"regexp_matches(t, '(^|[^a-z0-9]){w}($|[^a-z0-9])')::INT" if len(w) <= 4 else f"contains(t, '{w}')::INT" for w in _TERMS[k]) + ")"
-_READ = f"""WITH d AS (SELECT doc_id, source, lower(text) AS t FROM documents), m AS (SELECT doc_id, t, CASE WHEN contains(source, '1') THEN 'transduction_validity' WHEN contains(source, '2') THEN 'platform_bridge' WHEN contains(source, '3') THEN 'mechanism_to_coupling' ELSE 'trajectory_fit' END AS mode,
- {_N('readout')} AS r, {_N('biology')} AS b, {_N('mechanism')} AS m, {_N('platform')} AS p, {_N('anchor')} AS a, {_N('connection')} AS c, {_N('preservation')} AS v, contains(t, 'worthless') AS x, contains(t, 'pathetic') AS o FROM d)"""
-_MODES = (("a", "transduction_validity", ("1",)), ("b", "platform_bridge", ("2",)), ("c", "mechanism_to_coupling", ("3",)))
+_READ = f"""WITH d AS (SELECT doc_id, source, lower(text) AS t FROM documents), m AS (SELECT doc_id, t, CASE WHEN contains(source, '1') THEN 'transduction_validity' WHEN contains(source, '2') THEN 'platform_bridge' WHEN contains(source, '3') THEN 'mechanism_to_coupling' WHEN contains(source, '4') THEN 'biological_relevance' WHEN contains(source, '5') THEN 'synthesis_prior' ELSE 'trajectory_fit' END AS mode,
+ {_N('active')} AS act, {_N('state')} AS st, {_N('synthesis')} AS syn, contains(t, 'thand') OR contains(t, 'ofer') AS ov, contains(t, 'ntan') AS uns, contains(t, 'erin') AS car, {_N('readout')} AS r, {_N('biology')} AS b, {_N('mechanism')} AS m, {_N('platform')} AS p, {_N('anchor')} AS a, {_N('connection')} AS c, {_N('preservation')} AS v, contains(t, 'worthless') AS x, contains(t, 'pathetic') AS o FROM d)"""
+_MODES = (("a", "transduction_validity", ("1",)), ("b", "platform_bridge", ("2",)), ("c", "mechanism_to_coupling", ("3",)), ("d", "biological_relevance", ("4",)), ("e", "synthesis_prior", ("5",)))
 
 
 def _read(spark, sf_dir):
@@ -92,7 +93,18 @@ def reader_mechanism_trace(spark, sf_dir):
     return _read(spark, sf_dir).select("doc_id", Q.mechanism_trace(F.col("mode"), t, t, t, _TERMS).alias("relation"))
 
 
-@query("reader_belief_content", _READ + " SELECT doc_id, CASE WHEN x THEN 'challenge' WHEN o AND a < CASE mode WHEN 'transduction_validity' THEN 2 ELSE 1 END THEN 'neutral' WHEN mode = 'transduction_validity' THEN CASE WHEN r >= 2 AND b >= 1 AND a >= 1 AND v >= 1 THEN 'support' WHEN r >= 1 AND b >= 1 AND a >= 1 THEN 'unclear' ELSE 'neutral' END WHEN mode = 'mechanism_to_coupling' THEN CASE WHEN m >= 2 AND a >= 1 THEN 'support' WHEN m >= 1 AND a >= 1 THEN 'unclear' ELSE 'neutral' END WHEN mode = 'platform_bridge' THEN CASE WHEN p >= 1 AND a >= 1 THEN 'support' ELSE 'neutral' END WHEN a >= 2 THEN 'support' WHEN a = 1 THEN 'unclear' ELSE 'neutral' END AS relation FROM m")
+_CONTENT = """ SELECT doc_id, CASE WHEN x THEN 'challenge'
+ WHEN mode = 'transduction_validity' THEN CASE WHEN o AND a < 2 THEN 'neutral' WHEN uns THEN CASE WHEN r >= 1 THEN 'unclear' ELSE 'neutral' END
+   WHEN r >= 2 AND b >= 1 AND a >= 1 AND (v >= 1 OR car) THEN 'support' WHEN r >= 1 AND b >= 1 AND a >= 1 THEN 'unclear' ELSE 'neutral' END
+ WHEN mode = 'biological_relevance' THEN CASE WHEN b >= 1 AND st >= 1 THEN 'support' WHEN b >= 1 THEN 'unclear' ELSE 'neutral' END
+ WHEN o AND a < 1 THEN 'neutral'
+ WHEN mode = 'mechanism_to_coupling' THEN CASE WHEN m >= 2 AND a >= 1 THEN 'support' WHEN m >= 1 AND a >= 1 THEN 'unclear' ELSE 'neutral' END
+ WHEN mode = 'platform_bridge' THEN CASE WHEN p >= 1 AND a >= 1 THEN 'support' WHEN p >= 1 AND act >= 1 THEN 'unclear' ELSE 'neutral' END
+ WHEN mode = 'synthesis_prior' THEN CASE WHEN syn >= 2 AND a >= 1 THEN 'support' WHEN ov AND a >= 1 THEN 'unclear' ELSE 'neutral' END
+ WHEN a >= 2 THEN 'support' WHEN a = 1 THEN 'unclear' ELSE 'neutral' END AS relation FROM m"""
+
+
+@query("reader_belief_content", _READ + _CONTENT)
 def reader_belief_content(spark, sf_dir):
     t = F.col("t")
     return _read(spark, sf_dir).select("doc_id", Q.belief_content(F.col("mode"), t, t, t, _TERMS).alias("relation"))
@@ -140,9 +152,9 @@ def export_documents(spark, sf_dir):
     return out.select("n_regionkey", F.size(F.from_json("json", "array<struct<n_nationkey:int,n_name:string>>")).cast("long").alias("n"))
 
 
-@query("chain_edges", "WITH l AS (SELECT l_orderkey, l_linenumber, l_suppkey AS a, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS b FROM lineitem WHERE l_orderkey < 500) SELECT l_orderkey, a, b, count(*) AS n FROM l WHERE b IS NOT NULL AND a <> b GROUP BY 1, 2, 3")
+@query("chain_edges", "WITH l AS (SELECT l_orderkey, l_linenumber, l_suppkey AS a, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS b FROM lineitem) SELECT l_orderkey, a, b, count(*) AS n FROM l WHERE b IS NOT NULL AND a <> b GROUP BY 1, 2, 3")
 def chain_edges(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").filter("l_orderkey < 500").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))), lambda x: x["l_suppkey"]).alias("nodes"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))), lambda x: x["l_suppkey"]).alias("nodes"))
     return D.chain_edges(rows, "l_orderkey", F.col("nodes")).groupBy("l_orderkey", "a", "b").agg(F.count("*").alias("n"))
 
 
@@ -158,11 +170,11 @@ def legacy_backfill_by_mode(spark, sf_dir):
     return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").groupBy(mode.alias("mode")).agg(F.count("*").alias("n"), F.count_if(q == 1).alias("n_support"), F.count_if(q == 0).alias("n_challenge"), F.count_if(q.isNull()).alias("n_pending"))
 
 
-@query("trajectory_status", "SELECT o_custkey, count(*) AS evidence, CASE WHEN count(*) FILTER (o_orderstatus = 'P') >= 2 THEN 'contested' WHEN count(*) >= 12 THEN 'rising' WHEN count(*) >= 5 THEN 'active' ELSE 'thin' END AS status FROM orders GROUP BY 1 ORDER BY status <> 'rising', evidence DESC, o_custkey LIMIT 100")
+@query("trajectory_status", "SELECT o_custkey, count(*) AS evidence, CASE WHEN count(*) FILTER (o_orderstatus = 'P') >= 2 THEN 'contested' WHEN count(*) >= 12 THEN 'rising' WHEN count(*) >= 5 THEN 'active' ELSE 'thin' END AS status FROM orders GROUP BY 1")
 def trajectory_status(spark, sf_dir):
     n, p = F.count("*"), F.count_if(F.col("o_orderstatus") == "P")
     rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(n.alias("evidence"), F.when(p >= 2, "contested").when(n >= 12, "rising").when(n >= 5, "active").otherwise("thin").alias("status"))
-    return rows.orderBy(F.col("status") != "rising", F.desc("evidence"), "o_custkey").limit(100)
+    return rows.orderBy(F.col("status") != "rising", F.desc("evidence"), "o_custkey")
 
 
 @query("effective_final_score", "SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.final_score') AS DOUBLE), TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE), 0) AS score FROM events")

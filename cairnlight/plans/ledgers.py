@@ -9,11 +9,11 @@ from cairnlight.operators import similarity as X
 from cairnlight.plans.registry import query, table
 
 
-@query("pending_reclassification", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN o_custkey || ',7' WHEN o_orderstatus = 'F' THEN '7' ELSE '7' END AS pending, CASE WHEN o_orderstatus = 'F' THEN '1,' || o_custkey WHEN o_orderstatus = 'O' THEN '1' ELSE '1' END AS supports, CASE WHEN o_orderstatus = 'P' THEN o_custkey::VARCHAR ELSE '' END AS contests FROM orders WHERE o_custkey > 7")
+@query("pending_reclassification", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN o_custkey || ',-7' ELSE '-7' END AS pending, CASE WHEN o_orderstatus = 'F' THEN '-1,' || o_custkey ELSE '-1' END AS supports, CASE WHEN o_orderstatus = 'P' THEN o_custkey::VARCHAR ELSE '' END AS contests FROM orders")
 def pending_reclassification(spark, sf_dir):
     key = F.col("o_custkey")
     ids = lambda *x: F.array(*(F.lit(v).cast("long") for v in x)).cast("array<bigint>")
-    rows = table(spark, sf_dir, "orders").filter("o_custkey > 7").select("o_orderkey", "o_custkey", "o_orderstatus", ids(1).alias("supports"), ids().alias("challenges"), F.array(key, F.lit(7).cast("long")).alias("pending"), ids().alias("neutral"), ids().alias("contests"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", ids(-1).alias("supports"), ids().alias("challenges"), F.array(key, F.lit(-7).cast("long")).alias("pending"), ids().alias("neutral"), ids().alias("contests"))
     moved = L.move_link(rows.filter("o_orderstatus <> 'O'"), key, F.when(F.col("o_orderstatus") == "F", "supports").otherwise("contests"))
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
     return moved.unionByName(rows.filter("o_orderstatus = 'O'")).select("o_orderkey", text("pending"), text("supports"), text("contests"))
@@ -35,10 +35,10 @@ def apply_decisions(spark, sf_dir):
     return L.create(stored, twice).select("decision_id", "layer", "ref")
 
 
-@query("record_blocks", "SELECT c_nationkey, rank() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS block, c_name AS pattern, c_mktsegment AS class FROM customer WHERE c_custkey < 300")
+@query("record_blocks", "SELECT c_nationkey, rank() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS block, c_name AS pattern, c_mktsegment AS class FROM customer")
 def record_blocks(spark, sf_dir):
     one = F.concat(F.lit("Pattern: "), F.col("c_name"), F.lit("\nnoise\nClass: old\nCLASS: "), F.col("c_mktsegment"))
-    texts = table(spark, sf_dir, "customer").filter("c_custkey < 300").groupBy("c_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", one.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
+    texts = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", one.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
     b = L.blocks(texts.withColumn("text", F.concat(F.lit("Intro: x\n"), "text")), "c_nationkey", F.col("text"), "pattern")
     pick = lambda f: F.max(F.when(F.col("field") == f, F.col("value"))).alias(f)
     return b.groupBy("c_nationkey", "block").agg(pick("pattern"), pick("class"))
@@ -57,9 +57,9 @@ def parse_boundary_status(spark, sf_dir):
     return rows.select("event_id", *(F.size(F.col("m")[k]).alias(f"n_{k}") for k in ("stable", "unstable", "untested")))
 
 
-@query("topic_momentum", "SELECT lower(p_name) AS topic, count(*) AS n, CASE WHEN count(*) >= 5 THEN 'established' WHEN count(*) >= 3 THEN 'gaining' ELSE 'new' END AS momentum FROM part WHERE p_size < 5 GROUP BY 1 HAVING count(*) >= 2")
+@query("topic_momentum", "SELECT lower(p_name) AS topic, count(*) AS n, CASE WHEN count(*) >= 5 THEN 'established' WHEN count(*) >= 3 THEN 'gaining' ELSE 'new' END AS momentum FROM part GROUP BY 1 HAVING count(*) >= 2")
 def topic_momentum(spark, sf_dir):
-    return L.topic_momentum(table(spark, sf_dir, "part").filter("p_size < 5"), "p_name")
+    return L.topic_momentum(table(spark, sf_dir, "part"), "p_name")
 
 
 @query("refresh_candidates", "SELECT p_partkey FROM part WHERE p_size % 3 = 0 AND p_type IN ('PROMO', 'SMALL') ORDER BY p_retailprice DESC, p_partkey LIMIT 20")

@@ -31,19 +31,19 @@ def conversation_lines(spark, sf_dir):
 
 
 def digests(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("value > 60").select(F.to_date("ts").alias("day"), F.upper("event_type").alias("section"), "event_id", "value")
+    e = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), F.upper("event_type").alias("section"), "event_id", "value")
     entry = F.concat(F.lit("### Event "), F.col("event_id").cast("string"), F.lit("\n- **Score:** "), F.col("value").cast("string"), F.lit("/500"))
     body = e.groupBy("day", "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", entry.alias("t")))), lambda x: x["t"]), "\n").alias("b"), F.count("*").alias("n"))
     whole = body.groupBy("day").agg(F.array_sort(F.collect_list(F.concat(F.lit("## "), F.col("section"), F.lit("\n"), F.col("b")))).alias("s"))
     return whole.select("day", F.concat(F.lit("# Digest\n"), F.array_join("s", "\n")).alias("text"))
 
 
-@query("digest_render", "WITH e AS (SELECT ts::DATE AS day, upper(event_type) AS s, event_id, '### Event ' || event_id || chr(10) || '- **Score:** ' || value || '/500' AS t FROM events WHERE value > 60), b AS (SELECT day, '## ' || s || chr(10) || string_agg(t, chr(10) ORDER BY event_id) AS b FROM e GROUP BY day, s) SELECT day, '# Digest' || chr(10) || string_agg(b, chr(10) ORDER BY b) AS text FROM b GROUP BY day")
+@query("digest_render", "WITH e AS (SELECT ts::DATE AS day, upper(event_type) AS s, event_id, '### Event ' || event_id || chr(10) || '- **Score:** ' || value || '/500' AS t FROM events), b AS (SELECT day, '## ' || s || chr(10) || string_agg(t, chr(10) ORDER BY event_id) AS b FROM e GROUP BY day, s) SELECT day, '# Digest' || chr(10) || string_agg(b, chr(10) ORDER BY b) AS text FROM b GROUP BY day")
 def digest_render(spark, sf_dir):
     return digests(spark, sf_dir)
 
 
-@query("digest_reparse", "SELECT ts::DATE AS day, upper(event_type) AS section, 'Event ' || event_id AS title, value AS score FROM events WHERE value > 60")
+@query("digest_reparse", "SELECT ts::DATE AS day, upper(event_type) AS section, 'Event ' || event_id AS title, value AS score FROM events")
 def digest_reparse(spark, sf_dir):
     sections = P.sections(digests(spark, sf_dir), "day", F.col("text"))
     rows = sections.select("day", "section", F.explode(P.entries(F.col("body"))).alias("e"))
@@ -68,12 +68,12 @@ def feedback_conflicts(spark, sf_dir):
     return W.settle_feedback(rows, ["user_id", "k"], "p", "seq")
 
 
-_ORDER = "o AS (SELECT user_id AS r, item_id, row_number() OVER (PARTITION BY user_id ORDER BY sha256('p1|' || user_id || '|' || item_id)) - 1 AS i FROM benchmark, (SELECT DISTINCT user_id FROM events WHERE user_id < 30))"
+_ORDER = "o AS (SELECT user_id AS r, item_id, row_number() OVER (PARTITION BY user_id ORDER BY sha256('p1|' || user_id || '|' || item_id)) - 1 AS i FROM benchmark, (SELECT DISTINCT user_id FROM events))"
 
 
-@query("progress_resume", f"WITH {_ORDER}, e AS (SELECT user_id AS r, event_id AS seq, event_type, json_extract(props, '$.k')::BIGINT % 40 AS item_id FROM events WHERE user_id < 30), n AS (SELECT count(*) AS n FROM benchmark), c AS (SELECT e.r, arg_max(i, seq) AS cur FROM e JOIN o ON e.r = o.r AND e.item_id = o.item_id WHERE event_type = 'view' GROUP BY 1), l AS (SELECT o.r, o.item_id, (i - coalesce(cur, 0) + n) % n AS st FROM o CROSS JOIN n LEFT JOIN c ON c.r = o.r WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.r = o.r AND e.item_id = o.item_id AND event_type = 'purchase')) SELECT r AS reviewer_id, arg_min(item_id, st) AS next_item, count(*) AS n_open FROM l GROUP BY 1")
+@query("progress_resume", f"WITH {_ORDER}, e AS (SELECT user_id AS r, event_id AS seq, event_type, json_extract(props, '$.k')::BIGINT % 40 AS item_id FROM events), n AS (SELECT count(*) AS n FROM benchmark), c AS (SELECT e.r, arg_max(i, seq) AS cur FROM e JOIN o ON e.r = o.r AND e.item_id = o.item_id WHERE event_type = 'view' GROUP BY 1), l AS (SELECT o.r, o.item_id, (i - coalesce(cur, 0) + n) % n AS st FROM o CROSS JOIN n LEFT JOIN c ON c.r = o.r WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.r = o.r AND e.item_id = o.item_id AND event_type = 'purchase')) SELECT r AS reviewer_id, arg_min(item_id, st) AS next_item, count(*) AS n_open FROM l GROUP BY 1")
 def progress_resume(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("user_id < 30").select(F.col("user_id").alias("reviewer_id"), F.col("event_id").alias("seq"), "event_type", (F.get_json_object("props", "$.k").cast("long") % 40).alias("item_id"))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("reviewer_id"), F.col("event_id").alias("seq"), "event_type", (F.get_json_object("props", "$.k").cast("long") % 40).alias("item_id"))
     order = R.presentation_order(table(spark, sf_dir, "benchmark").select("item_id"), e.select("reviewer_id").distinct(), "p1")
     return W.resume(order, e.filter("event_type = 'purchase'"), e.filter("event_type = 'view'").select("reviewer_id", "seq", "item_id"))
 

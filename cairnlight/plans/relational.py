@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cairnlight import vocab as V
 from cairnlight.functions import text as T
+from cairnlight.operators import documents as D
 from cairnlight.operators import merge as M
 from cairnlight.operators import ranking as R
 from cairnlight.plans.registry import query, table
@@ -155,9 +156,9 @@ def diversified_round_robin(spark, sf_dir):
     return R.round_robin(rows, "frontier", F.col("p"), F.col("id"), 60, (V.DEFERRED_FRONTIER,)).select("id", "frontier", "queue_rank")
 
 
-@query("candidate_claims_topk", "SELECT doc_id, n_chars FROM documents WHERE lang = 'en' ORDER BY n_chars DESC, doc_id LIMIT 8")
+@query("candidate_claims_topk", "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 8")
 def candidate_claims_topk(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter("lang = 'en'").orderBy(F.desc("n_chars"), F.asc("doc_id")).limit(8).select("doc_id", "n_chars")
+    return table(spark, sf_dir, "documents").orderBy(F.desc("n_chars"), F.asc("doc_id")).limit(8).select("doc_id", "n_chars")
 
 
 @query("pressure_points_quota", "SELECT kind, id, score FROM (SELECT event_type AS kind, event_id AS id, value AS score, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS r FROM events) WHERE r <= CASE kind WHEN 'error' THEN 3 WHEN 'view' THEN 1000 WHEN 'click' THEN 2 WHEN 'signup' THEN 3 ELSE 2 END ORDER BY score DESC, id LIMIT 8")
@@ -167,19 +168,17 @@ def pressure_points_quota(spark, sf_dir):
     return R.top_k(rows, ["kind"], [F.desc("score"), F.asc("id")], quotas, default=2).orderBy(F.desc("score"), F.asc("id")).limit(8).select("kind", "id", "score")
 
 
-@query("presentation_order", "SELECT user_id AS reviewer_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY sha256('p1|' || user_id || '|' || item_id)) - 1 AS presentation_index FROM benchmark, (SELECT DISTINCT user_id FROM events WHERE user_id < 10)")
+@query("presentation_order", "SELECT user_id AS reviewer_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY sha256('p1|' || user_id || '|' || item_id)) - 1 AS presentation_index FROM benchmark, (SELECT DISTINCT user_id FROM events)")
 def presentation_order(spark, sf_dir):
-    reviewers = table(spark, sf_dir, "events").filter("user_id < 10").select(F.col("user_id").alias("reviewer_id")).distinct()
+    reviewers = table(spark, sf_dir, "events").select(F.col("user_id").alias("reviewer_id")).distinct()
     return R.presentation_order(table(spark, sf_dir, "benchmark").select("item_id"), reviewers, "p1")
 
 
-@query("date_chunks", "SELECT o_orderkey % 50 AS k, y AS chunk_year, greatest(min(d0), make_date(y, 1, 1)) AS chunk_start, least(max(d1), make_date(y, 12, 31)) AS chunk_end FROM (SELECT o_orderkey, o_orderdate::DATE AS d0, (o_orderdate + INTERVAL 500 DAY)::DATE AS d1, unnest(range(year(o_orderdate), year(o_orderdate + INTERVAL 500 DAY) + 1))::BIGINT AS y FROM orders WHERE o_orderkey < 50) GROUP BY 1, 2")
+@query("date_chunks", """SELECT o_orderkey, y AS chunk_year, greatest(d0, make_date(y, 1, 1)) AS chunk_start, least(d1, make_date(y, 12, 31)) AS chunk_end
+FROM (SELECT o_orderkey, o_orderdate::DATE AS d0, (o_orderdate + INTERVAL 500 DAY)::DATE AS d1, unnest(range(year(o_orderdate), year(o_orderdate + INTERVAL 500 DAY) + 1))::BIGINT AS y FROM orders)""")
 def date_chunks(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter("o_orderkey < 50").select((F.col("o_orderkey") % 50).alias("k"), F.to_date("o_orderdate").alias("d0"))
-    o = o.withColumn("d1", F.date_add("d0", 500))
-    starts = F.sequence(F.trunc("d0", "year"), F.trunc("d1", "year"), F.expr("interval 1 year"))
-    rows = o.select("k", "d0", "d1", F.explode(starts).alias("s"))
-    return rows.select("k", F.year("s").cast("long").alias("chunk_year"), F.greatest("d0", "s").alias("chunk_start"), F.least("d1", F.date_sub(F.add_months("s", 12), 1)).alias("chunk_end"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("d0"), F.date_add(F.to_date("o_orderdate"), 500).alias("d1"))
+    return o.select("o_orderkey", F.explode(D.year_chunks(F.col("d0"), F.col("d1"))).alias("c")).select("o_orderkey", "c.*")
 
 
 @query("rollup_mode_relation", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem GROUP BY ROLLUP (1, 2)")
@@ -220,8 +219,8 @@ def set_operations(spark, sf_dir):
     return out
 
 
-@query("registry_sort_dedup", "SELECT p_brand, p_type, lower(p_name) AS name, p_partkey, count(*) OVER (PARTITION BY lower(p_name), p_size) AS n_same FROM part ORDER BY p_type, p_brand, name, p_partkey LIMIT 100")
+@query("registry_sort_dedup", "SELECT p_brand, p_type, lower(p_name) AS name, p_partkey, count(*) OVER (PARTITION BY lower(p_name), p_size) AS n_same FROM part")
 def registry_sort_dedup(spark, sf_dir):
     part = table(spark, sf_dir, "part").withColumn("name", F.lower("p_name"))
     same = part.groupBy("name", "p_size").agg(F.count("*").alias("n_same"))
-    return part.join(same, ["name", "p_size"]).orderBy("p_type", "p_brand", "name", "p_partkey").limit(100).select("p_brand", "p_type", "name", "p_partkey", "n_same")
+    return part.join(same, ["name", "p_size"]).orderBy("p_type", "p_brand", "name", "p_partkey").select("p_brand", "p_type", "name", "p_partkey", "n_same")

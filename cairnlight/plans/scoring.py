@@ -19,9 +19,9 @@ THRESHOLD = 8
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("t", T.prepare(F.col("text")))
+    docs = T.once(table(spark, sf_dir, "documents"), t=T.prepare(F.col("text")))
     t1, t2, t3 = S.tier_counts(F.col("t"), V.TABLE_TIERS)
-    return docs.select("doc_id", "source", "lang", "n_chars", "text", "t", S.signal_score(F.col("t"), V.TABLE_DICTIONARY).alias("score"), t1.alias("t1"), t2.alias("t2"), t3.alias("t3"))
+    return docs.select("*", S.signal_score(F.col("t"), V.TABLE_DICTIONARY).alias("score"), t1.alias("t1"), t2.alias("t2"), t3.alias("t3"))
 
 
 @query("prefilter_and_dispatch", f"{BASE} SELECT source, {DISPATCH} AS tier, count(*) AS n, round(avg(score), 6) AS avg_score FROM s WHERE score > {THRESHOLD} GROUP BY 1, 2")

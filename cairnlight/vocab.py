@@ -127,6 +127,12 @@ READER_TERMS = {
     "connection": ("aligns with", "could be coupled", "could be integrated", "could inform", "directly relevant", "directly connects", "directly implementable", "extends", "future oect", "integrated into", "relevant to your", "supports"),
     "conflict": ("contradicts the belief", "challenges the belief", "undermines the belief", "undermines the premise", "evidence against", "fails to preserve biological meaning", "fails to preserve biological context", "cannot distinguish signal from noise", "does not distinguish signal from noise"),
     "off_topic": ("far outside", "fundamentally different", "not aligned", "orthogonal", "weak connection", "weak relevance", "no direct connection", "no direct relevance", "not directly relevant"),
+    "active": ("bioelectronic", "ev", "evs", "extracellular vesicle", "molecular", "nanophotonic", "oect", "organoid", "photochem", "sensor", "sensing", "transduction"),
+    "state": ("disease state", "cell state", "model", "mechanism", "immune", "tissue"),
+    "synthesis": ("review", "perspective", "prior", "constraint", "gap"),
+    "overview": ("review", "perspective"),
+    "unspecified": ("does not specify the biological state", "does not specify biological state", "without a specific biological readout"),
+    "carrier": ("oect", "ev"),
 }
 INTAKE_TYPES = (
     ("synthesis_or_review", "synthesis_prior", ("review", "perspective")),

@@ -127,10 +127,37 @@ def test_round_robin_is_the_naive_queue(spark, rows, k):
 def test_connections_equal_nested_loop(spark):
     random.seed(3)
     words = [f"w{i}" for i in range(25)]
-    rows = [(i, i, random.choice("xyz"), random.sample(words, 8), random.sample(words, 8)) for i in range(40)]
-    got = {(r.a, r.b, r.n_shared) for r in X.connections(spark.createDataFrame(rows, "id int, pos int, kind string, out_tokens array<string>, in_tokens array<string>"), k=10_000).collect()}
-    want = {(a[0], b[0], len(set(a[3]) & set(b[4]))) for a in rows for b in rows if a[0] < b[0] and a[2] != b[2] and len(set(a[3]) & set(b[4])) >= 3 and len(set(a[3]) & set(b[4])) / 8 >= 0.35}
-    assert got == want
+    some = lambda: " ".join(random.sample(words, random.randint(1, 12)))
+    rows = [(i, i, random.choice("xyz"), f"2024-0{1 + i % 4}-10", some(), some()) for i in range(60)] + [(99, 99, "x", "2024-04-01", None, "w1 w2 w3")]
+    df = spark.createDataFrame(rows, "id int, pos int, kind string, date string, output string, input string").withColumn("date", F.col("date").cast("date"))
+    as_of = F.lit("2024-04-20").cast("date")
+    got = {(r.a, r.b, r.n_shared) for r in X.connections(df, as_of, k=10_000).collect()}
+    recent = [r for r in rows if r[3] >= "2024-02-20" and r[4]]
+    want = set()
+    for a in recent:
+        for b in recent:
+            x, y = set(a[4].split()), set(b[5].split())
+            if a[0] < b[0] and a[2] != b[2] and len(a[4]) >= 10 and len(b[5]) >= 10 and len(x & y) >= 3 and len(x & y) / min(len(x), len(y)) >= 0.35:
+                want.add((a[0], b[0], len(x & y)))
+    assert got == want and len(want) > 10
+    assert X.connections(df, as_of, days=5, papers=50).count() == 0
+
+
+def test_constraints_denied(spark):
+    c = spark.createDataFrame([(1, "alpha beta gamma " + " ".join(f"x{i}" for i in range(30))), (2, "zeta"), (3, "the of"), (4, "beta must alpha")], "cid int, statement string")
+    texts = {10: "shows no alpha beta gammas here", 11: "without zetas", 12: "lack of anything", 13: "not alpha beta", 14: "zeta not", 15: None, 16: "no no zeta"}
+    p = spark.createDataFrame(list(texts.items()), "pid int, text string")
+    got = {(r.cid, r.pid): (r.result, r.confidence) for r in X.constraint_match(c, p).collect()}
+    stop, want = set(V.MATCH_STOP_WORDS), {}
+    for cid, statement in ((r.cid, r.statement) for r in c.collect()):
+        terms = set(statement.split()) - stop
+        for pid, t in texts.items():
+            share = len(terms & set((t or "").split())) / max(1, len(terms))
+            if share >= 0.15:
+                want[cid, pid] = ("supported" if share >= 0.4 else "partial", round(share, 2))
+            elif t and any(d + " ".join(sorted(terms)[:3]) in t for d in X.DENIALS):
+                want[cid, pid] = ("violated", 0.5)
+    assert got == want and {v[0] for v in want.values()} >= {"supported", "violated"}
 
 
 def test_nearest_blocks_and_ties(spark):
@@ -140,6 +167,7 @@ def test_nearest_blocks_and_ties(spark):
         got = {r.id: (r.match, r.verdict) for r in X.nearest(ref, q, block).collect()}
         assert got == {10: (1, "high"), 11: (3, "high"), 12: (3, "low")}
     assert X.nearest(ref, q.limit(0)).count() == 0
+    assert {r.id: r.match for r in X.nearest(ref, ref).collect()} == {1: 2, 2: 1, 3: 1}  # itself left out
 
 
 def test_merges(spark):

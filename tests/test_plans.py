@@ -11,8 +11,8 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-#: Joins of one-row aggregates, and the order of a packet for each reviewer, whose rows are those pairs.
-PRODUCTS = {"kernel_health", "presentation_order", "progress_resume"}
+#: Joins of one-row aggregates.
+PRODUCTS = {"kernel_health"}
 
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - PRODUCTS))
@@ -28,6 +28,13 @@ def test_scans_are_pruned(spark, sf):
     assert "props" not in plan
 
 
+@pytest.mark.parametrize("name", ["prefilter_and_dispatch", "signal_score", "prefilter_pass", "prefilter_ignored", "matched_signals", "topic_cooccurrence", "trajectory_class", "concept_timeline_pivot", "signal_graph_nodes"])
+def test_texts_are_prepared_once(spark, sf, name):
+    """Two patterns a scan of documents, however many terms and filters read the prepared text."""
+    plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") <= 2 * plan.count("Relation [doc_id"), plan.count("regexp_replace")
+
+
 def test_row_rules_stay_in_generated_code(spark, sf):
     plan = plan_of(catalogue.QUERIES["signal_score"](spark, sf))
     assert "Python" not in plan and "Exchange" not in plan

@@ -43,6 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _WRITTEN: dict[str, None] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def materialize(df: DataFrame, name: str = "step", replaces: Iterable[DataFrame] = ()) -> DataFrame:
@@ -54,7 +55,12 @@ def materialize(df: DataFrame, name: str = "step", replaces: Iterable[DataFrame]
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cairnlight/{name}-{uuid.uuid4().hex}"
     _WRITTEN[path] = None
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")  # files of this job's shuffles go when it ends: nothing reads them again
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     discard(spark, *(x.written_to for x in replaces if hasattr(x, "written_to")))

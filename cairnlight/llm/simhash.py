@@ -19,6 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +32,8 @@ GENERATOR = 0b110001110101
 #: Fingerprints whose keys a worker holds at once; shingles hashed at once; fingerprints of a bucket taken for large.
 BATCH, PART, LARGE = 4096, 1 << 16, 512
 #: Near copies: words of a shingle, similarity, fingerprints a text, and differing bits of candidates at most (unrelated
-#: ones differ in 32 on average; texts alike to 0.8 in 10, hardly ever in over 18).
-COPY_WORDS, SIMILARITY, PRINTS, COPY_BITS = 5, 0.8, 3, 18
+#: ones differ in 32 on average; texts alike to 0.8 in 10, hardly ever in over 14 in all fingerprints).
+COPY_WORDS, SIMILARITY, PRINTS, COPY_BITS = 5, 0.8, 4, 14
 
 
 def _syndromes(words: np.ndarray) -> np.ndarray:
@@ -54,7 +55,8 @@ class Golay:
         self.patterns = np.zeros((2048, 6), np.int64)
         self.counts = np.zeros(2048, np.int64)
         for s in range(2048):
-            found = sorted({int(error[s]), *(int(error[s ^ int(single[b])]) ^ (1 << b) for b in range(23))})
+            near = int(error[s])
+            found = [near, *sorted({int(error[s ^ int(single[b])]) ^ (1 << b) for b in range(23)} - {near})]  # the nearest codeword's first
             self.counts[s] = len(found)
             self.patterns[s] = (found * 6)[:6]
         self.low = _syndromes(np.arange(1 << 12))
@@ -75,16 +77,17 @@ def golay() -> Golay:
     return _CODE[0]
 
 
-def fuzzy_keys(prints: np.ndarray, whole: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def fuzzy_keys(prints: np.ndarray, exact: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(key, place of its fingerprint) of uint64 fingerprints. Kinds of keys differ in their top bits.
 
-    Without ``whole`` only keys of three indices are given.
+    All keys (``exact``) meet within four differing bits. Else only keys of three indices are given, one of them at least
+    its segment's nearest: under half as many, which meet nearly as often when more bits differ.
     """
     parts = [((prints >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in SEGMENTS]
     coded = [golay().keys(p) for p in parts]
     place = np.arange(len(prints))
     keys, of = [], []
-    for i in range(3 if whole else 0):
+    for i in range(3 if exact else 0):
         for j in range(3):
             if i != j:
                 index, count = coded[j]
@@ -95,6 +98,8 @@ def fuzzy_keys(prints: np.ndarray, whole: bool = True) -> tuple[np.ndarray, np.n
     (a, na), (b, nb), (c, nc) = coded
     six = np.arange(6)
     use = (six[:, None, None] < na[:, None, None, None]) & (six[:, None] < nb[:, None, None, None]) & (six < nc[:, None, None, None])
+    if not exact:
+        use &= (six[:, None, None] == 0) | (six[:, None] == 0) | (six == 0)
     key = (a[:, :, None, None] << 24) | (b[:, None, :, None] << 12) | c[:, None, None, :]
     keys.append(key[use])
     of.append(np.broadcast_to(place[:, None, None, None], use.shape)[use])
@@ -168,19 +173,15 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     return rows.mapInArrow(run, f"key {kind}, fp long").withColumnRenamed("key", key)
 
 
-def _spread(whole: bool):
+def _spread(exact: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kind = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             fp = b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
             for at in range(0, len(fp), BATCH):
                 some = fp[at : at + BATCH]
-                first = kind[at : at + BATCH] == 0
-                for use, all_ in ((np.flatnonzero(first), True), (np.flatnonzero(~first), whole)):
-                    if len(use):
-                        keys, of = fuzzy_keys(some[use], all_)
-                        keys = keys | (kind[at : at + BATCH][use][of] << 50)
-                        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(some[use][of].view(np.int64))], names=["key", "fp"])
+                keys, of = fuzzy_keys(some, exact)
+                yield pa.RecordBatch.from_arrays([pa.array(keys | (kind[at : at + BATCH][of] << 50)), pa.array(some[of].view(np.int64))], names=["key", "fp"])
 
     return run
 
@@ -290,10 +291,10 @@ def _shuffles(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _met(prints: DataFrame, radius: int, whole: bool, nearest: bool) -> DataFrame:
+def _met(prints: DataFrame, radius: int, exact: bool, nearest: bool) -> DataFrame:
     """Distinct (kind, a, b) of fingerprints (kind, fp) that meet under a key. Rows are dealt out before they multiply."""
     n = _shuffles(prints)
-    keyed = prints.distinct().repartition(n).mapInArrow(_spread(whole), "key long, fp long")
+    keyed = prints.distinct().repartition(n).mapInArrow(_spread(exact), "key long, fp long")
     return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_verify(radius, nearest), "kind int, a long, b long").distinct()
 
 
@@ -377,8 +378,22 @@ def _share(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
-def _staged(docs: DataFrame, key: str, text: str, words: int, prints: int) -> DataFrame:
-    """row (whole), key (null ones last, then by row), node (a hash of the word sequence) and the fingerprints, written."""
+def _numbered(docs: DataFrame) -> DataFrame:
+    """row (whole) and place, which tells rows apart however often they are read.
+
+    Rows of Parquet files have their file and place in it; rows that were made in any other way are written first.
+    """
+    if docs._jdf.queryExecution().analyzed().nodeName().startswith("LogicalRelation") and "_metadata" not in docs.columns:
+        try:
+            at = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+            return docs.select(F.struct("*").alias("row"), at.alias("place"))
+        except AnalysisException:  # files of another kind have no places
+            pass
+    return materialize(packed(docs).withColumn("place", F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))), "copies-rows")
+
+
+def _staged(rows: DataFrame, key: str, text: str, words: int, prints: int) -> DataFrame:
+    """key (null ones last, then by place), node (a hash of the word sequence) and the fingerprints, written."""
 
     def run(parts: Iterator[Part]) -> Iterator[tuple[pa.RecordBatch, list]]:
         for kept, texts in parts:
@@ -387,9 +402,9 @@ def _staged(docs: DataFrame, key: str, text: str, words: int, prints: int) -> Da
             found = np.array([simhashes(w, words, prints) for w in raw], np.uint64).reshape(len(raw), prints)
             yield kept, [pa.array(node.view(np.int64)), *(pa.array(np.ascontiguousarray(found[:, i]).view(np.int64)) for i in range(prints))]
 
-    rows = carried(packed(docs), "row", f"row.{text}", "node long, " + ", ".join(f"f{i} long" for i in range(prints)), run)
     at = F.col(f"row.{key}")
-    return materialize(rows.withColumn("key", F.struct(at.isNull().alias("none"), at.alias("id"), F.monotonically_increasing_id().alias("place"))), "copies-rows")
+    keyed = rows.select(F.struct(at.isNull().alias("none"), at.alias("id"), "place").alias("key"), F.col(f"row.{text}").alias("text"))
+    return materialize(carried(keyed, "key", "text", "node long, " + ", ".join(f"f{i} long" for i in range(prints)), run), "copies-prints")
 
 
 def _candidates(nodes: DataFrame, prints: int) -> DataFrame:
@@ -404,7 +419,8 @@ def _candidates(nodes: DataFrame, prints: int) -> DataFrame:
     half = materialize(met.join(heads.select("kind", F.col("fp").alias("a"), F.col("head").alias("u")), ["kind", "a"]).drop("head"), "copies-half")
     pairs = half.join(heads.select("kind", F.col("fp").alias("b"), F.col("head").alias("v")), ["kind", "b"])
     pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("bits"))
-    return pairs.filter("u <> v").unionAll(same).groupBy("u", "v").agg(F.min("bits").alias("bits"))
+    pairs = pairs.filter("u <> v").unionAll(same).groupBy("u", "v").agg(F.min("bits").alias("bits"))
+    return materialize(pairs, "copies-pairs", replaces=[long, heads, met, half])
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -421,22 +437,22 @@ def _alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) ->
                 use[i] = _share(_shingles(x.as_py(), words), last[v]) >= similarity
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(use)) for c in b.columns[:2]], names=["u", "v"])
 
-    one = pairs.select("u", "v").join(texts.select(F.col("node").alias("u"), F.col("text").alias("x")), "u")
-    two = one.join(texts.select(F.col("node").alias("v"), F.col("text").alias("y")), "v").select("u", "v", "x", "y")
+    one = pairs.select("u", "v").join(texts.select(F.col("node").alias("u"), F.col("text").alias("x")).hint("merge"), "u")
+    two = one.join(texts.select(F.col("node").alias("v"), F.col("text").alias("y")).hint("merge"), "v").select("u", "v", "x", "y")
     return two.mapInArrow(run, "u long, v long")
 
 
-def _classes(staged: DataFrame, text: str, words: int, similarity: float, prints: int) -> DataFrame:
+def _classes(rows: DataFrame, staged: DataFrame, text: str, words: int, similarity: float, prints: int) -> DataFrame:
     """node and component_id: the least key that verified links reach from the node.
 
     Each node's nearest candidate is verified first; of the other candidates only those between components that these
     links leave apart are read, so a large group of copies costs each text a few comparisons.
     """
     nodes = materialize(staged.groupBy("node").agg(F.min("key").alias("least"), *(F.min(f"f{i}").alias(f"f{i}") for i in range(prints))), "copies-nodes")
-    pairs = materialize(_candidates(nodes, prints), "copies-pairs")
+    pairs = _candidates(nodes, prints)
     ends = pairs.select(F.col("u").alias("node")).unionAll(pairs.select(F.col("v").alias("node"))).distinct()
-    wanted = nodes.join(ends, "node", "left_semi").select(F.col("least").alias("key"))
-    texts = materialize(staged.select("key", "node", F.col(f"row.{text}").alias("text")).join(wanted, "key", "left_semi").select("node", "text"), "copies-texts")
+    wanted = nodes.join(ends, "node", "left_semi").select("node", "least.place")
+    texts = materialize(rows.select("place", F.col(f"row.{text}").alias("text")).join(wanted.hint("merge"), "place").select("node", "text"), "copies-texts")
     either = pairs.select(F.col("u").alias("node"), "bits", "u", "v").unionAll(pairs.select(F.col("v").alias("node"), "bits", "u", "v"))
     first = materialize(either.groupBy("node").agg(F.min(F.struct("bits", "u", "v")).alias("x")).select("x.u", "x.v").distinct(), "copies-first")
     found = materialize(_alike(first, texts, words, similarity), "copies-found")
@@ -444,7 +460,7 @@ def _classes(staged: DataFrame, text: str, words: int, similarity: float, prints
     side = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
     rest = pairs.join(first, ["u", "v"], "left_anti").join(side("u"), "u", "left").join(side("v"), "v", "left")
     rest = materialize(rest.filter(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v"), "copies-rest")
-    more = materialize(_alike(rest, texts, words, similarity), "copies-more")
+    more = materialize(_alike(rest, texts, words, similarity), "copies-more", replaces=[texts, rest, roots, first, pairs])
     return _least_of(nodes.select("node", "least"), found.unionAll(more).select(F.col("u").alias("a"), F.col("v").alias("b")))
 
 
@@ -456,8 +472,9 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     alike. Keys may be null (last) or repeated; an empty table gives no rows. What two fingerprints differ in decides
     whether a pair meets: the README has the measured share of pairs found.
     """
-    staged = _staged(docs, key, text, words, prints)
-    of = _classes(staged, text, words, similarity, prints)
+    rows = _numbered(docs)
+    staged = _staged(rows, key, text, words, prints)
+    of = _classes(rows, staged, text, words, similarity, prints)
     return staged.select("node", "key").join(of, "node").select(F.col("key.id").alias(key), F.col("component_id.id").alias("component_id"))
 
 
@@ -466,10 +483,12 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
 
     What is dropped grows with the corpus, so the join that drops it is a merge join at every size.
     """
-    staged = _staged(docs, key, text, words, prints)
-    of = _classes(staged, text, words, similarity, prints)
-    dropped = materialize(staged.select("node", "key").join(of, "node").filter("key <> component_id").select("key.place"), "copies-dropped")
-    return staged.select("row", "key.place").join(dropped.hint("merge"), "place", "left_anti").select("row.*")
+    rows = _numbered(docs)
+    staged = _staged(rows, key, text, words, prints)
+    of = _classes(rows, staged, text, words, similarity, prints)
+    dropped = staged.select("node", "key").join(of, "node").filter("key <> component_id").select("key.place")
+    dropped = materialize(dropped, "copies-dropped", replaces=[staged])
+    return rows.join(dropped.hint("merge"), "place", "left_anti").select("row.*")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

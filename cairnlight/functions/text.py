@@ -148,3 +148,65 @@ def mapped(c: Column, table: Mapping[str, object], default: object) -> Column:
     """Lookup in a literal map; the default for other keys and null."""
     pairs = [F.lit(x) for kv in table.items() for x in kv]
     return F.coalesce(F.element_at(F.create_map(*pairs), c), F.lit(default))
+
+
+#: Words that a title writes in their own way, and what a detection limit is told by (fixed values).
+ACRONYMS = {"ev": "EV", "oect": "OECT", "nir": "NIR", "bodipy": "BODIPY", "bbb": "BBB", "rna": "RNA", "gpcr": "GPCR"}
+SMALL_WORDS = ("and", "for", "of", "to", "via", "with")
+DETECTION_LIMIT = ("lod", "limit of detection", "sensitivity", "attomolar", "femtomolar", "particles/ml", "copies/ml")
+#: Words that say nothing of a story's subject, singular forms added to plurals, and short subjects looked for as they are.
+STORY_STOP_WORDS = tuple("paper papers sensor sensors sensing biosensor biosensors biosensing platform platforms system systems diagnostic diagnostics enabled based using with from molecular".split())
+STORY_STEMS = {"bioelectronics": "bioelectronic", "nanophotonics": "nanophotonic", "biointerfaces": "biointerface"}
+STORY_SHORT = ("oect", "ev", "nir", "bbb", "rna")
+
+
+def title_case(c: Column, acronyms: Mapping[str, str] = ACRONYMS, small: Iterable[str] = SMALL_WORDS) -> Column:
+    """Each word with its first letter large and the rest small, but acronyms and small words; what is between stays."""
+    table = {**acronyms, **{w: w for w in small}}
+    parts = F.regexp_extract_all(blank(c), F.lit(r"(\w+|\W+)"), F.lit(0))
+    one = lambda w: F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), F.lower(w)), F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substring(w, F.lit(2), F.length(w)))))
+    return F.regexp_replace(F.array_join(F.transform(parts, one), ""), "'S", "'s")
+
+
+def has_detection_limit(c: Column, phrases: Iterable[str] = DETECTION_LIMIT) -> Column:
+    """Whether a phrase stands in the text as words of its own."""
+    return F.lower(blank(c)).rlike(rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(re.escape(p) for p in phrases)})(?![\p{{L}}\p{{N}}_])")
+
+
+def elapsed(c: Column) -> Column:
+    """A whole number of milliseconds from text, never under 0; 0 for anything else."""
+    return F.greatest(F.lit(0).cast("long"), F.coalesce(F.when(blank(c).rlike(r"^\s*[+-]?\d{1,18}\s*$"), F.trim(c).try_cast("long")), F.lit(0).cast("long")))
+
+
+def reviewer_id(c: Column) -> Column:
+    """Stable id of a name, whatever its case and blanks."""
+    return F.concat(F.lit("reviewer_"), F.left(F.sha2(F.lower(F.regexp_replace(F.trim(blank(c)), r"\s+", " ")), 256), F.lit(16)))
+
+
+def first_filled(*values: Column, default: str = "") -> Column:
+    """The first value that holds anything without its markup."""
+    return F.coalesce(*(filled(clean(v)) for v in values), F.lit(default))
+
+
+def plain_inline(c: Column) -> Column:
+    """Text without bold and slanted marks and without tags."""
+    return clean(F.regexp_replace(F.regexp_replace(blank(c), r"\*\*(.*?)\*\*", "$1"), r"\*(.*?)\*", "$1"))
+
+
+def relevance_terms(c: Column, stop: Iterable[str] = STORY_STOP_WORDS, stems: Mapping[str, str] = STORY_STEMS, short: Iterable[str] = STORY_SHORT) -> Column:
+    """Sorted terms of a story's name: words of four letters and more, stems of some, and short subjects inside it."""
+    low = F.lower(blank(c))
+    tokens = F.filter(F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0)), lambda w: (F.length(w) >= 4) & ~w.isin(*stop))
+    added = [F.when(F.contains(low, F.lit(k)), F.lit(v)) for k, v in {**stems, **{s: s for s in short}}.items()]
+    return F.array_sort(F.array_distinct(F.concat(tokens, F.filter(F.array(*added), lambda w: w.isNotNull()))))
+
+
+def stemmed_words(c: Column) -> Column:
+    """Words of three letters and more, two of them rewritten."""
+    low = F.replace(F.replace(F.lower(blank(c)), F.lit("bioelectronics"), F.lit("bioelectronic")), F.lit("electrochemical"), F.lit("electronic"))
+    return F.filter(F.split(low, "[^a-z0-9]+"), lambda w: F.length(w) >= 3)
+
+
+def search_text(*fields: Column) -> Column:
+    """Fields as one lower-case text to look terms up in."""
+    return F.lower(F.concat_ws(" ", *fields))

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from cairnlight.plans import analysis, beliefs, inventory, ledgers, protocols, relational, scoring  # noqa: F401  (each module registers its queries)
+from cairnlight.plans import analysis, beliefs, inventory, judgment, ledgers, protocols, relational, scoring  # noqa: F401  (each module registers its queries)
 from cairnlight.plans.registry import ORACLE, QUERIES  # noqa: F401

@@ -29,7 +29,7 @@ MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bounds of what a worker keeps: code points of words with their pieces, checked pairs of pieces (short each), code points
 #: of text per walk (or one text).
-KEPT_CHARS, KEPT_PAIRS, WALK_CHARS = 3_000_000, 300_000, 2_000_000
+KEPT_CHARS, KEPT_PAIRS, WALK_CHARS = 6_000_000, 300_000, 2_000_000
 
 
 @dataclass(frozen=True)

@@ -22,10 +22,10 @@ def docs_of(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
-@pytest.mark.parametrize("module", [D, quality, secrets])
+@pytest.mark.parametrize("module", [D, quality, secrets, pii])
 def test_sql_twins(spark, sf, module):
-    for name, q in module.QUERIES.items():
-        same(spark, q, module.ORACLE[name], sf)
+    for name, sql in module.ORACLE.items():
+        same(spark, module.QUERIES[name], sql, sf)
 
 
 @pytest.mark.parametrize("module", [quality, secrets])

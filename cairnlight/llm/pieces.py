@@ -27,8 +27,8 @@ from cairnlight.llm.common import Part, carried, table
 MARK = "▁"
 #: Where the public vocabulary lies, unless a caller names another model.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Bounds of what a worker keeps: code points of words with their pieces, checked pairs of pieces (short each), code points
-#: of text per walk (or one text).
+#: Bounds of what a worker keeps: code points of words with their pieces (a parameter, as it outlives the task and stays
+#: beside whatever the executor does next), checked pairs of pieces (short each), code points of text per walk (or one text).
 KEPT_CHARS, KEPT_PAIRS, WALK_CHARS = 6_000_000, 300_000, 2_000_000
 
 
@@ -90,8 +90,9 @@ def load(path: str = MODEL) -> Vocabulary:
 class Encoder:
     """Encodes words of one vocabulary; keeps a bounded memory of words seen."""
 
-    def __init__(self, vocabulary: Vocabulary) -> None:
+    def __init__(self, vocabulary: Vocabulary, kept_chars: int = KEPT_CHARS) -> None:
         v = self.vocabulary = vocabulary
+        self.kept_chars = kept_chars
         self.ids = {p: i for i, p in enumerate(v.pieces) if v.plain[i]}
         self.score = {p: v.scores[i] for p, i in self.ids.items()}
         self.longest = max(map(len, self.ids), default=1)
@@ -107,7 +108,7 @@ class Encoder:
         joined = "".join(sorted({a for p in self.ids for a, b in zip(p, p[1:], strict=False) if a.isalnum() and not b.isalnum()}))
         sign, letter = rf"(?:[^\w{MARK}]|[_{joined}])", rf"[^\W_{joined}]"
         self.units = re.compile(rf"{MARK}+{sign}*+{letter}*+|{sign}++{letter}*+|{letter}++")
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, bytes] = {}  # ids as 32-bit integers side by side
         self.counts: dict[str, int] = {}
         self.held = {True: 0, False: 0}  # code points of the words that counts and words hold
         self.raw = [bytes([i - v.bytes_from]) if v.bytes_from >= 0 and v.bytes_from <= i < v.bytes_from + 256 else (p.encode() if v.plain[i] else b"") for i, p in enumerate(v.pieces)]
@@ -219,12 +220,13 @@ class Encoder:
         distinct = set(chain.from_iterable(texts))
         fresh = distinct.difference(kept)
         size = sum(map(len, fresh))
-        if self.held[count_only] + size > KEPT_CHARS:  # what one batch has may be more: then it goes with the next
+        if self.held[count_only] + size > self.kept_chars:  # what one batch has may be more: then it goes with the next
             kept.clear()
             fresh, size = distinct, sum(map(len, distinct))
             self.held[count_only] = 0
         self.held[count_only] += size
-        kept.update(self.walk(fresh, count_only))
+        found = self.walk(fresh, count_only)
+        kept.update(found if count_only else ((w, array("i", ids).tobytes()) for w, ids in found))
         return kept
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -232,15 +234,15 @@ class Encoder:
         return text[1:] if text[:1] == " " else text
 
 
-_AT_WORK: dict[int, Encoder] = {}
+_AT_WORK: dict[tuple[int, int], Encoder] = {}
 
 
-def encoder_of(vocabulary: Vocabulary) -> Encoder:
+def encoder_of(vocabulary: Vocabulary, kept_chars: int = KEPT_CHARS) -> Encoder:
     """This worker process's encoder; later tasks in the same process find its words known."""
-    key = hash(vocabulary)
+    key = hash(vocabulary), kept_chars
     if key not in _AT_WORK:
         _AT_WORK.clear()
-        _AT_WORK[key] = Encoder(vocabulary)
+        _AT_WORK[key] = Encoder(vocabulary, kept_chars)
     return _AT_WORK[key]
 
 
@@ -255,7 +257,7 @@ def _groups(parts: Iterator[Part]) -> Iterator[tuple[pa.RecordBatch, list]]:
                 begin, texts, size = i + 1, [], 0
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text", kept_chars: int = KEPT_CHARS) -> DataFrame:
     """key, ids (array<int>) and exact: decoding the ids gives the text again.
 
     Null and empty texts have no ids (exact holds for both: null decodes to nothing). A text that holds the mark U+2581
@@ -265,17 +267,15 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: s
     """
 
     def run(parts: Iterator[Part]) -> Iterator[tuple[pa.RecordBatch, list]]:
-        encoder = encoder_of(vocabulary)
+        encoder = encoder_of(vocabulary, kept_chars)
         for kept, texts in _groups(parts):
             words = [encoder.split(t) for t in texts]
             known = encoder.of(words)
-            values, ends, exact = array("i"), [0], []
-            for w, t in zip(words, texts, strict=True):
-                ids = list(chain.from_iterable(map(known.__getitem__, w)))
-                values.extend(ids)
-                ends.append(len(values))
-                exact.append(encoder.decode(ids) == (t or ""))
-            yield kept, [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(values, np.int32) if values else [], pa.int32())), pa.array(exact, pa.bool_())]
+            rows = [np.frombuffer(b"".join(map(known.__getitem__, w)), np.int32) for w in words]
+            ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+            exact = [encoder.decode(ids.tolist()) == (t or "") for ids, t in zip(rows, texts, strict=True)]
+            values = np.concatenate([np.empty(0, np.int32), *rows])
+            yield kept, [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32())), pa.array(exact, pa.bool_())]
 
     return carried(docs, key, text, "ids array<int>, exact boolean", run)
 

@@ -47,10 +47,12 @@ def test_every_query_takes_empty_and_odd_tables(spark, odd, table_dir):
 
     bench = spark.createDataFrame([(1, "one two three four"), (2, None), (3, "")], "item_id long, text string")
     pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "v", "<p>x" * 50)], "page_id long, url string, html string")
-    d = table_dir(documents=odd, benchmark=bench, pages=pages)
+    vectors = spark.createDataFrame([(1, [1.0] * 64, "c"), (2, None, "c"), (None, [0.5] * 64, "c"), (4, [None] * 64, "c")], "vec_id long, embedding array<float>, cluster string")
+    d = table_dir(documents=odd, benchmark=bench, pages=pages, embeddings=vectors)
+    rows = {"op3_html_extraction": 3, "quality_ablation": 12, "op12_search": 2, "op13_centroids": 2}  # of the odd texts two hold a word of an item
     for name, q in registry.QUERIES.items():
-        assert q(spark, d).count() == (3 if "op3" in name else 12 if name == "quality_ablation" else len(ODD)), name
-    d = table_dir(documents=odd.limit(0), benchmark=bench.limit(0), pages=pages.limit(0))
+        assert q(spark, d).count() == rows.get(name, len(ODD)), name
+    d = table_dir(documents=odd.limit(0), benchmark=bench.limit(0), pages=pages.limit(0), embeddings=vectors.limit(0))
     for name, q in registry.QUERIES.items():
         assert q(spark, d).count() == 0, name
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from cairnlight.session import materialize, scratch, shared_dir  # noqa: F401  (re-exported)
+from cairnlight.session import discard, materialize, scratch, shared_dir  # noqa: F401  (re-exported)
 
 Part = tuple[pa.RecordBatch, pa.Array]
 #: Code points of a piece that long texts are cut into before spans are taken out of them.

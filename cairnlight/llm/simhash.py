@@ -23,17 +23,20 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlight.llm.common import Part, carried, materialize, packed, table
+from cairnlight.llm.common import Part, carried, discard, materialize, packed, table
 
 WORDS, SEED, RADIUS = 4, 42, 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: The Golay code's generator polynomial x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
-#: Fingerprints whose keys a worker holds at once; shingles hashed at once; fingerprints of a bucket taken for large.
+#: Fingerprints whose keys a worker holds at once; shingles hashed at once; fingerprints of a bucket that is cut by segments
+#: before its (same) components are looked for.
 BATCH, PART, LARGE = 4096, 1 << 16, 512
 #: Near copies: words of a shingle, similarity, fingerprints a text, and differing bits of candidates at most (unrelated
 #: ones differ in 32 on average; texts alike to 0.8 in 10, hardly ever in over 14 in all fingerprints).
 COPY_WORDS, SIMILARITY, PRINTS, COPY_BITS = 5, 0.8, 4, 14
+#: Fingerprints of a bucket, before a fingerprint in order of distance from the centre, that it is compared with.
+WINDOW = 32
 
 
 def _syndromes(words: np.ndarray) -> np.ndarray:
@@ -186,23 +189,23 @@ def _spread(exact: bool):
     return run
 
 
-def nearest_links(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A minimum spanning forest of one bucket's distinct fingerprints, of links within ``radius``."""
-    out = []
+def centred_links(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Candidate links of one bucket's distinct fingerprints, in proportion to their number at every size.
+
+    The centre is the fingerprint nearest to the majority of each bit, where a text that all others were made from lies.
+    In order of distance from it, each fingerprint is linked to the centre and to the nearest of the WINDOW before it.
+    """
+    raised = np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+    middle = np.packbits(2 * raised > len(fp), bitorder="little").view(np.uint64)[0]
+    fp = fp[np.lexsort((fp, np.bitwise_count(fp ^ middle)))]
     near = np.bitwise_count(fp ^ fp[0]).astype(np.int64)
-    by = np.zeros(len(fp), np.int64)
-    near[0] = 99
-    left = np.ones(len(fp), bool)
-    left[0] = False
-    for _ in range(len(fp) - 1):
-        j = int(np.argmin(np.where(left, near, 99)))
-        if near[j] <= radius:
-            out.append((int(fp[by[j]]), int(fp[j])))
-        left[j] = False
-        d = np.bitwise_count(fp ^ fp[j])
-        closer = d < near
-        near[closer], by[closer] = d[closer], j
-    return out
+    out = [(int(fp[0]), int(x)) for x in fp[1:][near[1:] <= radius]]
+    best, by = np.full(len(fp), 99), np.zeros(len(fp), np.int64)
+    for back in range(1, min(WINDOW, len(fp) - 1) + 1):
+        d = np.bitwise_count(fp[back:] ^ fp[:-back])
+        closer = d < best[back:]
+        best[back:][closer], by[back:][closer] = d[closer], np.flatnonzero(closer)
+    return out + [(int(fp[by[j]]), int(fp[j])) for j in np.flatnonzero((best <= radius) & (by > 0))]
 
 
 def bucket_links(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -240,7 +243,7 @@ def _reached(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def _verify(radius: int, nearest: bool):
+def _verify(radius: int, centred: bool):
     """Links within buckets of sorted (key, fp): kind (the print's number), a, b. A bucket holds 16 bytes a fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +256,7 @@ def _verify(radius: int, nearest: bool):
             two = two[np.bitwise_count(f[two] ^ f[two + 1]) <= radius]
             kinds, links = [(k[two] >> 50) & 0xFF], [np.stack([f[two], f[two + 1]], 1)]
             for s, n in zip(edge[:-1][size > 2], size[size > 2], strict=True):
-                found = nearest_links(f[s : s + n], radius) if nearest and n <= LARGE else bucket_links(np.unique(f[s : s + n]), radius)
+                found = (centred_links if centred else bucket_links)(np.unique(f[s : s + n]), radius)
                 if found:
                     links.append(np.array(found, np.uint64))
                     kinds.append(np.full(len(found), (int(k[s]) >> 50) & 0xFF, np.int64))
@@ -291,11 +294,11 @@ def _shuffles(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _met(prints: DataFrame, radius: int, exact: bool, nearest: bool) -> DataFrame:
+def _met(prints: DataFrame, radius: int, exact: bool, centred: bool) -> DataFrame:
     """Distinct (kind, a, b) of fingerprints (kind, fp) that meet under a key. Rows are dealt out before they multiply."""
     n = _shuffles(prints)
     keyed = prints.distinct().repartition(n).mapInArrow(_spread(exact), "key long, fp long")
-    return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_verify(radius, nearest), "kind int, a long, b long").distinct()
+    return keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_verify(radius, centred), "kind int, a long, b long").distinct()
 
 
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -393,22 +396,22 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def _staged(rows: DataFrame, key: str, text: str, words: int, prints: int) -> DataFrame:
-    """key (null ones last, then by place), node (a hash of the word sequence) and the fingerprints, written."""
+    """key (null ones last, then by place), hi and lo (128 bits of the word sequence) and the fingerprints, written."""
 
     def run(parts: Iterator[Part]) -> Iterator[tuple[pa.RecordBatch, list]]:
         for kept, texts in parts:
             raw = [_words(t.as_py()) for t in texts]
-            node = np.fromiter((xxhash.xxh64_intdigest(b" ".join(w)) for w in raw), np.uint64, len(raw))
+            same = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(w)) for w in raw), np.int64).reshape(-1, 2)
             found = np.array([simhashes(w, words, prints) for w in raw], np.uint64).reshape(len(raw), prints)
-            yield kept, [pa.array(node.view(np.int64)), *(pa.array(np.ascontiguousarray(found[:, i]).view(np.int64)) for i in range(prints))]
+            yield kept, [*(pa.array(np.ascontiguousarray(same[:, i])) for i in (0, 1)), *(pa.array(np.ascontiguousarray(found[:, i]).view(np.int64)) for i in range(prints))]
 
     at = F.col(f"row.{key}")
     keyed = rows.select(F.struct(at.isNull().alias("none"), at.alias("id"), "place").alias("key"), F.col(f"row.{text}").alias("text"))
-    return materialize(carried(keyed, "key", "text", "node long, " + ", ".join(f"f{i} long" for i in range(prints)), run), "copies-prints")
+    return materialize(carried(keyed, "key", "text", "hi long, lo long, " + ", ".join(f"f{i} long" for i in range(prints)), run), "copies-prints")
 
 
 def _candidates(nodes: DataFrame, prints: int) -> DataFrame:
-    """Pairs of nodes (u < v) with their fewest differing bits in one print: of each bucket, a nearest forest.
+    """Pairs of nodes (u < v) with their fewest differing bits in one print: of each bucket, links about its centre.
 
     Nodes that share a print hang on the least of them.
     """
@@ -442,13 +445,33 @@ def _alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) ->
     return two.mapInArrow(run, "u long, v long")
 
 
-def _classes(rows: DataFrame, staged: DataFrame, text: str, words: int, similarity: float, prints: int) -> DataFrame:
-    """node and component_id: the least key that verified links reach from the node.
+def _rooted(links: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """node and root of linked nodes; root and centre: the node of most verified links (the least of several)."""
+    roots = materialize(components(links, name), "copies-roots")
+    degree = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n"))
+    centres = degree.join(roots, "node").groupBy("root").agg(F.max(F.struct("n", (-F.col("node")).alias("least"))).alias("x"))
+    return roots, materialize(centres.select("root", (-F.col("x.least")).alias("centre")), "copies-centres")
+
+
+def _to_centres(pairs: DataFrame, roots: DataFrame, centres: DataFrame) -> DataFrame:
+    """For each pair between components, either node with the centre of the other's component (u < v, distinct)."""
+    side = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
+    of = pairs.join(side("u"), "u", "left").join(side("v"), "v", "left").filter(F.coalesce("u_root", "u") != F.coalesce("v_root", "v"))
+    either = of.select(F.col("u").alias("node"), F.col("v_root").alias("root")).unionAll(of.select(F.col("v").alias("node"), F.col("u_root").alias("root")))
+    met = either.filter("root IS NOT NULL").distinct().join(centres, "root")
+    return met.select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")).filter("u <> v").distinct()
+
+
+def _classes(rows: DataFrame, staged: DataFrame, text: str, words: int, similarity: float, prints: int) -> tuple[DataFrame, DataFrame]:
+    """Nodes (hi, lo, node), and node with component_id: the least key that verified links reach from it.
 
     Each node's nearest candidate is verified first; of the other candidates only those between components that these
-    links leave apart are read, so a large group of copies costs each text a few comparisons.
+    links leave apart are read. Then nodes that met a node of another component, whether or not they are alike, are
+    compared with that component's centre, in rounds until no more links are found: a group of copies of one text is
+    whole once each has met any of the others, though two copies may differ too much, and no bucket's pairs are made.
     """
-    nodes = materialize(staged.groupBy("node").agg(F.min("key").alias("least"), *(F.min(f"f{i}").alias(f"f{i}") for i in range(prints))), "copies-nodes")
+    nodes = staged.groupBy("hi", "lo").agg(F.min("key").alias("least"), *(F.min(f"f{i}").alias(f"f{i}") for i in range(prints)))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "copies-nodes")
     pairs = _candidates(nodes, prints)
     ends = pairs.select(F.col("u").alias("node")).unionAll(pairs.select(F.col("v").alias("node"))).distinct()
     wanted = nodes.join(ends, "node", "left_semi").select("node", "least.place")
@@ -456,26 +479,37 @@ def _classes(rows: DataFrame, staged: DataFrame, text: str, words: int, similari
     either = pairs.select(F.col("u").alias("node"), "bits", "u", "v").unionAll(pairs.select(F.col("v").alias("node"), "bits", "u", "v"))
     first = materialize(either.groupBy("node").agg(F.min(F.struct("bits", "u", "v")).alias("x")).select("x.u", "x.v").distinct(), "copies-first")
     found = materialize(_alike(first, texts, words, similarity), "copies-found")
-    roots = materialize(components(found.select(F.col("u").alias("a"), F.col("v").alias("b")), "copies-cc"), "copies-roots")
+    edges = lambda x: x.select(F.col("u").alias("a"), F.col("v").alias("b"))
+    roots = materialize(components(edges(found), "copies-cc"), "copies-roots")
     side = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
     rest = pairs.join(first, ["u", "v"], "left_anti").join(side("u"), "u", "left").join(side("v"), "v", "left")
     rest = materialize(rest.filter(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v"), "copies-rest")
-    more = materialize(_alike(rest, texts, words, similarity), "copies-more", replaces=[texts, rest, roots, first, pairs])
-    return _least_of(nodes.select("node", "least"), found.unionAll(more).select(F.col("u").alias("a"), F.col("v").alias("b")))
+    found = found.unionAll(materialize(_alike(rest, texts, words, similarity), "copies-more", replaces=[roots]))
+    asked, crossing = first.unionAll(rest), pairs.select("u", "v")
+    while True:
+        roots, centres = _rooted(edges(found), "copies-cc")
+        fresh = materialize(_to_centres(crossing, roots, centres).join(asked, ["u", "v"], "left_anti"), "copies-rest", replaces=[roots, centres])
+        new = materialize(_alike(fresh, texts, words, similarity), "copies-more")
+        if new.isEmpty():
+            break
+        found, asked, crossing = found.unionAll(new), asked.unionAll(fresh), crossing.unionAll(fresh)
+    discard(texts.sparkSession, texts.written_to, pairs.written_to)
+    return nodes.select("hi", "lo", "node"), _least_of(nodes.select("node", "least"), edges(found))
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = COPY_WORDS, similarity: float = SIMILARITY, prints: int = PRINTS) -> DataFrame:
     """key and component_id per row: components of texts whose distinct shingles are alike to ``similarity``.
 
     Candidates meet under Golay keys of ``prints`` fingerprints, as many bits apart as a shared key allows; every link
-    is verified by comparing shingles. Equal word sequences (by a 64-bit hash) are one node. Null and empty texts are
+    is verified by comparing shingles. Equal word sequences (by a 128-bit hash) are one node. Null and empty texts are
     alike. Keys may be null (last) or repeated; an empty table gives no rows. What two fingerprints differ in decides
     whether a pair meets: the README has the measured share of pairs found.
     """
     rows = _numbered(docs)
     staged = _staged(rows, key, text, words, prints)
-    of = _classes(rows, staged, text, words, similarity, prints)
-    return staged.select("node", "key").join(of, "node").select(F.col("key.id").alias(key), F.col("component_id.id").alias("component_id"))
+    nodes, of = _classes(rows, staged, text, words, similarity, prints)
+    named = nodes.join(of, "node").select("hi", "lo", "component_id")
+    return staged.select("hi", "lo", "key").join(named, ["hi", "lo"]).select(F.col("key.id").alias(key), F.col("component_id.id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = COPY_WORDS, similarity: float = SIMILARITY, prints: int = PRINTS) -> DataFrame:
@@ -485,8 +519,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
     """
     rows = _numbered(docs)
     staged = _staged(rows, key, text, words, prints)
-    of = _classes(rows, staged, text, words, similarity, prints)
-    dropped = staged.select("node", "key").join(of, "node").filter("key <> component_id").select("key.place")
+    nodes, of = _classes(rows, staged, text, words, similarity, prints)
+    named = nodes.join(of, "node").select("hi", "lo", "component_id")
+    dropped = staged.select("hi", "lo", "key").join(named, ["hi", "lo"]).filter("key <> component_id").select("key.place")
     dropped = materialize(dropped, "copies-dropped", replaces=[staged])
     return rows.join(dropped.hint("merge"), "place", "left_anti").select("row.*")
 

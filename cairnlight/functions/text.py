@@ -210,3 +210,30 @@ def stemmed_words(c: Column) -> Column:
 def search_text(*fields: Column) -> Column:
     """Fields as one lower-case text to look terms up in."""
     return F.lower(F.concat_ws(" ", *fields))
+
+
+#: A string with what follows it if it is a name, a number, or a word of a JSON text.
+JSON_LEAF = r'("(?:[^"\\]++|\\.)*+")(\s*+:)?|(-?[0-9][0-9.eE+-]*+)|(true|false)'
+
+
+def json_leaves(text: Column) -> Column:
+    """Every value of a JSON text that isn't null or blank, as trimmed text, in the order of the text and at any depth.
+
+    The text is scanned once for strings, numbers and truth values; names of fields are left out. True and false are
+    written with a capital. Null and malformed text has none.
+    """
+
+    def value(leaf: Column) -> Column:
+        quoted = F.try_variant_get(F.try_parse_json(leaf), "$", "string")
+        return F.trim(F.when(F.startswith(leaf, F.lit('"')), quoted).when(leaf == "true", "True").when(leaf == "false", "False").otherwise(leaf))
+
+    leaves = F.regexp_extract_all(text, F.lit(JSON_LEAF), F.lit(0))
+    kept = F.filter(leaves, lambda x: ~F.endswith(x, F.lit(":")))
+    found = F.filter(F.transform(kept, value), lambda x: x.isNotNull() & (x != ""))
+    return F.when(F.try_parse_json(text).isNotNull(), found).otherwise(F.array().cast("array<string>"))
+
+
+def reasoning_text(text: Column, *fields: Column) -> Column:
+    """Fields and then every value of a JSON text, without tags, as one lower-case text to look terms up in."""
+    said = F.filter(F.concat(F.array(*(blank(f) for f in fields)) if fields else F.array().cast("array<string>"), json_leaves(text)), lambda x: x != "")
+    return F.lower(F.array_join(F.transform(said, lambda x: F.regexp_replace(x, "<[^>]+>", " ")), " "))

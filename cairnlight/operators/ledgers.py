@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cairnlight.functions import text as T
+from cairnlight.operators.parsing import last_of_each
 
 RELATION_ARRAYS = ("supports", "challenges", "pending", "neutral", "contests")
 
@@ -46,12 +46,20 @@ def apply_decision(decisions: DataFrame) -> DataFrame:
 
 
 def blocks(rows: DataFrame, key: str, text: Column, start: str) -> DataFrame:
-    """(key, block, field, value): KEY: value lines grouped in blocks that begin at each ``start`` line; the last value of a field in a block wins."""
-    line = rows.select(key, F.posexplode(F.split(T.blank(text), "\n")).alias("pos", "line"))
-    name = T.label(F.substring_index("line", ":", 1))
-    line = line.filter(F.instr("line", ":") > 0).select(key, "pos", name.alias("field"), F.trim(F.substring("line", F.instr("line", ":") + F.lit(1), F.length("line"))).alias("value"))
-    block = F.sum((F.col("field") == start).cast("int")).over(W.partitionBy(key).orderBy("pos"))
-    return line.withColumn("block", block).filter("block > 0").groupBy(key, "block", "field").agg(F.max_by("value", "pos").alias("value"))
+    """(key, block, field, value): KEY: value lines grouped in blocks that begin at each ``start`` line; the last value of a
+    field in a block wins. A text is folded where it stands; repeated keys are texts of their own."""
+
+    def parsed(line: Column) -> Column:
+        return F.when(F.instr(line, ":") > 0, F.struct(T.label(F.substring_index(line, ":", 1)).alias("field"), F.trim(F.substring(line, F.instr(line, ":") + F.lit(1), F.length(line))).alias("value")))
+
+    held = T.once(rows.select(key, text.alias("_text")), _lines=F.filter(F.transform(F.split(T.blank(F.col("_text")), "\n"), parsed), lambda x: x.isNotNull())).select(key, "_lines")
+    heads = F.filter(F.transform("_lines", lambda x, i: F.when(x["field"] == start, i)), lambda i: i.isNotNull())
+    at = T.once(held, _heads=heads)
+    end = lambda i: F.coalesce(F.get("_heads", i + 1), F.size("_lines"))
+    own = lambda h, i: F.transform(F.slice("_lines", h + 1, end(i) - h), lambda x, j: F.struct(x["field"].alias("field"), j.alias("at"), x["value"].alias("value")))
+    cut = at.select(key, F.posexplode(F.transform("_heads", own)).alias("block", "_own"))
+    last = cut.select(key, (F.col("block") + 1).cast("long").alias("block"), F.explode(last_of_each(F.col("_own"), "field", "value")).alias("x"))
+    return last.select(key, "block", F.col("x.n").alias("field"), F.col("x.v").alias("value"))
 
 
 def adjust(original: Column, adjustment: Column) -> Column:

@@ -16,24 +16,37 @@ def lines(rows: DataFrame, key: str, text: Column) -> DataFrame:
     return rows.select(key, F.posexplode(F.split(T.blank(text), "\n")).alias("pos", "line"))
 
 
+def last_of_each(parts: Column, name: str, value: str) -> Column:
+    """Of structs with ``name``, ``at`` and ``value``: the last by ``at`` for each name, as (name, value), by sorting."""
+    ordered = F.array_sort(F.transform(parts, lambda x: F.struct(x[name].alias("n"), (-x["at"]).alias("back"), x[value].alias("v"))))
+    kept = F.transform(ordered, lambda x, i: F.when((i == 0) | (F.get(ordered, i - 1)["n"] != x["n"]), x))
+    return F.filter(kept, lambda x: x.isNotNull())
+
+
 def fields(rows: DataFrame, key: str, text: Column) -> DataFrame:
     """(key, field, value) of KEY: value and KEY = value lines. Bold marks go; bullets join the field before them.
 
-    A field given again starts over. A text's lines carry its last field forward; texts are the unit of parallelism.
+    A field given again starts over. A text is folded where it stands: nothing moves, and repeated keys are texts of
+    their own.
     """
-    raw = F.regexp_replace(F.regexp_replace(F.trim("line"), r"^\*\*", ""), r"\*+$", "")
-    rows = lines(rows, key, text).withColumn("l", raw).filter("l <> ''")
-    colon, equals = F.instr("l", ":"), F.instr("l", "=")
-    at = F.when(colon > 0, colon).otherwise(equals)
-    name = F.replace(F.replace(F.lower(F.trim(F.substring("l", F.lit(1), at - 1))), F.lit(" "), F.lit("_")), F.lit("*"), F.lit(""))
-    bullet = F.startswith("l", F.lit("-"))
-    is_field = ~bullet & (at > 0) & (name != "") & (F.length(name) < 60)
-    value = F.regexp_replace(F.trim(F.substring("l", at + 1, F.length("l"))), r"\*+$", "")
-    order = W.partitionBy(key).orderBy("pos")
-    rows = rows.select(key, "pos", F.when(is_field, name).alias("name"), F.when(is_field, value).when(bullet, F.col("l")).alias("part"))
-    rows = rows.filter("part IS NOT NULL").select(key, "pos", "part", F.last("name", True).over(order).alias("field"), F.count("name").over(order).alias("n"))
-    whole = rows.filter("field IS NOT NULL").groupBy(key, "field", "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "part"))), lambda x: x["part"]), "\n").alias("value"))
-    return whole.groupBy(key, "field").agg(F.max_by("value", "n").alias("value"))
+
+    def parsed(line: Column) -> Column:
+        raw = F.regexp_replace(F.regexp_replace(F.trim(line), r"^\*\*", ""), r"\*+$", "")
+        colon, equals = F.instr(raw, ":"), F.instr(raw, "=")
+        at = F.when(colon > 0, colon).otherwise(equals)
+        name = F.replace(F.replace(F.lower(F.trim(F.substring(raw, F.lit(1), at - 1))), F.lit(" "), F.lit("_")), F.lit("*"), F.lit(""))
+        bullet = F.startswith(raw, F.lit("-"))
+        is_field = ~bullet & (at > 0) & (name != "") & (F.length(name) < 60)
+        value = F.regexp_replace(F.trim(F.substring(raw, at + 1, F.length(raw))), r"\*+$", "")
+        return F.struct(F.when(is_field, name).alias("name"), F.when(is_field, value).when(bullet, raw).alias("part"))
+
+    parts = T.once(rows.select(key, text.alias("_text")), _parts=F.filter(F.transform(F.split(T.blank(F.col("_text")), "\n"), parsed), lambda x: x["part"].isNotNull())).select(key, "_parts")
+    heads = F.filter(F.transform("_parts", lambda x, i: F.when(x["name"].isNotNull(), i)), lambda i: i.isNotNull())
+    at = T.once(parts, _heads=heads)
+    end = lambda i: F.coalesce(F.get("_heads", i + 1), F.size("_parts"))
+    whole = F.transform("_heads", lambda h, i: F.struct(F.get("_parts", h)["name"].alias("name"), h.alias("at"), F.array_join(F.transform(F.slice("_parts", h + 1, end(i) - h), lambda x: x["part"]), "\n").alias("value")))
+    last = T.once(at, _whole=whole).select(key, F.explode(last_of_each(F.col("_whole"), "name", "value")).alias("x"))
+    return last.select(key, F.col("x.n").alias("field"), F.col("x.v").alias("value"))
 
 
 def canonical_tier(c: Column) -> Column:

@@ -39,20 +39,19 @@ def page(df: DataFrame, order: Sequence[Column], offset: int, limit: int) -> Dat
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
-#: Items of a packet: what a person can judge, and what a plan can hold as literals.
-PACKET_ITEMS = 2000
+#: Parts that a packet's items are dealt in, each of which meets every reviewer once.
+PACKET_PARTS = 64
 
 
-def presentation_order(items: DataFrame, reviewers: DataFrame, packet: str) -> DataFrame:
+def presentation_order(items: DataFrame, reviewers: DataFrame, packet: str, parts: int = PACKET_PARTS) -> DataFrame:
     """Per reviewer a fixed shuffle of a packet's items by a hash of packet, reviewer and item.
 
-    A packet is small by design, and checked to be (PACKET_ITEMS): its ids are an array in the plan that each reviewer's
-    row orders by itself. Reviewers aren't moved, and no join pairs them with the items.
+    Every reviewer gets every item, so the result is their product. It is made by an equal join on the part of an item:
+    reviewers are repeated once a part, and a task holds one part's items for the reviewers it has. Packets of any size;
+    a repeated item is shown as often. Null ids hash as if they weren't there, as ``concat_ws`` skips them.
     """
-    ids = [r[0] for r in items.select("item_id").orderBy("item_id").limit(PACKET_ITEMS + 1).collect()]
-    if len(ids) > PACKET_ITEMS:
-        raise ValueError(f"a packet has at most {PACKET_ITEMS} items")
-    kind = items.schema["item_id"].dataType.simpleString()
-    keyed = F.transform(F.array(*(F.lit(i) for i in ids)).cast(f"array<{kind}>"), lambda i: F.struct(F.sha2(F.concat_ws("|", F.lit(packet), "reviewer_id", i.cast("string")), 256).alias("h"), i.alias("item_id")))
-    placed = reviewers.select("reviewer_id", F.posexplode(F.array_sort(keyed)).alias("presentation_index", "x"))
-    return placed.select("reviewer_id", "x.item_id", "presentation_index")
+    part = F.pmod(F.xxhash64("item_id"), F.lit(parts)).cast("int")
+    met = reviewers.select("reviewer_id", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part")).join(items.select("item_id", part.alias("_part")), "_part")
+    hashed = F.sha2(F.concat_ws("|", F.lit(packet), "reviewer_id", F.col("item_id").cast("string")), 256)
+    order = W.partitionBy("reviewer_id").orderBy(hashed, "item_id")
+    return met.select("reviewer_id", "item_id", (F.row_number().over(order) - 1).alias("presentation_index"))

@@ -52,6 +52,8 @@ def connections(rows: DataFrame, as_of: Column, days: int = 60, papers: int = 5,
     return scored.orderBy(F.desc("similarity"), "a", "b").limit(k).select("a", "b", F.col("n").alias("n_shared"), "similarity")
 
 
+#: Characters of a word that a one-term constraint is looked up by; a hit is checked in full.
+BEGUN = 64
 #: What a denial starts with (fixed values).
 DENIALS = ("no ", "not ", "absence ", "without ", "lack of ")
 
@@ -73,11 +75,12 @@ def constraint_match(constraints: DataFrame, papers: DataFrame, supported: float
     head = c.select("cid", "size", F.array_join(F.slice(F.array_sort("tokens"), 1, 3), " ").alias("phrase"), F.coalesce(F.get(F.array_sort("tokens"), F.lit(0)), F.lit("")).alias("term"))
     denial = "|".join(DENIALS)
     after = F.array_distinct(F.regexp_extract_all("text", F.lit(rf"(?:{denial})(?=(\S*))"), F.lit(1)))
-    starts = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.substring(w, F.lit(1), i))
+    starts = lambda w: F.transform(F.sequence(F.lit(1), F.least(F.length(w), F.lit(BEGUN))), lambda i: F.substring(w, F.lit(1), i))
     begun = F.array_distinct(F.flatten(F.transform(F.filter(F.col("after"), lambda w: w != ""), starts)))
     at = p.select("pid", after.alias("after")).filter(F.size("after") > 0).select("pid", "after", begun.alias("begun"))
     many = at.select("pid", F.explode("after").alias("term")).join(head.filter("size > 1"), "term")
-    one = at.select("pid", F.explode("begun").alias("term")).join(head.filter("size = 1"), "term")
+    single = head.filter("size = 1").withColumn("term", F.left("term", F.lit(BEGUN)))
+    one = at.select("pid", F.explode("begun").alias("term")).join(single, "term")
     none = at.select("pid", F.substring(F.get("after", F.lit(0)), 1, 0).alias("term")).join(head.filter("size = 0"), "term")
     hits = many.unionByName(one).unionByName(none).select("pid", "cid", "phrase").distinct().join(p, "pid")
     denied = hits.filter(F.exists(F.array(*(F.lit(d) for d in DENIALS)), lambda d: F.contains("text", F.concat(d, F.col("phrase")))))

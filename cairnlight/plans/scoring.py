@@ -208,13 +208,13 @@ def pattern_score(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", S.pattern_score(F.contains("p_name", F.lit("ring")), F.contains("p_name", F.lit("red")), F.col("p_size") % 4).alias("score"))
 
 
-@query("scalar_text_functions", r"""SELECT doc_id, regexp_replace(regexp_replace(lower(left(text, 80)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS label,
+@query("scalar_text_functions", r"""SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS label,
  left(sha256(doc_id::VARCHAR || '|' || source), 16) AS stable_id, left(sha1(source || '|' || lang), 8) AS key8, len(regexp_extract_all(text, '\S+')) AS n_words,
  coalesce(TRY_CAST(regexp_extract(source, '(\d+)', 1) AS DOUBLE), 0.0::DOUBLE) AS num, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, n_chars / 5000.0::DOUBLE)), 4) AS clamped,
  lower(lang) IN ('1', 'true', 'yes', 'fr') AS flag FROM (SELECT * FROM documents)""")
 def scalar_text_functions(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", T.label(F.left("text", F.lit(80))).alias("label"), T.stable_id("", F.col("doc_id").cast("string"), F.col("source")).alias("stable_id"),
+    return docs.select("doc_id", T.label(F.col("text")).alias("label"), T.stable_id("", F.col("doc_id").cast("string"), F.col("source")).alias("stable_id"),
                        F.left(F.sha1(F.concat_ws("|", "source", "lang")), F.lit(8)).alias("key8"), F.size(T.words(F.col("text"))).cast("long").alias("n_words"),
                        F.coalesce(F.regexp_extract("source", r"(\d+)", 1).try_cast("double"), F.lit(0.0)).alias("num"), T.clamp(F.col("n_chars") / 5000.0, 0.0, 1.0, 4).alias("clamped"),
                        F.lower("lang").isin("1", "true", "yes", "fr").alias("flag"))

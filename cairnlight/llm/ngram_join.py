@@ -32,7 +32,9 @@ WORDS, PERCENT = 3, 90
 #: Shingles of a batch and sets of one at most; sets of a batch that make a shingle common; buckets per shuffle partition.
 BATCH, BATCH_SETS, COMMON, BUCKETS = 1 << 20, 60_000, 32, 8
 #: Classes of hash of the suffix filter; words whose hashes a task keeps.
-SIGN, KEPT_WORDS = 32, 300_000
+SIGN, KEPT_WORDS = 64, 300_000
+#: First shingles of a prefix that its postings carry, to tell in which list a pair meets first.
+HEAD = 8
 #: Odd multipliers of a shingle's word hashes, and those of its final mixing.
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 LOW = np.uint64((1 << 48) - 1)
@@ -214,7 +216,8 @@ def _counted(common_from: int):
 
 
 def _prefixes(percent: int, common_from: int):
-    """Counts of a batch to the postings of its sets: token, hi, lo, n, at (the shingle's place in the set's order), sign."""
+    """Counts of a batch to the postings of its sets: token, hi, lo, n, at (the shingle's place in the set's order), sign and
+    head (the first tokens of the set's prefix, zeros after its end)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(batches, 1):
@@ -248,9 +251,14 @@ def _prefixes(percent: int, common_from: int):
             use = at < (n - (percent * n + 99) // 100 + 1)[holder]
             token, holder, at = token[use], holder[use], at[use]
             if len(token):
+                place = np.arange(len(token)) - np.searchsorted(holder, holder)
+                heads = np.zeros((len(n), HEAD), np.int64)
+                heads[holder[place < HEAD], place[place < HEAD]] = token[place < HEAD].view(np.int64)
+                ends = pa.array(np.arange(len(token) + 1, dtype=np.int32) * HEAD)
+                head_of = pa.ListArray.from_arrays(ends, pa.array(heads[holder].ravel()))
                 own = ids[holder]
                 signs = pa.ListArray.from_arrays(pa.array(np.arange(len(token) + 1, dtype=np.int32) * SIGN), pa.array(sign[holder].astype(np.int16).ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), *(pa.array(np.ascontiguousarray(own[:, i])) for i in range(3)), pa.array(at), signs], names=["token", "hi", "lo", "n", "at", "sign"])
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), *(pa.array(np.ascontiguousarray(own[:, i])) for i in range(3)), pa.array(at), signs, head_of], names=["token", "hi", "lo", "n", "at", "sign", "head"])
 
     return run
 
@@ -262,7 +270,7 @@ def prefixes(rows: DataFrame, text: str, words: int, percent: int, batch: int =
     buckets = min(BUCKETS * n, 1 << 16)
     spread = rows.select(F.col(f"row.{text}").alias("text")).mapInArrow(_spread(words, least, buckets, batch, common_from), PACKED)
     counted = spread.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_counted(common_from), PACKED)
-    return counted.repartition(n, "batch").sortWithinPartitions("batch").mapInArrow(_prefixes(percent, common_from), "token long, hi long, lo long, n long, at long, sign array<short>")
+    return counted.repartition(n, "batch").sortWithinPartitions("batch").mapInArrow(_prefixes(percent, common_from), "token long, hi long, lo long, n long, at long, sign array<short>, head array<long>")
 
 
 # --- pairs ------------------------------------------------------------------------------------------------------------
@@ -287,7 +295,11 @@ def stars(postings: DataFrame, percent: int) -> DataFrame:
 
 
 def _across(percent: int):
-    """Pairs (u < v) between components (``root``) of lists sorted by (token, class); a list is filtered row against rest."""
+    """Pairs (u < v) between components (``root``) of lists sorted by (token, class); a list is filtered row against rest.
+
+    A pair is made in the class of its larger set only, and if the heads of both prefixes have a common token, in the list
+    of the first one only.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -295,17 +307,20 @@ def _across(percent: int):
         def paired() -> Iterator[pa.RecordBatch]:
             t = pa.Table.from_batches(held).sort_by("n").combine_chunks()
             held.clear()
-            node, n, at, root = (np.asarray(t[c]).astype(np.int64) for c in ("node", "n", "at", "root"))
+            node, n, at, root, size, token, class_ = (np.asarray(t[c]).astype(np.int64) for c in ("node", "n", "at", "root", "size", "token", "class"))
+            head = np.asarray(t["head"].combine_chunks().flatten()).reshape(-1, HEAD)
             sign = np.asarray(t["sign"].combine_chunks().flatten()).reshape(-1, SIGN).astype(np.int32)
             us, vs = [], []
             for i in range(len(node) - 1):
                 end = int(np.searchsorted(n, n[i] * 100 // percent, side="right"))
                 j = np.arange(i + 1, end)
-                j = j[root[j] != root[i]]
+                j = j[(root[j] != root[i]) & (size[j] == class_[0])]
                 both = n[i] + n[j]
                 need = -(-percent * both // (100 + percent))
                 j, both, need = (x[np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j]) >= need] for x in (j, both, need))
                 j = j[np.abs(sign[i] - sign[j]).sum(axis=1) <= both - 2 * need]
+                common = (head[j][:, None, :] == head[i][:, None]).any(axis=2) & (head[i] != 0)
+                j = j[~common.any(axis=1) | (head[i][common.argmax(axis=1)] == token[0])]
                 us.append(np.minimum(node[i], node[j]))
                 vs.append(np.maximum(node[i], node[j]))
                 if sum(map(len, us[-64:])) > 1 << 16:
@@ -338,9 +353,9 @@ def across(postings: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     of = postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = of.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token")
     class_ = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
-    cut = of.join(mixed, "token").withColumn("class", F.explode(F.array(class_, class_ + 1)))
+    cut = of.join(mixed, "token").withColumn("size", class_).withColumn("class", F.explode(F.array("size", F.col("size") + 1)))
     n = _shuffles(postings)
-    dealt = cut.select("token", "class", "node", "n", "at", "root", "sign").repartition(n, "token", "class").sortWithinPartitions("token", "class")
+    dealt = cut.select("token", "class", "size", "node", "n", "at", "root", "sign", "head").repartition(n, "token", "class").sortWithinPartitions("token", "class")
     return dealt.mapInArrow(_across(percent), "u long, v long").distinct()
 
 
@@ -383,7 +398,7 @@ def linked_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     sets = sized(rows, key, text, words)
     nodes = sets.filter("n > 0").groupBy("hi", "lo", "n").agg(F.min("key").alias("key"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "ngram-nodes")
-    postings = materialize(prefixes(rows, text, words, percent).join(nodes.select("hi", "lo", "node"), ["hi", "lo"]).select("token", "node", "n", "at", "sign").dropDuplicates(["token", "node"]), "ngram-postings")
+    postings = materialize(prefixes(rows, text, words, percent).join(nodes.select("hi", "lo", "node"), ["hi", "lo"]).select("token", "node", "n", "at", "sign", "head").dropDuplicates(["token", "node"]), "ngram-postings")
     first = verified(materialize(stars(postings, percent), "ngram-pairs"), rows, nodes, text, words, percent)
     links = first.filter("alike").select(F.col("u").alias("a"), F.col("v").alias("b"))
     roots = materialize(components(links, "ngram-cc"), "ngram-roots")

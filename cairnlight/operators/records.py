@@ -132,18 +132,18 @@ KINDS = {k.name: k for k in (
 )}
 
 
-def _type(record: Column, field: str) -> Column:
+def kind_of(record: Column, field: str) -> Column:
     """First word of the field's type: MISSING, VOID (a null), STRING, BOOLEAN, BIGINT, DECIMAL, DOUBLE, ARRAY or OBJECT."""
     return F.coalesce(F.regexp_extract(F.schema_of_variant(F.try_variant_get(record, f"$.{field}", "variant")), "^[A-Z]+", 0), F.lit("MISSING"))
 
 
 def _text(record: Column, field: str) -> Column:
     """The field's text; null where it isn't text."""
-    return F.when(_type(record, field) == "STRING", F.try_variant_get(record, f"$.{field}", "string"))
+    return F.when(kind_of(record, field) == "STRING", F.try_variant_get(record, f"$.{field}", "string"))
 
 
 def _absent(record: Column, field: str) -> Column:
-    kind = _type(record, field)
+    kind = kind_of(record, field)
     empty = (kind == "ARRAY") & (F.size(F.try_variant_get(record, f"$.{field}", "array<variant>")) == 0)
     return kind.isin("MISSING", "VOID") | F.coalesce(_text(record, field) == "", F.lit(False)) | F.coalesce(empty, F.lit(False))
 
@@ -153,14 +153,14 @@ def _other(record: Column, field: str, values: Sequence[str]) -> Column:
 
 
 def _no_share(record: Column, field: str) -> Column:
-    kind, value = _type(record, field), F.try_variant_get(record, f"$.{field}", "double")
+    kind, value = kind_of(record, field), F.try_variant_get(record, f"$.{field}", "double")
     number = kind.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT") & F.coalesce(value.between(0, 1), F.lit(False))
     return ~((kind == "BOOLEAN") | number)  # true and false count as one and zero
 
 
 def _checks(record: Column, kind: Kind | Items) -> list[tuple[str, Column, str]]:
     """(field, broken, message) of the rules that look at one field."""
-    at = lambda f: _type(record, f)
+    at = lambda f: kind_of(record, f)
     given = lambda f: ~at(f).isin("MISSING", "VOID")
     out = [(f, _absent(record, f), "is required") for f in kind.required]
     out += [(f, _other(record, f, values), message) for f, values, message in kind.choices]
@@ -188,7 +188,7 @@ def issues_of(record: Column, kind: Kind) -> Column:
     root = F.lit(f"$.{kind.name}")
     parts = [_found(root, _checks(record, kind))]
     for items in kind.items:
-        held = F.when(_type(record, items.field) == "ARRAY", F.try_variant_get(record, f"$.{items.field}", "array<variant>"))
+        held = F.when(kind_of(record, items.field) == "ARRAY", F.try_variant_get(record, f"$.{items.field}", "array<variant>"))
         none = F.array().cast("array<variant>")
         parts.append(F.flatten(F.transform(F.coalesce(held, none), _item_issues(F.concat(root, F.lit(f".{items.field}:")), items))))
     return F.concat(*parts)

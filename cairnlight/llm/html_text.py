@@ -1,12 +1,13 @@
 """Main text of web pages by tag-path ratios.
 
-Each block of text belongs to the path of tags from the root to its leaf; a tag whose role, class or id names boilerplate
-counts as another tag. Per path, text length, punctuation and the share of text in links are aggregated. Length and
-punctuation are smoothed over neighbouring blocks in page order and fused into one score by their product; links and
-boilerplate names on the path lower it. Paths that reach a share of the page's mean score hold content. They mark the
-article: the outermost ``article`` or ``main`` around what holds most of them, else the smallest element with all of them
-and what is beside it. In the article, a block stays where its path reaches a far lower share: short headings, items and
-cells do, what is named as boilerplate or is all links doesn't.
+Each block of text belongs to the path of tags from the root to its leaf; a tag whose class or id names boilerplate counts
+as another tag. Per path, text length, punctuation and the share of text in links are aggregated. Length and punctuation
+are smoothed over neighbouring blocks in page order and fused into one score by their product; links lower it, and a
+boilerplate name on the path lowers it to four tenths, once. Paths that reach a share of the page's mean score hold content, named or not.
+They mark the article: the outermost ``article`` or ``main`` around what holds most of them, else the smallest element with
+all of them and what is beside it. In the article, short headings, items and cells whose path reaches a far lower share stay
+too, unless the path has a boilerplate name. What the standard's own elements and roles set aside (navigation, footers,
+forms and the like) and what is hidden is no part of the article.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ RAW = frozenset("script style noscript template iframe textarea xmp noembed nofr
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
-#: Elements, roles and name parts that lower a path's score.
+#: Elements and roles that are set aside (fixed values of the HTML standard), and name parts that lower a path's score.
 OUTSIDE = frozenset("head nav footer aside form button select option dialog menu object canvas audio video map".split())
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
 OUTSIDE_NAMES = re.compile(
@@ -43,9 +44,9 @@ _RAW_END = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW}
 #: Of what can be the article's title or lead before the element that holds its text.
 LEAD = frozenset("h1 h2 h3 h4 h5 h6 hgroup p".split())
 #: Half-width of the smoothing window; the share of the mean score that marks the article, and the share of that which stays
-#: in it; the factor of paths with boilerplate names; the share of marked text that an element must hold to be taken for
-#: the article's.
-SMOOTH, THRESHOLD, STAYS, NAMED, HELD = 2, 0.5, 0.04, 0.001, 0.85
+#: in it; the factor of paths with boilerplate names; the share of marked text over which an ``article`` or ``main`` is
+#: the article, and that which the only one on a page needs.
+SMOOTH, THRESHOLD, STAYS, NAMED, HALF, SOLE = 2, 0.5, 0.04, 0.4, 0.5, 0.2
 #: Elements that end an open one of their family, and those that hide it (fixed values of the HTML standard).
 _FAMILIES = {
     "p": ({"p"}, {"div", "article", "section", "td", "li", "body"}),
@@ -61,10 +62,10 @@ _FAMILY_OF = {name: family for family, (names, _) in _FAMILIES.items() for name
 class _Node:
     """An element: its place in page order, the last place inside it, its path, and per family the open element to end."""
 
-    __slots__ = ("article", "at", "chars", "last", "named", "name", "open", "parent", "path")
+    __slots__ = ("article", "aside", "at", "chars", "last", "named", "name", "open", "parent", "path")
 
-    def __init__(self, name: str, parent: _Node | None, named: bool, at: int, path: int) -> None:
-        self.name, self.parent, self.named, self.at, self.path, self.last = name, parent, named, at, path, at
+    def __init__(self, name: str, parent: _Node | None, named: bool, aside: bool, at: int, path: int) -> None:
+        self.name, self.parent, self.named, self.aside, self.at, self.path, self.last = name, parent, named, aside, at, path, at
         self.chars = 0.0  # of marked text
         self.article = parent is not None and (parent.article or name in ("article", "main"))
         self.open = parent.open if parent is not None else {}
@@ -73,16 +74,18 @@ class _Node:
             self.open = self.open | changed
 
 
-def _boilerplate(name: str, attributes: str, parent: _Node) -> bool:
+def _aside(name: str, attributes: str, parent: _Node) -> bool:
+    """An element or role that the standard sets apart from the content."""
     if name in OUTSIDE or (name == "header" and not parent.article):
         return True
+    return bool(attributes) and any(k.lower() == "role" and (a or b or c).lower() in OUTSIDE_ROLES for k, a, b, c in _ATTR.findall(attributes))
+
+
+def _boilerplate(name: str, attributes: str) -> bool:
+    """A class or id that names boilerplate."""
     if not attributes or name in ("html", "body", "article", "main"):
         return False
-    for k, a, b, c in _ATTR.findall(attributes):
-        k, v = k.lower(), a or b or c
-        if (k in ("class", "id") and OUTSIDE_NAMES.search(v)) or (k == "role" and v.lower() in OUTSIDE_ROLES):
-            return True
-    return False
+    return any(k.lower() in ("class", "id") and OUTSIDE_NAMES.search(a or b or c) for k, a, b, c in _ATTR.findall(attributes))
 
 
 def _hidden(attributes: str) -> bool:
@@ -107,7 +110,7 @@ class _Page:
 def _parsed(page: str) -> _Page:
     """Elements without inline ones, in one pass: each is opened and closed once, whatever the depth."""
     paths: dict[tuple[int, str, bool], int] = {}
-    root = _Node("", None, False, 0, 0)
+    root = _Node("", None, False, False, 0, 0)
     out = _Page([root], [], [], [])
     node, run, linked = root, [], 0
     depth: dict[str, int] = {}  # open elements by name
@@ -120,7 +123,7 @@ def _parsed(page: str) -> _Page:
         if run:
             text = _SPACE.sub(" ", html.unescape("".join(run))).strip()
             run.clear()
-            if text:
+            if text and not node.aside:
                 out.at.append(node)
                 out.texts.append(text)
                 out.linked.append(min(linked, len(text)))
@@ -161,7 +164,7 @@ def _parsed(page: str) -> _Page:
                     x, y = inline.pop()
                     outside, anchors = outside - x, anchors - y
             elif not empty:
-                inline.append((bool(attributes) and (_boilerplate(name, attributes, node) or _hidden(attributes)), name == "a"))
+                inline.append((bool(attributes) and (_aside(name, attributes, node) or _boilerplate(name, attributes) or _hidden(attributes)), name == "a"))
                 outside, anchors = outside + inline[-1][0], anchors + inline[-1][1]
             continue
         if name == "br":
@@ -190,9 +193,9 @@ def _parsed(page: str) -> _Page:
         if up is not None:
             node = ended(up)
         if name not in VOID and not empty:
-            named = _boilerplate(name, attributes, node)
-            path = paths.setdefault((node.path, name, named or hidden), len(paths) + 1)
-            node = _Node(name, node, node.named or named or hidden, len(out.nodes), path)
+            named = _boilerplate(name, attributes)
+            path = paths.setdefault((node.path, name, named), len(paths) + 1)
+            node = _Node(name, node, node.named or named, node.aside or hidden or _aside(name, attributes, node), len(out.nodes), path)
             out.nodes.append(node)
             depth[name] = depth.get(name, 0) + 1
     flush()
@@ -212,15 +215,15 @@ def path_scores(path: np.ndarray, length: np.ndarray, marks: np.ndarray, linked:
     """For each block the score of its path, in means of the page's (weighted by length).
 
     A block's score is the root of smoothed length, of punctuation and of the path's own length, lowered by the path's share
-    of links and by NAMED; the path's score is the mean of its blocks'.
+    of links; the path's score is the mean of its blocks', times NAMED where it has a boilerplate name.
     """
     of = np.unique(path, return_inverse=True)[1]
     count, size = np.bincount(of), np.bincount(of, length)
-    lowered = (1 - np.bincount(of, linked) / size) ** 2 * np.where(np.bincount(of, named) > 0, NAMED, 1.0)
+    lowered = (1 - np.bincount(of, linked) / size) ** 2
     text_ratio, mark_ratio = size / count * lowered, np.bincount(of, marks) / count * lowered
     fused = np.sqrt(_smooth(text_ratio[of]) * (1 + _smooth(mark_ratio[of])) * np.maximum(size / count, 1)[of]) * lowered[of]
-    by_path = np.bincount(of, fused * length) / size
-    mean = float((fused * length).sum() / length.sum())
+    by_path = np.bincount(of, fused * length) / size * np.where(np.bincount(of, named) > 0, NAMED, 1.0)
+    mean = float((by_path * size).sum() / length.sum())
     return by_path[of] / mean if mean > 0 else np.ones(len(path))
 
 
@@ -235,20 +238,24 @@ def extract(page: str | None) -> str:
     length = np.array([len(t) for t in found.texts], float)
     marks = np.array([len(_PUNCTUATION.findall(t)) for t in found.texts], float)
     path = np.array([x.path for x in found.at])
-    score = path_scores(path, length, marks, np.array(found.linked, float), np.array([x.named for x in found.at]))
+    named = np.array([x.named for x in found.at])
+    score = path_scores(path, length, marks, np.array(found.linked, float), named)
     for x, size, use in zip(found.at, length, score >= THRESHOLD, strict=True):
         x.chars += size if use else 0.0
     for x in reversed(found.nodes[1:]):
         x.parent.chars += x.chars
     first, last, lead = _article(found)
-    return " ".join(t for x, t, s in zip(found.at, found.texts, score, strict=True) if s >= THRESHOLD * STAYS and (first <= x.at <= last or x.at in lead))
+    stays = (score >= THRESHOLD) | (~named & (score >= THRESHOLD * STAYS))
+    return " ".join(t for x, t, s in zip(found.at, found.texts, stays, strict=True) if s and (first <= x.at <= last or x.at in lead))
 
 
 def _article(found: _Page) -> tuple[int, int, set[int]]:
     """First and last place of the article's elements, and the places of titles and leads before it."""
     total = found.nodes[0].chars
-    most = [x for x in found.nodes if x.chars >= HELD * total]  # each inside the one before, as they hold over a half
-    top = next((x for x in most if x.name in ("article", "main")), None)
+    most = [x for x in found.nodes if x.chars > HALF * total or x.chars >= total]  # each inside the one before
+    outer = [x for x in found.nodes if x.name in ("article", "main") and x.parent is not None and not x.parent.article]
+    sole = outer[0] if len(outer) == 1 and outer[0].chars >= SOLE * total > 0 else None
+    top = next((x for x in most if x.name in ("article", "main")), sole)
     if top is not None:
         return top.at, top.last, set()
     top = [x for x in most if x.chars >= total][-1]

@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from cairnlight.llm.common import table
 
-#: Bounds of the fit: labelled rows and landmarks per language, bytes of a training text and of all, languages (those of most
-#: rows); ridge.
-TRAIN_PER_LANG, LANDMARKS_PER_LANG, TRAIN_BYTES, TOTAL_BYTES, LANGS, RIDGE = 300, 48, 65_536, 256 << 20, 1024, 1e-2
+#: Bounds of the fit: labelled rows and landmarks per language, code points of a training text (a part of a longer one) and
+#: of all, landmarks in all (one a language at least); ridge.
+TRAIN_PER_LANG, LANDMARKS_PER_LANG, TRAIN_CHARS, TOTAL_CHARS, LANDMARKS, RIDGE = 300, 48, 16_384, 64 << 20, 8192, 1e-2
 BATCH = 64
 _LETTERS: list[np.ndarray] = []
 
@@ -80,6 +80,7 @@ def fit(texts: list[str], langs: list[str], landmarks_per_lang: int = LANDMARKS_
     """Ridge regression on Nystrom features of a bounded sample; the first rows of each language are its landmarks."""
     rows = [(p, y) for p, y in ((presence(t), y) for t, y in zip(texts, langs, strict=True)) if p is not None]
     names = tuple(sorted({y for _, y in rows}))
+    landmarks_per_lang = max(1, min(landmarks_per_lang, LANDMARKS // max(1, len(names))))
     if not rows:
         return Model((), np.zeros(0, np.uint64), np.zeros((0, 0), np.float32))
     marks, taken = [], dict.fromkeys(names, 0)
@@ -102,22 +103,24 @@ def fit(texts: list[str], langs: list[str], landmarks_per_lang: int = LANDMARKS_
 
 
 def sample(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> list[tuple[str, str]]:
-    """At most ``per_lang`` (text, lang) of each language, evenly by a hash of the id; texts over TRAIN_BYTES are left out.
+    """At most ``per_lang`` (text, lang) of each language, evenly by a hash of the id; of a text over TRAIN_CHARS a part from a
+    place that the hash chooses.
 
-    ``docs``: id, text, lang. Languages are counted first (of more than LANGS, those with most rows are learned); a hash test then
-    leaves about twice the rows needed, so ranking them moves a bounded number of texts whatever the size of a language.
-    What is collected is TOTAL_BYTES at most, or one text a language.
+    ``docs``: id, text, lang. Languages are counted first; a hash test then leaves about twice the rows needed, so ranking
+    them moves a bounded number of texts whatever the size of a language. Every language is learned: what is collected is
+    TOTAL_CHARS at most, or one part a language.
     """
-    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= TRAIN_BYTES))
-    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()}
+    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}
     if not counts:
         return []
-    per_lang = min(per_lang, max(1, TOTAL_BYTES // (TRAIN_BYTES * len(counts))))
+    per_lang = min(per_lang, max(1, TOTAL_CHARS // (TRAIN_CHARS * len(counts))))
+    chars = max(64, min(TRAIN_CHARS, TOTAL_CHARS // (per_lang * len(counts))))
     part = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = F.lit(False)
-    for lang, n in counts.items():
-        chosen = chosen | ((F.col("lang") == lang) & (part < min(1.0, 2.0 * per_lang / n + 20.0 / n)))
-    ranked = usable.filter(chosen).withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))).filter(F.col("rank") <= per_lang)
+    shares = docs.sparkSession.createDataFrame([(y, min(1.0, 2.0 * per_lang / n + 20.0 / n)) for y, n in counts.items()], "lang string, share double")
+    start = F.pmod(F.xxhash64("id", F.lit(1)), F.greatest(F.lit(1), F.length("text") - chars + 1)).cast("int") + 1
+    chosen = usable.join(shares, "lang").filter(part < F.col("share")).select("id", "lang", F.substring("text", start, F.lit(chars)).alias("text"))
+    ranked = chosen.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text"))).filter(F.col("rank") <= per_lang)
     return [(r[0], r[1]) for r in ranked.orderBy("rank", "lang").select("text", "lang").collect()]
 
 
@@ -152,7 +155,8 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    # a row without a doc_id has no remainder: it isn't held out
+    out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
     rows = sample(docs.filter(~out).select(F.col("doc_id").alias("id"), "text", "lang"))
     model = fit([t for t, _ in rows], [y for _, y in rows])
     return predict(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")

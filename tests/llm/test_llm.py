@@ -216,7 +216,7 @@ def plain_scores(page):
     low, text, mark = [0.0] * len(size), [0.0] * len(size), [0.0] * len(size)
     for places in by.values():
         total = sum(size[i] for i in places)
-        lowered = (1 - sum(f.linked[i] for i in places) / total) ** 2 * (html_text.NAMED if any(f.at[i].named for i in places) else 1)
+        lowered = (1 - sum(f.linked[i] for i in places) / total) ** 2
         for i in places:
             low[i], text[i], mark[i] = lowered, total / len(places), sum(marks[j] for j in places) / len(places)
     weight = [np.exp(-0.5 * k * k) for k in range(-2, 3)]
@@ -227,9 +227,9 @@ def plain_scores(page):
 
     lt, lm = [a * b for a, b in zip(text, low, strict=True)], [a * b for a, b in zip(mark, low, strict=True)]
     fused = [np.sqrt(smooth(lt, i) * (1 + smooth(lm, i)) * max(text[i], 1)) * low[i] for i in range(len(size))]
-    mean = sum(a * b for a, b in zip(fused, size, strict=True)) / sum(size)
-    of = {p: sum(fused[i] * size[i] for i in places) / sum(size[i] for i in places) / mean for p, places in by.items()}
-    return f, [of[x.path] for x in f.at]
+    of = {p: sum(fused[i] * size[i] for i in places) / sum(size[i] for i in places) * (html_text.NAMED if f.at[places[0]].named else 1) for p, places in by.items()}
+    mean = sum(of[x.path] * n for x, n in zip(f.at, size, strict=True)) / sum(size)
+    return f, [of[x.path] / mean for x in f.at]
 
 
 def test_html_scores_are_brute_force(spark, sf):
@@ -240,12 +240,29 @@ def test_html_scores_are_brute_force(spark, sf):
 
 
 def test_html_threshold_decides(monkeypatch):
-    pages = [r[0] for r in __import__("duckdb").sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall()]
+    pages = [r[0].replace("article>", "div>") for r in __import__("duckdb").sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall()]
     got = [html_text.extract(p) for p in pages]
     monkeypatch.setattr(html_text, "THRESHOLD", 0.0)
     assert sum(html_text.extract(p) != g for p, g in zip(pages, got, strict=True)) >= 0.2 * len(pages)
 
 
+PARAGRAPHS = "".join(f"<p>Paragraph {i} of the story, which goes on, and on; it has marks.</p>" for i in range(10))
+
+
+def test_html_names_do_not_decide(monkeypatch):
+    """A named path whose text is content stays; unnamed menus and link lists go; names alone give other texts."""
+    got = html_text.extract(f"<body><div class='post tags'>{PARAGRAPHS}</div><div><p>short</p></div></body>")
+    assert got.startswith("Paragraph 0") and got.count("Paragraph") == 10
+    menu = "<div><ul><li><a href=1>Home</a><li><a href=2>News</a><li><a href=3>All topics</a></ul></div>"
+    side = "<div><b><a href=x>Another story, elsewhere</a></b> <a href=y>And one more</a></div>"
+    pages = [f"<body>{menu}<div>{lead}{PARAGRAPHS}</div>{side}<div class=comments><p>Nice, I agree.</p></div></body>" for lead in ("", "<h2>Title</h2>", "<h1>T</h1><p>Lead.</p>")]
+    texts = [html_text.extract(p) for p in pages]
+    assert all(t.count("Paragraph") == 10 and "Home" not in t and "Another" not in t and "agree" not in t for t in texts)
+    assert texts[1].startswith("Title Paragraph") and texts[2].startswith("T Lead. Paragraph")
+    monkeypatch.setattr(html_text, "path_scores", lambda path, length, marks, linked, named: np.where(named, 0.0, 1.0))
+    assert all(html_text.extract(p) != t for p, t in zip(pages, texts, strict=True))
+
+
 def test_html_deep_and_broken_pages_are_linear():
     import time
 
@@ -295,6 +312,19 @@ def test_language(spark, table_dir):
     assert got == {1: "und", 2: "und", 3: "fr"}
 
 
+def test_languages_of_long_texts_are_learned(spark, table_dir):
+    """A language whose labelled texts are all long is learned from parts of them; a null id is a row that isn't held out."""
+    rng = np.random.default_rng(4)
+    word = lambda letters: "".join(rng.choice(list(letters), 5))
+    long = [(i, " ".join(word("абвгде") for _ in range(14_000)), "xx") for i in range(30)]
+    short = [(100 + i, " ".join(word("abcdef") for _ in range(40)), "yy") for i in range(60)]
+    rows = [*long, *short, (None, "abc def fed", "yy"), (None, None, None)]
+    d = table_dir(documents=spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = language.op4_language(spark, d).collect()
+    assert all(r.lang_pred == ("xx" if r.doc_id < 100 else "yy") for r in got if r.doc_id is not None)
+    assert [r.held_out for r in got if r.doc_id is None] == [False, False]
+
+
 def test_language_kernel_matrix_is_the_plain_kernel():
     texts, langs = ["the cat sat", "le chat est", "the dog ran", "le chien a", "a cat"], ["en", "fr", "en", "fr", "en"]
     p = [language.presence(t) for t in texts]

@@ -59,6 +59,33 @@ def _r(x: float) -> float:
     return float(int(round(abs(x), 10) * 1e4 + 0.5 + 1e-9)) / 1e4 * (1 if x >= 0 else -1)
 
 
+#: What a running fold keeps: confidence, entrenchment, supports, challenges, supports by kind of source, steps.
+Running = list
+
+
+def opened(confidence: float, entrenchment: float) -> Running:
+    return [confidence, entrenchment, 0, 0, {}, 0]
+
+
+def revise(s: Running, direction: str, strength: str, source: str, override: bool, dependencies: int) -> None:
+    """One revision with one piece of evidence, in place; rounds and clamps as the array fold does."""
+    many = 1 + min(dependencies, V.DEPENDENCY_MOST) * V.DEPENDENCY_STEP
+    moved = 0.0
+    if direction in ("support", "challenge"):
+        up = direction == "support"
+        size = _r(V.EVIDENCE_DELTAS.get(strength, 0.10) / ((s[2] if up else s[3]) + 1) ** 0.5 * _r(1 / (1 + V.RESISTANCE * s[1])))
+        low, high = V.CAPS["override"] if override else V.CAPS["decisive"] if strength == "decisive" else V.CAPS["soft"]
+        kind = source if source in V.SOURCE_ENTRENCHMENT else "external"
+        base = V.SOURCE_ENTRENCHMENT[kind] / (s[4].get(kind, 0) + 1) ** 0.5
+        moved = _r(base * many if up else -(base / many))
+        s[0] = _r(max(low, min(high, _r(max(0.0, min(1.0, s[0] + (size if up else -size)))))))
+        s[2 if up else 3] += 1
+        if up:
+            s[4][kind] = s[4].get(kind, 0) + 1
+    s[1] = _r(max(0.0, min(1.0, s[1] + moved + (V.OVERRIDE_ENTRENCHMENT if override else 0.0))))
+    s[5] += 1
+
+
 def fold_long(evidence: DataFrame, beliefs: DataFrame, partitions: int | None = None) -> DataFrame:
     """As ``fold``, in constant memory per task: rows sorted by belief and seq pass a running state."""
     rows = evidence.join(beliefs, "belief").select("belief", "seq", "direction", "strength", "source", "override", "confidence", "entrenchment", "dependencies")
@@ -72,22 +99,8 @@ def fold_long(evidence: DataFrame, beliefs: DataFrame, partitions: int | None =
                 if belief != name:
                     if s:
                         out.append((name, *s[:4], s[5]))
-                    name, s = belief, [c0, e0, 0, 0, {}, 0]
-                many = 1 + min(deps, V.DEPENDENCY_MOST) * V.DEPENDENCY_STEP
-                moved = 0.0
-                if direction in ("support", "challenge"):
-                    up = direction == "support"
-                    size = _r(V.EVIDENCE_DELTAS.get(strength, 0.10) / ((s[2] if up else s[3]) + 1) ** 0.5 * _r(1 / (1 + V.RESISTANCE * s[1])))
-                    low, high = V.CAPS["override"] if override else V.CAPS["decisive"] if strength == "decisive" else V.CAPS["soft"]
-                    kind = source if source in V.SOURCE_ENTRENCHMENT else "external"
-                    base = V.SOURCE_ENTRENCHMENT[kind] / (s[4].get(kind, 0) + 1) ** 0.5
-                    moved = _r(base * many if up else -(base / many))
-                    s[0] = _r(max(low, min(high, _r(max(0.0, min(1.0, s[0] + (size if up else -size)))))))
-                    s[2 if up else 3] += 1
-                    if up:
-                        s[4][kind] = s[4].get(kind, 0) + 1
-                s[1] = _r(max(0.0, min(1.0, s[1] + moved + (V.OVERRIDE_ENTRENCHMENT if override else 0.0))))
-                s[5] += 1
+                    name, s = belief, opened(c0, e0)
+                revise(s, direction, strength, source, override, deps)
             if out:
                 yield pd.DataFrame(out, columns=["belief", "confidence", "entrenchment", "n_support", "n_challenge", "n_steps"])
         if s:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairnlight.functions import text as T
@@ -198,11 +201,12 @@ def record_validation(spark, sf_dir):
 
 @query("kernel_health", "SELECT (SELECT count(*) FROM documents) AS n_documents, (SELECT count(*) FROM labels) AS n_labels, (SELECT count(*) FROM labels WHERE toxic = 1) AS n_contested, (SELECT count(*) FROM events WHERE event_type = 'error') AS n_errors, (SELECT count(DISTINCT user_id) FROM events) AS n_beliefs")
 def kernel_health(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").agg(F.count("*").alias("n_documents"))
-    labels = table(spark, sf_dir, "labels").agg(F.count("*").alias("n_labels"), F.count_if(F.col("toxic") == 1).alias("n_contested"))
-    events = table(spark, sf_dir, "events").agg(F.count_if(F.col("event_type") == "error").alias("n_errors"), F.count_distinct("user_id").alias("n_beliefs"))
-    one = lambda d: d.withColumn("k", F.lit(1))
-    return one(docs).join(one(labels), "k").join(one(events), "k").drop("k")
+    parts = {
+        "documents": {"n_documents": F.count("*")}, "labels": {"n_labels": F.count("*"), "n_contested": F.count_if(F.col("toxic") == 1)},
+        "events": {"n_errors": F.count_if(F.col("event_type") == "error"), "n_beliefs": F.count_distinct("user_id")},
+    }
+    rows = [table(spark, sf_dir, t).agg(*(c.alias(n) for n, c in cs.items())).select(F.explode(F.create_map(*(x for n in cs for x in (F.lit(n), F.col(n))))).alias("name", "n")) for t, cs in parts.items()]
+    return functools.reduce(DataFrame.unionAll, rows).agg(*(F.sum(F.when(F.col("name") == n, F.col("n"))).alias(n) for cs in parts.values() for n in cs))
 
 
 _ST = "CASE event_type WHEN 'view' THEN 'evidence' WHEN 'click' THEN 'concept' WHEN 'error' THEN 'uncertainty' WHEN 'signup' THEN 'trajectory' ELSE 'action' END"

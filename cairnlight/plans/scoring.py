@@ -64,6 +64,13 @@ def non_research_filter(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter(~S.is_non_research(text, _STOP)).select("doc_id", "source")
 
 
+@query("non_research_vocabulary", "SELECT doc_id FROM documents WHERE NOT regexp_matches(lower(coalesce(source, '') || ' ' || coalesce(text, '')), '" + "|".join(V.NON_RESEARCH).replace("'", "''") + "')")
+def non_research_vocabulary(spark, sf_dir):
+    """The filter with its own vocabulary."""
+    text = F.concat_ws(" ", T.blank(F.col("source")), T.blank(F.col("text")))
+    return table(spark, sf_dir, "documents").filter(~S.is_non_research(text, V.NON_RESEARCH)).select("doc_id")
+
+
 @query("dispatch_tier", f"""{BASE} SELECT doc_id, {DISPATCH} AS tier, CASE WHEN t1 >= 2 OR (t1 = 1 AND t2 >= 2) THEN t1 || ' T1 + ' || t2 || ' T2 signals' WHEN t1 >= 1 THEN t1 || ' T1 signal'
 WHEN t2 >= 2 THEN t2 || ' T2 signals' WHEN t3 >= 3 THEN t3 || ' T3 signals' ELSE 'only ' || t1 || 'T1/' || t2 || 'T2/' || t3 || 'T3 — kernel-only classification' END AS reason FROM s""")
 def dispatch_tier(spark, sf_dir):

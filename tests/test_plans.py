@@ -11,11 +11,11 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-#: Joins of one-row aggregates.
-PRODUCTS = {"kernel_health"}
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - PRODUCTS))
+
+
+@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_no_cross_products(spark, sf, name):
     assert not re.search("CartesianProduct|NestedLoop", plan_of(catalogue.QUERIES[name](spark, sf))), name
 

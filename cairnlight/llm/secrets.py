@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,15 +82,33 @@ def update(versions: DataFrame, rules: Sequence[Rule] = RULES, ledger: DataFrame
     return new if ledger is None else ledger.unionByName(new)
 
 
-def op8_secret_scan(spark: SparkSession, sf_dir: str, ledger: DataFrame | None = None) -> DataFrame:
-    """Findings of every path. Only blobs that ``ledger`` (of earlier runs) doesn't know are scanned.
+def stored(versions: DataFrame, path: str, rules: Sequence[Rule] = RULES) -> tuple[DataFrame, DataFrame]:
+    """The ledger kept as Parquet under ``path`` (made if there is none), after this call, and the rows that are new in it.
+
+    What the ledger holds isn't scanned or written again; a call that fails leaves it as it was.
+    """
+    spark = versions.sparkSession
+    try:
+        ledger = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        ledger = None
+    new = materialize(scan(versions, rules, ledger), "secret-ledger")
+    new.write.mode("append").parquet(path)
+    return spark.read.schema(new.schema).parquet(path), new
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str, ledger: str | None = None) -> DataFrame:
+    """Findings of every path. Only blobs that the ledger in the folder ``ledger`` doesn't know are scanned, and it is there
+    for the next run; without a folder all blobs are new and nothing is kept.
 
     Null and repeated doc_ids are paths of their own; null and empty texts are the empty blob; very long texts are scanned
     whole; an empty table gives no rows; other columns, whatever their names, are not read.
     """
     versions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
     spans = F.col("spans")
-    return findings_by_path(versions, update(versions, ledger=ledger)).select(
+    return findings_by_path(versions, update(versions) if ledger is None else stored(versions, ledger)[0]).select(
         F.col("path").alias("doc_id"),
         count_kind(spans, "assign").alias("n_assign"),
         count_kind(spans, "access").alias("n_access"),

@@ -35,8 +35,9 @@ BATCH, PART, LARGE = 4096, 1 << 16, 512
 #: Near copies: words of a shingle, similarity, fingerprints a text, and differing bits of candidates at most (unrelated
 #: ones differ in 32 on average; texts alike to 0.8 in 10, hardly ever in over 14 in all fingerprints).
 COPY_WORDS, SIMILARITY, PRINTS, COPY_BITS = 5, 0.8, 4, 14
-#: Fingerprints of a bucket, before a fingerprint in order of distance from the centre, that it is compared with.
-WINDOW = 32
+#: Fingerprints of a bucket, before a fingerprint in order of distance from the centre, that it is compared with; bits by
+#: which the nearest of them must be nearer than the centre.
+WINDOW, NEARER = 32, 3
 
 
 def _syndromes(words: np.ndarray) -> np.ndarray:
@@ -193,7 +194,8 @@ def centred_links(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Candidate links of one bucket's distinct fingerprints, in proportion to their number at every size.
 
     The centre is the fingerprint nearest to the majority of each bit, where a text that all others were made from lies.
-    In order of distance from it, each fingerprint is linked to the centre and to the nearest of the WINDOW before it.
+    In order of distance from it, each fingerprint is linked to the centre, and to the nearest of the WINDOW before it if
+    that is NEARER by some bits: of many copies of one text few are.
     """
     raised = np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
     middle = np.packbits(2 * raised > len(fp), bitorder="little").view(np.uint64)[0]
@@ -205,7 +207,8 @@ def centred_links(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
         d = np.bitwise_count(fp[back:] ^ fp[:-back])
         closer = d < best[back:]
         best[back:][closer], by[back:][closer] = d[closer], np.flatnonzero(closer)
-    return out + [(int(fp[by[j]]), int(fp[j])) for j in np.flatnonzero((best <= radius) & (by > 0))]
+    use = (best <= radius) & ((best + NEARER <= near) | (near > radius)) & (by > 0)
+    return out + [(int(fp[by[j]]), int(fp[j])) for j in np.flatnonzero(use)]
 
 
 def bucket_links(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -338,12 +341,16 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
 
 
 def _least_of(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node and component_id for ``nodes`` (node, least): the least of all ``least`` that links reach.
+    """node and component_id for ``nodes`` (node, least): the least of all ``least`` that links reach."""
+    return _least_at(nodes, components(edges, "simhash-cc"))
+
+
+def _least_at(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """The same from the root of every node with a link.
 
     Nodes without a link have their own; only the others move, and the least of a large component is written before it
     is joined.
     """
-    roots = components(edges, "simhash-cc")
     named = materialize(nodes.join(roots, "node", "left"), "simhash-nodes")
     linked = named.filter("root IS NOT NULL")
     least = materialize(linked.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
@@ -453,22 +460,23 @@ def _rooted(links: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     return roots, materialize(centres.select("root", (-F.col("x.least")).alias("centre")), "copies-centres")
 
 
-def _to_centres(pairs: DataFrame, roots: DataFrame, centres: DataFrame) -> DataFrame:
-    """For each pair between components, either node with the centre of the other's component (u < v, distinct)."""
+def _between(pairs: DataFrame, roots: DataFrame, centres: DataFrame) -> DataFrame:
+    """Of pairs between components: the pair itself, and either node with the centre of the other's component (u < v)."""
     side = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
-    of = pairs.join(side("u"), "u", "left").join(side("v"), "v", "left").filter(F.coalesce("u_root", "u") != F.coalesce("v_root", "v"))
+    of = materialize(pairs.join(side("u"), "u", "left").join(side("v"), "v", "left").filter(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")), "copies-between")
     either = of.select(F.col("u").alias("node"), F.col("v_root").alias("root")).unionAll(of.select(F.col("v").alias("node"), F.col("u_root").alias("root")))
     met = either.filter("root IS NOT NULL").distinct().join(centres, "root")
-    return met.select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")).filter("u <> v").distinct()
+    to = met.select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")).filter("u <> v")
+    return of.select("u", "v").unionAll(to).distinct()
 
 
 def _classes(rows: DataFrame, staged: DataFrame, text: str, words: int, similarity: float, prints: int) -> tuple[DataFrame, DataFrame]:
     """Nodes (hi, lo, node), and node with component_id: the least key that verified links reach from it.
 
-    Each node's nearest candidate is verified first; of the other candidates only those between components that these
-    links leave apart are read. Then nodes that met a node of another component, whether or not they are alike, are
-    compared with that component's centre, in rounds until no more links are found: a group of copies of one text is
-    whole once each has met any of the others, though two copies may differ too much, and no bucket's pairs are made.
+    Each node's nearest candidate is verified first. Of the other candidates only those between components that the links
+    leave apart are read, and with them either node is compared with the centre of the other's component, in rounds until
+    no more links are found: a group of copies of one text is whole once each has met any of the others, though two copies
+    may differ too much, and no bucket's pairs are made.
     """
     nodes = staged.groupBy("hi", "lo").agg(F.min("key").alias("least"), *(F.min(f"f{i}").alias(f"f{i}") for i in range(prints)))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "copies-nodes")
@@ -477,24 +485,19 @@ def _classes(rows: DataFrame, staged: DataFrame, text: str, words: int, similari
     wanted = nodes.join(ends, "node", "left_semi").select("node", "least.place")
     texts = materialize(rows.select("place", F.col(f"row.{text}").alias("text")).join(wanted.hint("merge"), "place").select("node", "text"), "copies-texts")
     either = pairs.select(F.col("u").alias("node"), "bits", "u", "v").unionAll(pairs.select(F.col("v").alias("node"), "bits", "u", "v"))
-    first = materialize(either.groupBy("node").agg(F.min(F.struct("bits", "u", "v")).alias("x")).select("x.u", "x.v").distinct(), "copies-first")
-    found = materialize(_alike(first, texts, words, similarity), "copies-found")
-    edges = lambda x: x.select(F.col("u").alias("a"), F.col("v").alias("b"))
-    roots = materialize(components(edges(found), "copies-cc"), "copies-roots")
-    side = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
-    rest = pairs.join(first, ["u", "v"], "left_anti").join(side("u"), "u", "left").join(side("v"), "v", "left")
-    rest = materialize(rest.filter(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v"), "copies-rest")
-    found = found.unionAll(materialize(_alike(rest, texts, words, similarity), "copies-more", replaces=[roots]))
-    asked, crossing = first.unionAll(rest), pairs.select("u", "v")
+    asked = materialize(either.groupBy("node").agg(F.min(F.struct("bits", "u", "v")).alias("x")).select("x.u", "x.v").distinct(), "copies-asked")
+    found = materialize(_alike(asked, texts, words, similarity), "copies-found")
+    crossing = pairs.select("u", "v")
     while True:
-        roots, centres = _rooted(edges(found), "copies-cc")
-        fresh = materialize(_to_centres(crossing, roots, centres).join(asked, ["u", "v"], "left_anti"), "copies-rest", replaces=[roots, centres])
-        new = materialize(_alike(fresh, texts, words, similarity), "copies-more")
+        roots, centres = _rooted(found.select(F.col("u").alias("a"), F.col("v").alias("b")), "copies-cc")
+        crossing = materialize(_between(crossing, roots, centres), "copies-crossing")
+        fresh = materialize(crossing.join(asked, ["u", "v"], "left_anti"), "copies-asked")
+        new = materialize(_alike(fresh, texts, words, similarity), "copies-found")
         if new.isEmpty():
             break
-        found, asked, crossing = found.unionAll(new), asked.unionAll(fresh), crossing.unionAll(fresh)
+        found, asked = found.unionAll(new), asked.unionAll(fresh)
     discard(texts.sparkSession, texts.written_to, pairs.written_to)
-    return nodes.select("hi", "lo", "node"), _least_of(nodes.select("node", "least"), edges(found))
+    return nodes.select("hi", "lo", "node"), _least_at(nodes.select("node", "least"), roots)
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = COPY_WORDS, similarity: float = SIMILARITY, prints: int = PRINTS) -> DataFrame:

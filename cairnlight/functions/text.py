@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +35,11 @@ def once(rows: DataFrame, **columns: Column) -> DataFrame:
     return rows.select("*", F.explode(F.array(made)).alias("_once")).select("*", *(F.col(f"_once.{n}").alias(n) for n in columns)).drop("_once")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is evaluated once, for expressions that read it many times where ``once`` can't stand."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def normalise_title(c: Column) -> Column:
     """The milder form trend reports use: lower case, hyphens to blanks, italics marks dropped."""
     return F.replace(F.replace(F.replace(F.lower(blank(c)), F.lit("-"), F.lit(" ")), F.lit("<i>"), F.lit("")), F.lit("</i>"), F.lit(""))

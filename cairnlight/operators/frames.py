@@ -43,12 +43,22 @@ def _none() -> Column:
     return F.array().cast("array<string>")
 
 
+NUMBERS = ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
+
+
+def _read(record: Column, field: str, use: Callable[[Column, Column], Column]) -> Column:
+    """``use`` of a field's kind and text, each read once."""
+    return T.bound(F.struct(kind_of(record, field).alias("k"), F.try_variant_get(record, f"$.{field}", "string").alias("v")), lambda r: use(r["k"], r["v"]))
+
+
 def said(record: Column, field: str) -> Column:
     """A field's text as a condition sees it: empty where it is missing, null, false, zero or no scalar."""
-    kind, value = kind_of(record, field), F.try_variant_get(record, f"$.{field}", "string")
-    number = kind.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
-    out = F.when(kind == "STRING", value).when(kind == "BOOLEAN", F.when(value == "true", "True").otherwise("")).when(number, F.when(value.try_cast("double") != 0, value).otherwise(""))
-    return F.coalesce(out, F.lit(""))
+
+    def text(kind: Column, value: Column) -> Column:
+        zero = F.coalesce(value.try_cast("double") == 0, F.lit(False))
+        return F.when(kind == "STRING", value).when(kind == "BOOLEAN", F.when(value == "true", "True").otherwise("")).when(kind.isin(*NUMBERS) & ~zero, value)
+
+    return F.coalesce(_read(record, field, text), F.lit(""))
 
 
 def first_said(record: Column, fields: Sequence[str]) -> Column:
@@ -61,9 +71,11 @@ def token(c: Column) -> Column:
 
 def is_set(record: Column, field: str) -> Column:
     """True, a number but zero, or one of the words for yes."""
-    kind, value = kind_of(record, field), F.try_variant_get(record, f"$.{field}", "string")
-    yes = F.lower(F.trim(value)).isin("1", "true", "yes", "y")
-    return F.coalesce(F.when(kind.isin("STRING", "BOOLEAN"), yes).when(kind.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), value.try_cast("double") != 0), F.lit(False))
+
+    def yes(kind: Column, value: Column) -> Column:
+        return F.when(kind.isin("STRING", "BOOLEAN"), F.lower(F.trim(value)).isin("1", "true", "yes", "y")).when(kind.isin(*NUMBERS), value.try_cast("double") != 0)
+
+    return F.coalesce(_read(record, field, yes), F.lit(False))
 
 
 def strings(record: Column, field: str) -> Column:
@@ -125,9 +137,14 @@ def key_claims(briefing: Column) -> Column:
         F.coalesce(F.nullif(F.trim(first_said(c, KEY_CLAIM_IDS)), F.lit("")), F.concat(F.lit("key_claim_"), F.lpad((i + 1).cast("string"), 2, "0"))).alias("id"),
         token(F.coalesce(F.nullif(first_said(c, ("role", "claim_type")), F.lit("")), F.lit("claim"))).alias("role"),
         token(F.coalesce(F.nullif(said(c, "criticality"), F.lit("")), F.lit("required"))).alias("criticality")))
-    ids = F.transform(named, lambda c: c["id"])
-    first = F.filter(named, lambda c, i: F.array_position(ids, c["id"]) == i + 1)
-    return F.transform(F.filter(first, lambda c: c["criticality"] == "required"), lambda c: F.struct(c["id"].alias("id"), c["role"].alias("role")))
+
+    def required_of(named: Column) -> Column:
+        ordered = F.transform(named, lambda c, i: F.struct(c["id"].alias("id"), i.alias("at"), c["role"].alias("role"), c["criticality"].alias("criticality")))
+        first = T.bound(F.array_sort(ordered), lambda xs: F.filter(xs, lambda c, i: (i == 0) | (F.get(xs, i - 1)["id"] != c["id"])))
+        kept = F.array_sort(F.transform(F.filter(first, lambda c: c["criticality"] == "required"), lambda c: F.struct(c["at"].alias("at"), c["id"].alias("id"), c["role"].alias("role"))))
+        return F.transform(kept, lambda c: F.struct(c["id"].alias("id"), c["role"].alias("role")))
+
+    return T.bound(named, required_of)
 
 
 def _by_word(word: Column, weights: Sequence[tuple[tuple[str, ...], float]]) -> Column:
@@ -152,19 +169,27 @@ RISK, DISTANCE = ("overclaim_risk", "claim_design_risk"), ("evidence_claim_dista
 def claims_of(briefing: Column) -> Column:
     """Claims with refs, evidence, kind, measured, flags (given and found), weight and signal (anything said on design)."""
 
-    def one(c: Column) -> Column:
-        evidence, kind = F.array_distinct(F.transform(F.concat(*(strings(c, f) for f in EVIDENCE_TYPES)), token)), token(said(c, "claim_type"))
-        scopes, design = tokens(c, CLAIM_SCOPES), tokens(c, EVIDENCE_SCOPES)
-        meets = lambda xs, words: F.arrays_overlap(xs, F.array(*(F.lit(w) for w in words)))
+    meets = lambda xs, words: F.coalesce(F.arrays_overlap(xs, F.array(*(F.lit(w) for w in words))), F.lit(False))
+
+    def read(c: Column) -> Column:
+        return F.struct(
+            F.array_distinct(F.transform(F.concat(*(strings(c, f) for f in EVIDENCE_TYPES)), token)).alias("evidence"), token(said(c, "claim_type")).alias("kind"), tokens(c, CLAIM_SCOPES).alias("scopes"), tokens(c, EVIDENCE_SCOPES).alias("design"),
+            tokens(c, FLAG_FIELDS).alias("flags"), token(first_said(c, RISK)).alias("risk"), token(first_said(c, DISTANCE)).alias("distance"))
+
+    def flagged(r: Column) -> Column:
         found = [
-            (meets(scopes, TRANSLATIONAL) & meets(design, PROTOTYPE), "translational_overclaim"), (meets(scopes, PLATFORM) & meets(design, NARROW), "platform_overclaim"),
-            (kind.isin("causal", "causality") & meets(evidence, ("correlation", "association", "observational")), "causal_overclaim"),
-            (kind.isin("mechanism", "mechanistic") & meets(evidence, NOT_TOUCHED), "mechanism_overclaim"),
+            (meets(r["scopes"], TRANSLATIONAL) & meets(r["design"], PROTOTYPE), "translational_overclaim"), (meets(r["scopes"], PLATFORM) & meets(r["design"], NARROW), "platform_overclaim"),
+            (r["kind"].isin("causal", "causality") & meets(r["evidence"], ("correlation", "association", "observational")), "causal_overclaim"),
+            (r["kind"].isin("mechanism", "mechanistic") & meets(r["evidence"], NOT_TOUCHED), "mechanism_overclaim"),
         ]
-        flags = F.array_distinct(F.concat(tokens(c, FLAG_FIELDS), F.filter(F.array(*(F.when(F.coalesce(x, F.lit(False)), F.lit(n)) for x, n in found)), lambda x: x.isNotNull())))
-        risk, distance = token(first_said(c, RISK)), token(first_said(c, DISTANCE))
-        signal = (F.size(flags) > 0) | (risk != "") | (distance != "") | (F.size(scopes) > 0) | (F.size(design) > 0)
-        return F.struct(references(c, CLAIM_REFS).alias("refs"), kind.alias("kind"), F.coalesce(meets(evidence, MEASURED), F.lit(False)).alias("measured"), flags.alias("flags"), boundary_weight(flags, risk, distance, c).alias("weight"), signal.alias("signal"))
+        return F.array_distinct(F.concat(r["flags"], F.filter(F.array(*(F.when(x, F.lit(n)) for x, n in found)), lambda x: x.isNotNull())))
+
+    def one(c: Column) -> Column:
+        def of(r: Column, flags: Column) -> Column:
+            signal = (F.size(flags) > 0) | (r["risk"] != "") | (r["distance"] != "") | (F.size(r["scopes"]) > 0) | (F.size(r["design"]) > 0)
+            return F.struct(references(c, CLAIM_REFS).alias("refs"), r["kind"].alias("kind"), meets(r["evidence"], MEASURED).alias("measured"), flags.alias("flags"), boundary_weight(flags, r["risk"], r["distance"], c).alias("weight"), signal.alias("signal"))
+
+        return T.bound(read(c), lambda r: T.bound(flagged(r), lambda flags: of(r, flags)))
 
     return F.transform(objects(briefing, "claim_map"), one)
 

@@ -54,7 +54,7 @@ def dispatch_reason(t1: Column, t2: Column, t3: Column) -> Column:
 
 
 def is_non_research(text: Column, phrases: Sequence[str] = V.NON_RESEARCH) -> Column:
-    return T.contains_any(F.lower(text), phrases)
+    return T.bound(F.lower(text), lambda t: T.contains_any(t, phrases))
 
 
 def prefilter(rows: DataFrame, text: Column, threshold: int, dictionary: Mapping[str, int]) -> tuple[DataFrame, DataFrame]:
@@ -119,8 +119,12 @@ def journal_tier(journal: Column, tiers=V.JOURNAL_TIERS) -> Column:
 
 
 def evidence_strength(journal: Column, abstract: Column, problem: Column, novelty: Column, tiers=V.JOURNAL_TIERS) -> Column:
-    """struct(score, strength, factors) of the rule-based estimate."""
-    tier, al, nl, pl = journal_tier(journal, tiers), F.lower(T.blank(abstract)), F.lower(T.blank(novelty)), F.lower(T.blank(problem))
+    """struct(score, strength, factors) of the rule-based estimate. The texts are lower-cased once a row."""
+    read = F.struct(journal_tier(journal, tiers).alias("tier"), F.lower(T.blank(abstract)).alias("al"), F.lower(T.blank(novelty)).alias("nl"), F.lower(T.blank(problem)).alias("pl"))
+    return T.bound(read, lambda r: _strength(r["tier"], r["al"], r["nl"], r["pl"]))
+
+
+def _strength(tier: Column, al: Column, nl: Column, pl: Column) -> Column:
     n = F.regexp_extract(al, r"n\s*=\s*(\d+)", 1).try_cast("long")
     terms = [
         (tier == 1, 2.0, "top-tier journal"), (tier == 2, 1.0, "high-impact journal"),

@@ -55,9 +55,9 @@ def contrasting_phrases(reviews: DataFrame, text: Column, accepted: Column, core
     rows = reviews.select(accepted.alias("yes"), review_phrases(text, core, known).alias("phrases")).filter("yes IS NOT NULL")
     # the totals travel as counts of a phrase of their own, so one aggregate gives both
     held = rows.select("yes", F.explode(F.concat(F.array(F.lit("")), "phrases")).alias("key")).groupBy("key").agg(F.count_if("yes").alias("a"), F.count_if(~F.col("yes")).alias("r"))
-    totals = held.filter("key = ''").select(F.col("a").alias("all_a"), F.col("r").alias("all_r"), F.lit(0).alias("one"))
-    found = held.filter((F.col("key") != "") & (F.col("a") >= least)).withColumn("one", F.lit(0)).join(F.broadcast(totals), "one")  # one row
-    tells = F.col("a") * F.greatest(F.col("all_r"), F.lit(1)) >= ratio * F.col("r") * F.col("all_a")
+    total = lambda c: F.coalesce(held.filter("key = ''").select(c).scalar(), F.lit(0))
+    found = held.filter((F.col("key") != "") & (F.col("a") >= least))
+    tells = F.col("a") * F.greatest(total("r"), F.lit(1)) >= ratio * F.col("r") * total("a")
     return found.filter(tells).select(F.lit("keyword").alias("kind"), "key", F.col("a").alias("n"))
 
 

@@ -235,3 +235,31 @@ def test_tasks(spark):
     row = one(spark, K.calibrate(F.lit("verify_constraint"), F.lit(10.0), F.lit("An EV readout, everywhere"), {"ev": 5.0, "generic": -5.0}).alias("p"),
               K.frontier(F.lit(""), F.lit(""), F.lit("next_kernel_move"), F.lit("x"), (("A", ("rna",)),)).alias("f"), K.frontier(F.lit(""), F.lit("c"), F.lit("t"), F.lit("rna"), ()).alias("g"), K.summary_state(F.lit(1), F.lit(0), F.lit(0)).alias("s"))
     assert row.p == 19.0 and row.f == V.DEFERRED_FRONTIER and row.g == "Concept: c" and row.s == "unstable"
+
+
+def test_constraints_on_very_long_words(spark):
+    """A word of a million letters after a denial: looked up by its first letters, and a hit is checked in full."""
+    long = "f" + "a" * 1_000_000
+    constraints = spark.createDataFrame([(1, "fa"), (2, "f" + "a" * 80), (3, "f" + "a" * 63 + "b"), (4, "zzz")], "cid long, statement string")
+    papers = spark.createDataFrame([(1, f"there is no {long}"), (2, "no f" + "a" * 70), (3, None)], "pid long, text string")
+    got = {(r.cid, r.pid): r.result for r in X.constraint_match(constraints, papers, stop=()).collect()}
+    assert got == {(1, 1): "violated", (2, 1): "violated", (1, 2): "violated"}
+
+
+def test_packets_of_any_size(spark):
+    items = spark.range(5000).select(F.col("id").alias("item_id"))
+    rows = R.presentation_order(items, spark.createDataFrame([(7,), (8,)], "reviewer_id long"), "p").collect()
+    import hashlib
+
+    for reviewer in (7, 8):
+        order = sorted(range(5000), key=lambda i: hashlib.sha256(f"p|{reviewer}|{i}".encode()).hexdigest())
+        assert [i for _, i in sorted((r.presentation_index, r.item_id) for r in rows if r.reviewer_id == reviewer)] == order
+
+
+def test_fields_and_blocks_move_no_rows(spark):
+    from cairnlight.operators import ledgers as L
+    df = spark.createDataFrame([(1, "A: x\n- y\nB = 2\nA: z"), (1, "A: other"), (2, None), (3, "no field")], "id int, t string")
+    for q in (P.fields(df, "id", F.col("t")), L.blocks(df, "id", F.col("t"), "a")):
+        assert "Exchange" not in q._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in P.fields(df, "id", F.col("t")).collect()) == [(1, "a", "other"), (1, "a", "z"), (1, "b", "2")]
+    assert sorted(tuple(r) for r in L.blocks(df, "id", F.col("t"), "a").collect()) == [(1, 1, "a", "other"), (1, 1, "a", "x"), (1, 2, "a", "z")]

@@ -32,9 +32,9 @@ WORDS, PERCENT = 3, 90
 #: Shingles of a batch and sets of one at most; sets of a batch that make a shingle common; buckets per shuffle partition.
 BATCH, BATCH_SETS, COMMON, BUCKETS = 1 << 20, 60_000, 32, 8
 #: Classes of hash of the suffix filter; words whose hashes a task keeps.
-SIGN, KEPT_WORDS = 32, 300_000
+SIGN, KEPT_WORDS = 64, 300_000
 #: First shingles of a prefix that its postings carry, to tell in which list a pair meets first.
-HEAD = 6
+HEAD = 8
 #: Odd multipliers of a shingle's word hashes, and those of its final mixing.
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 LOW = np.uint64((1 << 48) - 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,10 +76,16 @@ def discard(spark: SparkSession, *paths: str) -> None:
 
 
 @contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes on leaving what was materialized inside: write or collect results before."""
-    before = set(_WRITTEN)
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes on leaving what was materialized inside, but for frames that were given to the function it yields: write or
+    collect all other results before."""
+    before, kept = set(_WRITTEN), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df.written_to)
+        return df
+
     try:
-        yield
+        yield keep
     finally:
-        discard(spark, *(p for p in list(_WRITTEN) if p not in before))
+        discard(spark, *(p for p in list(_WRITTEN) if p not in before and p not in kept))

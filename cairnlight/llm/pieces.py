@@ -229,6 +229,12 @@ class Encoder:
         kept.update(found if count_only else ((w, array("i", ids).tobytes()) for w, ids in found))
         return kept
 
+    def forget(self) -> None:
+        """Lets the known words go."""
+        for known in (self.words, self.counts, self.pairs):
+            known.clear()
+        self.held = {True: 0, False: 0}
+
     def decode(self, ids: Iterable[int]) -> str:
         text = b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text[:1] == " " else text
@@ -257,9 +263,11 @@ def _groups(parts: Iterator[Part]) -> Iterator[tuple[pa.RecordBatch, list]]:
                 begin, texts, size = i + 1, [], 0
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text", kept_chars: int = KEPT_CHARS) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text", kept_chars: int = KEPT_CHARS, forget: bool = False) -> DataFrame:
     """key, ids (array<int>) and exact: decoding the ids gives the text again.
 
+    With ``forget`` a task's known words go when it ends, for plans whose other stages need the workers' memory.
+
     Null and empty texts have no ids (exact holds for both: null decodes to nothing). A text that holds the mark U+2581
     itself comes back with a blank in its place, as from the library, so it isn't exact. Null and repeated keys are rows
     of their own, very long texts are whole, an empty table gives no rows; other columns, whatever their names, are not
@@ -268,6 +276,13 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: s
 
     def run(parts: Iterator[Part]) -> Iterator[tuple[pa.RecordBatch, list]]:
         encoder = encoder_of(vocabulary, kept_chars)
+        try:
+            yield from encoded(encoder, parts)
+        finally:
+            if forget:
+                encoder.forget()
+
+    def encoded(encoder: Encoder, parts: Iterator[Part]) -> Iterator[tuple[pa.RecordBatch, list]]:
         for kept, texts in _groups(parts):
             words = [encoder.split(t) for t in texts]
             known = encoder.of(words)

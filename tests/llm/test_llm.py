@@ -384,6 +384,16 @@ def test_a_unigram_model_equals_a_public_encoder(spark, table_dir, tmp_path):
     assert v.kind == "unigram" and len(texts) > 500 and got == want and counts == {k: len(x) for k, x in want.items()}
 
 
+def test_words_let_go_with_the_task_are_encoded_anew(spark, sf):
+    docs, vocabulary = docs_of(spark, sf).repartition(6), pieces.load(pieces.MODEL)
+    plain = lambda df: sorted((r.doc_id, tuple(r.ids), r.exact) for r in df.collect())
+    assert plain(pieces.encode(docs, vocabulary, kept_chars=2000, forget=True)) == plain(pieces.encode(docs, vocabulary))
+    e = pieces.Encoder(vocabulary)
+    e.of([["\u2581word", "\u2581other"]])
+    e.forget()
+    assert not e.words and not e.pairs and not any(e.held.values()) and len(e.of([["\u2581word"]])) == 1
+
+
 def test_unigram_walk_is_the_plain_viterbi():
     toy = {"▁": -2.0, "a": -2.5, "b": -2.6, "c": -3.0, "ab": -3.1, "▁a": -3.2, "bc": -4.0, "abc": -4.1, "▁ab": -4.05, "cab": -6.0}
     names = ("<unk>", *toy)
@@ -723,7 +733,12 @@ def test_pipeline_is_brute_force(spark, sf):
             cut, end = cut + t[end : s["s"]], s["e"]
         out[k] = cut + t[end:]
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    from cairnlight import session
+
+    before = set(session._WRITTEN)
     rows = {r.doc_id: r for r in C.run(spark, sf).collect()}
+    left = [p for p in session._WRITTEN if p not in before]
+    assert len(left) == 1 and "pipeline-pii" in left[0]  # what the last stage reads
     # a pair of alike texts may miss each other in all fingerprints (README): then the later one stays too
     assert set(out) <= set(rows) and len(rows) - len(out) <= 0.02 * len(docs) and all(find(k) != k for k in set(rows) - set(out))
     for k, t in out.items():

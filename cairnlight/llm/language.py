@@ -23,6 +23,8 @@ from cairnlight.llm.common import table
 #: of all, landmarks in all (one a language at least); ridge.
 TRAIN_PER_LANG, LANDMARKS_PER_LANG, TRAIN_CHARS, TOTAL_CHARS, LANDMARKS, RIDGE = 300, 48, 16_384, 64 << 20, 8192, 1e-2
 BATCH = 64
+#: Languages whose shares are broadcast; the shares of more are joined.
+BROADCAST_LANGS = 50_000
 _LETTERS: list[np.ndarray] = []
 
 
@@ -118,6 +120,8 @@ def sample(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> list[tuple[str, s
     chars = max(64, min(TRAIN_CHARS, TOTAL_CHARS // (per_lang * len(counts))))
     part = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
     shares = docs.sparkSession.createDataFrame([(y, min(1.0, 2.0 * per_lang / n + 20.0 / n)) for y, n in counts.items()], "lang string, share double")
+    if len(counts) <= BROADCAST_LANGS:  # a row of some tens of bytes each: texts stay where they are
+        shares = F.broadcast(shares)
     start = F.pmod(F.xxhash64("id", F.lit(1)), F.greatest(F.lit(1), F.length("text") - chars + 1)).cast("int") + 1
     chosen = usable.join(shares, "lang").filter(part < F.col("share")).select("id", "lang", F.substring("text", start, F.lit(chars)).alias("text"))
     ranked = chosen.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text"))).filter(F.col("rank") <= per_lang)

@@ -7,6 +7,7 @@ and is the way for beliefs with more evidence than an array should hold. Both gi
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,7 +22,8 @@ STATE = "struct<c:double,e:double,ns:int,nc:int,by:array<int>,n:int>"
 
 
 def _r4(c: Column) -> Column:
-    return F.round(F.round(c, 10), 4)
+    """To ten places, then four, each as SQL rounds doubles: the scaled double to a whole number, halves away from zero."""
+    return F.round(F.round(c * 1e10) / 1e10 * 1e4) / 1e4
 
 
 def _step(a: Column, x: Column, many: Column) -> Column:
@@ -55,8 +57,14 @@ def fold(evidence: DataFrame, beliefs: DataFrame) -> DataFrame:
     return beliefs.join(steps, "belief", "left").select("belief", folded.alias("f")).select("belief", F.col("f.c").alias("confidence"), F.col("f.e").alias("entrenchment"), F.col("f.ns").alias("n_support"), F.col("f.nc").alias("n_challenge"), F.col("f.n").alias("n_steps"))
 
 
+def _whole(x: float) -> float:
+    low = math.floor(abs(x))
+    return math.copysign(low + (abs(x) - low >= 0.5), x)
+
+
 def _r(x: float) -> float:
-    return float(int(round(abs(x), 10) * 1e4 + 0.5 + 1e-9)) / 1e4 * (1 if x >= 0 else -1)
+    """As ``_r4``, to the last bit."""
+    return _whole(_whole(x * 1e10) / 1e10 * 1e4) / 1e4
 
 
 #: What a running fold keeps: confidence, entrenchment, supports, challenges, supports by kind of source, steps.
@@ -73,10 +81,10 @@ def revise(s: Running, direction: str, strength: str, source: str, override: boo
     moved = 0.0
     if direction in ("support", "challenge"):
         up = direction == "support"
-        size = _r(V.EVIDENCE_DELTAS.get(strength, 0.10) / ((s[2] if up else s[3]) + 1) ** 0.5 * _r(1 / (1 + V.RESISTANCE * s[1])))
+        size = _r(V.EVIDENCE_DELTAS.get(strength, 0.10) / math.sqrt((s[2] if up else s[3]) + 1) * _r(1 / (1 + V.RESISTANCE * s[1])))
         low, high = V.CAPS["override"] if override else V.CAPS["decisive"] if strength == "decisive" else V.CAPS["soft"]
         kind = source if source in V.SOURCE_ENTRENCHMENT else "external"
-        base = V.SOURCE_ENTRENCHMENT[kind] / (s[4].get(kind, 0) + 1) ** 0.5
+        base = V.SOURCE_ENTRENCHMENT[kind] / math.sqrt(s[4].get(kind, 0) + 1)
         moved = _r(base * many if up else -(base / many))
         s[0] = _r(max(low, min(high, _r(max(0.0, min(1.0, s[0] + (size if up else -size)))))))
         s[2 if up else 3] += 1

@@ -263,3 +263,14 @@ def test_fields_and_blocks_move_no_rows(spark):
         assert "Exchange" not in q._jdf.queryExecution().executedPlan().toString()
     assert sorted(tuple(r) for r in P.fields(df, "id", F.col("t")).collect()) == [(1, "a", "other"), (1, "a", "z"), (1, "b", "2")]
     assert sorted(tuple(r) for r in L.blocks(df, "id", F.col("t"), "a").collect()) == [(1, 1, "a", "other"), (1, 1, "a", "x"), (1, 2, "a", "z")]
+
+
+def test_folds_round_as_sql(spark):
+    import duckdb
+
+    values = [d / n**0.5 * i / 10000 for i in range(1, 10000, 7) for d in (0.05, 0.1, 0.2, 0.35) for n in (1, 2, 4)]
+    values += [-v for v in values]
+    want = [r[0] for r in duckdb.execute("SELECT round(round(x, 10), 4) FROM (SELECT unnest(?) AS x)", [values]).fetchall()]
+    assert [B._r(v) for v in values] == want
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, x double").select("i", B._r4(F.col("x")).alias("x"))
+    assert [r.x for r in sorted(rows.collect())] == want

@@ -6,14 +6,17 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cairnlight import vocab as V
 from cairnlight.functions import text as T
+from cairnlight.session import discard, materialize
 
 #: Vectors of a block of queries that a task holds.
 QUERY_BLOCK = 4096
+#: Outputs of the first block of links and of any block at most, and pairs that a block is meant to give.
+OUTPUT_BLOCK, OUTPUT_MOST, PAIR_ROOM = 64, 1024, 4_000_000
 
 
 def token_set(c: Column, stop: Sequence[str] = (), least: int = 1) -> Column:
@@ -34,22 +37,40 @@ def overlap_pairs(left: DataFrame, right: DataFrame, allowed: Column | None = No
     return (both if allowed is None else both.filter(allowed)).groupBy("a", "b", *extra).agg(F.count("*").alias("n"))
 
 
-def connections(rows: DataFrame, as_of: Column, days: int = 60, papers: int = 5, chars: int = 10, least: int = 3, similarity: float = 0.35, k: int = 15) -> DataFrame:
-    """Output-to-input links between recent rows of different classes: id, pos, kind, date, output, input.
+def connections(rows: DataFrame, as_of: Column, days: int = 60, papers: int = 5, chars: int = 10, least: int = 3, similarity: float = 0.35, k: int = 15, block: int = OUTPUT_BLOCK, room: int = PAIR_ROOM) -> DataFrame:
+    """The ``k`` best output-to-input links between recent rows of different classes: id, pos, kind, date, output, input.
 
     Rows of the last ``days`` take part; with fewer than ``papers`` there are no links. An output or input under ``chars``
     characters links nothing. A row comes before its partner in ``pos``; at least ``least`` words in common, and that share
-    of the smaller set. The window bounds the rows, as what is linked is quadratic in rows that use the same words.
+    of the smaller set. Links are ranked by similarity, then ids, so outputs are taken in blocks in order of their ids, the
+    first of ``block`` rows and others of as many as give about ``room`` pairs; once all ``k`` links have similarity 1, no
+    later output has a better one. All pairs are counted if there are fewer such links, but never in one step.
     """
     recent = rows.filter(F.col("date") >= F.date_sub(as_of, days))
     enough = recent.limit(papers).agg((F.count("*") >= papers).alias("enough")).first().enough
     trimmed = lambda c: F.trim(F.lower(T.blank(F.col(c))))
-    side = lambda p, c: recent.filter(F.lit(enough) & (F.length(trimmed(c)) >= chars)).select(
-        F.col("id").alias(p), F.col("pos").alias(f"{p}_pos"), F.col("kind").alias(f"{p}_kind"), token_set(F.col(c)).alias("tokens")).withColumn(f"{p}_size", F.size("tokens"))
-    pairs = overlap_pairs(side("a", "output"), side("b", "input"), (F.col("a_pos") < F.col("b_pos")) & (F.col("a_kind") != F.col("b_kind")))
+    side = lambda p, c: materialize(recent.filter(F.lit(enough) & (F.length(trimmed(c)) >= chars)).select(
+        F.col("id").alias(p), F.col("pos").alias(f"{p}_pos"), F.col("kind").alias(f"{p}_kind"), token_set(F.col(c)).alias("tokens")).withColumn(f"{p}_size", F.size("tokens")), "connections")
+    outputs, inputs = side("a", "output"), side("b", "input")
     share = F.col("n") / F.least("a_size", "b_size")
-    scored = pairs.filter((F.col("n") >= least) & (share >= similarity)).withColumn("similarity", F.round(share, 3))
-    return scored.orderBy(F.desc("similarity"), "a", "b").limit(k).select("a", "b", F.col("n").alias("n_shared"), "similarity")
+    best, left = None, outputs.filter("a IS NOT NULL")
+    while True:
+        last = left.select("a").orderBy("a").limit(block).agg(F.max("a").alias("a")).first().a
+        if last is None and best is not None:
+            break
+        seen = Observation()
+        pairs = overlap_pairs(F.broadcast(left.filter(F.col("a") <= F.lit(last))), inputs, (F.col("a_pos") < F.col("b_pos")) & (F.col("a_kind") != F.col("b_kind")))
+        links = pairs.observe(seen, F.count("*").alias("n")).filter((F.col("n") >= least) & (share >= similarity))
+        links = links.select("a", "b", F.col("n").alias("n_shared"), F.round(share, 3).alias("similarity"))
+        links = (links if best is None else links.unionByName(best)).orderBy(F.desc("similarity"), "a", "b").limit(k)
+        best = materialize(links, "connections", replaces=[] if best is None else [best])
+        whole = best.agg((F.count_if(F.col("similarity") >= 1) >= k).alias("whole")).first().whole
+        if whole or last is None:
+            break
+        left = outputs.filter(F.col("a") > F.lit(last))
+        block = max(1, min(8 * block, OUTPUT_MOST, block * room // max(1, seen.get["n"])))
+    discard(rows.sparkSession, outputs.written_to, inputs.written_to)
+    return best
 
 
 #: Characters of a word that a one-term constraint is looked up by; a hit is checked in full.

@@ -143,6 +143,25 @@ def test_connections_equal_nested_loop(spark):
     assert X.connections(df, as_of, days=5, papers=50).count() == 0
 
 
+def test_connections_in_blocks_are_the_best_of_all(spark):
+    random.seed(5)
+    words = [f"w{i}" for i in range(30)]
+    some = lambda: " ".join(random.sample(words, random.randint(3, 20)))
+    rows = [(i, i, random.choice("xyz"), "2024-04-10", some(), some()) for i in range(50)]
+    df = spark.createDataFrame(rows, "id int, pos int, kind string, date string, output string, input string").withColumn("date", F.col("date").cast("date"))
+    as_of = F.lit("2024-04-20").cast("date")
+    links = []
+    for a in rows:
+        for b in rows:
+            x, y = set(a[4].split()), set(b[5].split())
+            if a[0] < b[0] and a[2] != b[2] and len(a[4]) >= 10 and len(b[5]) >= 10 and len(x & y) >= 3 and len(x & y) / min(len(x), len(y)) >= 0.35:
+                links.append((-round(len(x & y) / min(len(x), len(y)) + 1e-9, 3), a[0], b[0], len(x & y)))
+    full = sum(s == -1 for s, *_ in links)
+    for k, block, room in ((full, 4, 200), (full + 5, 7, 10), (3, 1, 1)):
+        got = [(r.a, r.b, r.n_shared) for r in X.connections(df, as_of, k=k, block=block, room=room).collect()]
+        assert got == [x[1:] for x in sorted(links)[:k]] and full > 3
+
+
 def test_constraints_denied(spark):
     c = spark.createDataFrame([(1, "alpha beta gamma " + " ".join(f"x{i}" for i in range(30))), (2, "zeta"), (3, "the of"), (4, "beta must alpha")], "cid int, statement string")
     texts = {10: "shows no alpha beta gammas here", 11: "without zetas", 12: "lack of anything", 13: "not alpha beta", 14: "zeta not", 15: None, 16: "no no zeta"}

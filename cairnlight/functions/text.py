@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Mapping
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,8 +64,13 @@ def words(c: Column) -> Column:
 
 
 def contains_any(c: Column, phrases: Iterable[str]) -> Column:
-    """One compiled alternation of literals; no row is repeated per phrase."""
-    return c.rlike("|".join(re.escape(p) for p in phrases))
+    """Whether any literal occurs; no row is repeated per phrase.
+
+    Each is looked for in the bytes of the text, which is evaluated once: an alternation tries all of them at every
+    character. As with an empty pattern, no phrases are in every text.
+    """
+    found = [F.lit(p) for p in phrases]
+    return bound(c, lambda t: reduce(or_, (F.contains(t, p) for p in found))) if found else F.contains(c, F.lit(""))
 
 
 def term_pattern(term: str, short_only: bool = False) -> str:

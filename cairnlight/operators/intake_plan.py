@@ -33,7 +33,7 @@ def classified(papers: DataFrame, dictionary: Mapping[str, int], tiers: Sequence
     text = F.concat_ws(" ", T.blank(F.col("title")), T.blank(F.col("abstract")))
     rows = T.once(papers, _text=text, _t=T.prepare(text))
     t1, t2, t3 = S.tier_counts(F.col("_t"), tiers)
-    rows = T.once(rows, _out=S.is_non_research(F.col("_text"), non_research), _signals=S.matched(F.col("_t"), dictionary), _score=S.signal_score(F.col("_t"), dictionary), _dispatch=S.dispatch(t1, t2, t3))
+    rows = T.once(rows, _out=S.is_non_research(F.col("_text"), non_research), _signals=S.matched(F.col("_t"), dictionary), _dispatch=S.dispatch(t1, t2, t3), _kind=S.paper_type(F.lit(""), F.col("_text")))
     answer = F.col(reply) if reply else F.lit(None).cast("variant")
     asked = answer.isNotNull() & (F.col("_dispatch") != "LOW")
     field = lambda name: F.when(asked, F.trim(said(answer, name))).otherwise(RULES_ONLY.get(name, ""))
@@ -43,9 +43,10 @@ def classified(papers: DataFrame, dictionary: Mapping[str, int], tiers: Sequence
     rows = T.once(rows, _domain=S.domain_consistency(F.col("_problem_class"), F.col("_concept_support_name"), domains), _evidence=S.evidence_strength(F.col("journal"), F.col("abstract"), F.col("_problem_class"), F.col("_novelty_type")))
     overrated = (F.col("_evidence_strength") == "High") & (F.col("_evidence.strength") == "Low")
     support = F.greatest(F.lit(0.0), F.greatest(F.lit(0.0), F.col("_given") - F.col("_domain.penalty")) - F.when(overrated, OVERRATED).otherwise(0))
-    kind = S.paper_type(F.lit(""), F.col("_text"))
+    score = F.aggregate("_signals", F.lit(0), lambda n, s: n + s["weight"])  # as signal_score, without looking again
+    kind = F.col("_kind")
     verdict = F.struct(
-        F.col("_out").alias("ignored"), F.col("_score").alias("score"), F.when(F.col("_out"), "IGNORE").otherwise(F.col("_tier")).alias("tier"), F.col("_dispatch").alias("dispatch"), F.transform("_signals", lambda s: s["phrase"]).alias("signals"),
+        F.col("_out").alias("ignored"), score.alias("score"), F.when(F.col("_out"), "IGNORE").otherwise(F.col("_tier")).alias("tier"), F.col("_dispatch").alias("dispatch"), F.transform("_signals", lambda s: s["phrase"]).alias("signals"),
         F.col("_asked").alias("by_reply"), *(F.col(f"_{n}").alias(n) for n in names), F.col("_influence").alias("trajectory_influence"), support.alias("concept_support"), F.col("_given").alias("concept_support_raw"),
         F.col("_domain.flag").alias("domain_flag"), F.col("_evidence.strength").alias("evidence_found"), overrated.alias("overrated"), kind.alias("paper_type"), S.judgment_mode(F.lit(""), kind).alias("judgment_mode"))
     return rows.select(*papers.columns, verdict.alias("v"))

@@ -75,7 +75,7 @@ def paper_type(raw_type: Column, text: Column, labels=V.TYPE_LABELS, phrases=V.T
     """A given label decides; else the first rule whose phrase the text holds; else other_research."""
     table = {name: kind for kind, names in labels.items() for name in (kind, *names)}
     given = T.mapped(T.label(raw_type), table, "")
-    return F.when(given != "", given).otherwise(first_rule(F.lower(text), phrases, "other_research"))
+    return F.when(given != "", given).otherwise(T.bound(F.lower(text), lambda t: first_rule(t, phrases, "other_research")))
 
 
 def judgment_mode(raw_mode: Column, kind: Column, modes=V.MODE_WEIGHTS, by_type=V.TYPE_MODES) -> Column:
@@ -135,9 +135,10 @@ def _strength(tier: Column, al: Column, nl: Column, pl: Column) -> Column:
         (~F.contains(nl, F.lit("validation")) & T.contains_any(nl, ("new mechanism", "new transduction")) & (tier >= 2), 0.5, "new mechanism in reputable journal"),
         (T.contains_any(pl, ("review", "commentary", "perspective")), -1.5, "review/commentary"),
     ]
-    score = sum((F.when(c, F.lit(v)).otherwise(0.0) for c, v, _ in terms), F.lit(5.0))
-    factors = F.filter(F.array(*(F.when(c, F.lit(name)) for c, _, name in terms)), lambda x: x.isNotNull())
-    return F.struct(T.clamp(score, 0, 10, 1).alias("score"), F.when(score >= 7, "High").when(score >= 4.5, "Medium").otherwise("Low").alias("strength"), factors.alias("factors"))
+    summed = lambda h: sum((F.when(h[i], F.lit(v)).otherwise(0.0) for i, (_, v, _) in enumerate(terms)), F.lit(5.0))
+    named = lambda h: F.filter(F.array(*(F.when(h[i], F.lit(name)) for i, (_, _, name) in enumerate(terms))), lambda x: x.isNotNull())
+    read = T.bound(F.array(*(c for c, _, _ in terms)), lambda h: F.struct(summed(h).alias("score"), named(h).alias("factors")))
+    return T.bound(read, lambda r: F.struct(T.clamp(r["score"], 0, 10, 1).alias("score"), F.when(r["score"] >= 7, "High").when(r["score"] >= 4.5, "Medium").otherwise("Low").alias("strength"), r["factors"].alias("factors")))
 
 
 def concept_support(base: Column, strength: Column, support_type: Column, appearances: Column, status: Column, generous: bool = False) -> Column:

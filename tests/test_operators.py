@@ -293,3 +293,11 @@ def test_folds_round_as_sql(spark):
     assert [B._r(v) for v in values] == want
     rows = spark.createDataFrame(list(enumerate(values)), "i int, x double").select("i", B._r4(F.col("x")).alias("x"))
     assert [r.x for r in sorted(rows.collect())] == want
+
+
+def test_phrases_are_literals_and_evidence_reads_each_once(spark):
+    rows = spark.createDataFrame([(1, "a.c (x)|"), (2, "abc"), (3, ""), (4, None)], "i int, t string")
+    got = {r.i: (r.a, r.b) for r in rows.select("i", T.contains_any(F.col("t"), ("a.c", "zz")).alias("a"), T.contains_any(F.col("t"), ()).alias("b")).collect()}
+    assert got == {1: (True, True), 2: (False, True), 3: (False, True), 4: (None, None)}
+    plan = rows.select(S.evidence_strength(F.lit("nature"), F.col("t"), F.lit("review"), F.lit("")).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("independently confirmed") == 1

@@ -19,8 +19,8 @@ def lines(rows: DataFrame, key: str, text: Column) -> DataFrame:
 def last_of_each(parts: Column, name: str, value: str) -> Column:
     """Of structs with ``name``, ``at`` and ``value``: the last by ``at`` for each name, as (name, value), by sorting."""
     ordered = F.array_sort(F.transform(parts, lambda x: F.struct(x[name].alias("n"), (-x["at"]).alias("back"), x[value].alias("v"))))
-    kept = F.transform(ordered, lambda x, i: F.when((i == 0) | (F.get(ordered, i - 1)["n"] != x["n"]), x))
-    return F.filter(kept, lambda x: x.isNotNull())
+    kept = lambda o: F.transform(o, lambda x, i: F.when((i == 0) | (F.get(o, i - 1)["n"] != x["n"]), x))
+    return F.filter(T.bound(ordered, kept), lambda x: x.isNotNull())
 
 
 def fields(rows: DataFrame, key: str, text: Column) -> DataFrame:
@@ -32,13 +32,14 @@ def fields(rows: DataFrame, key: str, text: Column) -> DataFrame:
 
     def parsed(line: Column) -> Column:
         raw = F.regexp_replace(F.regexp_replace(F.trim(line), r"^\*\*", ""), r"\*+$", "")
-        colon, equals = F.instr(raw, ":"), F.instr(raw, "=")
-        at = F.when(colon > 0, colon).otherwise(equals)
+        return T.bound(raw, lambda r: T.bound(F.when(F.instr(r, ":") > 0, F.instr(r, ":")).otherwise(F.instr(r, "=")), lambda at: split(r, at)))
+
+    def split(raw: Column, at: Column) -> Column:
         name = F.replace(F.replace(F.lower(F.trim(F.substring(raw, F.lit(1), at - 1))), F.lit(" "), F.lit("_")), F.lit("*"), F.lit(""))
-        bullet = F.startswith(raw, F.lit("-"))
-        is_field = ~bullet & (at > 0) & (name != "") & (F.length(name) < 60)
         value = F.regexp_replace(F.trim(F.substring(raw, at + 1, F.length(raw))), r"\*+$", "")
-        return F.struct(F.when(is_field, name).alias("name"), F.when(is_field, value).when(bullet, raw).alias("part"))
+        bullet = F.startswith(raw, F.lit("-"))
+        field = T.bound(name, lambda n: F.when(~bullet & (at > 0) & (n != "") & (F.length(n) < 60), n))
+        return T.bound(field, lambda n: F.struct(n.alias("name"), F.when(n.isNotNull(), value).when(bullet, raw).alias("part")))
 
     parts = T.once(rows.select(key, text.alias("_text")), _parts=F.filter(F.transform(F.split(T.blank(F.col("_text")), "\n"), parsed), lambda x: x["part"].isNotNull())).select(key, "_parts")
     heads = F.filter(F.transform("_parts", lambda x, i: F.when(x["name"].isNotNull(), i)), lambda i: i.isNotNull())

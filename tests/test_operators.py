@@ -301,3 +301,15 @@ def test_phrases_are_literals_and_evidence_reads_each_once(spark):
     assert got == {1: (True, True), 2: (False, True), 3: (False, True), 4: (None, None)}
     plan = rows.select(S.evidence_strength(F.lit("nature"), F.col("t"), F.lit("review"), F.lit("")).alias("x"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("independently confirmed") == 1
+
+
+def test_lines_and_words_are_read_once(spark):
+    from cairnlight.operators import learning as L
+
+    rows = spark.createDataFrame([("k: 1\n- ***\n**K = 2**", "gate a gate a gate")], "t string, w string")
+    text = lambda c: rows.select(c.alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert text(L.review_phrases(F.col("w"))).count("regexp_extract_all") == 1
+    ordered = P.last_of_each(F.transform(F.split("t", "\n"), lambda x: F.struct(x.alias("name"), F.lit(1).alias("at"), x.alias("value"))), "name", "value")
+    assert text(ordered).count("array_sort(") + text(ordered).count("arraysort(") == 1
+    assert {(r.field, r.value) for r in P.fields(rows.withColumn("i", F.lit(1)), "i", F.col("t")).collect()} == {("k", "2")}
+    assert rows.select(L.review_phrases(F.col("w")).alias("x")).first().x == ["a gate", "a gate a", "gate a", "gate a gate"]

@@ -7,6 +7,8 @@ changes nothing, so a job that is run twice, or resumed, leaves the ledger as it
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,9 +42,9 @@ def override_patterns(overrides: DataFrame) -> DataFrame:
 
 def review_phrases(text: Column, core: Sequence[str] = DOMAIN_CORE, known: Sequence[str] = ()) -> Column:
     """The distinct two- and three-word phrases of a text that hold a core word and aren't known, sorted."""
-    words = F.regexp_extract_all(F.lower(T.blank(text)), F.lit("[a-z]+"), F.lit(0))
-    phrases = F.array_distinct(F.concat(T.ngrams(words, 2), T.ngrams(words, 3)))
-    fresh = F.filter(phrases, lambda p: T.contains_any(p, tuple(core)))
+    words = F.regexp_extract_all(F.lower(T.blank(text)), F.lit("[a-z]+"), F.lit(0))  # taken once: many expressions read them
+    held = lambda p: reduce(or_, (F.contains(p, F.lit(c)) for c in core), F.lit(False))
+    fresh = F.array_distinct(T.bound(words, lambda w: F.concat(*(F.filter(T.ngrams(w, n), held) for n in (2, 3)))))
     return F.array_sort(F.array_except(fresh, F.array(*(F.lit(k) for k in known))) if known else fresh)
 
 

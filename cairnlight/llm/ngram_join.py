@@ -3,20 +3,22 @@
 Shingles are ordered by the number of sets that hold them, rare ones first. Sets alike to the threshold share a shingle
 among the first n - ceil(t * n) + 1 of each, so only those prefixes are joined; shingles of one set alone meet none and
 are not sent. A pair that meets must pass three filters before it is verified, once, on whole sets: sizes within the
-threshold (length), shared shingles at most those before, at and after the places where it met (positional), and counts
-of shingles in SIGN classes of hash that differ by no more than the pair may (suffix).
+threshold (length), shared shingles at most those before, at and after the places where it met (positional), and parities
+of the counts of shingles in SIGN classes of hash that differ in no more classes than the pair may in shingles (suffix): two
+sets' parities differ just where an odd number of the shingles that only one of them has fall, so few pairs that aren't
+links pass.
 
 Counting needs every shingle to meet its copies, and each set to learn its counts. Sets travel in batches: a batch sends
 each bucket of shingles one packed row and gets one back with the counts. A shingle that many sets of a batch hold is
 sent once with a number, and its sets stay with the batch, so the most common shingle costs a few bytes a batch.
 
-Components need no pair twice: first each list of a shingle is a star about its least set; lists that stay in several
-components are then joined in full between components.
+Components need no pair twice: first each list of a shingle is a star about its least set. Lists that stay in several
+components then give a forest of the nearest pairs between them; last, all pairs that these links leave between components.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnlight.llm.common import materialize, table
+from cairnlight.llm.common import discard, materialize, table
 from cairnlight.llm.simhash import _least_of, _numbered, _shuffles, components
 
 WORDS, PERCENT = 3, 90
 #: Shingles of a batch and sets of one at most; sets of a batch that make a shingle common; buckets per shuffle partition.
 BATCH, BATCH_SETS, COMMON, BUCKETS = 1 << 20, 60_000, 32, 8
-#: Classes of hash of the suffix filter; words whose hashes a task keeps.
-SIGN, KEPT_WORDS = 64, 300_000
+#: Classes of hash of the suffix filter (a parity each); words whose hashes a task keeps.
+SIGN, KEPT_WORDS = 512, 300_000
 #: First shingles of a prefix that its postings carry, to tell in which list a pair meets first.
 HEAD = 8
 #: Odd multipliers of a shingle's word hashes, and those of its final mixing.
@@ -125,9 +127,9 @@ def _packed_batch(batch: int, sets: list[np.ndarray], ids: list[tuple[int, int]]
     bucket = (((tokens >> np.uint64(48)) * np.uint64(buckets)) >> np.uint64(16)).astype(np.int64)
     common = counts > common_from
     few = np.repeat(~common, counts)
-    sign = np.zeros((len(sets), SIGN), np.uint16)
+    sign = np.zeros((len(sets), SIGN // 8), np.uint8)
     for i, x in enumerate(sets):
-        sign[i] = np.minimum(np.bincount((x & np.uint64(SIGN - 1)).astype(np.int64), minlength=SIGN), 32767)
+        sign[i] = np.packbits(np.bincount((x & np.uint64(SIGN - 1)).astype(np.int64), minlength=SIGN) & 1)
     head = np.array([(hi, lo, n) for (hi, lo), n in zip(ids, sizes.tolist(), strict=True)], np.int64)
     home = ((batch >> 32) * 31 + batch) % buckets
     rows = [(home, batch, SETS, head.tobytes(), sign.tobytes(), None, None)]
@@ -222,7 +224,7 @@ def _prefixes(percent: int, common_from: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(batches, 1):
             head = next(r for r in rows if r["kind"] == SETS)
-            ids, sign = np.frombuffer(head["tokens"], np.int64).reshape(-1, 3), np.frombuffer(head["counts"], np.uint16).reshape(-1, SIGN)
+            ids, sign = np.frombuffer(head["tokens"], np.int64).reshape(-1, 3), np.frombuffer(head["counts"], np.int64).reshape(-1, SIGN // 64)
             whole = lambda low, bucket: low | (np.uint64(bucket) << np.uint64(48))
             tokens, holders, dfs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             common_df: dict[int, int] = {}
@@ -257,7 +259,7 @@ def _prefixes(percent: int, common_from: int):
                 ends = pa.array(np.arange(len(token) + 1, dtype=np.int32) * HEAD)
                 head_of = pa.ListArray.from_arrays(ends, pa.array(heads[holder].ravel()))
                 own = ids[holder]
-                signs = pa.ListArray.from_arrays(pa.array(np.arange(len(token) + 1, dtype=np.int32) * SIGN), pa.array(sign[holder].astype(np.int16).ravel()))
+                signs = pa.ListArray.from_arrays(pa.array(np.arange(len(token) + 1, dtype=np.int32) * (SIGN // 64)), pa.array(sign[holder].ravel()))
                 yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), *(pa.array(np.ascontiguousarray(own[:, i])) for i in range(3)), pa.array(at), signs, head_of], names=["token", "hi", "lo", "n", "at", "sign", "head"])
 
     return run
@@ -270,7 +272,7 @@ def prefixes(rows: DataFrame, text: str, words: int, percent: int, batch: int =
     buckets = min(BUCKETS * n, 1 << 16)
     spread = rows.select(F.col(f"row.{text}").alias("text")).mapInArrow(_spread(words, least, buckets, batch, common_from), PACKED)
     counted = spread.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_counted(common_from), PACKED)
-    return counted.repartition(n, "batch").sortWithinPartitions("batch").mapInArrow(_prefixes(percent, common_from), "token long, hi long, lo long, n long, at long, sign array<short>, head array<long>")
+    return counted.repartition(n, "batch").sortWithinPartitions("batch").mapInArrow(_prefixes(percent, common_from), "token long, hi long, lo long, n long, at long, sign array<long>, head array<long>")
 
 
 # --- pairs ------------------------------------------------------------------------------------------------------------
@@ -281,7 +283,7 @@ def _may_link(a: dict[str, Column], b: dict[str, Column], percent: int) -> Colum
     both = a["n"] + b["n"]
     need = F.floor((percent * both + 99 + percent) / (100 + percent))  # least overlap: ceil(t / (1 + t) * both)
     most = F.least(a["at"], b["at"]) + 1 + F.least(a["n"] - a["at"], b["n"] - b["at"]) - 1
-    apart = F.aggregate(F.zip_with(a["sign"], b["sign"], lambda x, y: F.abs(x.cast("int") - y)), F.lit(0).cast("int"), lambda s, x: s + x)
+    apart = sum((F.bit_count(F.get(a["sign"], F.lit(i)).bitwiseXOR(F.get(b["sign"], F.lit(i)))) for i in range(SIGN // 64)), F.lit(0))
     return (100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"])) & (most >= need) & (apart <= both - 2 * need)
 
 
@@ -294,11 +296,12 @@ def stars(postings: DataFrame, percent: int) -> DataFrame:
     return kept.select(F.least("node", "c.node").alias("u"), F.greatest("node", "c.node").alias("v")).distinct()
 
 
-def _across(percent: int):
+def _across(percent: int, whole: bool):
     """Pairs (u < v) between components (``root``) of lists sorted by (token, class); a list is filtered row against rest.
 
     A pair is made in the class of its larger set only, and if the heads of both prefixes have a common token, in the list
-    of the first one only.
+    of the first one only. All such pairs (``whole``), or of each list a forest: a row's nearest in components that no pair
+    before has joined to its own. Rows of the most frequent component are compared with those of others only.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,23 +312,34 @@ def _across(percent: int):
             held.clear()
             node, n, at, root, size, token, class_ = (np.asarray(t[c]).astype(np.int64) for c in ("node", "n", "at", "root", "size", "token", "class"))
             head = np.asarray(t["head"].combine_chunks().flatten()).reshape(-1, HEAD)
-            sign = np.asarray(t["sign"].combine_chunks().flatten()).reshape(-1, SIGN).astype(np.int32)
-            us, vs = [], []
-            for i in range(len(node) - 1):
-                end = int(np.searchsorted(n, n[i] * 100 // percent, side="right"))
-                j = np.arange(i + 1, end)
-                j = j[(root[j] != root[i]) & (size[j] == class_[0])]
+            sign = np.asarray(t["sign"].combine_chunks().flatten()).reshape(-1, SIGN // 64).view(np.uint64)
+            of, members = np.unique(root, return_inverse=True)
+            most = np.bincount(members).argmax()
+            us, vs, made = [], [], 0
+            for i in np.flatnonzero(members != most).tolist():
+                j = np.arange(np.searchsorted(n, -(-n[i] * percent // 100)), np.searchsorted(n, n[i] * 100 // percent, side="right"))
+                j = j[(members[j] != members[i]) & ((j > i) | (root[j] == of[most])) & (np.maximum(size[j], size[i]) == class_[0])]
                 both = n[i] + n[j]
                 need = -(-percent * both // (100 + percent))
                 j, both, need = (x[np.minimum(at[i], at[j]) + np.minimum(n[i] - at[i], n[j] - at[j]) >= need] for x in (j, both, need))
-                j = j[np.abs(sign[i] - sign[j]).sum(axis=1) <= both - 2 * need]
+                apart = np.bitwise_count(sign[i] ^ sign[j]).sum(axis=1, dtype=np.int64)
+                j, apart = (x[apart <= both - 2 * need] for x in (j, apart))
                 common = (head[j][:, None, :] == head[i][:, None]).any(axis=2) & (head[i] != 0)
-                j = j[~common.any(axis=1) | (head[i][common.argmax(axis=1)] == token[0])]
+                first = ~common.any(axis=1) | (head[i][common.argmax(axis=1)] == token[0])
+                j, apart = j[first], apart[first]
+                if not whole:
+                    nearest = []
+                    while len(j):
+                        nearest.append(j[apart.argmin()])
+                        members[members == members[nearest[-1]]] = members[i]
+                        j, apart = (x[members[j] != members[i]] for x in (j, apart))
+                    j = np.array(nearest, np.int64)
                 us.append(np.minimum(node[i], node[j]))
                 vs.append(np.maximum(node[i], node[j]))
-                if sum(map(len, us[-64:])) > 1 << 16:
+                made += len(j)
+                if made > 1 << 16:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
-                    us, vs = [], []
+                    us, vs, made = [], [], 0
             if us:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
 
@@ -347,16 +361,16 @@ def _across(percent: int):
     return run
 
 
-def across(postings: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs of lists that hold sets of several components. A list is cut in classes of size first, each set in two of
-    them: those that the length filter lets meet share one."""
+def across(postings: DataFrame, roots: DataFrame, percent: int, whole: bool = True) -> DataFrame:
+    """Pairs of lists that hold sets of several components, or a forest of each. A list is cut in classes of size first,
+    each set in two of them: those that the length filter lets meet share one."""
     of = postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = of.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token")
     class_ = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
     cut = of.join(mixed, "token").withColumn("size", class_).withColumn("class", F.explode(F.array("size", F.col("size") + 1)))
     n = _shuffles(postings)
     dealt = cut.select("token", "class", "size", "node", "n", "at", "root", "sign", "head").repartition(n, "token", "class").sortWithinPartitions("token", "class")
-    return dealt.mapInArrow(_across(percent), "u long, v long").distinct()
+    return dealt.mapInArrow(_across(percent, whole), "u long, v long").distinct()
 
 
 def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, text: str, words: int, percent: int) -> DataFrame:
@@ -386,6 +400,20 @@ def verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, text: str, wor
     return materialize(met.mapInArrow(compare, "u long, v long, alike boolean"), "ngram-verified", replaces=[sets])
 
 
+def completed(postings: DataFrame, links: DataFrame, asked: DataFrame, percent: int, alike: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``links`` (a, b) and those that connect what they leave apart, so that components are those of all links.
+
+    ``asked``: the pairs (u, v) compared before; ``alike`` gives the links (a, b) among pairs, written. The forest's pairs
+    are as many as the components they may join; the pairs left after them, which are all compared, pass the filters but
+    are mostly no links.
+    """
+    for whole in (False, True):
+        roots = materialize(components(links, "ngram-cc"), "ngram-roots")
+        pairs = materialize(across(postings, roots, percent, whole).join(asked, ["u", "v"], "left_anti"), "ngram-pairs", replaces=[roots])
+        links, asked = links.unionAll(alike(pairs)), asked.unionAll(pairs)
+    return links
+
+
 def linked_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """key, n_shingles and component_id per row: components of texts whose shingle sets have a Jaccard index of
     ``percent`` / 100 or more.
@@ -399,12 +427,13 @@ def linked_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     nodes = sets.filter("n > 0").groupBy("hi", "lo", "n").agg(F.min("key").alias("key"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "ngram-nodes")
     postings = materialize(prefixes(rows, text, words, percent).join(nodes.select("hi", "lo", "node"), ["hi", "lo"]).select("token", "node", "n", "at", "sign", "head").dropDuplicates(["token", "node"]), "ngram-postings")
-    first = verified(materialize(stars(postings, percent), "ngram-pairs"), rows, nodes, text, words, percent)
-    links = first.filter("alike").select(F.col("u").alias("a"), F.col("v").alias("b"))
-    roots = materialize(components(links, "ngram-cc"), "ngram-roots")
-    rest = materialize(across(postings, roots, percent).join(first.select("u", "v"), ["u", "v"], "left_anti"), "ngram-pairs", replaces=[postings])
-    more = verified(rest, rows, nodes, text, words, percent)
-    links = links.unionAll(more.filter("alike").select(F.col("u").alias("a"), F.col("v").alias("b")))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        return verified(pairs, rows, nodes, text, words, percent).filter("alike").select(F.col("u").alias("a"), F.col("v").alias("b"))
+
+    first = materialize(stars(postings, percent), "ngram-pairs")
+    links = completed(postings, alike(first), first, percent, alike)
+    discard(postings.sparkSession, postings.written_to)
     of = _least_of(nodes.select("node", F.col("key").alias("least")), links)
     named = materialize(nodes.join(of, "node").select("hi", "lo", "component_id.id"), "ngram-named", replaces=[nodes])
     out = sets.join(named, ["hi", "lo"], "left")

@@ -123,6 +123,19 @@ def test_a_group_is_a_star_before_it_is_pairs(spark):
     assert J.stars(postings, 90).count() < 20 * len(docs)
 
 
+def test_sets_just_under_the_threshold_make_few_pairs(spark):
+    """Three hundred copies with four words changed each are no links; nor are their pairs verified one by one."""
+    rng = np.random.default_rng(12)
+    base = [f"w{i}" for i in range(250)]
+    docs = [(i, " ".join(changed(rng, base, 4))) for i in range(300)]
+    rows = J._numbered(spark.createDataFrame(docs, "doc_id long, text string"))
+    nodes = J.sized(rows, "doc_id", "text", 3).groupBy("hi", "lo", "n").agg({"key": "min"}).selectExpr("*", "monotonically_increasing_id() AS node")
+    nodes = J.materialize(nodes, "nodes")
+    postings = J.materialize(J.prefixes(rows, "text", 3, 90).join(nodes.select("hi", "lo", "node"), ["hi", "lo"]).dropDuplicates(["token", "node"]), "postings")
+    alone = nodes.selectExpr("node", "node AS root")
+    assert J.across(postings, alone, 90).count() < 2 * len(docs)
+
+
 def test_whole_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in J.op11_ngram_join(spark, sf).collect())

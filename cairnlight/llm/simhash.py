@@ -403,18 +403,22 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def _staged(rows: DataFrame, key: str, text: str, words: int, prints: int) -> DataFrame:
-    """key (null ones last, then by place), hi and lo (128 bits of the word sequence) and the fingerprints, written."""
+    """key (null ones last, then by place), hi and lo (128 bits of the word sequence), set_hi and set_lo (of the shingles)
+    and the fingerprints, written."""
+    from cairnlight.llm import ngram_join  # which imports this module
 
     def run(parts: Iterator[Part]) -> Iterator[tuple[pa.RecordBatch, list]]:
+        known = ngram_join._Hashes()
         for kept, texts in parts:
             raw = [_words(t.as_py()) for t in texts]
             same = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(w)) for w in raw), np.int64).reshape(-1, 2)
             found = np.array([simhashes(w, words, prints) for w in raw], np.uint64).reshape(len(raw), prints)
-            yield kept, [*(pa.array(np.ascontiguousarray(same[:, i])) for i in (0, 1)), *(pa.array(np.ascontiguousarray(found[:, i]).view(np.int64)) for i in range(prints))]
+            sets = np.array([ngram_join._identity(ngram_join.shingles(t.as_py(), words, known)) for t in texts], np.int64).reshape(len(raw), 2)
+            yield kept, [*(pa.array(np.ascontiguousarray(x[:, i])) for x in (same, sets) for i in (0, 1)), *(pa.array(np.ascontiguousarray(found[:, i]).view(np.int64)) for i in range(prints))]
 
     at = F.col(f"row.{key}")
     keyed = rows.select(F.struct(at.isNull().alias("none"), at.alias("id"), "place").alias("key"), F.col(f"row.{text}").alias("text"))
-    return materialize(carried(keyed, "key", "text", "hi long, lo long, " + ", ".join(f"f{i} long" for i in range(prints)), run), "copies-prints")
+    return materialize(carried(keyed, "key", "text", "hi long, lo long, set_hi long, set_lo long, " + ", ".join(f"f{i} long" for i in range(prints)), run), "copies-prints")
 
 
 def _candidates(nodes: DataFrame, prints: int) -> DataFrame:
@@ -452,65 +456,60 @@ def _alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) ->
     return two.mapInArrow(run, "u long, v long")
 
 
-def _rooted(links: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """node and root of linked nodes; root and centre: the node of most verified links (the least of several)."""
-    roots = materialize(components(links, name), "copies-roots")
-    degree = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n"))
-    centres = degree.join(roots, "node").groupBy("root").agg(F.max(F.struct("n", (-F.col("node")).alias("least"))).alias("x"))
-    return roots, materialize(centres.select("root", (-F.col("x.least")).alias("centre")), "copies-centres")
-
-
-def _to_centres(pairs: DataFrame, roots: DataFrame, centres: DataFrame) -> DataFrame:
-    """For each pair between components, either node with the centre of the other's component (u < v, distinct)."""
-    side = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
-    of = pairs.join(side("u"), "u", "left").join(side("v"), "v", "left").filter(F.coalesce("u_root", "u") != F.coalesce("v_root", "v"))
-    either = of.select(F.col("u").alias("node"), F.col("v_root").alias("root")).unionAll(of.select(F.col("v").alias("node"), F.col("u_root").alias("root")))
-    met = either.filter("root IS NOT NULL").distinct().join(centres, "root")
-    return met.select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")).filter("u <> v").distinct()
-
-
 def _classes(rows: DataFrame, staged: DataFrame, text: str, words: int, similarity: float, prints: int) -> tuple[DataFrame, DataFrame]:
     """Nodes (hi, lo, node), and node with component_id: the least key that verified links reach from it.
 
     Each node's nearest candidate is verified first; of the other candidates only those between components that these
-    links leave apart are read. Then nodes that met a node of another component, whether or not they are alike, are
-    compared with that component's centre, in rounds until no more links are found: a group of copies of one text is
-    whole once each has met any of the others, though two copies may differ too much, and no bucket's pairs are made.
+    links leave apart are read. What meets under no key is found by the prefixes of shingle sets (``ngram_join``): all
+    pairs between components that could be alike are compared, so none that has the similarity is left out.
     """
-    nodes = staged.groupBy("hi", "lo").agg(F.min("key").alias("least"), *(F.min(f"f{i}").alias(f"f{i}") for i in range(prints)))
+    from cairnlight.llm import ngram_join  # which imports this module
+
+    percent = int(100 * similarity)
+    if not 1 <= percent <= 100:
+        raise ValueError("similarity is from 0.01 to 1")
+    nodes = staged.groupBy("hi", "lo", "set_hi", "set_lo").agg(F.min("key").alias("least"), *(F.min(f"f{i}").alias(f"f{i}") for i in range(prints)))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "copies-nodes")
+    edges = lambda x: x.select(F.col("u").alias("a"), F.col("v").alias("b"))
+
+    def read(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("u").alias("node")).unionAll(pairs.select(F.col("v").alias("node"))).distinct()
+        wanted = nodes.join(ends, "node", "left_semi").select("node", "least.place")
+        return materialize(rows.select("place", F.col(f"row.{text}").alias("text")).join(wanted.hint("merge"), "place").select("node", "text"), "copies-texts")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        texts = read(pairs)
+        return materialize(edges(_alike(pairs, texts, words, similarity)), "copies-more", replaces=[texts])
+
     pairs = _candidates(nodes, prints)
-    ends = pairs.select(F.col("u").alias("node")).unionAll(pairs.select(F.col("v").alias("node"))).distinct()
-    wanted = nodes.join(ends, "node", "left_semi").select("node", "least.place")
-    texts = materialize(rows.select("place", F.col(f"row.{text}").alias("text")).join(wanted.hint("merge"), "place").select("node", "text"), "copies-texts")
+    texts = read(pairs)
     either = pairs.select(F.col("u").alias("node"), "bits", "u", "v").unionAll(pairs.select(F.col("v").alias("node"), "bits", "u", "v"))
     first = materialize(either.groupBy("node").agg(F.min(F.struct("bits", "u", "v")).alias("x")).select("x.u", "x.v").distinct(), "copies-first")
     found = materialize(_alike(first, texts, words, similarity), "copies-found")
-    edges = lambda x: x.select(F.col("u").alias("a"), F.col("v").alias("b"))
     roots = materialize(components(edges(found), "copies-cc"), "copies-roots")
     side = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
     rest = pairs.join(first, ["u", "v"], "left_anti").join(side("u"), "u", "left").join(side("v"), "v", "left")
     rest = materialize(rest.filter(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v"), "copies-rest")
-    found = found.unionAll(materialize(_alike(rest, texts, words, similarity), "copies-more", replaces=[roots]))
-    asked, crossing = first.unionAll(rest), pairs.select("u", "v")
-    while True:
-        roots, centres = _rooted(edges(found), "copies-cc")
-        fresh = materialize(_to_centres(crossing, roots, centres).join(asked, ["u", "v"], "left_anti"), "copies-rest")
-        new = materialize(_alike(fresh, texts, words, similarity), "copies-more")
-        if new.isEmpty():
-            break
-        found, asked, crossing = found.unionAll(new), asked.unionAll(fresh), crossing.unionAll(fresh)
-    discard(texts.sparkSession, texts.written_to, pairs.written_to)
-    return nodes.select("hi", "lo", "node"), _least_at(nodes.select("node", "least"), roots)
+    links = edges(found.unionAll(materialize(_alike(rest, texts, words, similarity), "copies-more", replaces=[roots, texts, pairs])))
+    heads = materialize(nodes.groupBy("set_hi", "set_lo").agg(F.min("node").alias("head"), F.count("*").alias("n")), "copies-sets")
+    equal = nodes.join(heads.filter("n > 1"), ["set_hi", "set_lo"]).filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    links = links.unionAll(materialize(equal, "copies-equal"))
+    if percent < 100:
+        of = heads.select(F.col("set_hi").alias("hi"), F.col("set_lo").alias("lo"), F.col("head").alias("node"))
+        postings = ngram_join.prefixes(rows, text, words, percent).join(of, ["hi", "lo"]).select("token", "node", "n", "at", "sign", "head").dropDuplicates(["token", "node"])
+        postings = materialize(postings, "copies-postings")
+        links = ngram_join.completed(postings, links, first.unionAll(rest), percent, alike)
+        discard(postings.sparkSession, postings.written_to)
+    return nodes.select("hi", "lo", "node"), _least_of(nodes.select("node", "least"), links)
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = COPY_WORDS, similarity: float = SIMILARITY, prints: int = PRINTS) -> DataFrame:
     """key and component_id per row: components of texts whose distinct shingles are alike to ``similarity``.
 
-    Candidates meet under Golay keys of ``prints`` fingerprints, as many bits apart as a shared key allows; every link
-    is verified by comparing shingles. Equal word sequences (by a 128-bit hash) are one node. Null and empty texts are
-    alike. Keys may be null (last) or repeated; an empty table gives no rows. What two fingerprints differ in decides
-    whether a pair meets: the README has the measured share of pairs found.
+    Candidates meet under Golay keys of ``prints`` fingerprints, as many bits apart as a shared key allows; those that the
+    keys miss are found by prefixes of shingle sets, so components are those of all pairs. Every link is verified by
+    comparing shingles. Equal word sequences (by a 128-bit hash) are one node. Null and empty texts are alike. Keys may
+    be null (last) or repeated; an empty table gives no rows.
     """
     rows = _numbered(docs)
     staged = _staged(rows, key, text, words, prints)

@@ -693,6 +693,31 @@ def test_copies_of_one_text_are_one_group(spark, copies):
     assert got.count(0) >= 0.98 * len(rows), got.count(0) / len(rows)
 
 
+def test_pairs_that_no_key_brings_together_are_found(spark):
+    """Every pair alike to 0.8 is linked though no two fingerprints meet, and texts with equal sets of shingles are."""
+    rng = np.random.default_rng(21)
+    rows = []
+    for _ in range(40):
+        w = [f"w{x}" for x in rng.integers(0, 5000, 60)]
+        rows += [(len(rows) + k, " ".join(w[i:] + [f"t{len(rows)}x{j}" for j in range(i)])) for k, i in enumerate((0, 2, 5, 8))]
+    rows += [(500, "a b c a b c a b"), (501, "a b c a b c a b c a"), (502, "b c a b c a b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    parent = {i: i for i, _ in rows}
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for a, x in rows:
+        for b, y in rows:
+            if b < a and alike(x, y) >= 0.8:
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    want = {i: find(i) for i, _ in rows}
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(docs, prints=1).collect()} == want
+    assert sorted(r.doc_id for r in simhash.keep_one(docs, prints=1).collect()) == sorted(i for i, r in want.items() if i == r)
+
+
 def test_pipeline_is_brute_force(spark, sf):
     import corpus_pipeline as C
     import sentencepiece

@@ -1,20 +1,19 @@
 """The judgment frame: what a briefing and its intake assessment warrant, with the rules as data and the reasons kept.
 
-Both records are VARIANT. Facts are read from them once a row; blockers, pressures and branches of the decision are ordered
+Both records are VARIANT. A record is opened once a row, into the fields that rules read; blockers, pressures and branches of the decision are ordered
 lists of (name, condition over facts), so which rules held, and in what order they count, are results like the decision.
 Nothing is joined or moved.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnlight import vocab as V
 from cairnlight.functions import text as T
-from cairnlight.operators.records import kind_of
 
 # Words of claims, and what they count as.
 MEASURED = ("measured", "tested", "controlled_experiment", "direct_experiment", "quantitative_observation", "quantitative_readout", "benchmark", "experiment", "experimental_result", "measurement", "validated", "validation")
@@ -36,6 +35,7 @@ CLAIM_SCOPES = ("claim_scope", "claimed_scope", "interpretation_scope", "conclus
 EVIDENCE_SCOPES = ("evidence_scope", "design_scope", "experimental_scope", "supported_scope", "sample_context", "model_system")
 MECHANISM = ("mechanism", "mechanistic", "mechanism_test")
 BOUNDARY = ("mechanism", "mechanistic", "boundary", "control", "artifact", "negative_control")
+RISK, DISTANCE = ("overclaim_risk", "claim_design_risk"), ("evidence_claim_distance", "claim_design_distance", "support_gap")
 # End of fixed values.
 
 
@@ -46,51 +46,85 @@ def _none() -> Column:
 NUMBERS = ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
 
 
-def _read(record: Column, field: str, use: Callable[[Column, Column], Column]) -> Column:
-    """``use`` of a field's kind and text, each read once."""
-    return T.bound(F.struct(kind_of(record, field).alias("k"), F.try_variant_get(record, f"$.{field}", "string").alias("v")), lambda r: use(r["k"], r["v"]))
+#: What a record is opened into: fields by name, each a value as it stands (None), an object of fields (a mapping) or the
+#: objects of a list (a sequence of fields).
+Shape = Mapping[str, "Shape | Sequence[str] | None"]
 
 
-def said(record: Column, field: str) -> Column:
-    """A field's text as a condition sees it: empty where it is missing, null, false, zero or no scalar."""
+def _type(shape: Shape | Sequence[str] | None) -> str:
+    if shape is None:
+        return "variant"
+    if isinstance(shape, Mapping):
+        return "struct<" + ",".join(f"{name}:{_type(of)}" for name, of in shape.items()) + ">"
+    return f"array<{_type(dict.fromkeys(shape))}>"
+
+
+def opened(value: Column, shape: Shape | Sequence[str]) -> Column:
+    """The fields of an object, from one walk over it; null where it is none. Fields that are missing or of another type are
+    null, a null that is given is a value."""
+    return F.try_variant_get(value, "$", _type(shape if isinstance(shape, Mapping) else dict.fromkeys(shape)))
+
+
+def _values(record: Column, fields: Sequence[str]) -> Column:
+    """Values that an opened record has, in order of the fields."""
+    return F.filter(F.array(*(record[f] for f in fields)), lambda x: x.isNotNull())
+
+
+def objects(held: Column) -> Column:
+    """The objects of an opened list; none where it is missing or no list."""
+    return F.filter(F.coalesce(held, F.array()), lambda x: x.isNotNull())
+
+
+def _kind(value: Column) -> Column:
+    """First word of a value's type, as ``records.kind_of`` has it."""
+    return F.coalesce(F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0), F.lit("MISSING"))
+
+
+def _read(value: Column, use: Callable[[Column, Column], Column]) -> Column:
+    """``use`` of a value's kind and text, each read once."""
+    return F.when(value.isNotNull(), T.bound(F.struct(_kind(value).alias("k"), F.try_variant_get(value, "$", "string").alias("v")), lambda r: use(r["k"], r["v"])))
+
+
+def text_of(value: Column) -> Column:
+    """A value's text as a condition sees it: empty where it is missing, null, false, zero or no scalar."""
 
     def text(kind: Column, value: Column) -> Column:
         zero = F.coalesce(value.try_cast("double") == 0, F.lit(False))
         return F.when(kind == "STRING", value).when(kind == "BOOLEAN", F.when(value == "true", "True").otherwise("")).when(kind.isin(*NUMBERS) & ~zero, value)
 
-    return F.coalesce(_read(record, field, text), F.lit(""))
+    return F.coalesce(_read(value, text), F.lit(""))
+
+
+def said(record: Column, field: str) -> Column:
+    """The text of a field of a record that isn't opened."""
+    return text_of(F.try_variant_get(record, f"$.{field}", "variant"))
 
 
 def first_said(record: Column, fields: Sequence[str]) -> Column:
-    return F.coalesce(*(F.nullif(said(record, f), F.lit("")) for f in fields), F.lit(""))
+    return F.coalesce(F.get(F.filter(F.transform(_values(record, fields), text_of), lambda x: x != ""), F.lit(0)), F.lit(""))
 
 
 def token(c: Column) -> Column:
     return F.replace(F.replace(F.lower(F.trim(c)), F.lit("-"), F.lit("_")), F.lit(" "), F.lit("_"))
 
 
-def is_set(record: Column, field: str) -> Column:
+def is_set(value: Column) -> Column:
     """True, a number but zero, or one of the words for yes."""
 
     def yes(kind: Column, value: Column) -> Column:
         return F.when(kind.isin("STRING", "BOOLEAN"), F.lower(F.trim(value)).isin("1", "true", "yes", "y")).when(kind.isin(*NUMBERS), value.try_cast("double") != 0)
 
-    return F.coalesce(_read(record, field, yes), F.lit(False))
+    return F.coalesce(_read(value, yes), F.lit(False))
 
 
-def strings(record: Column, field: str) -> Column:
+def strings(value: Column) -> Column:
     """A list's values, or the one value, that aren't blank."""
-    kind = kind_of(record, field)
-    many = F.transform(F.try_variant_get(record, f"$.{field}", "array<variant>"), lambda x: F.coalesce(F.try_variant_get(x, "$", "string"), F.lit("")))
-    one = F.array(F.coalesce(F.try_variant_get(record, f"$.{field}", "string"), F.lit("")))
-    out = F.when(kind == "ARRAY", many).when(~kind.isin("MISSING", "VOID", "OBJECT"), one)
-    return F.filter(F.coalesce(out, _none()), lambda x: F.trim(x) != "")
+    text = lambda x: F.coalesce(F.try_variant_get(x, "$", "string"), F.lit(""))
 
+    def of(kind: Column) -> Column:
+        return F.when(kind == "ARRAY", F.transform(F.try_variant_get(value, "$", "array<variant>"), text)).when(~kind.isin("MISSING", "VOID", "OBJECT"), F.array(text(value)))
 
-def objects(record: Column, field: str) -> Column:
-    """The objects of a list."""
-    held = F.when(kind_of(record, field) == "ARRAY", F.try_variant_get(record, f"$.{field}", "array<variant>"))
-    return F.filter(F.coalesce(held, F.array().cast("array<variant>")), lambda x: F.startswith(F.schema_of_variant(x), F.lit("OBJECT")))
+    return F.filter(F.coalesce(T.bound(_kind(value), of), _none()), lambda x: F.trim(x) != "")
 
 
 def _truthy(value: Column) -> Column:
@@ -100,29 +134,29 @@ def _truthy(value: Column) -> Column:
 def tokens(record: Column, fields: Sequence[str]) -> Column:
     """Tokens of lists, values and the set keys of objects, distinct, in order of the fields."""
 
-    def of(field: str) -> Column:
-        named = F.map_keys(F.map_filter(F.try_variant_get(record, f"$.{field}", "map<string,variant>"), lambda _, v: _truthy(v)))
-        return F.when(kind_of(record, field) == "OBJECT", F.coalesce(named, _none())).otherwise(strings(record, field))
+    def of(value: Column) -> Column:
+        named = F.map_keys(F.map_filter(F.try_variant_get(value, "$", "map<string,variant>"), lambda _, v: _truthy(v)))
+        return F.coalesce(named, strings(value))
 
-    return F.array_distinct(F.filter(F.transform(F.concat(*(of(f) for f in fields)), token), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.flatten(F.transform(_values(record, fields), of)), token), lambda x: x != ""))
 
 
 def references(record: Column, fields: Sequence[str]) -> Column:
     """Ids that fields name: values, or the first id of each object."""
 
     def ids(value: Column) -> Column:
-        return F.when(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), F.trim(first_said(value, REFERRED_IDS))).otherwise(F.coalesce(F.try_variant_get(value, "$", "string"), F.lit("")))
+        named = T.bound(opened(value, REFERRED_IDS), lambda r: F.when(r.isNotNull(), F.trim(first_said(r, REFERRED_IDS))))
+        return F.coalesce(named, F.try_variant_get(value, "$", "string"), F.lit(""))
 
-    def of(field: str) -> Column:
-        kind, value = kind_of(record, field), F.try_variant_get(record, f"$.{field}", "variant")
-        many = F.when(kind == "ARRAY", F.transform(F.try_variant_get(record, f"$.{field}", "array<variant>"), ids))
-        return F.coalesce(many.when(~kind.isin("MISSING", "VOID"), F.array(ids(value))), _none())
+    def of(value: Column) -> Column:
+        many = F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.when(_kind(value) != "VOID", F.array(value)), F.array())
+        return F.transform(many, ids)
 
-    return F.array_distinct(F.filter(F.concat(*(of(f) for f in fields)), lambda x: F.trim(x) != ""))
+    return F.array_distinct(F.filter(F.flatten(F.transform(_values(record, fields), of)), lambda x: F.trim(x) != ""))
 
 
 def relation_of(briefing: Column) -> Column:
-    raw = F.lower(F.trim(said(briefing, "relation_scope.legacy_whole_belief_reader.kernel_relation")))
+    raw = F.lower(F.trim(text_of(briefing["relation_scope"]["legacy_whole_belief_reader"]["kernel_relation"])))
     out = F.when(raw == "", "not_supplied")
     for relation, names in V.RELATION_WORDS.items():
         out = out.when(raw.isin(*names), relation)
@@ -131,12 +165,13 @@ def relation_of(briefing: Column) -> Column:
 
 def key_claims(briefing: Column) -> Column:
     """(id, role) of the required key claims; the first of an id counts, and one without an id is named by its place."""
-    required = F.filter(objects(briefing, "relation_scope.atoms"), lambda a: token(said(a, "criticality")) == "required")
-    raw = F.concat(*(objects(briefing, f"{at}{f}") for f in KEY_CLAIM_FIELDS for at in ("relation_scope.", "")), required)
+    scope = briefing["relation_scope"]
+    required = F.filter(objects(scope["atoms"]), lambda a: token(text_of(a["criticality"])) == "required")
+    raw = F.concat(*(objects(at[f]) for f in KEY_CLAIM_FIELDS for at in (scope, briefing)), required)
     named = F.transform(raw, lambda c, i: F.struct(
         F.coalesce(F.nullif(F.trim(first_said(c, KEY_CLAIM_IDS)), F.lit("")), F.concat(F.lit("key_claim_"), F.lpad((i + 1).cast("string"), 2, "0"))).alias("id"),
         token(F.coalesce(F.nullif(first_said(c, ("role", "claim_type")), F.lit("")), F.lit("claim"))).alias("role"),
-        token(F.coalesce(F.nullif(said(c, "criticality"), F.lit("")), F.lit("required"))).alias("criticality")))
+        token(F.coalesce(F.nullif(text_of(c["criticality"]), F.lit("")), F.lit("required"))).alias("criticality")))
 
     def required_of(named: Column) -> Column:
         ordered = F.transform(named, lambda c, i: F.struct(c["id"].alias("id"), i.alias("at"), c["role"].alias("role"), c["criticality"].alias("criticality")))
@@ -154,16 +189,15 @@ def _by_word(word: Column, weights: Sequence[tuple[tuple[str, ...], float]]) ->
     return out
 
 
-def boundary_weight(flags: Column, risk: Column, distance: Column, record: Column) -> Column:
+def boundary_weight(flags: Column, risk: Column, distance: Column, weight: Column) -> Column:
     """Weight against a claim: its flags' sum, but at least what its risk, its distance and a given weight say; to 1."""
     table = F.create_map(*(F.lit(x) for kv in V.OVERCLAIM_WEIGHTS.items() for x in kv))
     summed = F.aggregate(flags, F.lit(0.0), lambda a, f: a + F.coalesce(F.element_at(table, f), F.lit(OTHER_FLAG)))
-    given = F.coalesce(F.try_variant_get(record, "$.negative_weight", "string").try_cast("double"), F.lit(0.0))
+    given = F.coalesce(F.try_variant_get(weight, "$", "string").try_cast("double"), F.lit(0.0))
     clamped = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), given)), 4)
     return F.round(F.least(F.lit(1.0), F.greatest(summed, _by_word(risk, RISK_WEIGHTS), _by_word(distance, DISTANCE_WEIGHTS), clamped)), 4)
 
 
-RISK, DISTANCE = ("overclaim_risk", "claim_design_risk"), ("evidence_claim_distance", "claim_design_distance", "support_gap")
 
 
 def claims_of(briefing: Column) -> Column:
@@ -173,7 +207,7 @@ def claims_of(briefing: Column) -> Column:
 
     def read(c: Column) -> Column:
         return F.struct(
-            F.array_distinct(F.transform(F.concat(*(strings(c, f) for f in EVIDENCE_TYPES)), token)).alias("evidence"), token(said(c, "claim_type")).alias("kind"), tokens(c, CLAIM_SCOPES).alias("scopes"), tokens(c, EVIDENCE_SCOPES).alias("design"),
+            F.array_distinct(F.transform(F.flatten(F.transform(_values(c, EVIDENCE_TYPES), strings)), token)).alias("evidence"), token(text_of(c["claim_type"])).alias("kind"), tokens(c, CLAIM_SCOPES).alias("scopes"), tokens(c, EVIDENCE_SCOPES).alias("design"),
             tokens(c, FLAG_FIELDS).alias("flags"), token(first_said(c, RISK)).alias("risk"), token(first_said(c, DISTANCE)).alias("distance"))
 
     def flagged(r: Column) -> Column:
@@ -187,29 +221,47 @@ def claims_of(briefing: Column) -> Column:
     def one(c: Column) -> Column:
         def of(r: Column, flags: Column) -> Column:
             signal = (F.size(flags) > 0) | (r["risk"] != "") | (r["distance"] != "") | (F.size(r["scopes"]) > 0) | (F.size(r["design"]) > 0)
-            return F.struct(references(c, CLAIM_REFS).alias("refs"), r["kind"].alias("kind"), meets(r["evidence"], MEASURED).alias("measured"), flags.alias("flags"), boundary_weight(flags, r["risk"], r["distance"], c).alias("weight"), signal.alias("signal"))
+            return F.struct(references(c, CLAIM_REFS).alias("refs"), r["kind"].alias("kind"), meets(r["evidence"], MEASURED).alias("measured"), flags.alias("flags"), boundary_weight(flags, r["risk"], r["distance"], c["negative_weight"]).alias("weight"), signal.alias("signal"))
 
         return T.bound(read(c), lambda r: T.bound(flagged(r), lambda flags: of(r, flags)))
 
-    return F.transform(objects(briefing, "claim_map"), one)
+    return F.transform(objects(briefing["claim_map"]), one)
+
+
+_KEY_CLAIM = (*KEY_CLAIM_IDS, "role", "claim_type", "criticality")
+_DESIGN = (*FLAG_FIELDS, *RISK, *DISTANCE, "negative_weight")
+#: What rules read of an assessment and of a briefing.
+ASSESSMENT: Shape = {"admissibility": dict.fromkeys(("abstract_level_only", "high_uncertainty")), "refresh_request": dict.fromkeys(("needed", "reasons"))} | dict.fromkeys((
+    "decision", "assessment_id", "id", "reasons", "next_actions", "accepted_candidates", "deferred_candidates"))
+UPDATES: Shape = {"candidate_kernel_updates": ("target_layer", "candidate_id", "candidate_change")}
+BRIEFING: Shape = UPDATES | dict.fromkeys(KEY_CLAIM_FIELDS, _KEY_CLAIM) | {
+    "relation_scope": {"belief_id": None, "legacy_whole_belief_reader": {"kernel_relation": None}, "atoms": _KEY_CLAIM} | dict.fromkeys(KEY_CLAIM_FIELDS, _KEY_CLAIM),
+    "trajectory_proposal": {"candidate_question": None}, "source": {"input_text_level": None}, "source_provenance": {"read_level": None}, "uncertainty_map": ("severity",), "disagreement_map": ("id",),
+    "claim_map": tuple(dict.fromkeys((*EVIDENCE_TYPES, "claim_type", *CLAIM_SCOPES, *EVIDENCE_SCOPES, *CLAIM_REFS, *_DESIGN))), "claim_design_audit": None,
+    "object_grounding": dict.fromkeys(("object_text_alignment", "text_only")), "calibration_status": {"should_downweight_confidence": None}, "semantic_audit": {"behavioral_risk": None},
+    "human_feedback_brief": {"feedback_type": None}}
 
 
 def _facts(rows: DataFrame, assessment: str, briefing: str) -> DataFrame:
-    a, b = F.col(assessment), F.col(briefing)
-    severity = F.transform(objects(b, "uncertainty_map"), lambda u: F.when(F.lower(F.trim(said(u, "severity"))) == "high", 3).when(F.lower(F.trim(said(u, "severity"))) == "medium", 2).when(F.lower(F.trim(said(u, "severity"))) == "low", 1).otherwise(0))
+    rows = T.once(rows, _a=opened(F.col(assessment), ASSESSMENT), _b=opened(F.col(briefing), BRIEFING))
+    rows = T.once(rows, _audit=opened(F.col("_b.claim_design_audit"), _DESIGN))
+    a, b, audit, whole = F.col("_a"), F.col("_b"), F.col("_audit"), F.col("_b.claim_design_audit")
+    grade = lambda s: F.when(s == "high", 3).when(s == "medium", 2).when(s == "low", 1).otherwise(0)
+    severity = F.transform(objects(b["uncertainty_map"]), lambda u: T.bound(F.lower(F.trim(text_of(u["severity"]))), grade))
     worst = F.coalesce(F.array_max(severity), F.lit(0))
-    word = lambda field, default="unknown": F.lower(F.trim(F.coalesce(F.nullif(said(b, field), F.lit("")), F.lit(default))))
-    level = F.lower(F.trim(F.coalesce(F.nullif(said(b, "source.input_text_level"), F.lit("")), F.nullif(said(b, "source_provenance.read_level"), F.lit("")), F.lit("unknown"))))
-    audit_risk, audit_distance, audit_flags = token(first_said(b, [f"claim_design_audit.{f}" for f in RISK])), token(first_said(b, [f"claim_design_audit.{f}" for f in DISTANCE])), tokens(b, [f"claim_design_audit.{f}" for f in FLAG_FIELDS])
-    audit = F.try_variant_get(b, "$.claim_design_audit", "variant")
+    word = lambda value, default="unknown": F.lower(F.trim(F.coalesce(F.nullif(text_of(value), F.lit("")), F.lit(default))))
+    level = F.lower(F.trim(F.coalesce(F.nullif(text_of(b["source"]["input_text_level"]), F.lit("")), F.nullif(text_of(b["source_provenance"]["read_level"]), F.lit("")), F.lit("unknown"))))
+    out = T.once(
+        rows, relation=relation_of(b), belief=F.trim(text_of(b["relation_scope"]["belief_id"])), question=F.trim(text_of(b["trajectory_proposal"]["candidate_question"])), level=level, worst=worst,
+        layers=F.array_distinct(F.filter(F.transform(objects(b["candidate_kernel_updates"]), lambda c: F.trim(text_of(c["target_layer"]))), lambda x: x != "")),
+        thin=is_set(a["admissibility"]["abstract_level_only"]), refresh=is_set(a["refresh_request"]["needed"]), high=is_set(a["admissibility"]["high_uncertainty"]),
+        disputed=F.size(objects(b["disagreement_map"])) > 0, alignment=word(b["object_grounding"]["object_text_alignment"]), text_only=is_set(b["object_grounding"]["text_only"]), downweight=is_set(b["calibration_status"]["should_downweight_confidence"]),
+        semantic=word(b["semantic_audit"]["behavioral_risk"]), reduce=word(b["human_feedback_brief"]["feedback_type"], "").isin("reduce_overclaim", "downgrade", "request_caution"),
+        required=key_claims(b), claims=claims_of(b), audit_flags=F.when(audit.isNotNull(), tokens(audit, FLAG_FIELDS)).otherwise(_none()), audit_risk=token(first_said(audit, RISK)), audit_distance=token(first_said(audit, DISTANCE)),
+        audited=audit.isNotNull() & (F.coalesce(F.try_variant_get(whole, "$", "string"), F.to_json(whole)) != "{}"))
     out = T.once(
-        rows, relation=relation_of(b), belief=F.trim(said(b, "relation_scope.belief_id")), question=F.trim(said(b, "trajectory_proposal.candidate_question")), level=level, worst=worst,
-        layers=F.array_distinct(F.filter(F.transform(objects(b, "candidate_kernel_updates"), lambda c: F.trim(said(c, "target_layer"))), lambda x: x != "")),
-        abstract=is_set(a, "admissibility.abstract_level_only") | (level == "abstract"), refresh=is_set(a, "refresh_request.needed"), high=is_set(a, "admissibility.high_uncertainty"),
-        disputed=F.size(objects(b, "disagreement_map")) > 0, alignment=word("object_grounding.object_text_alignment"), text_only=is_set(b, "object_grounding.text_only"), downweight=is_set(b, "calibration_status.should_downweight_confidence"),
-        semantic=word("semantic_audit.behavioral_risk"), reduce=word("human_feedback_brief.feedback_type", "").isin("reduce_overclaim", "downgrade", "request_caution"),
-        required=key_claims(b), claims=claims_of(b), audit_flags=audit_flags, audit_weight=F.when(kind_of(b, "claim_design_audit") == "OBJECT", boundary_weight(audit_flags, audit_risk, audit_distance, audit)).otherwise(0.0),
-        audited=(kind_of(b, "claim_design_audit") == "OBJECT") & (F.coalesce(F.try_variant_get(b, "$.claim_design_audit", "string"), F.to_json(audit)) != "{}"))
+        out, abstract=F.col("thin") | (F.col("level") == "abstract"),
+        audit_weight=F.when(audit.isNotNull(), boundary_weight(F.col("audit_flags"), F.col("audit_risk"), F.col("audit_distance"), audit["negative_weight"])).otherwise(0.0)).drop("_a", "_b", "_audit")
     ids = F.transform("required", lambda k: k["id"])
     fits = lambda kind, role: ~role.isin("mechanism", "boundary") | ((role == "mechanism") & kind.isin(*MECHANISM)) | ((role == "boundary") & kind.isin(*BOUNDARY))
     measured = F.flatten(F.transform("claims", lambda c: F.when(c["measured"], F.transform(F.filter("required", lambda k: F.array_contains(c["refs"], k["id"]) & fits(c["kind"], k["role"])), lambda k: k["id"])).otherwise(_none())))
@@ -301,13 +353,15 @@ def decide(rows: DataFrame, key: str, assessment: str = "assessment", briefing:
     a missing intake verdict counts as defer.
     """
     framed = frame(rows, key, assessment, briefing)
-    a, b, f = F.col(assessment), F.col(briefing), F.col("frame")
-    held = objects(b, "candidate_kernel_updates")
-    ids = F.transform(held, lambda c, i: F.coalesce(F.nullif(said(c, "candidate_id"), F.lit("")), F.concat(F.lit("candidate_"), F.lpad((i + 1).cast("string"), 2, "0"))))
+    framed = T.once(framed, _a=opened(F.col(assessment), ASSESSMENT), _u=opened(F.col(briefing), UPDATES))
+    a, f = F.col("_a"), F.col("frame")
+    held = objects(F.col("_u.candidate_kernel_updates"))
+    ids = F.transform(held, lambda c, i: F.coalesce(F.nullif(text_of(c["candidate_id"]), F.lit("")), F.concat(F.lit("candidate_"), F.lpad((i + 1).cast("string"), 2, "0"))))
     framed = T.once(
-        framed, _intake=F.coalesce(F.nullif(said(a, "decision"), F.lit("")), F.lit("defer")), _id=first_said(a, ("assessment_id", "id")), _ids=ids, _reasons=strings(a, "reasons"), _next=strings(a, "next_actions"),
-        _accepted=strings(a, "accepted_candidates"), _deferred=strings(a, "deferred_candidates"), _refresh_reasons=strings(a, "refresh_request.reasons"), _abstract=is_set(a, "admissibility.abstract_level_only"),
-        _high=is_set(a, "admissibility.high_uncertainty"), _refresh=is_set(a, "refresh_request.needed"), _moves=F.transform(F.filter(held, lambda c: said(c, "target_layer") == "trajectory"), lambda c: F.struct(said(c, "candidate_change").alias("change"), said(c, "candidate_id").alias("id"))))
+        framed, _intake=F.coalesce(F.nullif(text_of(a["decision"]), F.lit("")), F.lit("defer")), _id=first_said(a, ("assessment_id", "id")), _ids=ids, _reasons=strings(a["reasons"]), _next=strings(a["next_actions"]),
+        _accepted=strings(a["accepted_candidates"]), _deferred=strings(a["deferred_candidates"]), _refresh_reasons=strings(a["refresh_request"]["reasons"]), _abstract=is_set(a["admissibility"]["abstract_level_only"]),
+        _high=is_set(a["admissibility"]["high_uncertainty"]), _refresh=is_set(a["refresh_request"]["needed"]),
+        _moves=F.transform(F.filter(held, lambda c: text_of(c["target_layer"]) == "trajectory"), lambda c: F.struct(text_of(c["candidate_change"]).alias("change"), text_of(c["candidate_id"]).alias("id"))))
     lits = lambda *xs: F.array(*map(F.lit, xs))
     waiting, taken = _or(F.col("_deferred"), F.col("_ids")), _or(F.col("_accepted"), F.col("_ids"))
     relation, intake = f["relation"], F.col("_intake")

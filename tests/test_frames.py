@@ -171,3 +171,22 @@ def test_changes_and_alternatives(cases):
         assert ("direct_belief_revision" in r.rejected_alternatives) == (r.decision != "propose_belief_revision")
         assert r.human_review_required == (r.branch == "intake_escalate")
     assert any(r.change and r.change.change_type == "support_candidate" and r.change.target_layer == "belief" for r in got.values())
+
+
+def test_records_are_opened_once(spark, sf):
+    from cairnlight.plans import catalogue
+
+    was = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "100000")
+    try:
+        plan = catalogue.QUERIES["judgment_frames"](spark, sf)._jdf.queryExecution().analyzed().toString()
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", was)
+    assert "$.claim_map" not in plan and "$.relation_scope" not in plan  # fields were looked up by path, one by one
+
+
+def test_fields_of_other_types(spark):
+    odd = [{"relation_scope": 7, "claim_map": {"a": 1}, "claim_design_audit": []}, {"relation_scope": {"atoms": "x", "legacy_whole_belief_reader": []}, "claim_map": [None, 3, [{}]]}, 7, [], None]
+    df = spark.createDataFrame([(i, json.dumps(b)) for i, b in enumerate(odd)] + [(9, None)], "id int, b string").select("id", F.try_parse_json("b").alias("briefing"), F.try_parse_json(F.lit("[]")).alias("assessment"))
+    got = J.decide(df, "id").collect()
+    assert len(got) == 6 and {(r.branch, r.frame.relation, r.frame.claim_gate.status, r.frame.design_audit.status) for r in got} == {("intake_refresh", "not_supplied", "no_frozen_key_claims", "not_supplied")}

@@ -275,6 +275,18 @@ def test_packets_of_any_size(spark):
         assert [i for _, i in sorted((r.presentation_index, r.item_id) for r in rows if r.reviewer_id == reviewer)] == order
 
 
+def test_a_packet_is_dealt_by_its_product(spark, monkeypatch):
+    """Ids of reviewers are few bytes, and adaptive execution puts them together; what they meet is sorted in bounded tasks."""
+    reviewers = spark.range(3000).select((F.col("id") % 1500).alias("reviewer_id")).distinct()
+    rows = R.presentation_order(spark.range(2000).withColumnRenamed("id", "item_id"), reviewers, "p")
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("at")).count().collect()]
+    assert sum(sizes) == 3_000_000 and len(sizes) >= 3 and max(sizes) < 1_500_000
+    few = lambda: sorted(tuple(r) for r in R.presentation_order(spark.range(30).withColumnRenamed("id", "item_id"), spark.range(20).withColumnRenamed("id", "reviewer_id"), "p").collect())
+    sent = few()
+    monkeypatch.setattr(R, "PACKET_SENT", 0)
+    assert few() == sent and len(sent) == 600
+
+
 def test_fields_and_blocks_move_no_rows(spark):
     from cairnlight.operators import ledgers as L
     df = spark.createDataFrame([(1, "A: x\n- y\nB = 2\nA: z"), (1, "A: other"), (2, None), (3, "no field")], "id int, t string")

@@ -10,10 +10,14 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cairnlight.operators import records as R
+from cairnlight.session import materialize
+
+#: Edges that a task is meant to hold when they meet missing ids.
+EDGE_ROOM = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -89,20 +93,28 @@ def _id(record: Column, kind: str) -> Column:
 EDGE = "array<struct<target:string,id:string,path:string,message:string,revised:boolean>>"
 
 
-def _edge(ref: Ref, path: Column, target: Column, revised: bool) -> Callable[[Column], Column]:
+#: What is counted of an edge: the same without the texts of its fault.
+CITED = "array<struct<target:string,id:string,revised:boolean>>"
+
+
+def _edge(ref: Ref, path: Column | None, target: Column, revised: bool) -> Callable[[Column], Column]:
     def of(id_: Column) -> Column:
+        if path is None:
+            return F.struct(target.alias("target"), id_.alias("id"), F.lit(revised).alias("revised"))
         said = F.concat(F.lit(ref.message), F.coalesce(id_, F.lit("None"))) if ref.message.endswith(" ") else F.lit(ref.message)
         return F.struct(target.alias("target"), id_.alias("id"), path.alias("path"), said.alias("message"), F.lit(revised).alias("revised"))
 
     return of
 
 
-def _edges_of(record: Column, kind: str) -> Column:
-    """References of one record. A missing scalar is a reference to no id, which no record has."""
+def _edges_of(record: Column, kind: str, said: bool = True) -> Column:
+    """References of one record, with the texts of their faults if ``said``. A missing scalar is a reference to no id, which
+    no record has."""
+    type_ = EDGE if said else CITED
     ledger, name = LEDGERS[kind][0], F.coalesce(_scalar(record, "id"), F.lit("None"))
     parts = []
     for ref in REFERENCES.get(kind, ()):
-        path = F.concat(F.lit(f"{ledger}."), name, F.lit(f".{ref.path}" if ref.path else ""))
+        path = F.concat(F.lit(f"{ledger}."), name, F.lit(f".{ref.path}" if ref.path else "")) if said else None
         target = _scalar(record, ref.target) if ref.by_field else F.lit(ref.target)
         made = _edge(ref, path, target, kind == "revision" and ref.many)
         if ref.many:
@@ -110,8 +122,8 @@ def _edges_of(record: Column, kind: str) -> Column:
             continue
         value = _scalar(record, ref.field)
         counts = value != "" if ref.optional else target.isin(*OVERRIDDEN) if ref.by_field else F.lit(True)
-        parts.append(F.when(F.coalesce(counts, F.lit(False)), F.array(made(value))).otherwise(F.array().cast(EDGE)))
-    return F.concat(*(p.cast(EDGE) for p in parts)) if parts else F.array().cast(EDGE)
+        parts.append(F.when(F.coalesce(counts, F.lit(False)), F.array(made(value))).otherwise(F.array().cast(type_)))
+    return F.concat(*(p.cast(type_) for p in parts)) if parts else F.array().cast(type_)
 
 
 def _by_kind(record: Column, kind: Column, of, otherwise: Column) -> Column:
@@ -134,7 +146,7 @@ def targets(records: DataFrame) -> DataFrame:
     alone = F.when(kind == "evidence", _none(record, OF_EVIDENCE)).otherwise(F.lit(False))
     own = F.struct(kind.alias("target"), _by_kind(record, kind, _id, F.lit(None).cast("string")).alias("id"), F.lit(True).alias("held"), F.lit(False).alias("cited"), F.lit(0).alias("n"), alone.cast("int").alias("n_alone"))
     cite = lambda e: F.struct(e["target"].alias("target"), e["id"].alias("id"), F.lit(False).alias("held"), e["revised"].alias("cited"), F.lit(1).alias("n"), F.lit(0).alias("n_alone"))
-    found = _by_kind(record, kind, _edges_of, F.array().cast(EDGE))
+    found = _by_kind(record, kind, lambda r, k: _edges_of(r, k, said=False), F.array().cast(CITED))
     rows = records.select(F.explode(F.concat(F.array(own), F.transform(found, cite))).alias("x")).select("x.*")
     summed = rows.groupBy("target", "id").agg(F.max("held").alias("held"), F.max("cited").alias("cited"), F.sum("n").alias("n"), F.sum("n_alone").alias("n_alone"))
     return summed.withColumn("held", F.col("held") & F.col("id").isNotNull())
@@ -153,9 +165,21 @@ def broken_references(records: DataFrame) -> DataFrame:
     ``records``: kind and record (VARIANT). A reference that is repeated is reported as often. Null ids are held by none; a
     missing scalar is reported as None; lists that are missing, null or no lists have no references; kinds that the store
     doesn't know have none. An empty table gives no rows.
+
+    Missing ids are counted first, so edges meet them in as many tasks as their number needs, and the edges of an id that
+    more than a task's share cite are dealt to several.
     """
-    missing = targets(records).filter(~F.col("held") & (F.col("n") > 0)).select("target", "id")
-    lost = edges(records).alias("e").join(missing.alias("m"), (F.col("e.target") == F.col("m.target")) & F.col("e.id").eqNullSafe(F.col("m.id")), "left_semi")
+    seen = Observation()
+    counted = targets(records).observe(seen, F.sum("n").alias("n"))
+    missing = materialize(counted.filter(~F.col("held") & (F.col("n") > 0) & F.col("target").isNotNull()).select("target", "id", F.ceil(F.col("n") / EDGE_ROOM).alias("parts")), "missing")
+    tasks = max(1, -(-(seen.get["n"] or 0) // EDGE_ROOM))
+    hot = F.broadcast(missing.filter("parts > 1")).alias("h")
+    same = lambda a, b: (F.col(f"{a}.target") == F.col(f"{b}.target")) & F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id"))
+    dealt = edges(records).alias("e").join(hot, same("e", "h"), "left").select("e.*", F.coalesce(F.pmod(F.xxhash64("e.path"), F.col("h.parts")), F.lit(0)).cast("long").alias("part"))
+    wanted = missing.select("target", "id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    key = F.xxhash64("target", "id", "part").alias("key")
+    left, right = (x.select("*", key).repartition(tasks, "key").alias(n) for x, n in ((dealt, "e"), (wanted, "m")))
+    lost = left.join(right, (F.col("e.key") == F.col("m.key")) & (F.col("e.part") == F.col("m.part")) & same("e", "m"), "left_semi")
     bare = records.select(_bare(F.col("record"), F.col("kind")).alias("b")).filter("b IS NOT NULL").select("b.*")
     return lost.select("path", "message").unionAll(bare)
 

@@ -83,30 +83,35 @@ def constraint_match(constraints: DataFrame, papers: DataFrame, supported: float
     """Verdict per (constraint, paper): supported or partial by the share of the constraint's terms among the paper's words,
     else violated where the text denies its first three terms (in sorted order), else none.
 
-    ``constraints``: cid, statement; ``papers``: pid, text. Only pairs with common terms are formed; for denials, only
-    pairs in which a denial is followed by the constraint's first term (or, of a single term, by a word that it starts).
+    ``constraints``: cid, statement; ``papers``: pid, text. Texts don't move: pairs with common terms are counted where the
+    paper is read, and a denial is held against the three words after it, with constraints whose first term is the word after
+    it (or, of a single term, begins it). Both are made once and meet in one outer join.
     """
     words = token_set(F.col("statement"), stop)
-    c = constraints.select("cid", words.alias("tokens"), F.size(words).alias("size"))
-    p = papers.select("pid", F.trim(F.lower(T.blank(F.col("text")))).alias("text"))
-    n = overlap_pairs(c.select(F.col("cid").alias("a"), "tokens", "size"), p.select(F.col("pid").alias("b"), token_set(F.col("text"), stop).alias("tokens")))
+    c = T.once(constraints, tokens=words).select(F.col("cid").alias("a"), "tokens", F.size("tokens").alias("size"))
+    text = F.trim(F.lower(T.blank(F.col("text"))))
+    # stop words and the empty word are no constraint's terms, so they needn't be taken out of a text
+    p = T.once(papers, tokens=F.array_distinct(F.split(text, r"\s+"))).select(F.col("pid").alias("b"), "tokens")
     ratio = F.col("n") / F.greatest(F.lit(1), F.col("size"))
-    found = n.filter(ratio >= partial).select(F.col("a").alias("cid"), F.col("b").alias("pid"), F.when(ratio >= supported, "supported").otherwise("partial").alias("result"), F.round(ratio, 2).alias("confidence"))
-
-    head = c.select("cid", "size", F.array_join(F.slice(F.array_sort("tokens"), 1, 3), " ").alias("phrase"), F.coalesce(F.get(F.array_sort("tokens"), F.lit(0)), F.lit("")).alias("term"))
-    denial = "|".join(DENIALS)
-    after = F.array_distinct(F.regexp_extract_all("text", F.lit(rf"(?:{denial})(?=(\S*))"), F.lit(1)))
-    starts = lambda w: F.transform(F.sequence(F.lit(1), F.least(F.length(w), F.lit(BEGUN))), lambda i: F.substring(w, F.lit(1), i))
-    begun = F.array_distinct(F.flatten(F.transform(F.filter(F.col("after"), lambda w: w != ""), starts)))
-    at = p.select("pid", after.alias("after")).filter(F.size("after") > 0).select("pid", "after", begun.alias("begun"))
-    many = at.select("pid", F.explode("after").alias("term")).join(head.filter("size > 1"), "term")
-    single = head.filter("size = 1").withColumn("term", F.left("term", F.lit(BEGUN)))
-    one = at.select("pid", F.explode("begun").alias("term")).join(single, "term")
-    none = at.select("pid", F.substring(F.get("after", F.lit(0)), 1, 0).alias("term")).join(head.filter("size = 0"), "term")
-    hits = many.unionByName(one).unionByName(none).select("pid", "cid", "phrase").distinct().join(p, "pid")
-    denied = hits.filter(F.exists(F.array(*(F.lit(d) for d in DENIALS)), lambda d: F.contains("text", F.concat(d, F.col("phrase")))))
-    denied = denied.join(found, ["cid", "pid"], "left_anti").select("cid", "pid", F.lit("violated").alias("result"), F.lit(0.5).alias("confidence"))
-    return found.unionByName(denied)
+    found = overlap_pairs(c, p).filter(ratio >= partial)
+
+    phrase = F.array_join(F.slice(F.array_sort("tokens"), 1, 3), " ")
+    head = c.select("a", "size", (F.col("size") > 1).alias("whole"), phrase.alias("phrase"))
+    head = head.select("*", F.when(F.col("whole"), F.substring_index("phrase", " ", 1)).otherwise(F.left("phrase", F.lit(BEGUN))).alias("term"))
+    lengths = head.agg(F.collect_set(F.when(~F.col("whole"), F.length("term"))).alias("lengths"))
+    after = F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?:{'|'.join(DENIALS)})(?=(\S*(?: \S*){{0,2}}))"), F.lit(1)))
+    said = T.once(papers.withColumn("at", F.monotonically_increasing_id()), after=after).select("at", F.col("pid").alias("b"), F.explode("after").alias("said"))
+    word, key = F.substring_index("said", " ", 1), lambda whole, term: F.struct(F.lit(whole).alias("whole"), term.alias("term"))
+    keys = F.concat(F.array(key(True, word)), F.transform("lengths", lambda i: key(False, F.left(word, i))))
+    at = said.crossJoin(F.broadcast(lengths)).select("at", "b", "said", F.explode(keys).alias("key")).select("at", "b", "said", "key.*")
+    hits = at.join(head, ["whole", "term"]).filter(F.startswith("said", F.col("phrase"))).select("at", "b", "a", "size").distinct()
+    denied = hits.groupBy("a", "b", "size").agg(F.count("*").cast("int").alias("times"))
+
+    verdict = lambda result, confidence: F.struct(result.alias("result"), confidence.alias("confidence"))
+    good = verdict(F.when(ratio >= supported, "supported").otherwise("partial"), F.round(ratio, 2))
+    bad = F.array_repeat(verdict(F.lit("violated"), F.lit(0.5)), F.col("times"))
+    rows = found.join(denied, ["a", "b", "size"], "full_outer").select("a", "b", F.explode(F.when(F.col("n").isNotNull(), F.array(good)).otherwise(bad)).alias("v"))
+    return rows.select(F.col("a").alias("cid"), F.col("b").alias("pid"), "v.result", "v.confidence")
 
 
 def nearest(reference: DataFrame, queries: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:

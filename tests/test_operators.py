@@ -179,6 +179,28 @@ def test_constraints_denied(spark):
     assert got == want and {v[0] for v in want.values()} >= {"supported", "violated"}
 
 
+def test_constraints_as_sql_on_odd_rows(spark, tmp_path):
+    """Repeated and null paper ids, several denials of one phrase, empty and missing texts; a text is read once for each need."""
+    from unittest import mock
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from cairnlight.plans import analysis, registry
+    from tests.compare import same
+
+    tail = " ".join(f"x{i}" for i in range(30))
+    pq.write_table(pa.table({"item_id": [1, 2, 3, 4, 5], "text": [f"alpha beta gamma {tail}", "zeta", "the of", "alpha beta", "f" + "a" * 80]}), tmp_path / "benchmark.parquet")
+    texts = {1: ["no alpha beta gamma, not alpha beta gammas, without alpha beta gamma", "lack of alpha beta gamma", "alpha x1 x2 x3 x4 x5"], 2: ["no alpha  beta", "no zeta not zetas"],
+             3: [None, "", " no", "\tno ", "no \talpha"], 4: ["no no alpha beta", "no f" + "a" * 79, "not f" + "a" * 90], None: ["no zeta", "zeta without zeta", "absence alpha beta gamma"]}
+    rows = [(i, t) for i, ts in texts.items() for t in ts]
+    pq.write_table(pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": [t for _, t in rows]}), tmp_path / "documents.parquet")
+    with mock.patch("tests.compare.TABLES", ["benchmark", "documents"]):
+        same(spark, analysis.constraint_match, registry.ORACLE["constraint_match"], str(tmp_path))
+    plan = analysis.constraint_match(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and plan.count("count(1)") == 2
+
+
 def test_nearest_blocks_and_ties(spark):
     ref = spark.createDataFrame([(2, [1.0, 0.0]), (1, [2.0, 0.0]), (3, [0.0, 1.0])], "id long, embedding array<double>")
     q = spark.createDataFrame([(10, [1.0, 0.1]), (11, [0.0, 3.0]), (12, [-1.0, 0.0])], "id long, embedding array<double>")

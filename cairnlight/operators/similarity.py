@@ -98,12 +98,12 @@ def constraint_match(constraints: DataFrame, papers: DataFrame, supported: float
     phrase = F.array_join(F.slice(F.array_sort("tokens"), 1, 3), " ")
     head = c.select("a", "size", (F.col("size") > 1).alias("whole"), phrase.alias("phrase"))
     head = head.select("*", F.when(F.col("whole"), F.substring_index("phrase", " ", 1)).otherwise(F.left("phrase", F.lit(BEGUN))).alias("term"))
-    lengths = head.agg(F.collect_set(F.when(~F.col("whole"), F.length("term"))).alias("lengths"))
+    lengths = head.agg(F.collect_set(F.when(~F.col("whole"), F.length("term")))).scalar()  # at most BEGUN + 1 numbers
     after = F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?:{'|'.join(DENIALS)})(?=(\S*(?: \S*){{0,2}}))"), F.lit(1)))
     said = T.once(papers.withColumn("at", F.monotonically_increasing_id()), after=after).select("at", F.col("pid").alias("b"), F.explode("after").alias("said"))
     word, key = F.substring_index("said", " ", 1), lambda whole, term: F.struct(F.lit(whole).alias("whole"), term.alias("term"))
     keys = F.concat(F.array(key(True, word)), F.transform("lengths", lambda i: key(False, F.left(word, i))))
-    at = said.crossJoin(F.broadcast(lengths)).select("at", "b", "said", F.explode(keys).alias("key")).select("at", "b", "said", "key.*")
+    at = said.withColumn("lengths", lengths).select("at", "b", "said", F.explode(keys).alias("key")).select("at", "b", "said", "key.*")
     hits = at.join(head, ["whole", "term"]).filter(F.startswith("said", F.col("phrase"))).select("at", "b", "a", "size").distinct()
     denied = hits.groupBy("a", "b", "size").agg(F.count("*").cast("int").alias("times"))
 
